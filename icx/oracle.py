@@ -33,7 +33,7 @@ def kmax(n: str, rate: float, at_least_one: bool = True) -> str:
 
 
 def words(text: str) -> str:
-    return f"list_filter(regexp_split_to_array({text}, {lit(WS_RUN)}), x -> x <> '')"
+    return f"list_filter(regexp_split_to_array({text}, {lit(WS_RUN)}), lambda x: x <> '')"
 
 
 def strip(text: str) -> str:
@@ -147,3 +147,130 @@ def few_shot_chat(test_sql: str, dev_sql: str, k: int, seed: int, src_lang: str,
     )
     body = "\nUNION ALL\n".join(parts)
     return demos_cte(test_sql, dev_sql, k, seed) + f"\nSELECT row_id, msg_idx::INTEGER AS msg_idx, role, content FROM ({body}) t"
+
+
+# ---- perturbations (relational twins: unnest + window + string_agg) ---------------------
+
+from icx.functions.scripts import ARABIC, INDIC, SCRIPT_RANGES, class_regex, mark_pool, punct_class_of, span_pool  # noqa: E402
+
+
+def per_script(code: str, build) -> str:
+    """CASE over the script suffix of a lang_Script column; build(script, pclass) -> SQL."""
+    parts = [f"WHEN split_part({code}, '_', 2) = '{s}' THEN {build(s, punct_class_of('x_' + s))}" for s in SCRIPT_RANGES]
+    fallback = (
+        f"CASE WHEN {code} LIKE '%Arab' THEN {build('', ARABIC)} "
+        f"WHEN {code} LIKE '%Latn' OR {code} LIKE '%Cyrl' THEN {build('', LATIN)} ELSE {build('', INDIC)} END"
+    )
+    return "(CASE " + " ".join(parts) + f" ELSE {fallback} END)"
+
+
+def pclass_sql(code: str) -> str:
+    return f"(CASE WHEN {code} LIKE '%Arab' THEN {ARABIC} WHEN {code} LIKE '%Latn' OR {code} LIKE '%Cyrl' THEN {LATIN} ELSE {INDIC} END)"
+
+
+def in_class_by(cp: str, pclass: str) -> str:
+    return (f"(CASE {pclass} WHEN {LATIN} THEN {in_class(cp, LATIN)} WHEN {INDIC} THEN {in_class(cp, INDIC)} "
+            f"ELSE {in_class(cp, ARABIC)} END)")
+
+
+def word_has_punct(w: str, pclass: str) -> str:
+    return (f"(CASE {pclass} WHEN {LATIN} THEN regexp_matches({w}, {lit(class_regex(LATIN))}) "
+            f"WHEN {INDIC} THEN regexp_matches({w}, {lit(class_regex(INDIC))}) "
+            f"ELSE regexp_matches({w}, {lit(class_regex(ARABIC))}) END)")
+
+
+def _base(src_sql: str, keys: list[str]) -> str:
+    k = ", ".join(keys)
+    return f"""base AS (SELECT {k}, text, code FROM ({src_sql})),
+tok AS (SELECT {k}, unnest(W) AS w, unnest(range(len(W))) AS i, len(W) AS n
+        FROM (SELECT {k}, {words('text')} AS W FROM base))"""
+
+
+def _chars_base(src_sql: str, keys: list[str]) -> str:
+    k = ", ".join(keys)
+    return f"""base AS (SELECT {k}, text, code FROM ({src_sql})),
+ch AS (SELECT {k}, code, unnest(C) AS c, unnest(range(len(C))) AS i
+       FROM (SELECT {k}, code, CASE WHEN text = '' THEN []::VARCHAR[] ELSE string_split(text, '') END AS C FROM base))"""
+
+
+def _finish(keys: list[str], agg_cte: str, unchanged_when: str | None = None) -> str:
+    k = ", ".join(keys)
+    on = " AND ".join(f"a.{x} = b.{x}" for x in keys)
+    cond = f"CASE WHEN a.o IS NULL{(' OR ' + unchanged_when) if unchanged_when else ''} THEN b.text ELSE a.o END"
+    return f"SELECT {', '.join('b.' + x for x in keys)}, {cond} AS perturbed FROM base b LEFT JOIN {agg_cte} a ON {on}"
+
+
+def ptb_sql(attack: str, src_sql: str, keys: list[str], rate: float, seed: int) -> str:
+    """SQL twin of perturb(attack) for rows (keys..., text, code)."""
+    K = ", ".join(keys)
+    part = f"PARTITION BY {K}"
+    usingk = ", ".join(keys)
+    if attack == "word_duplication":
+        return f"""WITH {_base(src_sql, keys)},
+s AS (SELECT *, row_number() OVER ({part} ORDER BY {rank_key(seed, 'dup', 'i', *keys)}) <= {kmax('n', rate)} AS sel FROM tok),
+agg AS (SELECT {K}, string_agg(CASE WHEN sel THEN w || ' ' || w ELSE w END, ' ' ORDER BY i) AS o FROM s GROUP BY {K})
+{_finish(keys, 'agg')}"""
+    if attack == "word_order":
+        return f"""WITH {_base(src_sql, keys)},
+s AS (SELECT *, row_number() OVER ({part} ORDER BY {rank_key(seed, 'order_slot', 'i', *keys)}) AS m FROM tok),
+sel AS (SELECT {K}, i, m FROM s WHERE m <= {kmax('n', rate)}),
+src AS (SELECT {K}, i AS p, row_number() OVER ({part} ORDER BY {rank_key(seed, 'order_src', 'i', *keys)}) AS m FROM sel),
+srt AS (SELECT {K}, i AS q, row_number() OVER ({part} ORDER BY i) AS m, row_number() OVER ({part} ORDER BY i DESC) AS mr FROM sel),
+pr AS (SELECT sel.*, src.p, a.q AS q_sorted, b.q AS q_rev
+       FROM sel JOIN src USING ({usingk}, m) JOIN srt a USING ({usingk}, m) JOIN srt b ON {' AND '.join(f'b.{x} = sel.{x}' for x in keys)} AND b.mr = sel.m),
+fl AS (SELECT {K}, bool_and(p = i) AS ident, bool_and(q_sorted = i) AS sorted_ident FROM pr GROUP BY {K}),
+mp AS (SELECT {K}, i AS t, CASE WHEN NOT ident THEN p WHEN NOT sorted_ident THEN q_sorted ELSE q_rev END AS s
+       FROM pr JOIN fl USING ({usingk})
+       UNION ALL SELECT {K}, i AS t, i AS s FROM s WHERE m > {kmax('n', rate)}),
+agg AS (SELECT {K}, string_agg(tok.w, ' ' ORDER BY mp.t) AS o FROM mp JOIN tok USING ({usingk}) WHERE tok.i = mp.s GROUP BY {K})
+{_finish(keys, 'agg')}"""
+    if attack == "ocr":
+        cut = f"({u32(seed, 'ocr_cut', *keys, 'i')} % (length(w) - 1) + 1)"
+        return f"""WITH {_base(src_sql, keys)},
+s AS (SELECT *, row_number() OVER ({part} ORDER BY {rank_key(seed, 'ocr', 'i', *keys)}) <= {kmax('n', rate)} AS sel,
+             (i < n - 1 AND {u32(seed, 'ocr_op', *keys, 'i')} % 2 = 0) AS fuse FROM tok),
+agg AS (SELECT {K}, string_agg(
+          CASE WHEN sel AND NOT fuse AND length(w) >= 2 THEN substr(w, 1, {cut}) || ' ' || substr(w, {cut} + 1) ELSE w END
+          || CASE WHEN i = n - 1 OR (sel AND fuse) THEN '' ELSE ' ' END, '' ORDER BY i) AS o FROM s GROUP BY {K})
+{_finish(keys, 'agg')}"""
+    if attack == "punctuation_drop_attack":
+        return f"""WITH {_chars_base(src_sql, keys)},
+p AS (SELECT *, {in_class_by('unicode(c)', pclass_sql('code'))} AS isp FROM ch),
+cnt AS (SELECT {K}, count(*) FILTER (WHERE isp) AS m FROM p GROUP BY {K}),
+rk AS (SELECT {K}, i, row_number() OVER ({part} ORDER BY {rank_key(seed, 'pdrop', 'i', *keys)}) AS r FROM p WHERE isp),
+dr AS (SELECT {K}, i FROM rk JOIN cnt USING ({usingk}) WHERE r <= {kmax('m', rate)}),
+agg AS (SELECT {K}, string_agg(CASE WHEN dr.i IS NULL THEN p.c ELSE '' END, '' ORDER BY p.i) AS o
+        FROM p LEFT JOIN dr USING ({usingk}, i) GROUP BY {K})
+{_finish(keys, 'agg')}"""
+    if attack == "punctuation_add_attack":
+        marks = per_script("code", lambda s, c: "[" + ", ".join(lit(m) for m in mark_pool(s, c)) + "]")
+        return f"""WITH {_base(src_sql, keys)},
+t2 AS (SELECT tok.*, base.code, NOT {word_has_punct('w', pclass_sql('base.code'))} AS cand FROM tok JOIN base USING ({usingk})),
+cnt AS (SELECT {K}, count(*) FILTER (WHERE cand) AS c FROM t2 GROUP BY {K}),
+rk AS (SELECT {K}, w, row_number() OVER ({part} ORDER BY {rank_key(seed, 'padd', 'i', *keys)}) AS r FROM t2 WHERE cand),
+v AS (SELECT DISTINCT {K}, w FROM rk JOIN cnt USING ({usingk}) WHERE r <= {kmax('c', rate)}),
+mk AS (SELECT t2.*, v.w IS NOT NULL AS marked, {marks} AS M FROM t2 LEFT JOIN v USING ({usingk}, w)),
+agg AS (SELECT {K}, string_agg(CASE WHEN marked THEN w || M[{u32(seed, 'mark', *keys, 'i')} % len(M) + 1] ELSE w END,
+                                ' ' ORDER BY i) AS o FROM mk GROUP BY {K})
+SELECT {', '.join('b.' + x for x in keys)}, CASE WHEN coalesce(cnt.c, 0) = 0 OR a.o IS NULL THEN b.text ELSE a.o END AS perturbed
+FROM base b LEFT JOIN agg a USING ({usingk}) LEFT JOIN cnt USING ({usingk})"""
+    if attack == "span_noise":
+        lo = per_script("code", lambda s, c: str(SCRIPT_RANGES.get(s, (0, 0))[0]))
+        hi = per_script("code", lambda s, c: str(SCRIPT_RANGES.get(s, (0, 0))[1]))
+        pool = per_script("code", lambda s, c: "[" + ", ".join(str(x) for x in span_pool(s, c)) + "]::INTEGER[]")
+        return f"""WITH {_chars_base(src_sql, keys)},
+e AS (SELECT *, unicode(c) AS cp, {lo} AS lo, {hi} AS hi FROM ch),
+e2 AS (SELECT *, (cp >= lo AND cp < hi AND NOT {in_class_by('cp', pclass_sql('code'))}) AS elig FROM e),
+cnt AS (SELECT {K}, {kmax('count(*) FILTER (WHERE elig)', rate, False)} AS b FROM e2 GROUP BY {K}),
+rk AS (SELECT {K}, i, {u32(seed, 'span_len', *keys, 'i')} % 3 + 1 AS l,
+              row_number() OVER ({part} ORDER BY {rank_key(seed, 'span', 'i', *keys)}) AS o FROM e2 WHERE elig),
+cum AS (SELECT *, coalesce(sum(l) OVER ({part} ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM rk),
+kept AS (SELECT {K}, i, least(l, b - before) AS kl FROM cum JOIN cnt USING ({usingk}) WHERE before < b),
+lk AS (SELECT e2.*, coalesce(kept.kl, 0) AS kl FROM e2 LEFT JOIN kept USING ({usingk}, i)),
+lg AS (SELECT *, coalesce(lag(kl, 1) OVER ({part} ORDER BY i), 0) AS kl1, coalesce(lag(kl, 2) OVER ({part} ORDER BY i), 0) AS kl2 FROM lk),
+agg AS (SELECT {K}, string_agg(CASE WHEN kl > 0 THEN
+                  CASE WHEN {u32(seed, 'span_op', *keys, 'i')} % 2 = 1
+                       THEN chr(({pool})[{u32(seed, 'span_rep', *keys, 'i')} % len({pool}) + 1]) ELSE '' END
+                WHEN kl1 >= 2 OR kl2 >= 3 THEN '' ELSE c END, '' ORDER BY i) AS o FROM lg GROUP BY {K})
+{_finish(keys, 'agg')}"""
+    raise NotImplementedError(attack)

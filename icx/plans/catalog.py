@@ -107,3 +107,25 @@ for _kind in P.INSTRUCTION_KINDS:
     register(f"instruction_{_name}_chat", sql.few_shot_chat(TEST_SQL, DEV_SQL, K, SEED, SRC, TGT, kind=_kind))(
         _mkc(_kind)
     )
+
+
+# ---- perturbation operators over whole documents ----------------------------------------
+
+from icx.operators import perturb as PT  # noqa: E402
+
+PTB_RATE = 0.25
+
+
+def _ptb(attack):
+    def run(spark, sf_dir):
+        ln = tables.lines(spark, sf_dir)
+        return ln.select(
+            "row_id", PT.perturb(attack, F.col("text"), [F.col("row_id")], F.col("code"), PTB_RATE, SEED).alias("perturbed")
+        )
+
+    return run
+
+
+for _attack in PT.ATTACKS:
+    _short = _attack.replace("_attack", "")
+    register(f"ptb_{_short}", sql.ptb_sql(_attack, sql.LINES, ["row_id"], PTB_RATE, SEED))(_ptb(_attack))
