@@ -55,7 +55,7 @@ WHERE a.role = '{first_role}' AND b.role = '{second_role}'"""
 
 PAIRS = turn_pairs("user", "assistant")
 AUX_PAIRS = turn_pairs("assistant", "user")
-TRIPLES = f"""SELECT sp.row_id AS sp_id, pt.row_id AS pt_id, sp.src AS src, sp.tgt AS pivot, pt.tgt AS tgt
+TRIPLES = f"""SELECT sp.row_id AS sp_id, pt.row_id AS pt_id, sp.src AS src, sp.tgt AS "pivot", pt.tgt AS tgt
 FROM ({PAIRS}) sp JOIN ({AUX_PAIRS}) pt ON sp.tgt = pt.src"""
 LANG_CODE = "CASE lang WHEN 'en' THEN 'eng_Latn' WHEN 'de' THEN 'deu_Latn' WHEN 'fr' THEN 'fra_Latn' WHEN 'es' THEN 'spa_Latn' END"
 LINES = f"SELECT doc_id AS row_id, text, lang, {LANG_CODE} AS code FROM documents"
@@ -274,3 +274,59 @@ agg AS (SELECT {K}, string_agg(CASE WHEN kl > 0 THEN
                 WHEN kl1 >= 2 OR kl2 >= 3 THEN '' ELSE c END, '' ORDER BY i) AS o FROM lg GROUP BY {K})
 {_finish(keys, 'agg')}"""
     raise NotImplementedError(attack)
+
+
+# ---- pivot study ---------------------------------------------------------------------
+
+PV = '"pivot"'  # quoted: PIVOT is a keyword in DuckDB
+
+
+def misaligned_cte(key: str, seed: int) -> str:
+    tag = "misaligned_" + key.strip('"')
+    return f"""tr AS ({TRIPLES}),
+ix AS (SELECT *, row_number() OVER (ORDER BY {key}, sp_id, pt_id) - 1 AS idx FROM tr),
+n AS (SELECT count(*) AS d FROM ix),
+bl AS (SELECT {key} AS bkey, min(idx) AS start, count(*) AS cnt FROM ix GROUP BY {key}),
+dr AS (SELECT ix.*, bl.start, bl.cnt,
+              CASE WHEN n.d - bl.cnt > 0 THEN {u32(seed, tag, 'ix.sp_id', 'ix.pt_id')} % (n.d - bl.cnt) END AS r
+       FROM ix JOIN bl ON bl.bkey = ix.{key} CROSS JOIN n),
+dj AS (SELECT dr.*, CASE WHEN r < start THEN r ELSE r + cnt END AS j FROM dr),
+mis AS (SELECT dj.sp_id, dj.pt_id, dj.src, dj.{PV}, dj.tgt, o.src AS j_src, o.{PV} AS j_pivot, o.tgt AS j_tgt
+        FROM dj LEFT JOIN ix o ON o.idx = dj.j)"""
+
+
+def pivot_texts_sql(variant: str, seed: int) -> str:
+    if variant == "I":
+        return f"WITH v AS (SELECT sp_id, pt_id, src, {PV}, tgt FROM ({TRIPLES}))"
+    if variant == "II":
+        return "WITH " + misaligned_cte(PV, seed) + f",\nv AS (SELECT sp_id, pt_id, src, j_pivot AS {PV}, tgt FROM mis)"
+    piv = "j_pivot" if variant == "III" else PV
+    return "WITH " + misaligned_cte("src", seed) + f",\nv AS (SELECT sp_id, pt_id, src, {piv} AS {PV}, j_tgt AS tgt FROM mis)"
+
+
+def pivot_text_sql(variant: str, seed: int, src_lang: str, pivot_lang: str, tgt_lang: str) -> str:
+    s, p, t = (language_name(x) for x in (src_lang, pivot_lang, tgt_lang))
+    nl = chr(10)
+    body = (
+        f"{lit(f'Translate this from {s} into {p}:{nl}{nl}{s}: ')} || src || {lit(f'{nl}{p}: ')} || {PV} || "
+        f"{lit(f'{nl}{nl}Translate this from {p} into {t}:{nl}{nl}{p}: ')} || {PV} || {lit(f'{nl}{t}: ')} || tgt || "
+        f"{lit(f'{nl}{nl}Translate this from {s} into {t}:{nl}{nl}{s}: ')} || src || {lit(f'{nl}{t}: ')}"
+    )
+    return pivot_texts_sql(variant, seed) + f"\nSELECT sp_id, pt_id, {body} AS prompt FROM v"
+
+
+def pivot_chat_sql(variant: str, seed: int, src_lang: str, pivot_lang: str, tgt_lang: str) -> str:
+    from icx.operators.prompts import PIVOT_FINAL_SUFFIX
+
+    s, p, t = (language_name(x) for x in (src_lang, pivot_lang, tgt_lang))
+    nl = chr(10)
+    msgs = [
+        ("user", f"{lit(f'Translate this from {s} into {p}:{nl}{nl}{s}: ')} || src || {lit(f'{nl}{p}: ')}"),
+        ("assistant", f"{PV} || {lit(nl + nl)}"),
+        ("user", f"{lit(f'Translate this from {p} into {t}:{nl}{nl}{p}: ')} || {PV} || {lit(f'{nl}{t}: ')}"),
+        ("assistant", f"tgt || {lit(nl + nl)}"),
+        ("user", f"{lit(f'Translate this from {s} into {t}{PIVOT_FINAL_SUFFIX}{s}: ')} || src || {lit(f'{nl}{t}: ')}"),
+    ]
+    parts = [f"SELECT sp_id, pt_id, {i} AS msg_idx, '{r}' AS role, {c} AS content FROM v" for i, (r, c) in enumerate(msgs)]
+    return (pivot_texts_sql(variant, seed) + "\nSELECT sp_id, pt_id, msg_idx::INTEGER AS msg_idx, role, content FROM ("
+            + "\nUNION ALL\n".join(parts) + ")")

@@ -129,3 +129,30 @@ def _ptb(attack):
 for _attack in PT.ATTACKS:
     _short = _attack.replace("_attack", "")
     register(f"ptb_{_short}", sql.ptb_sql(_attack, sql.LINES, ["row_id"], PTB_RATE, SEED))(_ptb(_attack))
+
+
+# ---- pivot study -----------------------------------------------------------------------
+
+from icx.operators import pivot as PV  # noqa: E402
+
+PIVOT = "fra_Latn"  # nominal languages: English -> German (pivot) -> French
+
+
+@register("pivot_join", sql.TRIPLES)
+def q_pivot_join(spark, sf_dir):
+    return tables.triples(spark, sf_dir)
+
+
+def _pivot(variant, chat=False):
+    def run(spark, sf_dir):
+        out = PV.prompts(tables.triples(spark, sf_dir), SRC, TGT, PIVOT, variant, SEED, chat=chat)
+        if chat:
+            return P.messages_long(out, PV.ROW_KEYS)
+        return out.select(*PV.ROW_KEYS, "prompt")
+
+    return run
+
+
+for _v in PV.VARIANTS:
+    register(f"pivot_variant_{_v}", sql.pivot_text_sql(_v, SEED, SRC, TGT, PIVOT))(_pivot(_v))
+register("pivot_chat", sql.pivot_chat_sql("II", SEED, SRC, TGT, PIVOT))(_pivot("II", chat=True))
