@@ -330,3 +330,102 @@ def pivot_chat_sql(variant: str, seed: int, src_lang: str, pivot_lang: str, tgt_
     parts = [f"SELECT sp_id, pt_id, {i} AS msg_idx, '{r}' AS role, {c} AS content FROM v" for i, (r, c) in enumerate(msgs)]
     return (pivot_texts_sql(variant, seed) + "\nSELECT sp_id, pt_id, msg_idx::INTEGER AS msg_idx, role, content FROM ("
             + "\nUNION ALL\n".join(parts) + ")")
+
+
+# ---- generation data path and metrics --------------------------------------------------
+
+def clean_sql(raw: str, prompt: str) -> str:
+    return f"split_part({strip(f'substring({raw}, length({prompt}) + 1)')}, chr(10), 1)"
+
+
+_13A = r"[\x{7B}-\x{7E}\x{5B}-\x{60}\x{20}-\x{26}\x{28}-\x{2B}\x{3A}-\x{40}\x{2F}]"
+
+
+def tok13a(t: str) -> str:
+    x = f"replace(replace(replace({t}, '<skipped>', ''), '-' || chr(10), ''), chr(10), ' ')"
+    for a, b in (("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">")):
+        x = f"replace({x}, {lit(a)}, {lit(b)})"
+    x = f"(' ' || {x} || ' ')"
+    x = f"regexp_replace({x}, {lit('(' + _13A + ')')}, ' \\1 ', 'g')"
+    x = f"regexp_replace({x}, '([^0-9])([\\.,])', '\\1 \\2 ', 'g')"
+    x = f"regexp_replace({x}, '([\\.,])([^0-9])', ' \\1 \\2', 'g')"
+    x = f"regexp_replace({x}, '([0-9])(-)', '\\1 \\2 ', 'g')"
+    return words(x)
+
+
+_PUNCT_ALL = ", ".join(str(ord(c)) for c in __import__("string").punctuation)
+
+
+def chrf_words_sql(t: str) -> str:
+    w = "w"
+    split = (f"CASE WHEN length({w}) = 1 THEN [{w}] "
+             f"WHEN unicode(right({w}, 1)) IN ({_PUNCT_ALL}) THEN [left({w}, length({w}) - 1), right({w}, 1)] "
+             f"WHEN unicode(left({w}, 1)) IN ({_PUNCT_ALL}) THEN [left({w}, 1), substr({w}, 2)] ELSE [{w}] END")
+    return f"flatten(list_transform({words(t)}, lambda w: {split}))"
+
+
+def metrics_sql(seg_sql: str, keys: list[str], tokenizer: str = "13a", long: bool = False) -> str:
+    """SQL twin of metrics.score / ngram_stats over rows (keys..., hypothesis, reference)."""
+    K = ", ".join(keys)
+    bt = {"whitespace": words, "13a": tok13a}[tokenizer]
+    nows = lambda t: f"regexp_replace({t}, {lit(WS_RUN)}, '', 'g')"
+    chars = lambda t: f"CASE WHEN {nows(t)} = '' THEN []::VARCHAR[] ELSE string_split({nows(t)}, '') END"
+    gram_sel = []
+    for metric, orders, hcol, rcol, sep in (("bleu", 4, "hw", "rw", " "), ("chr", 6, "hc", "rc", ""),
+                                            ("word", 2, "hp", "rp", " ")):
+        for n in range(1, orders + 1):
+            for side, col in (("h", hcol), ("r", rcol)):
+                g = f"list_transform(range(1, len({col}) - {n} + 2), lambda i: array_to_string({col}[i:i + {n - 1}], '{sep}'))"
+                gram_sel.append(f"SELECT {K}, seg_id, '{metric}' AS metric, {n} AS ord, '{side}' AS side, unnest({g}) AS g FROM tk")
+    grams = "\nUNION ALL\n".join(gram_sel)
+    body = f"""WITH seg AS (SELECT {K}, row_number() OVER () AS seg_id, coalesce(hypothesis, '') AS hyp, coalesce(reference, '') AS ref FROM ({seg_sql})),
+tk AS (SELECT {K}, seg_id, {bt('hyp')} AS hw, {bt('ref')} AS rw, {chars('hyp')} AS hc, {chars('ref')} AS rc,
+              {chrf_words_sql('hyp')} AS hp, {chrf_words_sql('ref')} AS rp FROM seg),
+lens AS (SELECT {K}, sum(len(hw)) AS sys_len, sum(len(rw)) AS ref_len FROM tk GROUP BY {K}),
+gr AS ({grams}),
+cnt AS (SELECT {K}, seg_id, metric, ord, g, count(*) FILTER (WHERE side = 'h') AS hc, count(*) FILTER (WHERE side = 'r') AS rc
+        FROM gr GROUP BY {K}, seg_id, metric, ord, g),
+per AS (SELECT {K}, seg_id, metric, ord, sum(hc) AS h, sum(rc) AS r, sum(least(hc, rc)) AS m FROM cnt GROUP BY {K}, seg_id, metric, ord),
+st AS (SELECT {K}, metric, ord,
+              sum(CASE WHEN metric = 'bleu' OR r > 0 THEN h ELSE 0 END)::BIGINT AS n_hyp,
+              sum(r)::BIGINT AS n_ref, sum(m)::BIGINT AS n_match FROM per GROUP BY {K}, metric, ord),
+runs AS (SELECT DISTINCT {K} FROM seg),
+grid AS (SELECT runs.*, mo.metric, mo.ord FROM runs CROSS JOIN (VALUES {', '.join(f"('bleu', {n})" for n in range(1, 5))},
+         {', '.join(f"('chr', {n})" for n in range(1, 7))}, ('word', 1), ('word', 2)) mo(metric, ord)),
+full_st AS (SELECT grid.*, coalesce(st.n_hyp, 0) AS n_hyp, coalesce(st.n_ref, 0) AS n_ref, coalesce(st.n_match, 0) AS n_match
+            FROM grid LEFT JOIN st USING ({K}, metric, ord))"""
+    if long:
+        return body + f"""
+SELECT {K}, metric, ord::INTEGER AS ord, n_hyp, n_ref, n_match FROM full_st"""
+    piv = []
+    for n in range(1, 5):
+        piv.append(f"max(CASE WHEN metric = 'bleu' AND ord = {n} THEN n_match END)::DOUBLE AS c{n}")
+        piv.append(f"max(CASE WHEN metric = 'bleu' AND ord = {n} THEN n_hyp END)::DOUBLE AS t{n}")
+    for name, orders in (("chr", 6), ("word", 2)):
+        for n in range(1, orders + 1):
+            for x in ("hyp", "ref", "match"):
+                piv.append(f"max(CASE WHEN metric = '{name}' AND ord = {n} THEN n_{x} END)::DOUBLE AS {name}_{x}_{n}")
+    z = []
+    acc = "0"
+    logs = []
+    for n in range(1, 5):
+        acc = f"({acc} + CASE WHEN c{n} = 0 THEN 1 ELSE 0 END)"
+        logs.append(f"ln(CASE WHEN c{n} > 0 THEN 100.0 * c{n} / t{n} ELSE 100.0 / (pow(2.0, {acc}) * t{n}) END)")
+    bleu = (f"CASE WHEN c1 + c2 + c3 + c4 = 0 OR t4 = 0 THEN 0.0 ELSE "
+            f"(CASE WHEN sl < rl THEN (CASE WHEN sl > 0 THEN exp(1 - rl / sl) ELSE 0.0 END) ELSE 1.0 END) * "
+            f"exp(({' + '.join(logs)}) / 4) END")
+
+    def chrf(word_order: int) -> str:
+        orders = [("chr", n) for n in range(1, 7)] + [("word", n) for n in range(1, word_order + 1)]
+        ok = lambda nm, n: f"({nm}_hyp_{n} > 0 AND {nm}_ref_{n} > 0)"
+        p = " + ".join(f"CASE WHEN {ok(nm, n)} THEN {nm}_match_{n} / {nm}_hyp_{n} ELSE 0 END" for nm, n in orders)
+        r = " + ".join(f"CASE WHEN {ok(nm, n)} THEN {nm}_match_{n} / {nm}_ref_{n} ELSE 0 END" for nm, n in orders)
+        e = " + ".join(f"CASE WHEN {ok(nm, n)} THEN 1 ELSE 0 END" for nm, n in orders)
+        P, R = f"(({p}) / ({e}))", f"(({r}) / ({e}))"
+        return (f"CASE WHEN ({e}) = 0 THEN 0.0 WHEN {P} + {R} > 0 THEN 100.0 * 5.0 * {P} * {R} / (4.0 * {P} + {R}) "
+                f"ELSE 0.0 END")
+
+    return body + f""",
+wide AS (SELECT {K}, {', '.join(piv)} FROM full_st GROUP BY {K}),
+w2 AS (SELECT wide.*, lens.sys_len::DOUBLE AS sl, lens.ref_len::DOUBLE AS rl FROM wide JOIN lens USING ({K}))
+SELECT {K}, round({bleu}, 6) AS bleu, round({chrf(0)}, 6) AS chrf, round({chrf(2)}, 6) AS chrf_pp FROM w2"""

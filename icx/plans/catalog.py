@@ -156,3 +156,113 @@ def _pivot(variant, chat=False):
 for _v in PV.VARIANTS:
     register(f"pivot_variant_{_v}", sql.pivot_text_sql(_v, SEED, SRC, TGT, PIVOT))(_pivot(_v))
 register("pivot_chat", sql.pivot_chat_sql("II", SEED, SRC, TGT, PIVOT))(_pivot("II", chat=True))
+
+
+# ---- generation data path, predictions and metrics ------------------------------------------
+
+from icx.operators import generate as G  # noqa: E402
+from icx.operators import metrics as M  # noqa: E402
+
+RUNS = ("clean",) + PT.ATTACKS
+BATCH = 24  # 4-shot batch size
+
+
+def _prompts(spark, sf_dir):
+    test, dev = _test_dev(spark, sf_dir)
+    out = P.few_shot(D.select_demos(test, dev, K, SEED), SRC, TGT)
+    return out.select("row_id", "prompt", F.col("tgt").alias("reference"))
+
+
+def _outputs(prompts):
+    """Stand-in model outputs for every run: raw = prompt ' ' hyp '\\n' 'extra'."""
+    parts = []
+    for run in RUNS:
+        ref = F.col("reference")
+        hyp = ref if run == "clean" else PT.perturb(run, ref, [F.col("row_id")], TGT, PTB_RATE, SEED)
+        parts.append(prompts.select(F.lit(run).alias("run_id"), "row_id", G.echo_stand_in(F.col("prompt"), hyp).alias("raw")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _predictions(spark, sf_dir):
+    prompts = _prompts(spark, sf_dir)
+    return G.predictions(prompts.crossJoin(F.broadcast(_run_table(spark))), _outputs(prompts), ["run_id", "row_id"])
+
+
+def _run_table(spark):
+    return spark.createDataFrame([(r,) for r in RUNS], "run_id string")
+
+
+PROMPTS_SQL = sql.few_shot_text(TEST_SQL, DEV_SQL, K, SEED, SRC, TGT)
+_REF_SQL = f"SELECT row_id, reference AS text, '{TGT}' AS code FROM ({PROMPTS_SQL})"
+
+
+def _outputs_sql():
+    parts = []
+    for run in RUNS:
+        hyp = "SELECT row_id, text AS perturbed FROM ({})".format(_REF_SQL) if run == "clean" else sql.ptb_sql(
+            run, _REF_SQL, ["row_id"], PTB_RATE, SEED)
+        parts.append(
+            f"SELECT '{run}' AS run_id, p.row_id, p.prompt || ' ' || h.perturbed || chr(10) || 'extra' AS raw "
+            f"FROM ({PROMPTS_SQL}) p JOIN ({hyp}) h ON h.row_id = p.row_id"
+        )
+    return "\nUNION ALL\n".join(parts)
+
+
+PREDICTIONS_SQL = f"""SELECT o.run_id, o.row_id, p.prompt, {sql.clean_sql('o.raw', 'p.prompt')} AS hypothesis, p.reference
+FROM ({_outputs_sql()}) o JOIN ({PROMPTS_SQL}) p ON p.row_id = o.row_id"""
+
+
+@register("clean_completions", f"SELECT run_id, row_id, hypothesis FROM ({PREDICTIONS_SQL})")
+def q_clean(spark, sf_dir):
+    return _predictions(spark, sf_dir).select("run_id", "row_id", "hypothesis")
+
+
+@register("predictions", PREDICTIONS_SQL)
+def q_predictions(spark, sf_dir):
+    return _predictions(spark, sf_dir)
+
+
+_POS_SQL = f"SELECT row_id, row_number() OVER (ORDER BY row_id) - 1 AS pos FROM ({TEST_SQL})"
+
+
+@register("generation_batches", f"SELECT row_id, pos, pos // {BATCH} AS batch_id FROM ({_POS_SQL})")
+def q_batches(spark, sf_dir):
+    test, _ = _test_dev(spark, sf_dir)
+    idx, _n = dense_index(test.select("row_id"), ["row_id"], name="pos")
+    return G.batch_ids(idx, "pos", BATCH).select("row_id", "pos", "batch_id")
+
+
+@register(
+    "progress_sample",
+    f"""SELECT q.row_id, q.pos, p.hypothesis FROM ({_POS_SQL}) q JOIN ({PREDICTIONS_SQL}) p ON p.row_id = q.row_id
+WHERE p.run_id = 'clean' AND q.pos % {BATCH} = 0 AND q.pos % 10 = 0""",
+)
+def q_progress(spark, sf_dir):
+    test, _ = _test_dev(spark, sf_dir)
+    idx, _n = dense_index(test.select("row_id"), ["row_id"], name="pos")
+    first = idx.filter((F.col("pos") % BATCH == 0) & (F.col("pos") % 10 == 0))
+    preds = _predictions(spark, sf_dir).filter(F.col("run_id") == "clean")
+    return first.join(preds, "row_id").select("row_id", "pos", "hypothesis")
+
+
+@register("preview", f"SELECT row_id, prompt FROM ({PROMPTS_SQL}) ORDER BY row_id LIMIT 5")
+def q_preview(spark, sf_dir):
+    return _prompts(spark, sf_dir).orderBy("row_id").limit(5).select("row_id", "prompt")
+
+
+@register("metrics_by_run", sql.metrics_sql(PREDICTIONS_SQL, ["run_id"], "13a"))
+def q_metrics(spark, sf_dir):
+    return M.score(_predictions(spark, sf_dir), ["run_id"], tokenizer="13a")
+
+
+@register("metrics_whitespace", sql.metrics_sql(PREDICTIONS_SQL, ["run_id"], "whitespace"))
+def q_metrics_ws(spark, sf_dir):
+    return M.score(_predictions(spark, sf_dir), ["run_id"], tokenizer="whitespace")
+
+
+@register("ngram_stats", sql.metrics_sql(PREDICTIONS_SQL, ["run_id"], "13a", long=True))
+def q_ngram_stats(spark, sf_dir):
+    return M.ngram_stats(_predictions(spark, sf_dir), ["run_id"], tokenizer="13a")
