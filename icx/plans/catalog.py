@@ -266,3 +266,166 @@ def q_metrics_ws(spark, sf_dir):
 @register("ngram_stats", sql.metrics_sql(PREDICTIONS_SQL, ["run_id"], "13a", long=True))
 def q_ngram_stats(spark, sf_dir):
     return M.ngram_stats(_predictions(spark, sf_dir), ["run_id"], tokenizer="13a")
+
+
+# ---- demonstration perturbation experiments --------------------------------------------------
+
+HOMO_ATTACK, HETERO_ATTACK = "word_order", "span_noise"
+
+
+def _side(direction: str):
+    """PRJ-3: the perturbed column and its language go together."""
+    if direction not in ("source", "target"):
+        raise ValueError(direction)
+    return ("src", SRC) if direction == "source" else ("tgt", TGT)
+
+
+def _homogeneous(spark, sf_dir, direction="target", attack=HOMO_ATTACK, rate=PTB_RATE):
+    """PTB-9: every dev row perturbed once (keyed by dev row), then demos drawn."""
+    test, dev = _test_dev(spark, sf_dir)
+    col, lang = _side(direction)
+    noisy_dev = dev.withColumn(col, PT.perturb(attack, F.col(col), [F.col("row_id")], lang, rate, SEED))
+    out = P.few_shot(D.select_demos(test, noisy_dev, K, SEED), SRC, TGT)
+    return out.select("row_id", "prompt", F.col("tgt").alias("reference"))
+
+
+def _homogeneous_sql(direction="target", attack=HOMO_ATTACK, rate=PTB_RATE):
+    col = "src" if direction == "source" else "tgt"
+    lang = SRC if direction == "source" else TGT
+    other = "tgt" if col == "src" else "src"
+    noisy = sql.ptb_sql(attack, f"SELECT row_id, {col} AS text, '{lang}' AS code FROM ({DEV_SQL})", ["row_id"], rate, SEED)
+    dev = (f"SELECT d.row_id, {'n.perturbed' if col == 'src' else 'd.src'} AS src, "
+           f"{'n.perturbed' if col == 'tgt' else 'd.tgt'} AS tgt FROM ({DEV_SQL}) d JOIN ({noisy}) n ON n.row_id = d.row_id")
+    del other
+    return sql.few_shot_text(TEST_SQL, dev, K, SEED, SRC, TGT)
+
+
+for _dir in ("source", "target"):
+    register(f"perturb_homogeneous_{_dir}", _homogeneous_sql(_dir))(
+        (lambda d: lambda spark, sf_dir: _homogeneous(spark, sf_dir, d))(_dir)
+    )
+
+HETERO_TYPES = ("I", "II", "III", "IV")
+
+
+def hetero_mask(kind: str, pos, k: int):
+    """PTB-10: which demo positions are noisy. I last; II all but first; III first; IV all but last."""
+    if kind == "I":
+        return pos == k - 1
+    if kind == "II":
+        return pos >= 1
+    if kind == "III":
+        return pos == 0
+    if kind == "IV":
+        return pos < k - 1
+    if kind == "all":
+        return F.lit(True) if hasattr(pos, "alias") else "TRUE"
+    raise ValueError(f"unknown heterogeneous type {kind!r}")
+
+
+def _hetero_sql_mask(kind: str) -> str:
+    return {"I": f"d.demo_pos = {K - 1}", "II": "d.demo_pos >= 1", "III": "d.demo_pos = 0",
+            "IV": f"d.demo_pos < {K - 1}", "all": "TRUE"}[kind]
+
+
+def _hetero(spark, sf_dir, kind, direction="target", attack=HETERO_ATTACK, rate=PTB_RATE, chat=False):
+    """PTB-11/12: perturb selected demos per (test row, position) — noise redrawn per prompt."""
+    test, dev = _test_dev(spark, sf_dir)
+    col, lang = _side(direction)
+    with_demos = D.select_demos(test, dev, K, SEED)
+    noisy = F.transform(
+        F.col("demos"),
+        lambda d: d.withField(
+            col,
+            F.when(hetero_mask(kind, d["pos"], K),
+                   PT.perturb(attack, d[col], [F.col("row_id"), d["pos"]], lang, rate, SEED)).otherwise(d[col]),
+        ),
+    )
+    out = P.few_shot(with_demos.withColumn("demos", noisy), SRC, TGT, chat=chat)
+    if chat:
+        return P.messages_long(out, ["row_id"])
+    return out.select("row_id", "prompt", F.col("tgt").alias("reference"))
+
+
+def _hetero_sql(kind, direction="target", attack=HETERO_ATTACK, rate=PTB_RATE, chat=False):
+    col = "src" if direction == "source" else "tgt"
+    lang = SRC if direction == "source" else TGT
+    demos = sql.demos_cte(TEST_SQL, DEV_SQL, K, SEED) + "\nSELECT row_id, demo_pos, d_src, d_tgt FROM demos"
+    src_rows = f"SELECT row_id, demo_pos, d_{col} AS text, '{lang}' AS code FROM ({demos})"
+    noisy = sql.ptb_sql(attack, src_rows, ["row_id", "demo_pos"], rate, SEED)
+    mask = _hetero_sql_mask(kind)
+    pick = f"CASE WHEN {mask} THEN n.perturbed ELSE d.d_{col} END"
+    nd = (f"SELECT d.row_id, d.demo_pos, {pick if col == 'src' else 'd.d_src'} AS d_src, "
+          f"{pick if col == 'tgt' else 'd.d_tgt'} AS d_tgt FROM ({demos}) d "
+          f"JOIN ({noisy}) n ON n.row_id = d.row_id AND n.demo_pos = d.demo_pos")
+    s, t = "English", "German"
+    nl = chr(10)
+    if chat:
+        return f"""WITH test AS ({TEST_SQL}), demos AS ({nd}),
+msgs AS (
+  SELECT row_id, 0 AS msg_idx, 'system' AS role, {sql.lit(f'Translate this from {s} into {t}.{nl}{nl}')} AS content FROM test
+  UNION ALL SELECT row_id, 1 + 2 * demo_pos, 'user', {sql.lit(s + ': ')} || d_src || {sql.lit(nl + t + ': ')} FROM demos
+  UNION ALL SELECT row_id, 2 + 2 * demo_pos, 'assistant', d_tgt || {sql.lit(nl + nl)} FROM demos
+  UNION ALL SELECT row_id, {1 + 2 * K}, 'user', {sql.lit(s + ': ')} || src || {sql.lit(nl + t + ': ')} FROM test)
+SELECT row_id, msg_idx::INTEGER AS msg_idx, role, content FROM msgs"""
+    block = (f"string_agg({sql.lit(s + ': ')} || d_src || {sql.lit(nl + t + ': ')} || d_tgt || {sql.lit(nl + nl)}, '' "
+             f"ORDER BY demo_pos)")
+    return f"""WITH test AS ({TEST_SQL}), demos AS ({nd}),
+blocks AS (SELECT row_id, {block} AS block FROM demos GROUP BY row_id)
+SELECT t.row_id, {sql.lit(f'Translate this from {s} into {t}:{nl}{nl}')} || coalesce(b.block, '') || {sql.lit(s + ': ')} || t.src
+       || {sql.lit(nl + t + ': ')} AS prompt, t.tgt AS reference
+FROM test t LEFT JOIN blocks b ON b.row_id = t.row_id"""
+
+
+for _kind in HETERO_TYPES:
+    register(f"perturb_hetero_{_kind}", _hetero_sql(_kind))(
+        (lambda kd: lambda spark, sf_dir: _hetero(spark, sf_dir, kd))(_kind)
+    )
+register("perturb_selected_all", _hetero_sql("all", direction="source", attack="word_duplication"))(
+    lambda spark, sf_dir: _hetero(spark, sf_dir, "all", direction="source", attack="word_duplication")
+)
+register("perturb_hetero_chat", _hetero_sql("II", chat=True))(
+    lambda spark, sf_dir: _hetero(spark, sf_dir, "II", chat=True)
+)
+
+
+# ---- allied task and directionality ------------------------------------------------------------
+
+def _allied(spark, sf_dir, chat=False):
+    """JOIN-3: test (src, tgt) with an allied pool (aux, tgt) sharing only the target language."""
+    test, _ = _test_dev(spark, sf_dir)
+    aux_dev = _split(tables.aux_pairs(spark, sf_dir), "dev")
+    out = P.allied(D.select_demos(test, aux_dev, K, SEED), SRC, AUX, TGT, chat=chat)
+    if chat:
+        return P.messages_long(out, ["row_id"])
+    return out.select("row_id", "prompt", F.col("tgt").alias("reference"))
+
+
+register("allied_prompt", sql.few_shot_text(TEST_SQL, AUX_DEV_SQL, K, SEED, SRC, TGT, demo_label="French",
+                                            instr=sql.lit("Translate this into German:\n\n")))(
+    lambda spark, sf_dir: _allied(spark, sf_dir)
+)
+register("allied_chat", sql.few_shot_chat(TEST_SQL, AUX_DEV_SQL, K, SEED, SRC, TGT, demo_label="French",
+                                          system=sql.lit("Translate this into German:\n\n")))(
+    lambda spark, sf_dir: _allied(spark, sf_dir, chat=True)
+)
+
+
+def _directionality(spark, sf_dir):
+    """JOIN-4: one plan, two arms — source-original and target-original demonstration pools."""
+    test, dev = _test_dev(spark, sf_dir)
+    arms = {"target": dev, "source": _split(tables.aux_pairs(spark, sf_dir), "dev")}
+    out = None
+    for origin, pool in arms.items():
+        p = P.few_shot(D.select_demos(test, pool, K, SEED), SRC, TGT).select(
+            F.lit(origin).alias("origin"), "row_id", "prompt"
+        )
+        out = p if out is None else out.unionByName(p)
+    return out
+
+
+register(
+    "directionality_prompt",
+    f"SELECT 'target' AS origin, row_id, prompt FROM ({sql.few_shot_text(TEST_SQL, DEV_SQL, K, SEED, SRC, TGT)})\n"
+    f"UNION ALL SELECT 'source' AS origin, row_id, prompt FROM ({sql.few_shot_text(TEST_SQL, AUX_DEV_SQL, K, SEED, SRC, TGT)})",
+)(_directionality)
