@@ -429,3 +429,119 @@ register(
     f"SELECT 'target' AS origin, row_id, prompt FROM ({sql.few_shot_text(TEST_SQL, DEV_SQL, K, SEED, SRC, TGT)})\n"
     f"UNION ALL SELECT 'source' AS origin, row_id, prompt FROM ({sql.few_shot_text(TEST_SQL, AUX_DEV_SQL, K, SEED, SRC, TGT)})",
 )(_directionality)
+
+
+# ---- experiment grids ---------------------------------------------------------------------------
+
+from icx.plans import grid as GR  # noqa: E402
+from icx.functions.scripts import DEFAULT_LANGUAGES, script_of  # noqa: E402
+
+
+def _doc_codes(spark, sf_dir):
+    return tables.read(spark, sf_dir, "documents").select(tables.lang_code_col(F.col("lang")).alias("code"))
+
+
+def _pairs(spark, sf_dir):
+    return GR.language_pairs(_doc_codes(spark, sf_dir))
+
+
+_CODES_SQL = f"SELECT DISTINCT {sql.LANG_CODE} AS code FROM documents"
+_PAIRS_SQL = f"SELECT a.code AS src_lang, b.code AS tgt_lang FROM ({_CODES_SQL}) a JOIN ({_CODES_SQL}) b ON a.code <> b.code"
+
+
+def _sql_val(v, t):
+    if v is None:
+        return f"NULL::{t}"
+    if isinstance(v, str):
+        return sql.lit(v)
+    return f"{v!r}::{t}"
+
+
+def _grid_sql(experiments):
+    names = [f.split()[0] for f in GR.GRID_SCHEMA.split(", ")]
+    types = [{"string": "VARCHAR", "int": "INTEGER", "double": "DOUBLE"}[f.split()[1]] for f in GR.GRID_SCHEMA.split(", ")]
+    rows = [row for e in experiments for row in GR._rows(e)]
+    vals = ",\n".join("(" + ", ".join(_sql_val(v, t) for v, t in zip(r, types)) + ")" for r in rows)
+    return f"SELECT * FROM (VALUES {vals}) g({', '.join(names)})"
+
+
+def _runs_sql(pairs_sql, experiments, model=GR.DEFAULT_MODEL):
+    m = sql.lit(model.split("/")[-1])
+    pm = "CASE " + " ".join(f"WHEN attack = '{a}' THEN '{p}'" for a, p in PT.RATE_PARAM.items()) + " END"
+    shot = "(shots::VARCHAR || 'shot')"
+    base = f"concat_ws('-', {m}, src_lang, tgt_lang, {shot})"
+    ap = f"CASE WHEN attack IS NULL THEN 'clean' ELSE attack || '-' || {pm} || '_' || rate::VARCHAR END"
+    name = (f"CASE experiment WHEN 'instruction' THEN concat_ws('-', {base}, kind) WHEN 'directionality' THEN {base} "
+            f"WHEN 'homogeneous' THEN concat_ws('-', {base}, {ap}) "
+            f"WHEN 'heterogeneous' THEN concat_ws('-', {base}, {ap}, 'heterogeneous', htype) "
+            f"WHEN 'allied' THEN concat_ws('-', {m}, src_lang, aux_lang, tgt_lang, {shot}) "
+            f"ELSE concat_ws('-', {m}, src_lang, pivot_lang, tgt_lang, 'variant', variant) END")
+    bs = lambda t: "CASE shots " + " ".join(f"WHEN {k} THEN {b}" for k, b in t.items()) + " ELSE error('Unsupported n_shot value') END"
+    batch = (f"CASE WHEN experiment = 'pivot' THEN {GR.PIVOT_BATCH_SIZE} WHEN experiment = 'heterogeneous' "
+             f"THEN {bs(GR.HETERO_BATCH_SIZES)} ELSE {bs(GR.BATCH_SIZES)} END")
+    chat = "TRUE" if model in GR.CHAT_MODELS else "FALSE"
+    return f"""SELECT experiment, src_lang, tgt_lang, aux_lang, pivot_lang, shots, kind, seed, attack, rate, direction, htype,
+       variant, {pm} AS param, {name} AS run_name, ({batch})::INTEGER AS batch_size, {chat} AS chat_format
+FROM (SELECT p.*, g.* FROM ({pairs_sql}) p CROSS JOIN ({_grid_sql(experiments)}) g)"""
+
+
+def _with_null(pairs_sql, *cols):
+    return f"SELECT *, {', '.join(f'NULL::VARCHAR AS {c}' for c in cols)} FROM ({pairs_sql})"
+
+
+for _e in ("instruction", "directionality", "homogeneous", "heterogeneous"):
+    register(f"grid_{_e}", _runs_sql(_with_null(_PAIRS_SQL, "aux_lang", "pivot_lang"), (_e,)))(
+        (lambda e: lambda spark, sf_dir: GR.runs(_pairs(spark, sf_dir), (e,)))(_e)
+    )
+
+
+def _pick_sql(codes, h, src="src_lang", tgt="tgt_lang"):
+    arr = "[" + ", ".join(sql.lit(c) for c in codes) + "]"
+    L = len(codes)
+    ps, pt = f"(coalesce(list_position({arr}, {src}), 0) - 1)", f"(coalesce(list_position({arr}, {tgt}), 0) - 1)"
+    lo = f"(CASE WHEN {ps} >= 0 AND {pt} >= 0 THEN least({ps}, {pt}) WHEN {ps} >= 0 THEN {ps} WHEN {pt} >= 0 THEN {pt} END)"
+    hi = f"(CASE WHEN {ps} >= 0 AND {pt} >= 0 AND {ps} <> {pt} THEN greatest({ps}, {pt}) END)"
+    avail = f"({L} - (CASE WHEN {lo} IS NOT NULL THEN 1 ELSE 0 END) - (CASE WHEN {hi} IS NOT NULL THEN 1 ELSE 0 END))"
+    r = f"(CASE WHEN {avail} > 0 THEN {h} % {avail} END)"
+    i1 = f"(CASE WHEN {lo} IS NOT NULL AND {r} >= {lo} THEN {r} + 1 ELSE {r} END)"
+    i2 = f"(CASE WHEN {hi} IS NOT NULL AND {i1} >= {hi} THEN {i1} + 1 ELSE {i1} END)"
+    return f"(CASE WHEN {avail} > 0 THEN {arr}[{i2} + 1] END)"
+
+
+def _allied_sql(pairs_sql, seed=SEED):
+    codes = sorted(DEFAULT_LANGUAGES)
+    by_script = {}
+    for c in codes:
+        by_script.setdefault(script_of(c), []).append(c)
+    hs = sql.u32(seed, "allied_script", "src_lang", "tgt_lang")
+    same = "CASE split_part(src_lang, '_', 2) " + " ".join(
+        f"WHEN '{sc}' THEN {_pick_sql(lst, hs)}" for sc, lst in by_script.items()) + " END"
+    rnd = _pick_sql(codes, sql.u32(seed, "allied_random", "src_lang", "tgt_lang"))
+    return f"""SELECT src_lang, tgt_lang, 'same' AS choice, src_lang AS aux_lang FROM ({pairs_sql})
+UNION ALL SELECT src_lang, tgt_lang, 'english', 'eng_Latn' FROM ({pairs_sql})
+UNION ALL SELECT src_lang, tgt_lang, 'same_script', {same} FROM ({pairs_sql})
+UNION ALL SELECT src_lang, tgt_lang, 'random', {rnd} FROM ({pairs_sql})"""
+
+
+@register("allied_languages", _allied_sql(_PAIRS_SQL))
+def q_allied_languages(spark, sf_dir):
+    return GR.allied_choices(_pairs(spark, sf_dir), SEED)
+
+
+@register("grid_allied", _runs_sql(f"SELECT src_lang, tgt_lang, aux_lang, NULL::VARCHAR AS pivot_lang FROM ({_allied_sql(_PAIRS_SQL)})", ("allied",)))
+def q_grid_allied(spark, sf_dir):
+    aux = GR.allied_choices(_pairs(spark, sf_dir), SEED).select("src_lang", "tgt_lang", "aux_lang")
+    return GR.runs(aux, ("allied",))
+
+
+@register("grid_pivot", _runs_sql(
+    f"SELECT src_lang, tgt_lang, NULL::VARCHAR AS aux_lang, 'eng_Latn' AS pivot_lang FROM ({_PAIRS_SQL}) "
+    f"WHERE src_lang <> 'eng_Latn' AND tgt_lang <> 'eng_Latn'", ("pivot",)))
+def q_grid_pivot(spark, sf_dir):
+    p = _pairs(spark, sf_dir).filter((F.col("src_lang") != "eng_Latn") & (F.col("tgt_lang") != "eng_Latn"))
+    return GR.runs(p.withColumn("pivot_lang", F.lit("eng_Latn")), ("pivot",))
+
+
+@register("grid_all", _runs_sql(_with_null(_PAIRS_SQL, "aux_lang", "pivot_lang"), GR.EXPERIMENTS[:4]))
+def q_grid_all(spark, sf_dir):
+    return GR.runs(_pairs(spark, sf_dir), GR.EXPERIMENTS[:4])
