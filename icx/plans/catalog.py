@@ -545,3 +545,66 @@ def q_grid_pivot(spark, sf_dir):
 @register("grid_all", _runs_sql(_with_null(_PAIRS_SQL, "aux_lang", "pivot_lang"), GR.EXPERIMENTS[:4]))
 def q_grid_all(spark, sf_dir):
     return GR.runs(_pairs(spark, sf_dir), GR.EXPERIMENTS[:4])
+
+
+# ---- sources and sinks ----------------------------------------------------------------------------
+
+from icx.sources import fanout as FO  # noqa: E402
+from icx.sources import io as IO  # noqa: E402
+
+_SENT_SQL = f"SELECT row_number() OVER (PARTITION BY {sql.LANG_CODE} ORDER BY doc_id) - 1 AS row_id, {sql.LANG_CODE} AS code, text FROM documents"
+
+
+@register("sentences", _SENT_SQL)
+def q_sentences(spark, sf_dir):
+    return tables.sentences(spark, sf_dir)
+
+
+@register(
+    "pair_fan_out",
+    f"""SELECT p.src_lang, p.tgt_lang, s.row_id, s.text AS src, t.text AS tgt
+FROM ({_PAIRS_SQL}) p JOIN ({_SENT_SQL}) s ON s.code = p.src_lang JOIN ({_SENT_SQL}) t ON t.code = p.tgt_lang AND t.row_id = s.row_id""",
+)
+def q_fan_out(spark, sf_dir):
+    return FO.fan_out(tables.sentences(spark, sf_dir), _pairs(spark, sf_dir))
+
+
+def _cat_sql():
+    rows = [(ds, FO.DATASET_SHORT[ds], sp, src) for ds, m in FO.SPLITS.items() for sp, src in m.items()]
+    vals = ", ".join("(" + ", ".join(sql.lit(x) for x in r) + ")" for r in rows)
+    return f"""SELECT c.dataset, c.short, c.split, c.source_split, p.src_lang, p.tgt_lang,
+       'data/' || c.split || '/' || c.short || '_' || p.src_lang || '-' || p.tgt_lang || '.jsonl' AS path
+FROM ({_PAIRS_SQL}) p CROSS JOIN (VALUES {vals}) c(dataset, short, split, source_split)"""
+
+
+@register("pair_catalogue", _cat_sql())
+def q_catalogue(spark, sf_dir):
+    return FO.catalogue(_pairs(spark, sf_dir))
+
+
+@register("jsonl_roundtrip", f"SELECT row_number() OVER (ORDER BY row_id) - 1 AS row_id, src, tgt FROM ({DEV_SQL})")
+def q_jsonl_roundtrip(spark, sf_dir):
+    """SNK-2 then SRC-2/3: dev pairs written as sentence_* JSON Lines and read back in file order."""
+    _, dev = _test_dev(spark, sf_dir)
+    out = IO.scratch_dir(spark, "pairs") + "/dev.jsonl"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    (dev.repartitionByRange(n, "row_id").sortWithinPartitions("row_id")
+        .select(F.col("src").alias(f"sentence_{SRC}"), F.col("tgt").alias(f"sentence_{TGT}"))
+        .write.mode("overwrite").json(out))
+    return IO.read_pairs(spark, out, SRC, TGT)
+
+
+_LINES_SQL = f"""SELECT doc_id AS row_id, unnest(range(len(string_split(text, chr(10))))) AS line_no,
+       unnest(string_split(text, chr(10))) AS text, 'eng_Latn' AS code FROM documents"""
+
+
+@register("perturb_text_lines", f"""SELECT row_id, line_no::INTEGER AS line_no,
+       replace({sql.strip('perturbed')}, chr(10), '') AS text FROM ({sql.ptb_sql(
+    "word_order", f"SELECT row_id, line_no, {sql.strip('text')} AS text, code FROM ({_LINES_SQL})", ["row_id", "line_no"],
+    PT.DEFAULT_RATES["word_order"], SEED)})""")
+def q_perturb_text_lines(spark, sf_dir):
+    """PTB-8 over every line of every document: strip, perturb, strip, drop newlines."""
+    d = tables.read(spark, sf_dir, "documents")
+    lines = d.select(F.col("doc_id").alias("row_id"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "text"))
+    out = IO.perturb_lines(lines, "eng_Latn", "word_order", PT.DEFAULT_RATES["word_order"], SEED, keys=("row_id", "line_no"))
+    return out.select("row_id", "line_no", "text")
