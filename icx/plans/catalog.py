@@ -608,3 +608,62 @@ def q_perturb_text_lines(spark, sf_dir):
     lines = d.select(F.col("doc_id").alias("row_id"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "text"))
     out = IO.perturb_lines(lines, "eng_Latn", "word_order", PT.DEFAULT_RATES["word_order"], SEED, keys=("row_id", "line_no"))
     return out.select("row_id", "line_no", "text")
+
+
+# ---- chat rendering, language names, text functions ---------------------------------------------
+
+from icx.functions import text as TX  # noqa: E402
+from icx.functions.scripts import languages as _languages  # noqa: E402
+
+# A user-given role -> (prefix, suffix) template; this one is a plain bracketed example.
+CHAT_TEMPLATE = {
+    "system": ("<<SYS>>\n", "\n<</SYS>>\n\n"),
+    "user": ("[INST] ", " [/INST]"),
+    "assistant": (" ", " </s>"),
+}
+GENERATION_PREFIX = ""
+
+
+@register("render_chat", sql.few_shot_chat(TEST_SQL, DEV_SQL, K, SEED, SRC, TGT).rsplit("\nSELECT row_id, msg_idx", 1)[0] + f""",
+msgs AS (SELECT row_id, msg_idx::INTEGER AS msg_idx, role, content FROM ({sql.few_shot_chat(TEST_SQL, DEV_SQL, K, SEED, SRC, TGT)}))
+SELECT row_id, string_agg(CASE role {' '.join(f"WHEN '{r}' THEN {sql.lit(a)} || content || {sql.lit(b)}" for r, (a, b) in CHAT_TEMPLATE.items())}
+       ELSE content END, '' ORDER BY msg_idx) || {sql.lit(GENERATION_PREFIX)} AS prompt FROM msgs GROUP BY row_id""")
+def q_render_chat(spark, sf_dir):
+    test, dev = _test_dev(spark, sf_dir)
+    out = P.few_shot(D.select_demos(test, dev, K, SEED), SRC, TGT, chat=True)
+    return out.select("row_id", P.render_chat(F.col("prompt"), CHAT_TEMPLATE, GENERATION_PREFIX).alias("prompt"))
+
+
+def _lang_values():
+    rows = ", ".join(f"({sql.lit(c)}, {sql.lit(n)})" for c, n in sorted(DEFAULT_LANGUAGES.items()))
+    return f"(VALUES {rows}) l(code, name)"
+
+
+@register("language_names", f"""SELECT c.code, split_part(c.code, '_', 1) AS lang, split_part(c.code, '_', 2) AS script, l.name
+FROM ({_CODES_SQL}) c LEFT JOIN {_lang_values()} ON l.code = c.code""")
+def q_language_names(spark, sf_dir):
+    """PRJ-1/2: codes found in the data with their parts and display names (broadcast dimension)."""
+    codes = _doc_codes(spark, sf_dir).distinct()
+    dim = F.broadcast(_languages(spark).select("code", "name"))
+    return codes.join(dim, "code", "left").select(
+        "code", F.split("code", "_")[0].alias("lang"), F.element_at(F.split("code", "_"), -1).alias("script"), "name"
+    )
+
+
+@register("python_split", f"""SELECT doc_id AS row_id, len({sql.words('text')})::INTEGER AS n_words, length(text)::INTEGER AS n_chars,
+       length({sql.strip('text')})::INTEGER AS n_stripped,
+       length(regexp_replace(text, {sql.lit(TX.WS_RUN)}, '', 'g'))::INTEGER AS n_nospace,
+       split_part(text, chr(10), 1) AS first_line,
+       array_to_string({sql.words('text')}, ' ') = regexp_replace({sql.strip('text')}, {sql.lit(TX.WS_RUN)}, ' ', 'g') AS normalised_ok
+FROM documents""")
+def q_python_split(spark, sf_dir):
+    """FN-1..9: Python split/strip/first-line semantics over whole documents."""
+    d = tables.read(spark, sf_dir, "documents")
+    t = F.col("text")
+    w = TX.words(t)
+    return d.select(
+        F.col("doc_id").alias("row_id"), F.size(w).alias("n_words"), F.char_length(t).alias("n_chars"),
+        F.char_length(TX.py_strip(t)).alias("n_stripped"), F.char_length(TX.no_space(t)).alias("n_nospace"),
+        TX.first_line(t).alias("first_line"),
+        (F.array_join(w, " ") == F.regexp_replace(TX.py_strip(t), TX.WS_RUN, " ")).alias("normalised_ok"),
+    )
