@@ -667,3 +667,18 @@ def q_python_split(spark, sf_dir):
         TX.first_line(t).alias("first_line"),
         (F.array_join(w, " ") == F.regexp_replace(TX.py_strip(t), TX.WS_RUN, " ")).alias("normalised_ok"),
     )
+
+
+# ---- streaming -----------------------------------------------------------------------------------
+
+from icx.streaming import prompts as ST  # noqa: E402
+
+
+@register("stream_few_shot_prompt", sql.few_shot_text(TEST_SQL, DEV_SQL, K, SEED, SRC, TGT))
+def q_stream_few_shot(spark, sf_dir):
+    """Test pairs land as files; a streaming query composes their prompts against the static pool."""
+    test, dev = _test_dev(spark, sf_dir)
+    landing = IO.scratch_dir(spark, "stream-in")
+    test.write.mode("overwrite").parquet(landing)
+    pool = D.Pool.build(dev)
+    return ST.run_available_now(spark, landing, "row_id bigint, src string, tgt string", pool, K, SEED, SRC, TGT)
