@@ -5,7 +5,14 @@ Every random choice is a pure function of (seed, tag, keys...):
     h(tag, keys...)   = md5(concat_ws('|', seed, tag, keys...))
     u32(tag, keys...) = first 8 hex digits of h as an integer in [0, 2^32)
 
-The same formula is plain SQL in other engines, so each random operator has an exact
+Per-position draws inside a text (thousands per row) use one md5 per (row, tag) and
+a polynomial of the position over the prime P = 2^31 - 1 (Horner form, so the
+position is referenced once per degree and nothing is re-evaluated per element):
+
+    (a, b, c) = three 32-bit slices of md5(seed|tag|keys) mod P
+    pos_hash(pos) = ((a * pos + b) mod P * pos + c) mod P      -- 3-wise independent
+
+Every intermediate product stays below 2^63. The same formulas are plain SQL in other engines, so each random operator has an exact
 oracle, results do not depend on partitioning, and task retries recompute the same
 values. `rand()`-style generators are never used.
 """
@@ -36,9 +43,36 @@ def u32(seed: int, tag: str, *keys) -> Column:
     return F.conv(F.substring(h(seed, tag, *keys), 1, 8), 16, 10).cast("bigint")
 
 
+PRIME = 2147483647
+
+
+def _slice_u32(hexcol: Column, start: int) -> Column:
+    return F.conv(F.substring(hexcol, start, 8), 16, 10).cast("bigint") % F.lit(PRIME)
+
+
+def row_seeds(seed: int, tags: list[str], keys: list) -> Column:
+    """Per tag, the polynomial coefficients (a, b, c) for the row (bind once with `let`)."""
+    def coeffs(t):
+        hx = h(seed, t, *keys)
+        return F.struct(_slice_u32(hx, 1).alias("a"), _slice_u32(hx, 9).alias("b"), _slice_u32(hx, 17).alias("c"))
+
+    return F.struct(*[coeffs(t).alias(t) for t in tags])
+
+
+def pos_hash(s: Column, pos: Column) -> Column:
+    """Position hash in [0, P) from a row's coefficients."""
+    p = pos.cast("bigint")
+    return ((s["a"] * p + s["b"]) % F.lit(PRIME) * p + s["c"]) % F.lit(PRIME)
+
+
+def pos_rank(s: Column, pos: Column) -> Column:
+    """Unique per-position random key: pos_hash * 2^31 + pos."""
+    return pos_hash(s, pos) * F.lit(POS_RADIX) + pos.cast("bigint")
+
+
 def rank_key(seed: int, tag: str, pos: Column, *keys) -> Column:
-    """Unique per-position random key: hash of (keys, pos) with pos as tie-break."""
-    return u32(seed, tag, *keys, pos) * F.lit(POS_RADIX) + pos.cast("bigint")
+    """Unique per-position random key for a single position (computes the row seed)."""
+    return pos_rank(row_seeds(seed, [tag], list(keys))[tag], pos)
 
 
 def key_pos(rk: Column) -> Column:

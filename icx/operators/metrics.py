@@ -83,7 +83,10 @@ def chrf_words(text: Column) -> Column:
 
 
 def grams(T: Column, n: int, sep: str) -> Column:
-    """All n-grams of array T as strings (empty when T is shorter than n)."""
+    """All n-grams of array T as strings (empty when T is shorter than n).
+
+    T is indexed once per element: pass a bound (lambda) variable, not an expression.
+    """
     head = F.slice(T, 1, F.greatest(F.size(T) - n + 1, F.lit(0)))
     if n == 1:
         return head
@@ -148,32 +151,58 @@ def segment_stats(hyp: Column, ref: Column, tokenizer: str = "13a", word_order:
         s = no_space(t)
         return F.when(F.length(s) == 0, F.array().cast("array<string>")).otherwise(F.split(s, ""))
 
-    arrays = F.struct(
-        bleu_tokens(hyp, tokenizer).alias("hw"), bleu_tokens(ref, tokenizer).alias("rw"),
-        chars_of(hyp).alias("hc"), chars_of(ref).alias("rc"),
-        chrf_words(hyp).alias("hp"), chrf_words(ref).alias("rp"),
-    )
-    return let(arrays, body)
+    def arrays(H, R):
+        return F.struct(
+            bleu_tokens(H, tokenizer).alias("hw"), bleu_tokens(R, tokenizer).alias("rw"),
+            chars_of(H).alias("hc"), chars_of(R).alias("rc"),
+            chrf_words(H).alias("hp"), chrf_words(R).alias("rp"),
+        )
 
+    # bind the two texts first: they are often whole upstream expressions (a model
+    # stand-in, a perturbation) that must be evaluated once per row, not once per use
+    return let(F.struct(hyp.alias("h"), ref.alias("r")), lambda X: let(arrays(X["h"], X["r"]), body))
 
-def corpus_stats(df: DataFrame, keys: list[str], hyp: str = "hypothesis", ref: str = "reference",
-                 tokenizer: str = "13a") -> DataFrame:
-    """Corpus counters per group of `keys` (one row per run)."""
-    st = df.select(*keys, segment_stats(F.coalesce(F.col(hyp), F.lit("")), F.coalesce(F.col(ref), F.lit("")),
-                                        tokenizer).alias("s"))
-    aggs = [F.sum("s.sys_len").alias("sys_len"), F.sum("s.ref_len").alias("ref_len")]
+
+def _counter_names(word_order: int = WORD_ORDER) -> list[str]:
+    names = ["sys_len", "ref_len"]
     for n in range(1, BLEU_ORDER + 1):
-        aggs += [F.sum(f"s.b{n}.m").alias(f"bleu_match_{n}"), F.sum(f"s.b{n}.h").alias(f"bleu_total_{n}"),
-                 F.sum(f"s.b{n}.r").alias(f"bleu_ref_{n}")]
-    for prefix, name, orders in (("c", "chr", CHAR_ORDER), ("w", "word", WORD_ORDER)):
+        names += [f"bleu_match_{n}", f"bleu_total_{n}", f"bleu_ref_{n}"]
+    for name, orders in (("chr", CHAR_ORDER), ("word", word_order)):
         for n in range(1, orders + 1):
-            has_ref = F.col(f"s.{prefix}{n}.r") > 0
-            aggs += [
-                F.sum(F.when(has_ref, F.col(f"s.{prefix}{n}.h")).otherwise(F.lit(0))).alias(f"{name}_hyp_{n}"),
-                F.sum(f"s.{prefix}{n}.r").alias(f"{name}_ref_{n}"),
-                F.sum(f"s.{prefix}{n}.m").alias(f"{name}_match_{n}"),
-            ]
-    return st.groupBy(*keys).agg(*aggs)
+            names += [f"{name}_hyp_{n}", f"{name}_ref_{n}", f"{name}_match_{n}"]
+    return names
+
+
+def _counters(s: Column, word_order: int = WORD_ORDER) -> Column:
+    """The segment struct flattened to one bigint array, in `_counter_names` order."""
+    vals = [s["sys_len"], s["ref_len"]]
+    for n in range(1, BLEU_ORDER + 1):
+        b = s[f"b{n}"]
+        vals += [b["m"], b["h"], b["r"]]
+    for prefix, orders in (("c", CHAR_ORDER), ("w", word_order)):
+        for n in range(1, orders + 1):
+            o = s[f"{prefix}{n}"]
+            # hypothesis n-grams count only where the reference has this order
+            vals += [F.when(o["r"] > 0, o["h"]).otherwise(F.lit(0).cast("bigint")), o["r"], o["m"]]
+    return F.array(*[v.cast("bigint") for v in vals])
+
+
+def corpus_stats(df: DataFrame, keys: list[str], hyp: str = "hypothesis", ref: str = "reference",
+                 tokenizer: str = "13a") -> DataFrame:
+    """Corpus counters per group of `keys` (one row per run).
+
+    Each segment's counters leave the row as one array through `posexplode`, so the
+    statistics expression is evaluated exactly once per segment; the (run, counter)
+    sums are partially aggregated before the shuffle and pivoted back per run.
+    """
+    names = _counter_names()
+    seg = segment_stats(F.coalesce(F.col(hyp), F.lit("")), F.coalesce(F.col(ref), F.lit("")), tokenizer)
+    long = df.select(*keys, F.posexplode(let(seg, lambda s: _counters(s))).alias("ci", "v"))
+    sums = long.groupBy(*keys, "ci").agg(F.sum("v").alias("v"))
+    return sums.groupBy(*keys).agg(
+        *[F.coalesce(F.max(F.when(F.col("ci") == i, F.col("v"))), F.lit(0)).cast("bigint").alias(nm)
+          for i, nm in enumerate(names)]
+    )
 
 
 def bleu_from_stats() -> Column:

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from icx.functions import scripts as S
 from icx.functions.arrays import at, let
-from icx.functions.seeded import key_pos, kmax, rank_key, u32
+from icx.functions.seeded import key_pos, kmax, pos_hash, pos_rank, row_seeds
 from icx.functions.text import chars, words
 
 ATTACKS = (
@@ -96,33 +96,40 @@ def _cp(c: Column) -> Column:
 # --- PTB-1 -----------------------------------------------------------------------
 
 def word_duplication(text: Column, keys: list[Column], rate: float, seed: int) -> Column:
+    RS = None
     rate = _check_rate(rate)
 
     def with_words(W):
         n = F.size(W)
-        ranks = F.transform(W, lambda w, i: rank_key(seed, "dup", i, *keys))
+        ranks = F.transform(W, lambda w, i: pos_rank(RS["dup"], i))
         return let(ranks, lambda R: let(_kth(R, kmax(n, rate)), lambda th: F.array_join(
             F.flatten(F.transform(W, lambda w, i: F.when(R[i] <= th, F.array(w, w)).otherwise(F.array(w)))), " "
         )))
 
-    return let(words(text), lambda W: F.when(F.size(W) == 0, text).otherwise(with_words(W)))
+    def _bound(rs):
+        nonlocal RS
+        RS = rs
+        return let(words(text), lambda W: F.when(F.size(W) == 0, text).otherwise(with_words(W)))
+
+    return let(row_seeds(seed, ['dup'], keys), _bound)
 
 
 # --- PTB-6 -----------------------------------------------------------------------
 
 def word_order(text: Column, keys: list[Column], rate: float, seed: int) -> Column:
+    RS = None
     rate = _check_rate(rate)
 
     def with_words(W):
         n = F.size(W)
-        ranks = F.transform(W, lambda w, i: rank_key(seed, "order_slot", i, *keys))
+        ranks = F.transform(W, lambda w, i: pos_rank(RS["order_slot"], i))
 
         def with_th(R, th):
             slots = F.transform(F.array_sort(F.filter(R, lambda r: r <= th)), key_pos)
 
             def with_slots(Sl):
                 src = F.transform(
-                    F.array_sort(F.transform(Sl, lambda p: rank_key(seed, "order_src", p, *keys))), key_pos
+                    F.array_sort(F.transform(Sl, lambda p: pos_rank(RS["order_src"], p))), key_pos
                 )
 
                 def repaired(P):
@@ -143,7 +150,12 @@ def word_order(text: Column, keys: list[Column], rate: float, seed: int) -> Colu
 
         return let(ranks, lambda R: let(_kth(R, kmax(n, rate)), lambda th: with_th(R, th)))
 
-    return let(words(text), lambda W: F.when(F.size(W) == 0, text).otherwise(with_words(W)))
+    def _bound(rs):
+        nonlocal RS
+        RS = rs
+        return let(words(text), lambda W: F.when(F.size(W) == 0, text).otherwise(with_words(W)))
+
+    return let(row_seeds(seed, ['order_slot', 'order_src'], keys), _bound)
 
 
 # --- PTB-3 -----------------------------------------------------------------------
@@ -156,8 +168,9 @@ def punctuation_drop(text: Column, keys: list[Column], language, rate: float, se
 
 
 def _punctuation_drop(text, keys, pc, rate, seed):
+    RS = None
     def with_chars(C):
-        ranks = F.transform(C, lambda c, i: F.when(S.is_punct(_cp(c), pc), rank_key(seed, "pdrop", i, *keys)))
+        ranks = F.transform(C, lambda c, i: F.when(S.is_punct(_cp(c), pc), pos_rank(RS["pdrop"], i)))
 
         def with_ranks(R):
             m = F.size(F.filter(R, lambda r: r.isNotNull()))
@@ -170,7 +183,12 @@ def _punctuation_drop(text, keys, pc, rate, seed):
 
         return let(ranks, with_ranks)
 
-    return let(chars(text), with_chars)
+    def _bound(rs):
+        nonlocal RS
+        RS = rs
+        return let(chars(text), with_chars)
+
+    return let(row_seeds(seed, ['pdrop'], keys), _bound)
 
 
 # --- PTB-4 -----------------------------------------------------------------------
@@ -218,8 +236,9 @@ def punctuation_add(text: Column, keys: list[Column], language, rate: float, see
 
 
 def _punctuation_add(text, keys, pc, marks, rate, seed):
+    RS = None
     def with_words(W):
-        ranks = F.transform(W, lambda w, i: F.when(~_is_punct_word(w, pc), rank_key(seed, "padd", i, *keys)))
+        ranks = F.transform(W, lambda w, i: F.when(~_is_punct_word(w, pc), pos_rank(RS["padd"], i)))
 
         def with_ranks(R):
             c = F.size(F.filter(R, lambda r: r.isNotNull()))
@@ -229,7 +248,7 @@ def _punctuation_add(text, keys, pc, marks, rate, seed):
                 return let(marks, lambda M: let(flags, lambda Fl: F.array_join(
                     F.transform(W, lambda w, i: F.when(
                         Fl[i],
-                        F.concat(w, F.element_at(M, (u32(seed, "mark", *keys, i) % F.size(M) + 1).cast("int"))),
+                        F.concat(w, F.element_at(M, (pos_hash(RS["mark"], i) % F.size(M) + 1).cast("int"))),
                     ).otherwise(w)),
                     " ",
                 )))
@@ -238,24 +257,30 @@ def _punctuation_add(text, keys, pc, marks, rate, seed):
 
         return let(ranks, with_ranks)
 
-    return let(words(text), with_words)
+    def _bound(rs):
+        nonlocal RS
+        RS = rs
+        return let(words(text), with_words)
+
+    return let(row_seeds(seed, ['padd', 'mark'], keys), _bound)
 
 
 # --- PTB-5 -----------------------------------------------------------------------
 
 def ocr(text: Column, keys: list[Column], rate: float, seed: int) -> Column:
+    RS = None
     rate = _check_rate(rate)
 
     def with_words(W):
         n = F.size(W)
-        ranks = F.transform(W, lambda w, i: rank_key(seed, "ocr", i, *keys))
+        ranks = F.transform(W, lambda w, i: pos_rank(RS["ocr"], i))
 
         def with_th(R, th):
             def piece(w, i):
                 ln = F.length(w)
                 sel = R[i] <= th
-                is_fuse = (i < n - 1) & (u32(seed, "ocr_op", *keys, i) % 2 == 0)
-                cut = let(u32(seed, "ocr_cut", *keys, i) % (ln - 1) + 1, lambda c: F.concat(
+                is_fuse = (i < n - 1) & (pos_hash(RS["ocr_op"], i) % 2 == 0)
+                cut = let(pos_hash(RS["ocr_cut"], i) % (ln - 1) + 1, lambda c: F.concat(
                     w.substr(F.lit(1), c.cast("int")), F.lit(" "), w.substr((c + 1).cast("int"), ln)
                 ))
                 body = F.when(sel & ~is_fuse & (ln >= 2), cut).otherwise(w)
@@ -266,7 +291,12 @@ def ocr(text: Column, keys: list[Column], rate: float, seed: int) -> Column:
 
         return let(ranks, lambda R: let(_kth(R, kmax(n, rate)), lambda th: with_th(R, th)))
 
-    return let(words(text), lambda W: F.when(F.size(W) == 0, text).otherwise(with_words(W)))
+    def _bound(rs):
+        nonlocal RS
+        RS = rs
+        return let(words(text), lambda W: F.when(F.size(W) == 0, text).otherwise(with_words(W)))
+
+    return let(row_seeds(seed, ['ocr', 'ocr_op', 'ocr_cut'], keys), _bound)
 
 
 # --- PTB-2 -----------------------------------------------------------------------
@@ -288,15 +318,16 @@ def span_noise(text: Column, keys: list[Column], language, rate: float, seed: in
 
 
 def _span_noise(text, keys, lo, hi, pc, pool, rate, seed):
+    RS = None
     def span_len(q):
-        return u32(seed, "span_len", *keys, q) % 3 + 1
+        return pos_hash(RS["span_len"], q) % 3 + 1
 
     def with_chars(C):
         def eligible(c):
             cp = _cp(c)
             return (cp >= lo) & (cp < hi) & ~S.is_punct(cp, pc)
 
-        ranks = F.transform(C, lambda c, i: F.when(eligible(c), rank_key(seed, "span", i, *keys)))
+        ranks = F.transform(C, lambda c, i: F.when(eligible(c), pos_rank(RS["span"], i)))
 
         def with_ranks(R):
             m = F.size(F.filter(R, lambda r: r.isNotNull()))
@@ -335,9 +366,9 @@ def _span_noise(text, keys, lo, hi, pc, pool, rate, seed):
 
                     def render(L):
                         def out(c, q):
-                            replace = u32(seed, "span_op", *keys, q) % 2 == 1
+                            replace = pos_hash(RS["span_op"], q) % 2 == 1
                             repl = let(pool, lambda Pool: F.element_at(
-                                Pool, (u32(seed, "span_rep", *keys, q) % F.size(Pool) + 1).cast("int")
+                                Pool, (pos_hash(RS["span_rep"], q) % F.size(Pool) + 1).cast("int")
                             ))
                             covered = (F.coalesce(at(L, q - 1), F.lit(0)) >= 2) | (F.coalesce(at(L, q - 2), F.lit(0)) >= 3)
                             return (
@@ -356,13 +387,28 @@ def _span_noise(text, keys, lo, hi, pc, pool, rate, seed):
 
         return let(ranks, with_ranks)
 
-    return let(chars(text), with_chars)
+    def _bound(rs):
+        nonlocal RS
+        RS = rs
+        return let(chars(text), with_chars)
+
+    return let(row_seeds(seed, ['span', 'span_len', 'span_op', 'span_rep'], keys), _bound)
 
 
 # --- PTB-7 -----------------------------------------------------------------------
 
 def perturb(attack: str, text: Column, keys: list[Column], language, rate: float, seed: int) -> Column:
-    """Dispatcher by attack name (plan time); unknown names raise."""
+    """Dispatcher by attack name (plan time); unknown names raise.
+
+    The input text is bound once per row, so an upstream expression feeding the
+    operator is never re-evaluated by the operator's own references to it.
+    """
+    if attack not in ATTACKS:
+        raise NotImplementedError(f"invalid attack type {attack!r}; choose one of {', '.join(ATTACKS)}")
+    return let(text, lambda t: _dispatch(attack, t, keys, language, rate, seed))
+
+
+def _dispatch(attack: str, text: Column, keys: list[Column], language, rate: float, seed: int) -> Column:
     if attack == "span_noise":
         return span_noise(text, keys, language, rate, seed)
     if attack == "word_duplication":

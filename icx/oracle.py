@@ -23,8 +23,18 @@ def u32(seed: int, tag: str, *keys: str) -> str:
     return f"(('0x' || substr(md5(concat_ws('|', {args})), 1, 8))::BIGINT)"
 
 
+PRIME = 2147483647
+
+
+def pos_u32(seed: int, tag: str, pos: str, *keys: str) -> str:
+    hx = f"md5(concat_ws('|', {', '.join([lit(str(seed)), lit(tag), *keys])}))"
+    a, b, c = (f"((('0x' || substr({hx}, {i}, 8))::BIGINT) % {PRIME})" for i in (1, 9, 17))
+    p = f"(({pos})::BIGINT)"
+    return f"((({a} * {p} + {b}) % {PRIME} * {p} + {c}) % {PRIME})"
+
+
 def rank_key(seed: int, tag: str, pos: str, *keys: str) -> str:
-    return f"({u32(seed, tag, *keys, pos)} * {POS_RADIX} + ({pos})::BIGINT)"
+    return f"({pos_u32(seed, tag, pos, *keys)} * {POS_RADIX} + ({pos})::BIGINT)"
 
 
 def kmax(n: str, rate: float, at_least_one: bool = True) -> str:
@@ -225,10 +235,10 @@ mp AS (SELECT {K}, i AS t, CASE WHEN NOT ident THEN p WHEN NOT sorted_ident THEN
 agg AS (SELECT {K}, string_agg(tok.w, ' ' ORDER BY mp.t) AS o FROM mp JOIN tok USING ({usingk}) WHERE tok.i = mp.s GROUP BY {K})
 {_finish(keys, 'agg')}"""
     if attack == "ocr":
-        cut = f"({u32(seed, 'ocr_cut', *keys, 'i')} % (length(w) - 1) + 1)"
+        cut = f"({pos_u32(seed, 'ocr_cut', 'i', *keys)} % (length(w) - 1) + 1)"
         return f"""WITH {_base(src_sql, keys)},
 s AS (SELECT *, row_number() OVER ({part} ORDER BY {rank_key(seed, 'ocr', 'i', *keys)}) <= {kmax('n', rate)} AS sel,
-             (i < n - 1 AND {u32(seed, 'ocr_op', *keys, 'i')} % 2 = 0) AS fuse FROM tok),
+             (i < n - 1 AND {pos_u32(seed, 'ocr_op', 'i', *keys)} % 2 = 0) AS fuse FROM tok),
 agg AS (SELECT {K}, string_agg(
           CASE WHEN sel AND NOT fuse AND length(w) >= 2 THEN substr(w, 1, {cut}) || ' ' || substr(w, {cut} + 1) ELSE w END
           || CASE WHEN i = n - 1 OR (sel AND fuse) THEN '' ELSE ' ' END, '' ORDER BY i) AS o FROM s GROUP BY {K})
@@ -250,7 +260,7 @@ cnt AS (SELECT {K}, count(*) FILTER (WHERE cand) AS c FROM t2 GROUP BY {K}),
 rk AS (SELECT {K}, w, row_number() OVER ({part} ORDER BY {rank_key(seed, 'padd', 'i', *keys)}) AS r FROM t2 WHERE cand),
 v AS (SELECT DISTINCT {K}, w FROM rk JOIN cnt USING ({usingk}) WHERE r <= {kmax('c', rate)}),
 mk AS (SELECT t2.*, v.w IS NOT NULL AS marked, {marks} AS M FROM t2 LEFT JOIN v USING ({usingk}, w)),
-agg AS (SELECT {K}, string_agg(CASE WHEN marked THEN w || M[{u32(seed, 'mark', *keys, 'i')} % len(M) + 1] ELSE w END,
+agg AS (SELECT {K}, string_agg(CASE WHEN marked THEN w || M[{pos_u32(seed, 'mark', 'i', *keys)} % len(M) + 1] ELSE w END,
                                 ' ' ORDER BY i) AS o FROM mk GROUP BY {K})
 SELECT {', '.join('b.' + x for x in keys)}, CASE WHEN coalesce(cnt.c, 0) = 0 OR a.o IS NULL THEN b.text ELSE a.o END AS perturbed
 FROM base b LEFT JOIN agg a USING ({usingk}) LEFT JOIN cnt USING ({usingk})"""
@@ -262,15 +272,15 @@ FROM base b LEFT JOIN agg a USING ({usingk}) LEFT JOIN cnt USING ({usingk})"""
 e AS (SELECT *, unicode(c) AS cp, {lo} AS lo, {hi} AS hi FROM ch),
 e2 AS (SELECT *, (cp >= lo AND cp < hi AND NOT {in_class_by('cp', pclass_sql('code'))}) AS elig FROM e),
 cnt AS (SELECT {K}, {kmax('count(*) FILTER (WHERE elig)', rate, False)} AS b FROM e2 GROUP BY {K}),
-rk AS (SELECT {K}, i, {u32(seed, 'span_len', *keys, 'i')} % 3 + 1 AS l,
+rk AS (SELECT {K}, i, {pos_u32(seed, 'span_len', 'i', *keys)} % 3 + 1 AS l,
               row_number() OVER ({part} ORDER BY {rank_key(seed, 'span', 'i', *keys)}) AS o FROM e2 WHERE elig),
 cum AS (SELECT *, coalesce(sum(l) OVER ({part} ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM rk),
 kept AS (SELECT {K}, i, least(l, b - before) AS kl FROM cum JOIN cnt USING ({usingk}) WHERE before < b),
 lk AS (SELECT e2.*, coalesce(kept.kl, 0) AS kl FROM e2 LEFT JOIN kept USING ({usingk}, i)),
 lg AS (SELECT *, coalesce(lag(kl, 1) OVER ({part} ORDER BY i), 0) AS kl1, coalesce(lag(kl, 2) OVER ({part} ORDER BY i), 0) AS kl2 FROM lk),
 agg AS (SELECT {K}, string_agg(CASE WHEN kl > 0 THEN
-                  CASE WHEN {u32(seed, 'span_op', *keys, 'i')} % 2 = 1
-                       THEN chr(({pool})[{u32(seed, 'span_rep', *keys, 'i')} % len({pool}) + 1]) ELSE '' END
+                  CASE WHEN {pos_u32(seed, 'span_op', 'i', *keys)} % 2 = 1
+                       THEN chr(({pool})[{pos_u32(seed, 'span_rep', 'i', *keys)} % len({pool}) + 1]) ELSE '' END
                 WHEN kl1 >= 2 OR kl2 >= 3 THEN '' ELSE c END, '' ORDER BY i) AS o FROM lg GROUP BY {K})
 {_finish(keys, 'agg')}"""
     raise NotImplementedError(attack)

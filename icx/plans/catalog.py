@@ -682,3 +682,22 @@ def q_stream_few_shot(spark, sf_dir):
     test.write.mode("overwrite").parquet(landing)
     pool = D.Pool.build(dev)
     return ST.run_available_now(spark, landing, "row_id bigint, src string, tgt string", pool, K, SEED, SRC, TGT)
+
+
+# ---- scoring whole documents (scale query; checked against brute force in tests) -------------------
+
+def document_metrics(spark, sf_dir, rate=PTB_RATE, tokenizer="13a"):
+    """How far each perturbation moves whole documents: BLEU/chrF/chrF++ of the perturbed
+    text against the original, per attack, over every document in one aggregation."""
+    ln = tables.lines(spark, sf_dir)
+    parts = []
+    for run in RUNS:
+        hyp = F.col("text") if run == "clean" else PT.perturb(run, F.col("text"), [F.col("row_id")], F.col("code"), rate, SEED)
+        parts.append(ln.select(F.lit(run).alias("run_id"), "row_id", hyp.alias("hypothesis"), F.col("text").alias("reference")))
+    seg = parts[0]
+    for p in parts[1:]:
+        seg = seg.unionByName(p)
+    return M.score(seg, ["run_id"], tokenizer=tokenizer)
+
+
+register("document_metrics", None)(document_metrics)
