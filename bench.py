@@ -38,7 +38,6 @@ HEADLINE = [
     "pivot_variant_III",
     "predictions",
     "metrics_by_run",
-    "document_metrics",
     "grid_all",
     "pair_fan_out",
 ]
@@ -48,7 +47,7 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     names = sys.argv[1:] or HEADLINE
-    spark = local_session(cores=cpus, shuffle_partitions=max(8, 2 * cpus))
+    spark = local_session(cores=cpus, shuffle_partitions=cpus)
     times = {}
     for name in names:
         t0 = time.time()

@@ -196,6 +196,10 @@ def corpus_stats(df: DataFrame, keys: list[str], hyp: str = "hypothesis", ref: s
     sums are partially aggregated before the shuffle and pivoted back per run.
     """
     names = _counter_names()
+    spark = df.sparkSession
+    # Statistics cost CPU per character while segments are few bytes each: size-based
+    # coalescing would put a small corpus in one task. Spread segments by hash first.
+    df = df.repartition(max(spark.sparkContext.defaultParallelism, 1) * 2, *keys, hyp)
     seg = segment_stats(F.coalesce(F.col(hyp), F.lit("")), F.coalesce(F.col(ref), F.lit("")), tokenizer)
     long = df.select(*keys, F.posexplode(let(seg, lambda s: _counters(s))).alias("ci", "v"))
     sums = long.groupBy(*keys, "ci").agg(F.sum("v").alias("v"))

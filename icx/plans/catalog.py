@@ -37,7 +37,7 @@ def _split(df: DataFrame, which: str) -> DataFrame:
 
 def _test_dev(spark, sf_dir):
     p = tables.pairs(spark, sf_dir)
-    return _split(p, "test"), _split(p, "dev")
+    return tables.spread(_split(p, "test"), "row_id"), _split(p, "dev")
 
 
 TEST_SQL = f"SELECT row_id, src, tgt FROM ({sql.PAIRS}) WHERE split = 'test'"
@@ -604,7 +604,7 @@ _LINES_SQL = f"""SELECT doc_id AS row_id, unnest(range(len(string_split(text, ch
     PT.DEFAULT_RATES["word_order"], SEED)})""")
 def q_perturb_text_lines(spark, sf_dir):
     """PTB-8 over every line of every document: strip, perturb, strip, drop newlines."""
-    d = tables.read(spark, sf_dir, "documents")
+    d = tables.spread(tables.read(spark, sf_dir, "documents"), "doc_id")
     lines = d.select(F.col("doc_id").alias("row_id"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "text"))
     out = IO.perturb_lines(lines, "eng_Latn", "word_order", PT.DEFAULT_RATES["word_order"], SEED, keys=("row_id", "line_no"))
     return out.select("row_id", "line_no", "text")

@@ -75,9 +75,23 @@ def lang_code_col(lang):
     return out
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-spread rows over the cluster when the scan yields fewer partitions than cores.
+
+    Per-row text operators cost CPU per character; a corpus stored as one large row
+    group would otherwise run in a single task. On a large corpus the scan already has
+    many more splits than cores and nothing is shuffled.
+    """
+    par = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= par:
+        return df
+    return df.repartition(2 * par, *keys)
+
+
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read(spark, sf_dir, "documents")
-    return d.select(F.col("doc_id").alias("row_id"), "text", "lang", lang_code_col(F.col("lang")).alias("code"))
+    out = d.select(F.col("doc_id").alias("row_id"), "text", "lang", lang_code_col(F.col("lang")).alias("code"))
+    return spread(out, "row_id")
 
 
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
