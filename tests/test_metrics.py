@@ -125,7 +125,7 @@ def test_document_metrics_against_brute_force(spark):
 
     for run in C.RUNS:
         hyp = F.col("text") if run == "clean" else PT.perturb(run, F.col("text"), [F.col("row_id")], F.col("code"), C.PTB_RATE, C.SEED)
-        pairs = [(r.h, r.t) for r in ln.select(hyp.alias("h"), "text").collect()]
+        pairs = [(r.h, r.text) for r in ln.select(hyp.alias("h"), "text").collect()]
         assert got[run].bleu == pytest.approx(round(bleu(pairs, tok13a), 6), abs=1e-5), run
         assert got[run].chrf == pytest.approx(round(chrf(pairs), 6), abs=1e-5), run
         assert got[run].chrf_pp == pytest.approx(round(chrf(pairs, 2), 6), abs=1e-5), run
