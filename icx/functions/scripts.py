@@ -170,15 +170,20 @@ def range_hi(language) -> Column:
     return _per_script(language, lambda s, c: F.lit(SCRIPT_RANGES.get(s, (0, 0))[1]))
 
 
+def _char_array(chars: list[str]) -> Column:
+    """Constant array of one-character strings from a single string literal."""
+    if not chars:
+        return F.array().cast("array<string>")
+    return F.split(F.lit("".join(chars)), "")
+
+
 def span_pool_col(language) -> Column:
     """Replacement pool as an array of one-character strings."""
-    return _per_script(
-        language, lambda s, c: F.array(*[F.lit(chr(cp)) for cp in span_pool(s, c)]).cast("array<string>")
-    )
+    return _per_script(language, lambda s, c: _char_array([chr(cp) for cp in span_pool(s, c)]))
 
 
 def mark_pool_col(language) -> Column:
-    return _per_script(language, lambda s, c: F.array(*[F.lit(m) for m in mark_pool(s, c)]).cast("array<string>"))
+    return _per_script(language, lambda s, c: _char_array(mark_pool(s, c)))
 
 
 # --- language dimension ----------------------------------------------------------

@@ -106,14 +106,16 @@ def run_name(model: Column, experiment: Column, src: Column, tgt: Column, aux: C
 
 
 def grid_array(experiments: tuple[str, ...]) -> Column:
-    """All grid points of the experiments as a literal array<struct> (bounded by the lists)."""
+    """All grid points of the experiments as one constant array<struct> (bounded by the lists).
+
+    Built from a single JSON literal that Catalyst folds once, not one literal per field.
+    """
+    import json
+
     names = [f.split()[0] for f in GRID_SCHEMA.split(", ")]
-    types = [f.split()[1] for f in GRID_SCHEMA.split(", ")]
-    pts = [
-        F.struct(*[F.lit(v).cast(t).alias(n) for v, n, t in zip(row, names, types)])
-        for e in experiments for row in _rows(e)
-    ]
-    return F.array(*pts)
+    rows = [dict(zip(names, row)) for e in experiments for row in _rows(e)]
+    schema = "array<struct<" + ",".join(f.replace(" ", ":") for f in GRID_SCHEMA.split(", ")) + ">>"
+    return F.from_json(F.lit(json.dumps(rows)), schema)
 
 
 def runs(pairs: DataFrame, experiments: tuple[str, ...] = EXPERIMENTS, model: str = DEFAULT_MODEL) -> DataFrame:
