@@ -93,35 +93,35 @@ def grams(T: Column, n: int, sep: str) -> Column:
     return F.transform(head, lambda x, i: F.concat_ws(sep, x, *[T[i + k] for k in range(1, n)]))
 
 
-def match_count(H: Column, R: Column) -> Column:
-    """Σ_g min(count_H(g), count_R(g)) — the clipped n-gram match of two arrays."""
-    tagged = F.concat(
-        F.transform(H, lambda g: F.struct(g.alias("g"), F.lit(0).alias("s"))),
-        F.transform(R, lambda g: F.struct(g.alias("g"), F.lit(1).alias("s"))),
-    )
+def _occurrence_keys(A: Column) -> Column:
+    """Each element of A tagged with its occurrence number among equal elements.
 
-    def with_sorted(C):
-        n = F.size(C)
+    'j-th copy of gram g' is encoded as a fixed-width number followed by g, which is
+    one-to-one for any text. Sorting plain strings groups equal grams; group starts
+    and per-group slices number the copies in O(n).
+    """
+    def with_sorted(Srt):
+        n = F.size(Srt)
         starts = F.filter(
-            F.transform(C, lambda e, x: F.when((x == 0) | (e != at(C, x - 1)), x).otherwise(-1)), lambda x: x >= 0
+            F.transform(Srt, lambda e, x: F.when((x == 0) | (e != at(Srt, x - 1)), x).otherwise(-1)), lambda x: x >= 0
         )
+        return let(starts, lambda G: F.flatten(F.transform(
+            G,
+            lambda st, gi: let(F.coalesce(at(G, gi + 1), n), lambda end: F.transform(
+                F.slice(Srt, st + 1, end - st), lambda g, j: F.concat(F.lpad(j.cast("string"), 10, "0"), g)
+            )),
+        )))
+
+    return let(F.array_sort(A), with_sorted)
 
-        def with_starts(G):
-            groups = F.transform(
-                G, lambda st, y: F.struct(C[st]["g"].alias("g"), C[st]["s"].alias("s"),
-                                          (F.coalesce(at(G, y + 1), n) - st).alias("c"))
-            )
-            return let(groups, lambda SG: total(F.transform(
-                SG,
-                lambda e, y: F.when(
-                    (e["s"] == 1) & (y > 0) & F.coalesce(at(SG, y - 1)["g"] == e["g"], F.lit(False)),
-                    F.least(at(SG, y - 1)["c"], e["c"]),
-                ).otherwise(F.lit(0)),
-            )))
-
-        return let(starts, with_starts)
-
-    return let(F.array_sort(tagged), with_sorted)
+
+def match_count(H: Column, R: Column) -> Column:
+    """Σ_g min(count_H(g), count_R(g)) — the clipped n-gram match of two arrays.
+
+    With every copy numbered, the multiset intersection is the set intersection of
+    (copy, gram) keys, which `array_intersect` computes with a hash set.
+    """
+    return F.size(F.array_intersect(_occurrence_keys(H), _occurrence_keys(R))).cast("bigint")
 
 
 def _order_stats(H: Column, R: Column) -> Column:

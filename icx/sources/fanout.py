@@ -43,3 +43,13 @@ def catalogue(pairs: DataFrame) -> DataFrame:
     path = F.concat(F.lit("data/"), F.col("split"), F.lit("/"), F.col("short"), F.lit("_"), F.col("src_lang"),
                     F.lit("-"), F.col("tgt_lang"), F.lit(".jsonl"))
     return x.select("dataset", "short", "split", "source_split", "src_lang", "tgt_lang", path.alias("path"))
+
+
+def pair_file(dataset_short: str, split: str, src_lang: str, tgt_lang: str, pivot: str = "eng_Latn") -> tuple[str, str, str]:
+    """PRJ-6: pair files are stored English-first; (path, src_col, tgt_col) for a direction.
+
+    When the source is not English the `{tgt}-{src}` file is read and the two sentence
+    columns are picked by name, so the direction never depends on file orientation.
+    """
+    a, b = (src_lang, tgt_lang) if src_lang == pivot else (tgt_lang, src_lang)
+    return f"data/{split}/{dataset_short}_{a}-{b}.jsonl", f"sentence_{src_lang}", f"sentence_{tgt_lang}"
