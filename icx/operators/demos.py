@@ -35,15 +35,12 @@ class Pool:
 
     @classmethod
     def build(cls, dev: DataFrame, key: str = "row_id", cols: tuple[str, ...] = ("src", "tgt")) -> "Pool":
-        idx, n = dense_index(dev.select(key, *cols), [key], name="idx")
+        row_bytes = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in cols), F.lit(16))
+        idx, n = dense_index(dev.select(key, *cols), [key], name="idx", extra={"bytes": row_bytes})
+        nbytes = dense_index.last_extra["bytes"]
         # Materialise the indexed pool once (reliable checkpoint): every fetch join and
         # every micro-batch of a stream reads the same fixed table.
         fixed = idx.select("idx", *cols).checkpoint(eager=True)
-        nbytes = 0
-        if n:
-            nbytes = fixed.agg(
-                F.sum(sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in cols), F.lit(16))).alias("b")
-            ).first()["b"]
         return cls(fixed, n, int(nbytes or 0))
 
     def broadcastable(self) -> bool:

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from icx.functions.arrays import let
 from icx.functions.seeded import u32
 from icx.functions.text import basename
 from icx.operators.perturb import ATTACKS, RATE_PARAM
@@ -169,14 +170,23 @@ def _pick_excluding(codes: list[str], r_hash: Column, src: Column, tgt: Column)
     L = len(codes)
     ps = F.array_position(arr, src) - 1  # -1 when absent
     pt = F.array_position(arr, tgt) - 1
-    lo = F.when((ps >= 0) & (pt >= 0), F.least(ps, pt)).when(ps >= 0, ps).when(pt >= 0, pt)
-    hi = F.when((ps >= 0) & (pt >= 0) & (ps != pt), F.greatest(ps, pt))
-    n_ex = F.when(lo.isNotNull(), 1).otherwise(0) + F.when(hi.isNotNull(), 1).otherwise(0)
-    avail = F.lit(L) - n_ex
-    r = F.when(avail > 0, r_hash % avail)
-    i1 = F.when(lo.isNotNull() & (r >= lo), r + 1).otherwise(r)
-    i2 = F.when(hi.isNotNull() & (i1 >= hi), i1 + 1).otherwise(i1)
-    return F.when(avail > 0, F.element_at(arr, (i2 + 1).cast("int")))
+
+    def with_pos(P):
+        s_, t_ = P["s"], P["t"]
+        lo = F.when((s_ >= 0) & (t_ >= 0), F.least(s_, t_)).when(s_ >= 0, s_).when(t_ >= 0, t_)
+        hi = F.when((s_ >= 0) & (t_ >= 0) & (s_ != t_), F.greatest(s_, t_))
+
+        def with_bounds(B):
+            n_ex = F.when(B["lo"].isNotNull(), 1).otherwise(0) + F.when(B["hi"].isNotNull(), 1).otherwise(0)
+            avail = F.lit(L) - n_ex
+            r = F.when(avail > 0, r_hash % avail)
+            i1 = F.when(B["lo"].isNotNull() & (r >= B["lo"]), r + 1).otherwise(r)
+            i2 = F.when(B["hi"].isNotNull() & (i1 >= B["hi"]), i1 + 1).otherwise(i1)
+            return F.when(avail > 0, F.element_at(arr, (i2 + 1).cast("int")))
+
+        return let(F.struct(lo.alias("lo"), hi.alias("hi")), with_bounds)
+
+    return let(F.struct(ps.alias("s"), pt.alias("t")), with_pos)
 
 
 def allied_choices(pairs: DataFrame, seed: int = 42, mapping: dict[str, str] | None = None) -> DataFrame:

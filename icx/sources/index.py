@@ -27,10 +27,13 @@ def dense_index(
     order_by: list[str | Column],
     name: str = "idx",
     partitions: int | None = None,
+    extra: dict | None = None,
 ) -> tuple[DataFrame, int]:
     """Add `name` = 0-based position in `order_by` order; returns (df, row count).
 
     `order_by` must be a total order (include a unique key as the last column).
+    `extra` maps names to additional sum expressions computed in the same count job;
+    their totals are stored in `dense_index.last_extra`.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
@@ -42,9 +45,12 @@ def dense_index(
         .checkpoint(eager=True)
     )
     pid = F.spark_partition_id()
-    counts = dict(
-        (r["p"], r["n"]) for r in ranged.groupBy(pid.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()
-    )
+    extra = extra or {}
+    rows = ranged.groupBy(pid.alias("p")).agg(
+        F.count(F.lit(1)).alias("n"), *[F.sum(e).alias(k) for k, e in extra.items()]
+    ).collect()
+    counts = {r["p"]: r["n"] for r in rows}
+    dense_index.last_extra = {k: sum((r[k] or 0) for r in rows) for k in extra}
     n_parts = ranged.rdd.getNumPartitions()
     sizes = [counts.get(p, 0) for p in range(n_parts)]
     offsets = [0] + list(accumulate(sizes))[:-1]
