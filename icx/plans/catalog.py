@@ -701,3 +701,34 @@ def document_metrics(spark, sf_dir, rate=PTB_RATE, tokenizer="13a"):
 
 
 register("document_metrics", None)(document_metrics)
+
+
+# ---- single-metric queries and grid projections ------------------------------------------------
+
+_SRC_AS_HYP_SQL = f"SELECT 'source_copy' AS run_id, src AS hypothesis, tgt AS reference FROM ({TEST_SQL})"
+
+
+def _source_copy(spark, sf_dir):
+    """The copy baseline: the untranslated source scored as the hypothesis."""
+    test, _ = _test_dev(spark, sf_dir)
+    return test.select(F.lit("source_copy").alias("run_id"), F.col("src").alias("hypothesis"),
+                       F.col("tgt").alias("reference"))
+
+
+for _metric in ("bleu", "chrf", "chrf_pp"):
+    register(_metric, f"SELECT run_id, {_metric} FROM ({sql.metrics_sql(_SRC_AS_HYP_SQL, ['run_id'], '13a')})")(
+        (lambda m: lambda spark, sf_dir: M.score(_source_copy(spark, sf_dir), ["run_id"]).select("run_id", m))(_metric)
+    )
+
+_GRID4 = _runs_sql(_with_null(_PAIRS_SQL, "aux_lang", "pivot_lang"), GR.EXPERIMENTS[:4])
+
+
+@register("run_names", f"SELECT DISTINCT experiment, src_lang, tgt_lang, run_name FROM ({_GRID4})")
+def q_run_names(spark, sf_dir):
+    return GR.runs(_pairs(spark, sf_dir), GR.EXPERIMENTS[:4]).select(
+        "experiment", "src_lang", "tgt_lang", "run_name").distinct()
+
+
+@register("batch_sizes", f"SELECT DISTINCT experiment, shots, batch_size FROM ({_GRID4})")
+def q_batch_sizes(spark, sf_dir):
+    return GR.runs(_pairs(spark, sf_dir), GR.EXPERIMENTS[:4]).select("experiment", "shots", "batch_size").distinct()
