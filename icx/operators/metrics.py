@@ -187,6 +187,19 @@ def _counters(s: Column, word_order: int = WORD_ORDER) -> Column:
     return F.array(*[v.cast("bigint") for v in vals])
 
 
+_COUNTER_CACHE: dict = {}
+
+
+def _counter_column(spark, tokenizer: str) -> Column:
+    """The per-segment counter expression over columns `_hyp`/`_ref`, built once per
+    session and tokenizer (it is large; building it costs many driver round trips)."""
+    key = (id(spark._jsparkSession), tokenizer)
+    if key not in _COUNTER_CACHE:
+        seg = segment_stats(F.coalesce(F.col("_hyp"), F.lit("")), F.coalesce(F.col("_ref"), F.lit("")), tokenizer)
+        _COUNTER_CACHE[key] = let(seg, lambda s: _counters(s))
+    return _COUNTER_CACHE[key]
+
+
 def corpus_stats(df: DataFrame, keys: list[str], hyp: str = "hypothesis", ref: str = "reference",
                  tokenizer: str = "13a") -> DataFrame:
     """Corpus counters per group of `keys` (one row per run).
@@ -199,9 +212,9 @@ def corpus_stats(df: DataFrame, keys: list[str], hyp: str = "hypothesis", ref: s
     spark = df.sparkSession
     # Statistics cost CPU per character while segments are few bytes each: size-based
     # coalescing would put a small corpus in one task. Spread segments by hash first.
-    df = df.repartition(max(spark.sparkContext.defaultParallelism, 1) * 2, *keys, hyp)
-    seg = segment_stats(F.coalesce(F.col(hyp), F.lit("")), F.coalesce(F.col(ref), F.lit("")), tokenizer)
-    long = df.select(*keys, F.posexplode(let(seg, lambda s: _counters(s))).alias("ci", "v"))
+    df = df.select(*keys, F.col(hyp).alias("_hyp"), F.col(ref).alias("_ref"))
+    df = df.repartition(max(spark.sparkContext.defaultParallelism, 1) * 2, *keys, "_hyp")
+    long = df.select(*keys, F.posexplode(_counter_column(spark, tokenizer)).alias("ci", "v"))
     sums = long.groupBy(*keys, "ci").agg(F.sum("v").alias("v"))
     return sums.groupBy(*keys).agg(
         *[F.coalesce(F.max(F.when(F.col("ci") == i, F.col("v"))), F.lit(0)).cast("bigint").alias(nm)
