@@ -59,11 +59,15 @@ def echo_stand_in(prompt: Column, hyp: Column) -> Column:
     return F.concat(prompt, F.lit(" "), hyp, F.lit("\nextra"))
 
 
-def predictions(prompts: DataFrame, outputs: DataFrame, keys: list[str]) -> DataFrame:
-    """JOIN-5: (keys..., prompt, hypothesis, reference) joined on keys, not on position."""
-    hyps = outputs.select(*keys, "raw")
-    j = prompts.select(*keys, "prompt", "reference").join(hyps, keys, "inner")
-    return j.select(*keys, "prompt", clean(F.col("raw"), F.col("prompt")).alias("hypothesis"), "reference")
+def predictions(prompts: DataFrame, outputs: DataFrame, keys: list[str], carry: tuple[str, ...] = ()) -> DataFrame:
+    """JOIN-5: (carry..., keys..., prompt, hypothesis, reference) joined on keys, not on position.
+
+    `carry` are output-side columns kept as they are (e.g. the run of a grid whose runs
+    share one prompt table).
+    """
+    hyps = outputs.select(*carry, *keys, "raw")
+    j = hyps.join(prompts.select(*keys, "prompt", "reference"), keys, "inner")
+    return j.select(*carry, *keys, "prompt", clean(F.col("raw"), F.col("prompt")).alias("hypothesis"), "reference")
 
 
 def lost_rows(prompts: DataFrame, outputs: DataFrame, keys: list[str]) -> DataFrame:

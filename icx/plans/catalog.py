@@ -188,11 +188,7 @@ def _outputs(prompts):
 
 def _predictions(spark, sf_dir):
     prompts = _prompts(spark, sf_dir)
-    return G.predictions(prompts.crossJoin(F.broadcast(_run_table(spark))), _outputs(prompts), ["run_id", "row_id"])
-
-
-def _run_table(spark):
-    return spark.createDataFrame([(r,) for r in RUNS], "run_id string")
+    return G.predictions(prompts, _outputs(prompts), ["row_id"], carry=("run_id",))
 
 
 PROMPTS_SQL = sql.few_shot_text(TEST_SQL, DEV_SQL, K, SEED, SRC, TGT)
