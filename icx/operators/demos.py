@@ -69,7 +69,6 @@ def attach(
     force: str | None = None,
 ) -> DataFrame:
     """Add `demos: array<struct<pos, cols...>>` in demonstration order."""
-    struct_fields = lambda prefix: [F.col(f"{prefix}{c}").alias(c) for c in cols]
     empty = F.array().cast(
         "array<struct<pos:int," + ",".join(f"{c}:string" for c in cols) + ">>"
     )

@@ -288,11 +288,9 @@ def _homogeneous(spark, sf_dir, direction="target", attack=HOMO_ATTACK, rate=PTB
 def _homogeneous_sql(direction="target", attack=HOMO_ATTACK, rate=PTB_RATE):
     col = "src" if direction == "source" else "tgt"
     lang = SRC if direction == "source" else TGT
-    other = "tgt" if col == "src" else "src"
     noisy = sql.ptb_sql(attack, f"SELECT row_id, {col} AS text, '{lang}' AS code FROM ({DEV_SQL})", ["row_id"], rate, SEED)
     dev = (f"SELECT d.row_id, {'n.perturbed' if col == 'src' else 'd.src'} AS src, "
            f"{'n.perturbed' if col == 'tgt' else 'd.tgt'} AS tgt FROM ({DEV_SQL}) d JOIN ({noisy}) n ON n.row_id = d.row_id")
-    del other
     return sql.few_shot_text(TEST_SQL, dev, K, SEED, SRC, TGT)
 
 
