@@ -65,7 +65,9 @@ def q_select_demos(spark: SparkSession, sf_dir: str) -> DataFrame:
     pool = D.Pool.build(dev)
     drawn = D.draw(test.select("row_id"), "row_id", pool.size, K, SEED)
     ex = drawn.select("row_id", F.posexplode("demo_idx").alias("demo_pos", "demo_idx"))
-    return ex.join(pool.df.withColumnRenamed("idx", "demo_idx"), "demo_idx").select(
+    side = pool.df.withColumnRenamed("idx", "demo_idx")
+    side = F.broadcast(side) if pool.broadcastable() else side  # measured size, else shuffle join
+    return ex.join(side, "demo_idx").select(
         "row_id", "demo_pos", "demo_idx", "src", "tgt"
     )
 
