@@ -189,7 +189,9 @@ def _outputs(prompts):
 
 
 def _predictions(spark, sf_dir):
-    prompts = _prompts(spark, sf_dir)
+    # Every run of the grid reads the same prompt table: materialise it once (reliable
+    # checkpoint) instead of re-deriving it in each branch of the union.
+    prompts = _prompts(spark, sf_dir).checkpoint(eager=True)
     return G.predictions(prompts, _outputs(prompts), ["row_id"], carry=("run_id",))
 
 
