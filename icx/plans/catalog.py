@@ -37,7 +37,8 @@ def _split(df: DataFrame, which: str) -> DataFrame:
 
 def _test_dev(spark, sf_dir):
     p = tables.pairs(spark, sf_dir)
-    return tables.spread(_split(p, "test"), "row_id"), _split(p, "dev")
+    scan = tables.read(spark, sf_dir, "conversations")
+    return tables.spread(_split(p, "test"), "row_id", basis=scan), _split(p, "dev")
 
 
 TEST_SQL = f"SELECT row_id, src, tgt FROM ({sql.PAIRS}) WHERE split = 'test'"

@@ -75,15 +75,16 @@ def lang_code_col(lang):
     return out
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash-spread rows over the cluster when the scan yields fewer partitions than cores.
+def spread(df: DataFrame, *keys: str, basis: DataFrame | None = None) -> DataFrame:
+    """Hash-spread rows over the cluster when the source scan yields fewer splits than cores.
 
     Per-row text operators cost CPU per character; a corpus stored as one large row
     group would otherwise run in a single task. On a large corpus the scan already has
-    many more splits than cores and nothing is shuffled.
+    many more splits than cores and nothing is shuffled. The decision looks at the
+    split count of `basis` (a plain scan; defaults to `df`), which needs no job.
     """
     par = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= par:
+    if (basis if basis is not None else df).rdd.getNumPartitions() >= par:
         return df
     return df.repartition(2 * par, *keys)
 
