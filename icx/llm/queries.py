@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from icx.llm import mix, quality, shard, urlfilter
+from icx.llm import mix, quality, shard, tokcount, tokenbin, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,10 +22,18 @@ def op3_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard.sharded(table(spark, sf_dir, "documents"))
 
 
+def op5_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenbin.token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.mixed_copies(table(spark, sf_dir, "documents")).drop("copies", "key")
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokcount.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.verdicts(table(spark, sf_dir, "pages"), urlfilter.rule_table(spark))
 
@@ -32,7 +41,9 @@ def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op3_histogram_shards": op3_histogram_shards,
+    "op5_token_codes": op5_token_codes,
     "op6_source_mix": op6_source_mix,
+    "op8_token_counts": op8_token_counts,
     "op9_url_rules": op9_url_rules,
 }
 
