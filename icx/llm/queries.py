@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from icx.llm import decontaminate, mix, quality, shard, tokcount, tokenbin, urlfilter
+from icx.llm import decontaminate, mix, pii, quality, shard, tokcount, tokenbin, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +27,10 @@ def op3_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard.sharded(table(spark, sf_dir, "documents"))
 
 
+def op4_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replaced(table(spark, sf_dir, "documents")).withColumn("kinds", F.array_join("kinds", ","))
+
+
 def op5_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -46,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_string_tiling": op1_string_tiling,
     "op2_quality_rules": op2_quality_rules,
     "op3_histogram_shards": op3_histogram_shards,
+    "op4_surrogates": op4_surrogates,
     "op5_token_codes": op5_token_codes,
     "op6_source_mix": op6_source_mix,
     "op8_token_counts": op8_token_counts,
