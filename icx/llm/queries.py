@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from icx.llm import decontaminate, mix, pii, quality, shard, tokcount, tokenbin, urlfilter
+from icx.llm import decontaminate, mix, pii, quality, shard, simjoin, tokcount, tokenbin, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,10 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.mixed_copies(table(spark, sf_dir, "documents")).drop("copies", "key")
 
 
+def op7_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simjoin.joined(table(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokcount.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_surrogates": op4_surrogates,
     "op5_token_codes": op5_token_codes,
     "op6_source_mix": op6_source_mix,
+    "op7_jaccard_components": op7_jaccard_components,
     "op8_token_counts": op8_token_counts,
     "op9_url_rules": op9_url_rules,
 }
