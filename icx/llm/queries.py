@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from icx.llm import decontaminate, mix, pii, quality, shard, simjoin, tokcount, tokenbin, urlfilter
+from icx.llm import decontaminate, mix, pii, quality, shard, simjoin, suffixdedup, tokcount, tokenbin, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +51,10 @@ def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.verdicts(table(spark, sf_dir, "pages"), urlfilter.rule_table(spark))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.deduplicated(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_string_tiling": op1_string_tiling,
     "op2_quality_rules": op2_quality_rules,
@@ -61,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_jaccard_components": op7_jaccard_components,
     "op8_token_counts": op8_token_counts,
     "op9_url_rules": op9_url_rules,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 ORACLES: dict[str, str] = {

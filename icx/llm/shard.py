@@ -127,10 +127,11 @@ def splitters(keys: DataFrame, cuts: int) -> list[tuple[int, ...]]:
                 [(iv, probe, i, o.low, o.width, len(o.fixed)) for i, (iv, probe, o) in enumerate(refined)],
                 "iv int, probe long, next int, low long, width long, depth int",
             )
-            rows = (
+            rows = written(
                 probed.select(*KEYS, "size", "iv", "probe")
                 .join(F.broadcast(table), ["iv", "probe"])  # at most one row for each splitter
-                .select(*KEYS, "size", F.col("next").alias("iv"), "low", "width", "depth")
+                .select(*KEYS, "size", F.col("next").alias("iv"), "low", "width", "depth"),
+                "open",
             )
     return [found[i] for i in range(len(goals))]
 
