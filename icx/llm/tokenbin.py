@@ -21,6 +21,7 @@ from __future__ import annotations
 import struct
 import sys
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,49 +37,115 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 END_ID = 1
 RANK_EVERY = 512
-#: Distinct words remembered per task; beyond that the memory starts anew.
-REMEMBERED = 200_000
-#: Fixed value: how this vocabulary's encoder splits lower-cased text before its merges.
-SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Words of these characters are unchanged by composition and have simple lower case.
-PLAIN = "[!-~À-įı-ſ]+"
+#: Distinct pieces remembered per task; beyond that the memory starts anew.
+REMEMBERED = 500_000
 
 
-class WordIds:
-    """Ids of single words; no token of the vocabulary spans white space."""
+def _classes() -> np.ndarray:
+    """Per byte of lower-cased text: 0 white space, 1 letter, 2 digit, 3 other; 9 needs the library."""
+    out = np.full(256, 9, np.uint8)
+    for b in range(0x21, 0x7F):
+        out[b] = 1 if chr(b).isalpha() else 2 if chr(b).isdigit() else 3
+    out[SPACE] = 0
+    out[0x80:0xC0] = 1  # only behind 0xC3: the letters of Latin-1
+    out[0xC3] = 1
+    out[ord("'")] = 9  # contractions
+    return out
+
+
+CLASS = _classes()
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+
+
+class Pieces:
+    """Ids of the pieces that the vocabulary's encoder splits texts into, remembered by hash.
+
+    No piece spans white space. Words of ASCII and Latin-1 letters, digits and signs are
+    lower-cased and cut as arrays; all others (contractions, other scripts, special
+    strings) are pieces of their own, which the library encodes.
+    """
 
     def __init__(self, path: str):
-        import regex
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tokenize = self.tok.model.tokenize
-        self.split = regex.compile(SPLIT).findall
-        self.plain = regex.compile(PLAIN).fullmatch
-        self.table = byte_alphabet()
-        self.pieces: dict[str, list[int]] = {}
-
-    def __call__(self, word: str) -> list[int]:
-        if "<|" in word or not self.plain(word):
-            return self.tok.encode(word, add_special_tokens=False).ids
-        out: list[int] = []
-        for piece in self.split(word.lower()):
-            ids = self.pieces.get(piece)
-            if ids is None:
-                ids = self.pieces[piece] = [t.id for t in self.tokenize(piece.encode().decode("latin-1").translate(self.table))]
-            out += ids
-        return out
-
-
-def gathered(lengths: np.ndarray, flat: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """Concatenation of the ragged rows `order` of (lengths, flat)."""
-    begin = np.zeros(len(lengths) + 1, np.int64)
-    np.cumsum(lengths, out=begin[1:])
-    n = lengths[order]
-    total = np.zeros(len(n) + 1, np.int64)
-    np.cumsum(n, out=total[1:])
-    at = np.arange(total[-1]) + np.repeat(begin[:-1][order] - total[:-1], n)
-    return flat[at]
+        self.table = byte_alphabet() | {0: "\0"}
+        self.hash = np.zeros(0, np.uint64)
+        self.begin = np.zeros(0, np.int64)
+        self.size = np.zeros(0, np.int64)
+        self.flat = np.zeros(0, np.uint32)
+
+    @staticmethod
+    def cut(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(lower-cased bytes, starts, ends, whether the library is needed) of all pieces."""
+        low = LOWER[data]
+        accent = np.flatnonzero(low[:-1] == 0xC3) + 1
+        capital = accent[(low[accent] <= 0x9E) & (low[accent] != 0x97)]
+        low[capital] += 0x20
+        kind = CLASS[low]
+        kind[accent[(low[accent] == 0x97) | (low[accent] == 0xB7)]] = 9  # the two signs among the letters
+        inside = kind > 0
+        start, end = runs(inside, off)
+        odd = np.zeros(len(data) + 1, np.int64)
+        np.cumsum(kind == 9, out=odd[1:])
+        special = np.flatnonzero((low[:-1] == ord("<")) & (low[1:] == ord("|")))
+        if len(special):
+            mark = np.zeros(len(data) + 1, np.int64)
+            mark[special + 1] = 1
+            odd += np.cumsum(mark)
+        hard = odd[end] > odd[start]
+        whole = np.zeros(len(data) + 1, np.int32)
+        whole[start[hard]] += 1
+        whole[end[hard]] -= 1
+        plain = np.cumsum(whole[:-1]) == 0
+        first = np.zeros(len(data), bool)
+        first[1:] = inside[1:] & plain[1:] & ((kind[1:] != kind[:-1]) | (kind[1:] == 2))
+        first[start] = True
+        last = inside.copy()
+        last[:-1] &= ~inside[1:] | first[1:]
+        at = np.flatnonzero(first)
+        return low, at, np.flatnonzero(last) + 1, ~plain[at]
+
+    def ids(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row of the memory of every piece in order, text of every piece)."""
+        low, start, end, hard = self.cut(data, off)
+        h = SpanHash(low)(start, end)
+        if hard.any():
+            h[hard] = SpanHash(data)(start[hard], end[hard]) ^ np.uint64(1)
+        h, first, back = np.unique(h, return_index=True, return_inverse=True)
+        place = np.minimum(np.searchsorted(self.hash, h), max(0, len(self.hash) - 1))
+        new = np.flatnonzero(self.hash[place] != h) if len(self.hash) else np.arange(len(h))
+        if len(new):
+            self._learn(data, low, h[new], start[first[new]], end[first[new]], hard[first[new]])
+            place = np.searchsorted(self.hash, h)
+        return place[back.reshape(-1)], owners(start, off)
+
+    def _learn(self, data: np.ndarray, low: np.ndarray, h: np.ndarray, start: np.ndarray, end: np.ndarray, hard: np.ndarray) -> None:
+        raw, lowered, tokenize = data.tobytes(), low.tobytes(), self.tokenize
+        got: list[list[int]] = [[]] * len(h)
+        soft = np.flatnonzero(~hard)
+        if len(soft):
+            joined = b"\0".join([lowered[a:b] for a, b in zip(start[soft].tolist(), end[soft].tolist())])
+            for i, piece in zip(soft.tolist(), joined.decode("latin-1").translate(self.table).split("\0")):
+                got[i] = [t.id for t in tokenize(piece)]
+        for i in np.flatnonzero(hard).tolist():
+            got[i] = self.tok.encode(raw[start[i] : end[i]].decode(), add_special_tokens=False).ids
+        size = np.fromiter(map(len, got), np.int64, len(got))
+        begin = len(self.flat) + np.cumsum(size) - size
+        at = np.searchsorted(self.hash, h)
+        self.hash, self.begin, self.size = (np.insert(c, at, x) for c, x in ((self.hash, h), (self.begin, begin), (self.size, size)))
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(got), np.uint32, int(size.sum()))])
+
+    def forget(self) -> None:
+        self.hash, self.begin, self.size, self.flat = self.hash[:0], self.begin[:0], self.size[:0], self.flat[:0]
+
+
+def gathered(begin: np.ndarray, size: np.ndarray, flat: np.ndarray) -> np.ndarray:
+    """Concatenation of the stretches of `flat` at `begin`."""
+    total = np.cumsum(size)
+    return flat[np.arange(total[-1] if len(total) else 0) + np.repeat(begin - (total - size), size)]
 
 
 # ---- the codes -----------------------------------------------------------------------
@@ -157,32 +224,22 @@ SEGMENT = T.StructType([
 
 def _encoded(path: str, end_id: int):
     def run(batches):
-        words = WordIds(path)
-        known: dict[int, list[int]] = {}
+        pieces = Pieces(path)
         part, before = TaskContext.get().partitionId(), 0
         for seq, (batch, data, off) in enumerate(blocks(batches)):
-            if len(known) > REMEMBERED:
-                known.clear()
-                words.pieces.clear()
-            start, end = runs(~SPACE[data], off)
-            doc = owners(start, off)
-            h, first, back = np.unique(SpanHash(data)(start, end), return_index=True, return_inverse=True)
-            raw = data.tobytes()
-            table = []
-            for x, a, b in zip(h.tolist(), start[first].tolist(), end[first].tolist()):
-                ids = known.get(x)
-                if ids is None:
-                    ids = known[x] = words(raw[a:b].decode())
-                table.append(ids)
-            # the end id is one more word after each text's own
-            n, rows = batch.num_rows, len(table)
-            table.append([end_id])
-            lengths = np.fromiter(map(len, table), np.int64, len(table))
-            flat = np.fromiter((i for ids in table for i in ids), np.uint32, int(lengths.sum()))
-            owner = np.concatenate([doc, np.arange(n)])
-            order = np.concatenate([back.reshape(-1), np.full(n, rows, np.int64)])[np.argsort(owner, kind="stable")]
-            size = np.bincount(owner, weights=np.concatenate([lengths[back.reshape(-1)], np.ones(n)]), minlength=n).astype(np.int64)
-            ids = gathered(lengths, flat, order)
+            if len(pieces.hash) > REMEMBERED:
+                pieces.forget()
+            place, doc = pieces.ids(data, off)
+            # every text's own ids, then the end id
+            n = batch.num_rows
+            begin, size = pieces.begin[place], pieces.size[place]
+            own = np.bincount(doc, weights=size, minlength=n).astype(np.int64)
+            stop = np.cumsum(own + 1)
+            ids = np.full(int(stop[-1]) if n else 0, end_id, np.uint32)
+            inner = np.ones(len(ids), bool)
+            inner[stop - 1] = False
+            ids[inner] = gathered(begin, size, pieces.flat)
+            size = own + 1
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([part], pa.int32()), pa.array([seq], pa.int32()),
@@ -206,13 +263,14 @@ def write_documents(docs: DataFrame, vocabulary: str, path: str, end_id: int = E
 
 def _decoded(batches):
     for batch in batches:
-        for row in batch.to_pylist():
-            ids = Codes(row["codes"]).all().astype("<u4")
-            size = np.array(row["lengths"], np.int64)
+        docs, lengths, codes, base = batch.columns
+        for i in range(batch.num_rows):
+            ids = Codes(codes[i].as_buffer()).all().astype("<u4")
+            size = lengths[i].values.to_numpy()
             stop = np.cumsum(size)
             crc = [zlib.crc32(ids[b - n : b].tobytes()) for b, n in zip(stop, size)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(row["doc_ids"], pa.int64()), pa.array(row["base"] + stop - size), pa.array(size), pa.array(crc, pa.int64())],
+                [docs[i].values, pa.array(base[i].as_py() + stop - size), pa.array(size), pa.array(crc, pa.int64())],
                 names=["doc_id", "start", "n_tokens", "ids_crc32"],
             )
 

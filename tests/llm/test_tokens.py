@@ -88,3 +88,20 @@ def test_files_equal_the_library(spark):
             start += len(ids)
         got = sorted(map(tuple, tokenbin.token_files(docs, WORDS).collect()))
         assert got == sorted(want)
+
+
+def test_pieces_equal_the_library_on_odd_words():
+    tok = Tokenizer.from_file(WORDS)
+    rng = random.Random(4)
+    letters = "aZé×÷ÀßÿñŁİıſ'’<|>19²½_-.,#*日и\x01\x7f\x1c ́"
+    words = ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 9))) for _ in range(4000)] + ["it's", "<|endoftext|>x", "A<|startoftext|>", "O'Ré'LL"]
+    texts = [" ".join(words[i : i + 7]) for i in range(0, len(words), 7)] + [""]
+    pieces = tokenbin.Pieces(WORDS)
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    off = np.cumsum([0, *[len(t.encode()) for t in texts]])
+    for _ in range(2):  # learned, then remembered
+        place, doc = pieces.ids(data, off)
+        ids = tokenbin.gathered(pieces.begin[place], pieces.size[place], pieces.flat).tolist()
+        n = np.bincount(doc, weights=pieces.size[place], minlength=len(texts)).astype(int)
+        for t, stop, size in zip(texts, np.cumsum(n), n):
+            assert ids[stop - size : stop] == tok.encode(t, add_special_tokens=False).ids, t
