@@ -3,7 +3,9 @@
 Every random choice is a pure function of (seed, tag, keys...):
 
     h(tag, keys...)   = md5(concat_ws('|', seed, tag, keys...))
-    u32(tag, keys...) = first 8 hex digits of h as an integer in [0, 2^32)
+    u60(tag, keys...) = first 15 hex digits of h as an integer in [0, 2^60)
+
+60 bits reach every row of any table and leave a modulo bias below |pool| / 2^60.
 
 Per-position draws inside a text (thousands per row) use one md5 per (row, tag) and
 a polynomial of the position over the prime P = 2^31 - 1 (Horner form, so the
@@ -24,8 +26,8 @@ from pyspark.sql import functions as F
 
 from icx.functions.arrays import let
 
-# Rank keys combine the 32-bit hash with the position so that ties are impossible:
-# u32 * 2^31 + pos < 2^63 for every pos < 2^31.
+# Rank keys combine the 31-bit position hash with the position so that ties are impossible:
+# pos_hash * 2^31 + pos < 2^62 for every pos < 2^31.
 POS_RADIX = 2147483648
 
 
@@ -39,8 +41,8 @@ def h(seed: int, tag: str, *keys) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(tag), *[_key(k) for k in keys]))
 
 
-def u32(seed: int, tag: str, *keys) -> Column:
-    return F.conv(F.substring(h(seed, tag, *keys), 1, 8), 16, 10).cast("bigint")
+def u60(seed: int, tag: str, *keys) -> Column:
+    return F.conv(F.substring(h(seed, tag, *keys), 1, 15), 16, 10).cast("bigint")
 
 
 PRIME = 2147483647
@@ -70,11 +72,6 @@ def pos_rank(s: Column, pos: Column) -> Column:
     return pos_hash(s, pos) * F.lit(POS_RADIX) + pos.cast("bigint")
 
 
-def rank_key(seed: int, tag: str, pos: Column, *keys) -> Column:
-    """Unique per-position random key for a single position (computes the row seed)."""
-    return pos_rank(row_seeds(seed, [tag], list(keys))[tag], pos)
-
-
 def key_pos(rk: Column) -> Column:
     """Position encoded in a rank key."""
     return (rk % F.lit(POS_RADIX)).cast("int")
@@ -89,7 +86,7 @@ def kmax(n: Column, rate: float, at_least_one: bool = True) -> Column:
 def floyd_draw(seed: int, tag: str, row_key: Column, d: int, k: int) -> Column:
     """k distinct indexes from [0, d), uniform, as an array (Floyd's algorithm).
 
-    Step j = d-k .. d-1 draws t = u32(row, j) mod (j+1) and adds t, or j when t is
+    Step j = d-k .. d-1 draws t = u60(row, j) mod (j+1) and adds t, or j when t is
     already present. k steps per row, no rejection loop, no cross join.
     """
     if k <= 0:
@@ -100,7 +97,7 @@ def floyd_draw(seed: int, tag: str, row_key: Column, d: int, k: int) -> Column:
 
     def step(acc, j):
         return let(
-            u32(seed, tag, row_key, j) % (j + 1),
+            u60(seed, tag, row_key, j) % (j + 1),
             lambda t: F.when(F.array_contains(acc, t), F.concat(acc, F.array(j))).otherwise(
                 F.concat(acc, F.array(t))
             ),
@@ -111,5 +108,5 @@ def floyd_draw(seed: int, tag: str, row_key: Column, d: int, k: int) -> Column:
 
 def shuffled(seed: int, tag: str, row_key: Column, values: Column) -> Column:
     """Values of a bigint array in hash order (random but reproducible order)."""
-    keyed = F.transform(values, lambda v: F.struct(u32(seed, tag, row_key, v).alias("h"), v.alias("v")))
+    keyed = F.transform(values, lambda v: F.struct(u60(seed, tag, row_key, v).alias("h"), v.alias("v")))
     return F.transform(F.array_sort(keyed), lambda s: s["v"])

@@ -14,25 +14,40 @@ with the defaults of the common reference implementation:
   chrF++ chrF plus word 1..2-grams of tokens with one leading or trailing ASCII
          punctuation mark split off (8 orders averaged). Reported as `chrf_pp`.
 
-Per row, every order's statistics are computed inside arrays: hypothesis and
-reference n-grams are tagged, sorted together, and the clipped match is read off
-adjacent groups — O(L log L) per row, no n-gram shuffle. Rows then reduce to a
-handful of counters that one partially aggregated `groupBy(run keys)` sums, so a
-whole experiment grid is scored in one job and a hot run key costs nothing extra.
+Tokens are made by built-in expressions, or given by the caller as array columns. The
+counting is vectorised over Arrow batches: an n-gram is the pair (its first n-1 tokens,
+its last token), numbered anew per order, so equal numbers mean equal n-grams whatever
+their length; the clipped match of a segment is read off sorted (segment, number) pairs.
+Each segment leaves as one row of counters, and one partially aggregated `groupBy(run
+keys)` sums them: no n-gram is shuffled, and a whole grid of runs is scored in one job.
+Only the orders of the metrics asked for are counted.
+
+Segments are dealt round-robin before counting, never by their text, so a run of equal or
+empty hypotheses spreads like any other.
 """
 
 from __future__ import annotations
 
 import string
+import sys
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from icx.functions.arrays import at, let
 from icx.functions.text import no_space, words
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 BLEU_ORDER, CHAR_ORDER, WORD_ORDER, BETA = 4, 6, 2, 2.0
 TOKENIZERS = ("whitespace", "13a", "char")
+METRICS = ("bleu", "chrf", "chrf_pp")
+#: Characters that one counting step looks at.
+STEP = 1 << 20
 
 # The 13a tokenizer's substitutions (mteval-v13a), in order.
 _13A_CLASS = r"[\x{7B}-\x{7E}\x{5B}-\x{60}\x{20}-\x{26}\x{28}-\x{2B}\x{3A}-\x{40}\x{2F}]"
@@ -59,7 +74,8 @@ def bleu_tokens(text: Column, tokenizer: str) -> Column:
     if tokenizer == "13a":
         return tokenize_13a(text)
     if tokenizer == "char":
-        return F.split(no_space(text), "")
+        s = no_space(text)
+        return F.when(F.length(s) == 0, F.array().cast("array<string>")).otherwise(F.split(s, ""))
     raise ValueError(f"unknown tokenizer {tokenizer!r}")
 
 
@@ -82,149 +98,136 @@ def chrf_words(text: Column) -> Column:
     return F.flatten(F.transform(words(text), split_word))
 
 
-def grams(T: Column, n: int, sep: str) -> Column:
-    """All n-grams of array T as strings (empty when T is shorter than n).
-
-    T is indexed once per element: pass a bound (lambda) variable, not an expression.
-    """
-    head = F.slice(T, 1, F.greatest(F.size(T) - n + 1, F.lit(0)))
-    if n == 1:
-        return head
-    return F.transform(head, lambda x, i: F.concat_ws(sep, x, *[T[i + k] for k in range(1, n)]))
-
-
-def _occurrence_keys(A: Column) -> Column:
-    """Each element of A tagged with its occurrence number among equal elements.
-
-    'j-th copy of gram g' is encoded as a fixed-width number followed by g, which is
-    one-to-one for any text. Sorting plain strings groups equal grams; group starts
-    and per-group slices number the copies in O(n).
-    """
-    def with_sorted(Srt):
-        n = F.size(Srt)
-        starts = F.filter(
-            F.transform(Srt, lambda e, x: F.when((x == 0) | (e != at(Srt, x - 1)), x).otherwise(-1)), lambda x: x >= 0
-        )
-        return let(starts, lambda G: F.flatten(F.transform(
-            G,
-            lambda st, gi: let(F.coalesce(at(G, gi + 1), n), lambda end: F.transform(
-                F.slice(Srt, st + 1, end - st), lambda g, j: F.concat(F.lpad(j.cast("string"), 10, "0"), g)
-            )),
-        )))
-
-    return let(F.array_sort(A), with_sorted)
-
-
-def match_count(H: Column, R: Column) -> Column:
-    """Σ_g min(count_H(g), count_R(g)) — the clipped n-gram match of two arrays.
-
-    With every copy numbered, the multiset intersection is the set intersection of
-    (copy, gram) keys, which `array_intersect` computes with a hash set.
-    """
-    return F.size(F.array_intersect(_occurrence_keys(H), _occurrence_keys(R))).cast("bigint")
-
-
-def _order_stats(H: Column, R: Column) -> Column:
-    return let(F.struct(H.alias("h"), R.alias("r")), lambda X: F.struct(
-        F.size(X["h"]).cast("bigint").alias("h"),
-        F.size(X["r"]).cast("bigint").alias("r"),
-        match_count(X["h"], X["r"]).alias("m"),
-    ))
-
-
-def segment_stats(hyp: Column, ref: Column, tokenizer: str = "13a", word_order: int = WORD_ORDER) -> Column:
-    """Per-segment counters for all three metrics as one struct."""
-    def body(X):
-        fields = [
-            F.size(X["hw"]).cast("bigint").alias("sys_len"),
-            F.size(X["rw"]).cast("bigint").alias("ref_len"),
-        ]
-        for n in range(1, BLEU_ORDER + 1):
-            fields.append(_order_stats(grams(X["hw"], n, " "), grams(X["rw"], n, " ")).alias(f"b{n}"))
-        for n in range(1, CHAR_ORDER + 1):
-            fields.append(_order_stats(grams(X["hc"], n, ""), grams(X["rc"], n, "")).alias(f"c{n}"))
-        for n in range(1, word_order + 1):
-            fields.append(_order_stats(grams(X["hp"], n, " "), grams(X["rp"], n, " ")).alias(f"w{n}"))
-        return F.struct(*fields)
-
-    def chars_of(t):
-        s = no_space(t)
-        return F.when(F.length(s) == 0, F.array().cast("array<string>")).otherwise(F.split(s, ""))
-
-    def arrays(H, R):
-        return F.struct(
-            bleu_tokens(H, tokenizer).alias("hw"), bleu_tokens(R, tokenizer).alias("rw"),
-            chars_of(H).alias("hc"), chars_of(R).alias("rc"),
-            chrf_words(H).alias("hp"), chrf_words(R).alias("rp"),
-        )
-
-    # bind the two texts first: they are often whole upstream expressions (a model
-    # stand-in, a perturbation) that must be evaluated once per row, not once per use
-    return let(F.struct(hyp.alias("h"), ref.alias("r")), lambda X: let(arrays(X["h"], X["r"]), body))
-
-
-def _counter_names(word_order: int = WORD_ORDER) -> list[str]:
-    names = ["sys_len", "ref_len"]
-    for n in range(1, BLEU_ORDER + 1):
-        names += [f"bleu_match_{n}", f"bleu_total_{n}", f"bleu_ref_{n}"]
-    for name, orders in (("chr", CHAR_ORDER), ("word", word_order)):
-        for n in range(1, orders + 1):
-            names += [f"{name}_hyp_{n}", f"{name}_ref_{n}", f"{name}_match_{n}"]
+# ---- counting ------------------------------------------------------------------------
+
+Stream = tuple[np.ndarray, np.ndarray]  # token numbers, and the segment of each
+
+
+def _token_streams(hyp: pa.Array, ref: pa.Array) -> tuple[Stream, Stream]:
+    """Numbered tokens of two list columns."""
+    both = pa.concat_arrays([hyp.flatten(), ref.flatten()]).dictionary_encode()
+    ids = both.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    n = len(hyp.flatten())
+    seg = [np.repeat(np.arange(len(c)), np.diff(c.offsets.to_numpy())) for c in (hyp, ref)]
+    return (ids[:n], seg[0]), (ids[n:], seg[1])
+
+
+def _char_streams(hyp: list[str], ref: list[str]) -> tuple[Stream, Stream]:
+    """Code points of two text columns."""
+    out = []
+    for texts in (hyp, ref):
+        points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        out.append((points, np.repeat(np.arange(len(texts)), np.fromiter(map(len, texts), np.int64, len(texts)))))
+    return out[0], out[1]
+
+
+def _counted(hyp: Stream, ref: Stream, n_seg: int, orders: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Per order: n-grams of the hypothesis, of the reference, and clipped matches, by segment."""
+    ids = np.concatenate([hyp[0], ref[0]])
+    seg = np.concatenate([hyp[1], ref[1] + n_seg])  # each side of a segment is a text of its own
+    values, gram = np.unique(ids, return_inverse=True)
+    ids, at = gram, np.arange(len(gram))
+    for order in range(1, orders + 1):
+        if order > 1:
+            fits = at + order - 1 < len(ids)
+            at, gram = at[fits], gram[fits]
+            same = seg[at] == seg[at + order - 1]
+            at, gram = at[same], gram[same]
+            _, gram = np.unique(gram * len(values) + ids[at + order - 1], return_inverse=True)
+        own = seg[at]
+        left = own < n_seg
+        size = len(gram) + 1
+        (kh, ch), (kr, cr) = (np.unique((own[m] % n_seg) * size + gram[m], return_counts=True) for m in (left, ~left))
+        both, ih, ir = np.intersect1d(kh, kr, assume_unique=True, return_indices=True)
+        match = np.bincount(both // size, weights=np.minimum(ch[ih], cr[ir]), minlength=n_seg).astype(np.int64)
+        yield np.bincount(own[left], minlength=n_seg), np.bincount(own[~left] - n_seg, minlength=n_seg), match
+
+
+def _orders(metrics: tuple[str, ...]) -> dict[str, int]:
+    """Families of n-grams that the metrics need, with their highest order."""
+    out = {"bleu": BLEU_ORDER} if "bleu" in metrics else {}
+    if {"chrf", "chrf_pp"} & set(metrics):
+        out["chr"] = CHAR_ORDER
+    if "chrf_pp" in metrics:
+        out["word"] = WORD_ORDER
+    return out
+
+
+def _counter_names(orders: dict[str, int]) -> list[str]:
+    names = ["sys_len", "ref_len"] if "bleu" in orders else []
+    for family, most in orders.items():
+        names += [f"{family}_{x}_{n}" for n in range(1, most + 1) for x in ("hyp", "ref", "match")]
     return names
 
 
-def _counters(s: Column, word_order: int = WORD_ORDER) -> Column:
-    """The segment struct flattened to one bigint array, in `_counter_names` order."""
-    vals = [s["sys_len"], s["ref_len"]]
-    for n in range(1, BLEU_ORDER + 1):
-        b = s[f"b{n}"]
-        vals += [b["m"], b["h"], b["r"]]
-    for prefix, orders in (("c", CHAR_ORDER), ("w", word_order)):
-        for n in range(1, orders + 1):
-            o = s[f"{prefix}{n}"]
-            # hypothesis n-grams count only where the reference has this order
-            vals += [F.when(o["r"] > 0, o["h"]).otherwise(F.lit(0).cast("bigint")), o["r"], o["m"]]
-    return F.array(*[v.cast("bigint") for v in vals])
-
-
-_COUNTER_CACHE: dict = {}
-
-
-def _counter_column(spark, tokenizer: str) -> Column:
-    """The per-segment counter expression over columns `_hyp`/`_ref`, built once per
-    session and tokenizer (it is large; building it costs many driver round trips)."""
-    key = (id(spark._jsparkSession), tokenizer)
-    if key not in _COUNTER_CACHE:
-        seg = segment_stats(F.coalesce(F.col("_hyp"), F.lit("")), F.coalesce(F.col("_ref"), F.lit("")), tokenizer)
-        _COUNTER_CACHE[key] = let(seg, lambda s: _counters(s))
-    return _COUNTER_CACHE[key]
-
-
-def corpus_stats(df: DataFrame, keys: list[str], hyp: str = "hypothesis", ref: str = "reference",
-                 tokenizer: str = "13a") -> DataFrame:
+def _count_batches(keys: list[str], orders: dict[str, int]):
+    names = _counter_names(orders)
+
+    def counters(part: pa.RecordBatch) -> list[np.ndarray]:
+        n, out = part.num_rows, []
+        column = {name: part.column(i) for i, name in enumerate(part.schema.names)}
+        for family, most in orders.items():
+            if family == "chr":
+                streams = _char_streams(column["_h_chr"].to_pylist(), column["_r_chr"].to_pylist())
+            else:
+                streams = _token_streams(column[f"_h_{family}"], column[f"_r_{family}"])
+            for order, (h, r, m) in enumerate(_counted(*streams, n, most), 1):
+                if family == "bleu" and order == 1:
+                    out += [h, r]
+                # characters and words of a hypothesis count only where the reference has this order
+                out += [h if family == "bleu" else np.where(r > 0, h, 0), r, m]
+        return out
+
+    def run(batches):
+        for batch in batches:
+            size = np.cumsum(batch.column(batch.schema.get_field_index("_size")).to_numpy())
+            a = 0
+            while a < batch.num_rows:
+                before = size[a - 1] if a else 0
+                b = max(a + 1, int(np.searchsorted(size, before + STEP, side="right")))
+                part = batch.slice(a, b - a)
+                kept = [part.column(part.schema.get_field_index(k)) for k in keys]
+                yield pa.RecordBatch.from_arrays([*kept, *[pa.array(c.astype(np.int64)) for c in counters(part)]], names=[*keys, *names])
+                a = b
+
+    return run
+
+
+def corpus_stats(df: DataFrame, keys: list[str], hyp: str = "hypothesis", ref: str = "reference", tokenizer: str = "13a",
+                 metrics: tuple[str, ...] = METRICS, tokens: tuple[str, str] | None = None) -> DataFrame:
     """Corpus counters per group of `keys` (one row per run).
 
-    Each segment's counters leave the row as one array through `posexplode`, so the
-    statistics expression is evaluated exactly once per segment; the (run, counter)
-    sums are partially aggregated before the shuffle and pivoted back per run.
+    `tokens` names two array<string> columns that hold the caller's own BLEU tokens of
+    hypothesis and reference; otherwise `tokenizer` makes them. Null texts (and null token
+    arrays) count as empty.
     """
-    names = _counter_names()
+    orders = _orders(metrics)
     spark = df.sparkSession
-    # Statistics cost CPU per character while segments are few bytes each: size-based
-    # coalescing would put a small corpus in one task. Spread segments by hash first.
-    df = df.select(*keys, F.col(hyp).alias("_hyp"), F.col(ref).alias("_ref"))
-    df = df.repartition(max(spark.sparkContext.defaultParallelism, 1) * 2, *keys, "_hyp")
-    long = df.select(*keys, F.posexplode(_counter_column(spark, tokenizer)).alias("ci", "v"))
-    sums = long.groupBy(*keys, "ci").agg(F.sum("v").alias("v"))
-    return sums.groupBy(*keys).agg(
-        *[F.coalesce(F.max(F.when(F.col("ci") == i, F.col("v"))), F.lit(0)).cast("bigint").alias(nm)
-          for i, nm in enumerate(names)]
-    )
+    text = {side: F.coalesce(F.col(c), F.lit("")) for side, c in (("h", hyp), ("r", ref))}
+    columns = {}
+    for i, (side, t) in enumerate(text.items()):
+        if "bleu" in orders:
+            own = F.coalesce(F.col(tokens[i]), F.array().cast("array<string>")) if tokens else bleu_tokens(t, tokenizer)
+            columns[f"_{side}_bleu"] = own
+        if "chr" in orders:
+            columns[f"_{side}_chr"] = no_space(t)
+        if "word" in orders:
+            columns[f"_{side}_word"] = chrf_words(t)
+    needed = [*dict.fromkeys([*keys, hyp, ref, *(tokens or ())])]
+    # counting costs CPU per character: deal the segments to as many tasks as the session
+    # plans for a shuffle, and to all cores at least
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    dealt = df.select(*needed).repartition(tasks)
+    size = (F.length(text["h"]) + F.length(text["r"])).cast("long")
+    rows = dealt.select(*keys, size.alias("_size"), *[c.alias(name) for name, c in columns.items()])
+    schema = T.StructType([*[df.schema[k] for k in keys], *[T.StructField(n, T.LongType()) for n in _counter_names(orders)]])
+    counted = rows.mapInArrow(_count_batches(keys, orders), schema)
+    return counted.groupBy(*keys).agg(*[F.sum(n).alias(n) for n in _counter_names(orders)])
 
 
 def bleu_from_stats() -> Column:
     c = [F.col(f"bleu_match_{n}").cast("double") for n in range(1, BLEU_ORDER + 1)]
-    t = [F.col(f"bleu_total_{n}").cast("double") for n in range(1, BLEU_ORDER + 1)]
+    t = [F.col(f"bleu_hyp_{n}").cast("double") for n in range(1, BLEU_ORDER + 1)]
     sys_len, ref_len = F.col("sys_len").cast("double"), F.col("ref_len").cast("double")
     bp = F.when(sys_len < ref_len, F.when(sys_len > 0, F.exp(1 - ref_len / sys_len)).otherwise(F.lit(0.0))).otherwise(
         F.lit(1.0)
@@ -256,30 +259,20 @@ def chrf_from_stats(word_order: int = 0, beta: float = BETA) -> Column:
     return F.round(F.when(eff == 0, F.lit(0.0)).otherwise(score(prec / eff, rec / eff)), 6)
 
 
-def score(df: DataFrame, keys: list[str], hyp: str = "hypothesis", ref: str = "reference",
-          tokenizer: str = "13a") -> DataFrame:
-    """(keys..., bleu, chrf, chrf_pp) — the whole grid in one aggregation."""
-    st = corpus_stats(df, keys, hyp, ref, tokenizer)
-    return st.select(
-        *keys,
-        bleu_from_stats().alias("bleu"),
-        chrf_from_stats(0).alias("chrf"),
-        chrf_from_stats(WORD_ORDER).alias("chrf_pp"),
-    )
+def score(df: DataFrame, keys: list[str], hyp: str = "hypothesis", ref: str = "reference", tokenizer: str = "13a",
+          metrics: tuple[str, ...] = METRICS, tokens: tuple[str, str] | None = None) -> DataFrame:
+    """(keys..., one column per metric) — the whole grid in one aggregation."""
+    st = corpus_stats(df, keys, hyp, ref, tokenizer, metrics, tokens)
+    made = {"bleu": bleu_from_stats, "chrf": lambda: chrf_from_stats(0), "chrf_pp": lambda: chrf_from_stats(WORD_ORDER)}
+    return st.select(*keys, *[made[m]().alias(m) for m in metrics])
 
 
 def ngram_stats(df: DataFrame, keys: list[str], hyp: str = "hypothesis", ref: str = "reference",
                 tokenizer: str = "13a") -> DataFrame:
     """Long form of the corpus counters: (keys..., metric, ord, n_hyp, n_ref, n_match)."""
     st = corpus_stats(df, keys, hyp, ref, tokenizer)
-    rows = []
-    for n in range(1, BLEU_ORDER + 1):
-        rows.append(F.struct(F.lit("bleu").alias("metric"), F.lit(n).alias("ord"),
-                             F.col(f"bleu_total_{n}").alias("n_hyp"), F.col(f"bleu_ref_{n}").alias("n_ref"),
-                             F.col(f"bleu_match_{n}").alias("n_match")))
-    for name, orders in (("chr", CHAR_ORDER), ("word", WORD_ORDER)):
-        for n in range(1, orders + 1):
-            rows.append(F.struct(F.lit(name).alias("metric"), F.lit(n).alias("ord"),
-                                 F.col(f"{name}_hyp_{n}").alias("n_hyp"), F.col(f"{name}_ref_{n}").alias("n_ref"),
-                                 F.col(f"{name}_match_{n}").alias("n_match")))
+    rows = [
+        F.struct(F.lit(family).alias("metric"), F.lit(n).alias("ord"), *[F.col(f"{family}_{x}_{n}").alias(f"n_{x}") for x in ("hyp", "ref", "match")])
+        for family, most in _orders(METRICS).items() for n in range(1, most + 1)
+    ]
     return st.select(*keys, F.explode(F.array(*rows)).alias("x")).select(*keys, "x.*")

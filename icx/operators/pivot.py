@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from icx.functions.scripts import language_name
-from icx.functions.seeded import u32
+from icx.functions.seeded import u60
 from icx.operators.prompts import pivot_prompt
 from icx.sources.index import dense_index
 
@@ -33,7 +33,7 @@ def misaligned(triples: DataFrame, key: str, seed: int, row_keys: list[str] = RO
     idx, d = dense_index(triples, [key, *row_keys], name="idx")
     blocks = idx.groupBy(key).agg(F.min("idx").alias("start"), F.count(F.lit(1)).alias("cnt"))
     outside = F.lit(d) - F.col("cnt")
-    r = F.when(outside > 0, u32(seed, f"misaligned_{key}", *[F.col(k) for k in row_keys]) % outside)
+    r = F.when(outside > 0, u60(seed, f"misaligned_{key}", *[F.col(k) for k in row_keys]) % outside)
     drawn = idx.join(blocks, key).withColumn("j", F.when(r < F.col("start"), r).otherwise(r + F.col("cnt")))
     other = idx.select(
         F.col("idx").alias("j"), F.col("src").alias("j_src"), F.col("pivot").alias("j_pivot"), F.col("tgt").alias("j_tgt")

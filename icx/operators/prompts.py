@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from icx.functions.scripts import language_name
-from icx.functions.seeded import u32
+from icx.functions.seeded import u60
 
 INSTRUCTION_KINDS = ("standard", "generic", "random", "contrastive", "no_instruct")
 
@@ -42,7 +42,7 @@ def instruction(kind: str, src_name: str, tgt_name: str, chat: bool, seed: int,
         return F.lit(GENERIC_INSTRUCTION)
     if kind == "random":
         pool = F.array(*[F.lit(s) for s in RANDOM_INSTRUCTIONS])
-        return F.element_at(pool, (u32(seed, "instruction", row_key) % len(RANDOM_INSTRUCTIONS) + 1).cast("int"))
+        return F.element_at(pool, (u60(seed, "instruction", row_key) % len(RANDOM_INSTRUCTIONS) + 1).cast("int"))
     if kind == "contrastive":
         return F.lit(f"Translate this from {tgt_name} into {src_name}" + (".\n\n" if chat else " :\n\n"))
     if kind == "no_instruct":

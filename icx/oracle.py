@@ -18,9 +18,9 @@ def lit(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-def u32(seed: int, tag: str, *keys: str) -> str:
+def u60(seed: int, tag: str, *keys: str) -> str:
     args = ", ".join([lit(str(seed)), lit(tag), *keys])
-    return f"(('0x' || substr(md5(concat_ws('|', {args})), 1, 8))::BIGINT)"
+    return f"(('0x' || substr(md5(concat_ws('|', {args})), 1, 15))::BIGINT)"
 
 
 PRIME = 2147483647
@@ -57,7 +57,7 @@ def in_class(cp: str, pclass: int = LATIN) -> str:
 # ---- fixtures ------------------------------------------------------------------------
 
 def turn_pairs(first_role: str, second_role: str) -> str:
-    return f"""SELECT a.conv_id * 1000 + a.turn AS row_id, a.text AS src, b.text AS tgt,
+    return f"""SELECT a.conv_id * 1048576 + a.turn AS row_id, a.text AS src, b.text AS tgt,
        CASE WHEN a.conv_id % 4 = 0 THEN 'test' ELSE 'dev' END AS split
 FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1
 WHERE a.role = '{first_role}' AND b.role = '{second_role}'"""
@@ -82,7 +82,7 @@ def demos_cte(test_sql: str, dev_sql: str, k: int, seed: int, cols=("src", "tgt"
         "s0 AS (SELECT row_id, []::BIGINT[] AS s FROM test)",
     ]
     for m in range(k):
-        t = f"{u32(seed, 'demo', 'row_id', 'j')} % (j + 1)"
+        t = f"{u60(seed, 'demo', 'row_id', 'j')} % (j + 1)"
         ctes.append(
             f"s{m + 1} AS (SELECT row_id, CASE WHEN list_contains(s, t) THEN list_append(s, j) "
             f"ELSE list_append(s, t) END AS s FROM (SELECT row_id, s, j, {t} AS t FROM "
@@ -91,7 +91,7 @@ def demos_cte(test_sql: str, dev_sql: str, k: int, seed: int, cols=("src", "tgt"
     ctes.append(f"picked AS (SELECT row_id, unnest(s) AS v FROM s{k})")
     ctes.append(
         f"ordered AS (SELECT row_id, v, (row_number() OVER (PARTITION BY row_id ORDER BY "
-        f"{u32(seed, 'demo_order', 'row_id', 'v')}, v) - 1)::INTEGER AS demo_pos FROM picked)"
+        f"{u60(seed, 'demo_order', 'row_id', 'v')}, v) - 1)::INTEGER AS demo_pos FROM picked)"
     )
     dcols = ", ".join(f"dev.{c} AS d_{c}" for c in cols)
     ctes.append(
@@ -108,7 +108,7 @@ def instruction_sql(kind: str, s: str, t: str, chat: bool, seed: int, key: str =
         return lit(GENERIC_INSTRUCTION)
     if kind == "random":
         arr = "[" + ", ".join(lit(x) for x in RANDOM_INSTRUCTIONS) + "]"
-        return f"{arr}[({u32(seed, 'instruction', key)} % {len(RANDOM_INSTRUCTIONS)}) + 1]"
+        return f"{arr}[({u60(seed, 'instruction', key)} % {len(RANDOM_INSTRUCTIONS)}) + 1]"
     if kind == "contrastive":
         return lit(f"Translate this from {t} into {s}" + (".\n\n" if chat else " :\n\n"))
     if kind == "no_instruct":
@@ -298,7 +298,7 @@ ix AS (SELECT *, row_number() OVER (ORDER BY {key}, sp_id, pt_id) - 1 AS idx FRO
 n AS (SELECT count(*) AS d FROM ix),
 bl AS (SELECT {key} AS bkey, min(idx) AS start, count(*) AS cnt FROM ix GROUP BY {key}),
 dr AS (SELECT ix.*, bl.start, bl.cnt,
-              CASE WHEN n.d - bl.cnt > 0 THEN {u32(seed, tag, 'ix.sp_id', 'ix.pt_id')} % (n.d - bl.cnt) END AS r
+              CASE WHEN n.d - bl.cnt > 0 THEN {u60(seed, tag, 'ix.sp_id', 'ix.pt_id')} % (n.d - bl.cnt) END AS r
        FROM ix JOIN bl ON bl.bkey = ix.{key} CROSS JOIN n),
 dj AS (SELECT dr.*, CASE WHEN r < start THEN r ELSE r + cnt END AS j FROM dr),
 mis AS (SELECT dj.sp_id, dj.pt_id, dj.src, dj.{PV}, dj.tgt, o.src AS j_src, o.{PV} AS j_pivot, o.tgt AS j_tgt

@@ -512,10 +512,10 @@ def _allied_sql(pairs_sql, seed=SEED):
     by_script = {}
     for c in codes:
         by_script.setdefault(script_of(c), []).append(c)
-    hs = sql.u32(seed, "allied_script", "src_lang", "tgt_lang")
+    hs = sql.u60(seed, "allied_script", "src_lang", "tgt_lang")
     same = "CASE split_part(src_lang, '_', 2) " + " ".join(
         f"WHEN '{sc}' THEN {_pick_sql(lst, hs)}" for sc, lst in by_script.items()) + " END"
-    rnd = _pick_sql(codes, sql.u32(seed, "allied_random", "src_lang", "tgt_lang"))
+    rnd = _pick_sql(codes, sql.u60(seed, "allied_random", "src_lang", "tgt_lang"))
     return f"""SELECT src_lang, tgt_lang, 'same' AS choice, src_lang AS aux_lang FROM ({pairs_sql})
 UNION ALL SELECT src_lang, tgt_lang, 'english', 'eng_Latn' FROM ({pairs_sql})
 UNION ALL SELECT src_lang, tgt_lang, 'same_script', {same} FROM ({pairs_sql})
@@ -716,7 +716,7 @@ def _source_copy(spark, sf_dir):
 
 for _metric in ("bleu", "chrf", "chrf_pp"):
     register(_metric, f"SELECT run_id, {_metric} FROM ({sql.metrics_sql(_SRC_AS_HYP_SQL, ['run_id'], '13a')})")(
-        (lambda m: lambda spark, sf_dir: M.score(_source_copy(spark, sf_dir), ["run_id"]).select("run_id", m))(_metric)
+        (lambda m: lambda spark, sf_dir: M.score(_source_copy(spark, sf_dir), ["run_id"], metrics=(m,)))(_metric)
     )
 
 _GRID4 = _runs_sql(_with_null(_PAIRS_SQL, "aux_lang", "pivot_lang"), GR.EXPERIMENTS[:4])

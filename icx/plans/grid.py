@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from icx.functions.arrays import let
-from icx.functions.seeded import u32
+from icx.functions.seeded import u60
 from icx.functions.text import basename
 from icx.operators.perturb import ATTACKS, RATE_PARAM
 from icx.operators.prompts import INSTRUCTION_KINDS
@@ -207,9 +207,9 @@ def allied_choices(pairs: DataFrame, seed: int = 42, mapping: dict[str, str] | N
     sscript = F.element_at(F.split(src, "_"), -1)
     same_script = None
     for sc, lst in by_script.items():
-        pick = _pick_excluding(lst, u32(seed, "allied_script", src, tgt), src, tgt)
+        pick = _pick_excluding(lst, u60(seed, "allied_script", src, tgt), src, tgt)
         same_script = F.when(sscript == sc, pick) if same_script is None else same_script.when(sscript == sc, pick)
-    rnd = _pick_excluding(codes, u32(seed, "allied_random", src, tgt), src, tgt)
+    rnd = _pick_excluding(codes, u60(seed, "allied_random", src, tgt), src, tgt)
     choices = F.array(
         F.struct(F.lit("same").alias("choice"), src.alias("aux_lang")),
         F.struct(F.lit("english").alias("choice"), F.lit("eng_Latn").alias("aux_lang")),

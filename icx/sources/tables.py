@@ -31,6 +31,19 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+TURN_BITS = 20
+
+
+def turn_key(conv_id, turn):
+    """One bigint per (conversation, turn): the turn takes the lower 20 bits.
+
+    Ids outside what 63 bits can hold fail the job instead of meeting another row's key.
+    """
+    fits = (turn >= 0) & (turn < 1 << TURN_BITS) & (conv_id >= 0) & (conv_id < 1 << (63 - TURN_BITS))
+    wrong = F.raise_error(F.concat(F.lit("no key for conversation and turn "), F.concat_ws(", ", conv_id.cast("string"), turn.cast("string"))))
+    return F.when(fits, conv_id * (1 << TURN_BITS) + turn).otherwise(wrong.cast("bigint"))
+
+
 def _turn_pairs(conv: DataFrame, first_role: str, second_role: str) -> DataFrame:
     a = conv.filter(F.col("role") == first_role).select(
         F.col("conv_id").alias("c"), F.col("turn").alias("t"), F.col("text").alias("src")
@@ -40,7 +53,7 @@ def _turn_pairs(conv: DataFrame, first_role: str, second_role: str) -> DataFrame
     )
     j = a.join(b, (F.col("c") == F.col("c2")) & (F.col("t") + 1 == F.col("t2")), "inner")
     return j.select(
-        (F.col("c") * 1000 + F.col("t")).alias("row_id"),
+        turn_key(F.col("c"), F.col("t")).alias("row_id"),
         "src",
         "tgt",
         F.when(F.col("c") % TEST_EVERY == 0, F.lit("test")).otherwise(F.lit("dev")).alias("split"),
