@@ -10,7 +10,6 @@ or literals when the language is a plain string.
 
 from __future__ import annotations
 
-import json
 import string
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -44,39 +43,222 @@ ARABIC_EXTRA = [0x0609, 0x060A, 0x060C, 0x061E, 0x066A, 0x066B, 0x066C, 0x066D,
 # backslash was swallowed as an escape when the class was written), while the
 # fallback mark list used when a script has no marks of its own is all of
 # string.punctuation, backslash included.
-# Default language names (lang_Script -> English name). The full FLORES-200 list can
-# be loaded from a JSON file with `load_languages`.
-DEFAULT_LANGUAGES = {
-    "amh_Ethi": "Amharic",
-    "arb_Arab": "Modern Standard Arabic",
-    "asm_Beng": "Assamese",
-    "ben_Beng": "Bengali",
-    "deu_Latn": "German",
-    "eng_Latn": "English",
-    "fra_Latn": "French",
-    "guj_Gujr": "Gujarati",
-    "hin_Deva": "Hindi",
-    "ita_Latn": "Italian",
-    "jpn_Jpan": "Japanese",
-    "kan_Knda": "Kannada",
-    "mal_Mlym": "Malayalam",
-    "mar_Deva": "Marathi",
-    "npi_Deva": "Nepali",
-    "ory_Orya": "Odia",
-    "pan_Guru": "Eastern Panjabi",
-    "por_Latn": "Portuguese",
-    "rus_Cyrl": "Russian",
-    "sat_Olck": "Santali",
-    "sin_Sinh": "Sinhala",
-    "spa_Latn": "Spanish",
-    "tam_Taml": "Tamil",
-    "tel_Telu": "Telugu",
-    "ukr_Cyrl": "Ukrainian",
-    "urd_Arab": "Urdu",
-    "zho_Hans": "Chinese (Simplified)",
-}
+# Language names (lang_Script code and English name, one per line):
+LANGUAGE_NAMES = """
+ace_Arab Acehnese (Arabic script)
+ace_Latn Acehnese (Latin script)
+acm_Arab Mesopotamian Arabic
+acq_Arab Ta’izzi-Adeni Arabic
+aeb_Arab Tunisian Arabic
+afr_Latn Afrikaans
+ajp_Arab South Levantine Arabic
+aka_Latn Akan
+amh_Ethi Amharic
+apc_Arab North Levantine Arabic
+arb_Arab Modern Standard Arabic
+arb_Latn Modern Standard Arabic (Romanized)
+ars_Arab Najdi Arabic
+ary_Arab Moroccan Arabic
+arz_Arab Egyptian Arabic
+asm_Beng Assamese
+ast_Latn Asturian
+awa_Deva Awadhi
+ayr_Latn Central Aymara
+azb_Arab South Azerbaijani
+azj_Latn North Azerbaijani
+bak_Cyrl Bashkir
+bam_Latn Bambara
+ban_Latn Balinese
+bel_Cyrl Belarusian
+bem_Latn Bemba
+ben_Beng Bengali
+bho_Deva Bhojpuri
+bjn_Arab Banjar (Arabic script)
+bjn_Latn Banjar (Latin script)
+bod_Tibt Standard Tibetan
+bos_Latn Bosnian
+brx_Deva Bodo
+bug_Latn Buginese
+bul_Cyrl Bulgarian
+cat_Latn Catalan
+ceb_Latn Cebuano
+ces_Latn Czech
+cjk_Latn Chokwe
+ckb_Arab Central Kurdish
+crh_Latn Crimean Tatar
+cym_Latn Welsh
+dan_Latn Danish
+deu_Latn German
+dik_Latn Southwestern Dinka
+doi_Deva Dogri
+dyu_Latn Dyula
+dzo_Tibt Dzongkha
+ell_Grek Greek
+eng_Latn English
+epo_Latn Esperanto
+est_Latn Estonian
+eus_Latn Basque
+ewe_Latn Ewe
+fao_Latn Faroese
+fij_Latn Fijian
+fin_Latn Finnish
+fon_Latn Fon
+fra_Latn French
+fur_Latn Friulian
+fuv_Latn Nigerian Fulfulde
+gla_Latn Scottish Gaelic
+gle_Latn Irish
+glg_Latn Galician
+gom_Deva Konkani
+grn_Latn Guarani
+guj_Gujr Gujarati
+hat_Latn Haitian Creole
+hau_Latn Hausa
+heb_Hebr Hebrew
+hin_Deva Hindi
+hne_Deva Chhattisgarhi
+hrv_Latn Croatian
+hun_Latn Hungarian
+hye_Armn Armenian
+ibo_Latn Igbo
+ilo_Latn Ilocano
+ind_Latn Indonesian
+isl_Latn Icelandic
+ita_Latn Italian
+jav_Latn Javanese
+jpn_Jpan Japanese
+kab_Latn Kabyle
+kac_Latn Jingpho
+kam_Latn Kamba
+kan_Knda Kannada
+kas_Arab Kashmiri (Arabic script)
+kas_Deva Kashmiri (Devanagari script)
+kat_Geor Georgian
+knc_Arab Central Kanuri (Arabic script)
+knc_Latn Central Kanuri (Latin script)
+kaz_Cyrl Kazakh
+kbp_Latn Kabiyè
+kea_Latn Kabuverdianu
+khm_Khmr Khmer
+kik_Latn Kikuyu
+kin_Latn Kinyarwanda
+kir_Cyrl Kyrgyz
+kmb_Latn Kimbundu
+kmr_Latn Northern Kurdish
+kon_Latn Kikongo
+kor_Hang Korean
+lao_Laoo Lao
+lij_Latn Ligurian
+lim_Latn Limburgish
+lin_Latn Lingala
+lit_Latn Lithuanian
+lmo_Latn Lombard
+ltg_Latn Latgalian
+ltz_Latn Luxembourgish
+lua_Latn Luba-Kasai
+lug_Latn Ganda
+luo_Latn Luo
+lus_Latn Mizo
+lvs_Latn Standard Latvian
+mag_Deva Magahi
+mai_Deva Maithili
+mal_Mlym Malayalam
+mar_Deva Marathi
+min_Arab Minangkabau (Arabic script)
+min_Latn Minangkabau (Latin script)
+mkd_Cyrl Macedonian
+plt_Latn Plateau Malagasy
+mlt_Latn Maltese
+mni_Beng Meitei (Bengali script)
+mni_Mtei Meitei (Meitei script)
+khk_Cyrl Halh Mongolian
+mos_Latn Mossi
+mri_Latn Maori
+mya_Mymr Burmese
+nld_Latn Dutch
+nno_Latn Norwegian Nynorsk
+nob_Latn Norwegian Bokmål
+npi_Deva Nepali
+nso_Latn Northern Sotho
+nus_Latn Nuer
+nya_Latn Nyanja
+oci_Latn Occitan
+gaz_Latn West Central Oromo
+ory_Orya Odia
+pag_Latn Pangasinan
+pan_Guru Eastern Panjabi
+pap_Latn Papiamento
+pes_Arab Western Persian
+pol_Latn Polish
+por_Latn Portuguese
+prs_Arab Dari
+pbt_Arab Southern Pashto
+quy_Latn Ayacucho Quechua
+ron_Latn Romanian
+run_Latn Rundi
+rus_Cyrl Russian
+sag_Latn Sango
+san_Deva Sanskrit
+sat_Olck Santali
+scn_Latn Sicilian
+shn_Mymr Shan
+sin_Sinh Sinhala
+slk_Latn Slovak
+slv_Latn Slovenian
+smo_Latn Samoan
+sna_Latn Shona
+snd_Arab Sindhi
+snd_Deva Sindhi (Devanagari)
+som_Latn Somali
+sot_Latn Southern Sotho
+spa_Latn Spanish
+als_Latn Tosk Albanian
+srd_Latn Sardinian
+srp_Cyrl Serbian
+ssw_Latn Swati
+sun_Latn Sundanese
+swe_Latn Swedish
+swh_Latn Swahili
+szl_Latn Silesian
+tam_Taml Tamil
+tat_Cyrl Tatar
+tel_Telu Telugu
+tgk_Cyrl Tajik
+tgl_Latn Tagalog
+tha_Thai Thai
+tir_Ethi Tigrinya
+taq_Latn Tamasheq (Latin script)
+taq_Tfng Tamasheq (Tifinagh script)
+tpi_Latn Tok Pisin
+tsn_Latn Tswana
+tso_Latn Tsonga
+tuk_Latn Turkmen
+tum_Latn Tumbuka
+tur_Latn Turkish
+twi_Latn Twi
+tzm_Tfng Central Atlas Tamazight
+uig_Arab Uyghur
+ukr_Cyrl Ukrainian
+umb_Latn Umbundu
+urd_Arab Urdu
+uzn_Latn Northern Uzbek
+vec_Latn Venetian
+vie_Latn Vietnamese
+war_Latn Waray
+wol_Latn Wolof
+xho_Latn Xhosa
+ydd_Hebr Eastern Yiddish
+yor_Latn Yoruba
+yue_Hant Yue Chinese
+zho_Hans Chinese (Simplified)
+zho_Hant Chinese (Traditional)
+zsm_Latn Standard Malay
+zul_Latn Zulu
+"""
 # ---------------------------------------------------------------------------------
 
+LANGUAGES = dict(line.split(" ", 1) for line in LANGUAGE_NAMES.strip().split("\n"))
+
 ASCII_CLASS = [ord(c) for c in string.punctuation if c != "\\"]
 FALLBACK_MARKS = list(string.punctuation)
 
@@ -199,28 +381,12 @@ LANG_SCHEMA = T.StructType(
 
 
 def languages(spark: SparkSession, mapping: dict[str, str] | None = None) -> DataFrame:
-    """`languages(code, lang, script, name)`; defaults to DEFAULT_LANGUAGES."""
-    mapping = mapping or DEFAULT_LANGUAGES
+    """`languages(code, lang, script, name)`; defaults to LANGUAGES."""
+    mapping = mapping or LANGUAGES
     rows = [(c, c.split("_")[0], script_of(c), n) for c, n in sorted(mapping.items())]
     return spark.createDataFrame(rows, LANG_SCHEMA)
 
 
-def load_languages(spark: SparkSession, path: str) -> DataFrame:
-    """Read a `{"lang_Script": "Name", ...}` JSON file (e.g. the FLORES-200 list)."""
-    raw = spark.read.text(path, wholetext=True)
-    m = raw.select(F.from_json("value", "map<string,string>").alias("m"))
-    return m.select(F.explode("m").alias("code", "name")).select(
-        "code",
-        F.split("code", "_")[0].alias("lang"),
-        F.element_at(F.split("code", "_"), -1).alias("script"),
-        "name",
-    )
-
-
 def language_name(code: str, mapping: dict[str, str] | None = None) -> str:
     """Plan-time lookup; unknown codes raise KeyError like a dictionary lookup."""
-    return (mapping or DEFAULT_LANGUAGES)[code]
-
-
-def languages_json(mapping: dict[str, str] | None = None) -> str:
-    return json.dumps(mapping or DEFAULT_LANGUAGES, ensure_ascii=False)
+    return (mapping or LANGUAGES)[code]

@@ -8,6 +8,8 @@ data is partitioned. The pool gets a dense index, the draw is Floyd's algorithm
 Fetch strategies:
   * pool within the broadcast budget (size measured, not guessed): k broadcast hash
     joins on `demo_idx[j]`; no shuffle and no regrouping of test rows;
+  * larger pools of a streaming query: the same k joins by shuffle (no regrouping, so no
+    streaming aggregation);
   * larger pools: `posexplode_outer` + shuffle join on the index + regroup by the
     test key with an ordered `collect_list` (sorted by position, never relying on
     arrival order).
@@ -19,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from icx.functions.seeded import floyd_draw, shuffled
+from icx.session import byte_setting
 from icx.sources.index import dense_index
 
 DEMO_TAG = "demo"
@@ -35,22 +38,14 @@ class Pool:
 
     @classmethod
     def build(cls, dev: DataFrame, key: str = "row_id", cols: tuple[str, ...] = ("src", "tgt")) -> "Pool":
+        """One range exchange and one checkpoint of the pool; every fetch reads that table."""
         row_bytes = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in cols), F.lit(16))
-        idx, n = dense_index(dev.select(key, *cols), [key], name="idx", extra={"bytes": row_bytes})
-        nbytes = dense_index.last_extra["bytes"]
-        # Materialise the indexed pool once (reliable checkpoint): every fetch join and
-        # every micro-batch of a stream reads the same fixed table.
-        fixed = idx.select("idx", *cols).checkpoint(eager=True)
-        return cls(fixed, n, int(nbytes or 0))
+        idx = dense_index(dev.select(key, *cols), [key], name="idx", sums={"bytes": row_bytes})
+        return cls(idx.df.select("idx", *cols), idx.size, idx.sums["bytes"])
 
     def broadcastable(self) -> bool:
-        spark = self.df.sparkSession
-        limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")
-        try:
-            limit_b = int(str(limit).lower().replace("b", ""))
-        except ValueError:
-            limit_b = 10485760
-        return 0 <= self.nbytes <= limit_b
+        limit = byte_setting(self.df.sparkSession, "spark.sql.autoBroadcastJoinThreshold", 10 << 20)
+        return 0 <= self.nbytes <= limit
 
 
 def draw(test: DataFrame, key: str | Column, pool_size: int, k: int, seed: int, tag: str = DEMO_TAG) -> DataFrame:
@@ -75,12 +70,11 @@ def attach(
     if k == 0:
         return test.withColumn("demos", empty)
     strategy = force or ("broadcast" if pool.broadcastable() else "shuffle")
-    if strategy == "broadcast":
+    if strategy in ("broadcast", "joins"):
         out = test
         for j in range(k):
-            side = F.broadcast(
-                pool.df.select(F.col("idx").alias(f"_i{j}"), *[F.col(c).alias(f"_d{j}_{c}") for c in cols])
-            )
+            side = pool.df.select(F.col("idx").alias(f"_i{j}"), *[F.col(c).alias(f"_d{j}_{c}") for c in cols])
+            side = F.broadcast(side) if strategy == "broadcast" else side
             out = out.join(side, F.col("demo_idx").getItem(j) == F.col(f"_i{j}"), "left")
         demos = F.array(
             *[F.struct(F.lit(j).alias("pos"), *[F.col(f"_d{j}_{c}").alias(c) for c in cols]) for j in range(k)]

@@ -1,9 +1,8 @@
 """Batch generation data path (GEN-1..4) and the predictions table (JOIN-5).
 
-The model is user-supplied: `run` ships prompts to Python workers with `mapInPandas`
-in Arrow batches and calls `batch_fn(list[str]) -> list[str]` once per `batch_size`
-prompts; the function (and whatever model it loads) lives in the worker, never on
-the driver. Deterministic stand-ins that need no model are plain column expressions.
+The model is user-supplied: `run` ships rows to Python workers in Arrow batches, sets the
+model up once per task with `init_fn()` and calls the returned function once per
+`batch_size` prompts; whatever it loads lives in the worker, never on the driver. Deterministic stand-ins that need no model are plain column expressions.
 """
 
 from __future__ import annotations
@@ -34,24 +33,34 @@ def batch_ids(df: DataFrame, position: str, batch_size: int) -> DataFrame:
     return df.withColumn("batch_id", F.floor(F.col(position) / batch_size).cast("bigint"))
 
 
-def run(prompts: DataFrame, batch_fn: Callable[[list[str]], list[str]], batch_size: int,
-        keys: list[str], prompt: str = "prompt") -> DataFrame:
-    """GEN-1: apply a user batch model; returns (keys..., raw)."""
-    schema = T.StructType([*[prompts.schema[k] for k in keys], T.StructField("raw", T.StringType(), True)])
+def run(prompts: DataFrame, init_fn: Callable[[], Callable[[list[str]], list[str]]], batch_size: int,
+        prompt: str = "prompt") -> DataFrame:
+    """GEN-1: apply a user batch model; the columns of `prompts`, and `raw`.
+
+    `init_fn` runs once per task, in the worker, and returns the batch function: a model is
+    loaded there and never pickled. Null prompts are not sent and get a null output. A
+    model that returns another number of outputs than it got prompts fails the job.
+    """
+    schema = T.StructType([*prompts.schema.fields, T.StructField("raw", T.StringType(), True)])
 
     def apply(batches):
-        import pandas as pd
+        import pyarrow as pa
 
-        for pdf in batches:
-            out = []
-            texts = pdf[prompt].tolist()
-            for i in range(0, len(texts), batch_size):
-                out.extend(batch_fn(texts[i:i + batch_size]))
-            res = pdf[keys].copy()
-            res["raw"] = pd.Series(out, index=pdf.index, dtype=object)
-            yield res
+        model = init_fn()
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index(prompt)).to_pylist()
+            at = [i for i, t in enumerate(texts) if t is not None]
+            out: list[str | None] = [None] * len(texts)
+            for a in range(0, len(at), batch_size):
+                some = at[a:a + batch_size]
+                got = model([texts[i] for i in some])
+                if len(got) != len(some):
+                    raise ValueError(f"the model returned {len(got)} outputs for {len(some)} prompts")
+                for i, g in zip(some, got):
+                    out[i] = g
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=[*batch.schema.names, "raw"])
 
-    return prompts.select(*keys, prompt).mapInPandas(apply, schema)
+    return prompts.mapInArrow(apply, schema)
 
 
 def echo_stand_in(prompt: Column, hyp: Column) -> Column:
@@ -59,17 +68,17 @@ def echo_stand_in(prompt: Column, hyp: Column) -> Column:
     return F.concat(prompt, F.lit(" "), hyp, F.lit("\nextra"))
 
 
-def predictions(prompts: DataFrame, outputs: DataFrame, keys: list[str], carry: tuple[str, ...] = ()) -> DataFrame:
-    """JOIN-5: (carry..., keys..., prompt, hypothesis, reference) joined on keys, not on position.
+def predictions(prompts: DataFrame, outputs: DataFrame, keys: list[str]) -> DataFrame:
+    """JOIN-5 for outputs made elsewhere: (keys..., prompt, hypothesis, reference), joined on keys.
 
-    `carry` are output-side columns kept as they are (e.g. the run of a grid whose runs
-    share one prompt table).
+    Every prompt stays; one without an output has a null hypothesis. Outputs of `run` carry
+    their prompts and need no join.
     """
-    hyps = outputs.select(*carry, *keys, "raw")
-    j = hyps.join(prompts.select(*keys, "prompt", "reference"), keys, "inner")
-    return j.select(*carry, *keys, "prompt", clean(F.col("raw"), F.col("prompt")).alias("hypothesis"), "reference")
+    j = prompts.select(*keys, "prompt", "reference").join(outputs.select(*keys, "raw"), keys, "left")
+    return j.select(*keys, "prompt", clean(F.col("raw"), F.col("prompt")).alias("hypothesis"), "reference")
 
 
 def lost_rows(prompts: DataFrame, outputs: DataFrame, keys: list[str]) -> DataFrame:
-    """Prompts without an output (anti-join check)."""
-    return prompts.select(*keys).join(outputs.select(*keys), keys, "left_anti")
+    """Prompts without an output."""
+    answered = outputs.filter(F.col("raw").isNotNull()).select(*keys)
+    return prompts.select(*keys).join(answered, keys, "left_anti")

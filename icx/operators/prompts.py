@@ -6,6 +6,8 @@ Text form:  instruction + one block per demonstration + the open query block
 Chat form:  array<struct<role, content>>: optional system message, then per
     demonstration a user turn "{S}: {src}\\n{T}: " and an assistant turn "{tgt}\\n\\n",
     then the user query turn.
+
+A prompt any of whose texts is null is null as a whole: kept, so that it can be counted.
 """
 
 from __future__ import annotations
@@ -65,7 +67,13 @@ def text_prompt(instr: Column, demos: Column, query_src: Column, demo_label: str
         ),
         "",
     )
-    return F.concat(instr, block, F.lit(f"{query_label}: "), query_src, F.lit(f"\n{tgt_label}: "))
+    whole = F.concat(instr, block, F.lit(f"{query_label}: "), query_src, F.lit(f"\n{tgt_label}: "))
+    return F.when(_complete(demos, demo_src, demo_tgt), whole)
+
+
+def _complete(demos: Column, *fields: str) -> Column:
+    """No demonstration lacks a text; a prompt with one left out would look like fewer shots."""
+    return ~F.exists(demos, lambda d: F.coalesce(*[F.when(d[f].isNull(), F.lit(True)) for f in fields], F.lit(False)))
 
 
 def chat_prompt(system: Column | None, demos: Column, query_src: Column, demo_label: str, query_label: str,
@@ -81,7 +89,7 @@ def chat_prompt(system: Column | None, demos: Column, query_src: Column, demo_la
         )
     )
     query = F.array(_msg("user", F.concat(F.lit(f"{query_label}: "), query_src, F.lit(f"\n{tgt_label}: "))))
-    return F.concat(head, turns, query)
+    return F.when(_complete(demos, demo_src, demo_tgt) & query_src.isNotNull(), F.concat(head, turns, query))
 
 
 def few_shot(df: DataFrame, src_lang: str, tgt_lang: str, chat: bool = False, kind: str = "standard",
@@ -111,14 +119,15 @@ def pivot_prompt(src: Column, pivot: Column, tgt: Column, s: str, p: str, t: str
             F.lit(f"\n\nTranslate this from {p} into {t}:\n\n{p}: "), pivot, F.lit(f"\n{t}: "), tgt,
             F.lit(f"\n\nTranslate this from {s} into {t}:\n\n{s}: "), src, F.lit(f"\n{t}: "),
         )
-    return F.array(
+    complete = src.isNotNull() & pivot.isNotNull() & tgt.isNotNull()
+    return F.when(complete, F.array(
         _msg("user", F.concat(F.lit(f"Translate this from {s} into {p}:\n\n{s}: "), src, F.lit(f"\n{p}: "))),
         _msg("assistant", F.concat(pivot, F.lit("\n\n"))),
         _msg("user", F.concat(F.lit(f"Translate this from {p} into {t}:\n\n{p}: "), pivot, F.lit(f"\n{t}: "))),
         _msg("assistant", F.concat(tgt, F.lit("\n\n"))),
         _msg("user", F.concat(F.lit(f"Translate this from {s} into {t}{PIVOT_FINAL_SUFFIX}{s}: "), src,
                               F.lit(f"\n{t}: "))),
-    )
+    ))
 
 
 def messages_long(df: DataFrame, keys: list[str], col: str = "prompt") -> DataFrame:
@@ -137,4 +146,5 @@ def render_chat(messages: Column, template: dict[str, tuple[str, str]], generati
             out = F.when(m["role"] == role, val) if out is None else out.when(m["role"] == role, val)
         return out.otherwise(m["content"])
 
-    return F.concat(F.array_join(F.transform(messages, wrap), ""), F.lit(generation_prefix))
+    whole = F.concat(F.array_join(F.transform(messages, wrap), ""), F.lit(generation_prefix))
+    return F.when(~F.exists(messages, lambda m: m["content"].isNull()), whole)

@@ -67,7 +67,12 @@ PAIRS = turn_pairs("user", "assistant")
 AUX_PAIRS = turn_pairs("assistant", "user")
 TRIPLES = f"""SELECT sp.row_id AS sp_id, pt.row_id AS pt_id, sp.src AS src, sp.tgt AS "pivot", pt.tgt AS tgt
 FROM ({PAIRS}) sp JOIN ({AUX_PAIRS}) pt ON sp.tgt = pt.src"""
-LANG_CODE = "CASE lang WHEN 'en' THEN 'eng_Latn' WHEN 'de' THEN 'deu_Latn' WHEN 'fr' THEN 'fra_Latn' WHEN 'es' THEN 'spa_Latn' END"
+_CODES = ("ar arb_Arab bg bul_Cyrl bn ben_Beng cs ces_Latn da dan_Latn de deu_Latn el ell_Grek en eng_Latn es spa_Latn fi fin_Latn "
+          "fr fra_Latn gu guj_Gujr he heb_Hebr hi hin_Deva hu hun_Latn id ind_Latn it ita_Latn ja jpn_Jpan kn kan_Knda ko kor_Hang "
+          "ml mal_Mlym mr mar_Deva nl nld_Latn pa pan_Guru pl pol_Latn pt por_Latn ro ron_Latn ru rus_Cyrl si sin_Sinh sv swe_Latn "
+          "ta tam_Taml te tel_Telu th tha_Thai tr tur_Latn uk ukr_Cyrl ur urd_Arab vi vie_Latn zh zho_Hans").split()
+LANG_CODE = ("CASE coalesce(lang, 'und') " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in zip(_CODES[::2], _CODES[1::2]))
+             + " ELSE CASE WHEN regexp_matches(lang, '^[a-z]{3}_[A-Z][a-z]{3}$') THEN lang ELSE coalesce(lang, 'und') || '_Zyyy' END END")
 LINES = f"SELECT doc_id AS row_id, text, lang, {LANG_CODE} AS code FROM documents"
 
 
@@ -122,12 +127,12 @@ def few_shot_text(test_sql: str, dev_sql: str, k: int, seed: int, src_lang: str,
     dl = demo_label or s
     instr = instr if instr is not None else instruction_sql(kind, s, t, False, seed)
     block = (
-        f"string_agg({lit(dl + ': ')} || d_src || {lit(chr(10) + t + ': ')} || d_tgt || {lit(chr(10) * 2)}, '' "
-        f"ORDER BY demo_pos)"
+        f"CASE WHEN bool_and(d_src IS NOT NULL AND d_tgt IS NOT NULL) THEN string_agg({lit(dl + ': ')} || d_src || {lit(chr(10) + t + ': ')} || d_tgt || {lit(chr(10) * 2)}, '' "
+        f"ORDER BY demo_pos) END"
     )
     return demos_cte(test_sql, dev_sql, k, seed) + f""",
 blocks AS (SELECT row_id, {block} AS block FROM demos GROUP BY row_id)
-SELECT t.row_id, {instr} || coalesce(b.block, '') || {lit(s + ': ')} || t.src || {lit(chr(10) + t + ': ')} AS prompt,
+SELECT t.row_id, {instr} || CASE WHEN b.row_id IS NULL THEN '' ELSE b.block END || {lit(s + ': ')} || t.src || {lit(chr(10) + t + ': ')} AS prompt,
        t.tgt AS reference
 FROM test t LEFT JOIN blocks b ON b.row_id = t.row_id"""
 
@@ -156,7 +161,9 @@ def few_shot_chat(test_sql: str, dev_sql: str, k: int, seed: int, src_lang: str,
         f"{lit(s + ': ')} || t.src || {lit(chr(10) + t + ': ')} AS content FROM test t"
     )
     body = "\nUNION ALL\n".join(parts)
-    return demos_cte(test_sql, dev_sql, k, seed) + f"\nSELECT row_id, msg_idx::INTEGER AS msg_idx, role, content FROM ({body}) t"
+    return demos_cte(test_sql, dev_sql, k, seed) + f""",
+lacking AS (SELECT row_id FROM demos WHERE d_src IS NULL OR d_tgt IS NULL UNION SELECT row_id FROM test WHERE src IS NULL)
+SELECT row_id, msg_idx::INTEGER AS msg_idx, role, content FROM ({body}) t WHERE row_id NOT IN (SELECT row_id FROM lacking)"""
 
 
 # ---- perturbations (relational twins: unnest + window + string_agg) ---------------------
@@ -294,7 +301,7 @@ PV = '"pivot"'  # quoted: PIVOT is a keyword in DuckDB
 def misaligned_cte(key: str, seed: int) -> str:
     tag = "misaligned_" + key.strip('"')
     return f"""tr AS ({TRIPLES}),
-ix AS (SELECT *, row_number() OVER (ORDER BY {key}, sp_id, pt_id) - 1 AS idx FROM tr),
+ix AS (SELECT *, row_number() OVER (ORDER BY md5({key}), sp_id, pt_id) - 1 AS idx FROM tr),
 n AS (SELECT count(*) AS d FROM ix),
 bl AS (SELECT {key} AS bkey, min(idx) AS start, count(*) AS cnt FROM ix GROUP BY {key}),
 dr AS (SELECT ix.*, bl.start, bl.cnt,

@@ -51,7 +51,7 @@ AUX_DEV_SQL = f"SELECT row_id, src, tgt FROM ({sql.AUX_PAIRS}) WHERE split = 'de
 @register("dense_index", f"SELECT row_number() OVER (ORDER BY row_id) - 1 AS idx, row_id, src, tgt FROM ({DEV_SQL})")
 def q_dense_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, dev = _test_dev(spark, sf_dir)
-    idx, _ = dense_index(dev, ["row_id"])
+    idx = dense_index(dev, ["row_id"]).df
     return idx.select("idx", "row_id", "src", "tgt")
 
 
@@ -176,24 +176,24 @@ def _prompts(spark, sf_dir):
     return out.select("row_id", "prompt", F.col("tgt").alias("reference"))
 
 
-def _outputs(prompts):
-    """Stand-in model outputs for every run: raw = prompt ' ' hyp '\\n' 'extra'."""
-    parts = []
-    for run in RUNS:
-        ref = F.col("reference")
-        hyp = ref if run == "clean" else PT.perturb(run, ref, [F.col("row_id")], TGT, PTB_RATE, SEED)
-        parts.append(prompts.select(F.lit(run).alias("run_id"), "row_id", G.echo_stand_in(F.col("prompt"), hyp).alias("raw")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+#: The stand-in model answers no prompt longer than its context.
+CONTEXT = 12_000
+
+
+def _raw(prompt, reference, key, run):
+    """Stand-in output of a run: prompt ' ' hyp '\\n' 'extra'; no output beyond the context."""
+    hyp = reference
+    for attack in PT.ATTACKS:
+        hyp = F.when(run == attack, PT.perturb(attack, reference, [key], TGT, PTB_RATE, SEED)).otherwise(hyp)
+    return F.when(F.char_length(prompt) <= CONTEXT, G.echo_stand_in(prompt, hyp))
 
 
 def _predictions(spark, sf_dir):
-    # Every run of the grid reads the same prompt table: materialise it once (reliable
-    # checkpoint) instead of re-deriving it in each branch of the union.
-    prompts = _prompts(spark, sf_dir).checkpoint(eager=True)
-    return G.predictions(prompts, _outputs(prompts), ["row_id"], carry=("run_id",))
+    """Every prompt under every run, in one pass: the runs are exploded, the texts stay in the row."""
+    runs = F.explode(F.array(*[F.lit(r) for r in RUNS]))
+    rows = _prompts(spark, sf_dir).select(runs.alias("run_id"), "row_id", "prompt", "reference")
+    raw = _raw(F.col("prompt"), F.col("reference"), F.col("row_id"), F.col("run_id"))
+    return rows.select("run_id", "row_id", "prompt", G.clean(raw, F.col("prompt")).alias("hypothesis"), "reference")
 
 
 PROMPTS_SQL = sql.few_shot_text(TEST_SQL, DEV_SQL, K, SEED, SRC, TGT)
@@ -207,13 +207,44 @@ def _outputs_sql():
             run, _REF_SQL, ["row_id"], PTB_RATE, SEED)
         parts.append(
             f"SELECT '{run}' AS run_id, p.row_id, p.prompt || ' ' || h.perturbed || chr(10) || 'extra' AS raw "
-            f"FROM ({PROMPTS_SQL}) p JOIN ({hyp}) h ON h.row_id = p.row_id"
+            f"FROM ({PROMPTS_SQL}) p JOIN ({hyp}) h ON h.row_id = p.row_id WHERE length(p.prompt) <= {CONTEXT}"
         )
     return "\nUNION ALL\n".join(parts)
 
 
-PREDICTIONS_SQL = f"""SELECT o.run_id, o.row_id, p.prompt, {sql.clean_sql('o.raw', 'p.prompt')} AS hypothesis, p.reference
-FROM ({_outputs_sql()}) o JOIN ({PROMPTS_SQL}) p ON p.row_id = o.row_id"""
+_ALL_RUNS_SQL = " UNION ALL ".join(f"SELECT '{r}' AS run_id" for r in RUNS)
+PREDICTIONS_SQL = f"""SELECT r.run_id, p.row_id, p.prompt, {sql.clean_sql('o.raw', 'p.prompt')} AS hypothesis, p.reference
+FROM ({PROMPTS_SQL}) p CROSS JOIN ({_ALL_RUNS_SQL}) r LEFT JOIN ({_outputs_sql()}) o ON p.row_id = o.row_id AND r.run_id = o.run_id"""
+
+
+@register("lost_rows", f"SELECT run_id, row_id FROM ({PREDICTIONS_SQL}) WHERE hypothesis IS NULL")
+def q_lost_rows(spark, sf_dir):
+    """Prompts that got no output: kept in the predictions, and reported here."""
+    return _predictions(spark, sf_dir).filter(F.col("hypothesis").isNull()).select("run_id", "row_id")
+
+
+@register("quality_nulls", f"""SELECT split, count(*) AS n_rows, count(*) FILTER (WHERE src IS NULL) AS n_null_src,
+       count(*) FILTER (WHERE tgt IS NULL) AS n_null_tgt, count(*) FILTER (WHERE trim(src) = '') AS n_blank_src
+FROM ({sql.PAIRS}) GROUP BY split""")
+def q_quality_nulls(spark, sf_dir):
+    """Pairs per split, and those whose texts are missing or blank."""
+    n = lambda cond, name: F.count(F.when(cond, 1)).alias(name)
+    return tables.pairs(spark, sf_dir).groupBy("split").agg(
+        F.count("*").alias("n_rows"), n(F.col("src").isNull(), "n_null_src"), n(F.col("tgt").isNull(), "n_null_tgt"),
+        n(F.trim("src") == "", "n_blank_src"),
+    )
+
+
+def _count_words_model():
+    """A deterministic batch model: answers with the number of characters of the prompt."""
+    return lambda batch: [f"{p} {len(p)}\nextra" for p in batch]
+
+
+@register("generate_batch", f"""SELECT row_id, prompt, length(prompt)::VARCHAR AS hypothesis, reference FROM ({PROMPTS_SQL})""")
+def q_generate_batch(spark, sf_dir):
+    """GEN-1..3: prompts through a batch model that each worker sets up once, columns carried along."""
+    out = G.run(_prompts(spark, sf_dir), _count_words_model, BATCH)
+    return out.select("row_id", "prompt", G.clean(F.col("raw"), F.col("prompt")).alias("hypothesis"), "reference")
 
 
 @register("clean_completions", f"SELECT run_id, row_id, hypothesis FROM ({PREDICTIONS_SQL})")
@@ -232,7 +263,7 @@ _POS_SQL = f"SELECT row_id, row_number() OVER (ORDER BY row_id) - 1 AS pos FROM
 @register("generation_batches", f"SELECT row_id, pos, pos // {BATCH} AS batch_id FROM ({_POS_SQL})")
 def q_batches(spark, sf_dir):
     test, _ = _test_dev(spark, sf_dir)
-    idx, _n = dense_index(test.select("row_id"), ["row_id"], name="pos")
+    idx = dense_index(test.select("row_id"), ["row_id"], name="pos").df
     return G.batch_ids(idx, "pos", BATCH).select("row_id", "pos", "batch_id")
 
 
@@ -243,7 +274,7 @@ WHERE p.run_id = 'clean' AND q.pos % {BATCH} = 0 AND q.pos % 10 = 0""",
 )
 def q_progress(spark, sf_dir):
     test, _ = _test_dev(spark, sf_dir)
-    idx, _n = dense_index(test.select("row_id"), ["row_id"], name="pos")
+    idx = dense_index(test.select("row_id"), ["row_id"], name="pos").df
     first = idx.filter((F.col("pos") % BATCH == 0) & (F.col("pos") % 10 == 0))
     preds = _predictions(spark, sf_dir).filter(F.col("run_id") == "clean")
     return first.join(preds, "row_id").select("row_id", "pos", "hypothesis")
@@ -433,7 +464,7 @@ register(
 # ---- experiment grids ---------------------------------------------------------------------------
 
 from icx.plans import grid as GR  # noqa: E402
-from icx.functions.scripts import DEFAULT_LANGUAGES, script_of  # noqa: E402
+from icx.functions.scripts import LANGUAGES, script_of  # noqa: E402
 
 
 def _doc_codes(spark, sf_dir):
@@ -508,7 +539,7 @@ def _pick_sql(codes, h, src="src_lang", tgt="tgt_lang"):
 
 
 def _allied_sql(pairs_sql, seed=SEED):
-    codes = sorted(DEFAULT_LANGUAGES)
+    codes = sorted(LANGUAGES)
     by_script = {}
     for c in codes:
         by_script.setdefault(script_of(c), []).append(c)
@@ -623,8 +654,7 @@ CHAT_TEMPLATE = {
 GENERATION_PREFIX = ""
 
 
-@register("render_chat", sql.few_shot_chat(TEST_SQL, DEV_SQL, K, SEED, SRC, TGT).rsplit("\nSELECT row_id, msg_idx", 1)[0] + f""",
-msgs AS (SELECT row_id, msg_idx::INTEGER AS msg_idx, role, content FROM ({sql.few_shot_chat(TEST_SQL, DEV_SQL, K, SEED, SRC, TGT)}))
+@register("render_chat", f"""WITH msgs AS (SELECT row_id, msg_idx::INTEGER AS msg_idx, role, content FROM ({sql.few_shot_chat(TEST_SQL, DEV_SQL, K, SEED, SRC, TGT)}))
 SELECT row_id, string_agg(CASE role {' '.join(f"WHEN '{r}' THEN {sql.lit(a)} || content || {sql.lit(b)}" for r, (a, b) in CHAT_TEMPLATE.items())}
        ELSE content END, '' ORDER BY msg_idx) || {sql.lit(GENERATION_PREFIX)} AS prompt FROM msgs GROUP BY row_id""")
 def q_render_chat(spark, sf_dir):
@@ -634,7 +664,7 @@ def q_render_chat(spark, sf_dir):
 
 
 def _lang_values():
-    rows = ", ".join(f"({sql.lit(c)}, {sql.lit(n)})" for c, n in sorted(DEFAULT_LANGUAGES.items()))
+    rows = ", ".join(f"({sql.lit(c)}, {sql.lit(n)})" for c, n in sorted(LANGUAGES.items()))
     return f"(VALUES {rows}) l(code, name)"
 
 

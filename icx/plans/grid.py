@@ -197,9 +197,9 @@ def allied_choices(pairs: DataFrame, seed: int = 42, mapping: dict[str, str] | N
     Candidate lists come from the language dimension at plan time; the draw is keyed
     by (seed, src, tgt) like every other random choice.
     """
-    from icx.functions.scripts import DEFAULT_LANGUAGES, script_of
+    from icx.functions.scripts import LANGUAGES, script_of
 
-    codes = sorted(mapping or DEFAULT_LANGUAGES)
+    codes = sorted(mapping or LANGUAGES)
     by_script: dict[str, list[str]] = {}
     for c in codes:
         by_script.setdefault(script_of(c), []).append(c)

@@ -7,6 +7,7 @@ except `ensure_checkpoint_dir`, which only fills `spark.checkpoint.dir` when it
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -37,8 +38,9 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the checkpoint directory, setting one only when the cluster named none.
 
-    The shared folder configured as `spark.checkpoint.dir` always wins. Only when it is
-    unset (tests, local runs) a fresh scratch folder is created.
+    The shared folder configured as `spark.checkpoint.dir` always wins. Only a local master,
+    whose driver and tasks are one machine, gets a fresh scratch folder when it is unset; on
+    a cluster a folder of one machine would lose data, so that is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -46,6 +48,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the whole cluster shares")
         configured = tempfile.mkdtemp(prefix="icx-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
+
+
+_UNITS = {"": 0, "b": 0, "k": 1, "m": 2, "g": 3, "t": 4, "p": 5}
+
+
+def byte_setting(spark: SparkSession, name: str, default: int) -> int:
+    """A size setting in bytes, whatever unit it is written in (`64MB`, `1g`, `-1`)."""
+    raw = str(spark.conf.get(name, str(default))).strip().lower()
+    m = re.fullmatch(r"(-?\d+)([kmgtp]?)(?:i?b)?", raw)
+    if not m:
+        raise ValueError(f"{name} is no size: {raw!r}")
+    return int(m[1]) << (10 * _UNITS[m[2]])

@@ -13,6 +13,7 @@ checkpointed, fixed partitions.
 from __future__ import annotations
 
 from itertools import accumulate
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,39 +23,38 @@ from icx.session import ensure_checkpoint_dir
 _ORDINAL_BITS = 33  # monotonically_increasing_id = partition_id << 33 | ordinal
 
 
+class Indexed(NamedTuple):
+    df: DataFrame
+    size: int
+    sums: dict[str, int]
+
+
 def dense_index(
     df: DataFrame,
     order_by: list[str | Column],
     name: str = "idx",
     partitions: int | None = None,
-    extra: dict | None = None,
-) -> tuple[DataFrame, int]:
-    """Add `name` = 0-based position in `order_by` order; returns (df, row count).
-
-    `order_by` must be a total order (include a unique key as the last column).
-    `extra` maps names to additional sum expressions computed in the same count job;
-    their totals are stored in `dense_index.last_extra`.
+    sums: dict[str, Column] | None = None,
+) -> Indexed:
+    """Add `name` = 0-based position in `order_by` order; with the row count and the `sums`.
+
+    `order_by` must be a total order (include a unique key as the last column). `sums`
+    maps names to expressions that the counting job adds up. Without `partitions` the
+    adaptive planner sizes the range exchange by the data. The checkpoint is the only copy
+    that is written: the index is computed over its fixed partitions.
     """
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    if partitions is None:
-        partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = (
-        df.repartitionByRange(partitions, *order_by)
-        .sortWithinPartitions(*order_by)
-        .checkpoint(eager=True)
-    )
+    ensure_checkpoint_dir(df.sparkSession)
+    dealt = df.repartitionByRange(partitions, *order_by) if partitions else df.repartitionByRange(*order_by)
+    ranged = dealt.sortWithinPartitions(*order_by).checkpoint(eager=True)
     pid = F.spark_partition_id()
-    extra = extra or {}
+    sums = sums or {}
     rows = ranged.groupBy(pid.alias("p")).agg(
-        F.count(F.lit(1)).alias("n"), *[F.sum(e).alias(k) for k, e in extra.items()]
+        F.count(F.lit(1)).alias("n"), *[F.sum(e).alias(k) for k, e in sums.items()]
     ).collect()
     counts = {r["p"]: r["n"] for r in rows}
-    dense_index.last_extra = {k: sum((r[k] or 0) for r in rows) for k in extra}
-    n_parts = ranged.rdd.getNumPartitions()
-    sizes = [counts.get(p, 0) for p in range(n_parts)]
+    sizes = [counts.get(p, 0) for p in range(max(counts, default=0) + 1)]
     offsets = [0] + list(accumulate(sizes))[:-1]
     offset_col = F.element_at(F.array(*[F.lit(o).cast("bigint") for o in offsets]), pid + 1)
     mid = F.monotonically_increasing_id()
     ordinal = mid - F.shiftleft(F.shiftright(mid, _ORDINAL_BITS), _ORDINAL_BITS)
-    return ranged.withColumn(name, offset_col + ordinal), sum(sizes)
+    return Indexed(ranged.withColumn(name, offset_col + ordinal), sum(sizes), {k: sum((r[k] or 0) for r in rows) for k in sums})

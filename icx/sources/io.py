@@ -62,14 +62,14 @@ def read_pairs(spark: SparkSession, path: str, src_lang: str, tgt_lang: str, key
     if key:
         return raw.select(F.col(key).alias("row_id"), *cols)
     ordered = _ordered_ids(raw.select(*cols))
-    idx, _ = dense_index(ordered, ["_file", "_block", "_ord"], name="row_id")
+    idx = dense_index(ordered, ["_file", "_block", "_ord"], name="row_id").df
     return idx.select("row_id", "src", "tgt")
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """SRC-6: text file(s) -> (line_no, text) in file order, each line stripped."""
     ordered = _ordered_ids(spark.read.text(path))
-    idx, _ = dense_index(ordered, ["_file", "_block", "_ord"], name="line_no")
+    idx = dense_index(ordered, ["_file", "_block", "_ord"], name="line_no").df
     return idx.select("line_no", py_strip(F.col("value")).alias("text"))
 
 

@@ -21,8 +21,16 @@ from pyspark.sql import functions as F
 
 from icx.sources.index import dense_index
 
-# Short language codes of `documents.lang` -> lang_Script codes.
-DOC_LANG_CODES = {"en": "eng_Latn", "de": "deu_Latn", "fr": "fra_Latn", "es": "spa_Latn"}
+# Two-letter codes of `documents.lang` and their lang_Script codes.
+DOC_LANG_CODES = {
+    "ar": "arb_Arab", "bg": "bul_Cyrl", "bn": "ben_Beng", "cs": "ces_Latn", "da": "dan_Latn", "de": "deu_Latn",
+    "el": "ell_Grek", "en": "eng_Latn", "es": "spa_Latn", "fi": "fin_Latn", "fr": "fra_Latn", "gu": "guj_Gujr",
+    "he": "heb_Hebr", "hi": "hin_Deva", "hu": "hun_Latn", "id": "ind_Latn", "it": "ita_Latn", "ja": "jpn_Jpan",
+    "kn": "kan_Knda", "ko": "kor_Hang", "ml": "mal_Mlym", "mr": "mar_Deva", "nl": "nld_Latn", "pa": "pan_Guru",
+    "pl": "pol_Latn", "pt": "por_Latn", "ro": "ron_Latn", "ru": "rus_Cyrl", "si": "sin_Sinh", "sv": "swe_Latn",
+    "ta": "tam_Taml", "te": "tel_Telu", "th": "tha_Thai", "tr": "tur_Latn", "uk": "ukr_Cyrl", "ur": "urd_Arab",
+    "vi": "vie_Latn", "zh": "zho_Hans",
+}
 
 TEST_EVERY = 4  # conversations with conv_id % 4 == 0 form the test split
 
@@ -82,10 +90,15 @@ def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lang_code_col(lang):
-    out = None
-    for short, code in DOC_LANG_CODES.items():
-        out = F.when(lang == short, F.lit(code)) if out is None else out.when(lang == short, F.lit(code))
-    return out
+    """lang_Script code of a language column.
+
+    A two-letter code is looked up, a code that already names its script stays, and any
+    other value becomes a language of its own in the undetermined script (`xx_Zyyy`;
+    a null one is `und_Zyyy`), so no row is lost: `unknown_languages` reports those.
+    """
+    known = F.create_map(*[F.lit(x) for kv in DOC_LANG_CODES.items() for x in kv])
+    lang = F.coalesce(lang, F.lit("und"))
+    return F.coalesce(known[lang], F.when(lang.rlike("^[a-z]{3}_[A-Z][a-z]{3}$"), lang), F.concat(lang, F.lit("_Zyyy")))
 
 
 def spread(df: DataFrame, *keys: str, basis: DataFrame | None = None) -> DataFrame:
@@ -118,7 +131,7 @@ def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read(spark, sf_dir, "documents").select(
         "doc_id", lang_code_col(F.col("lang")).alias("code"), "text"
     )
-    idx, _ = dense_index(d, ["code", "doc_id"], name="gidx")
+    idx = dense_index(d, ["code", "doc_id"], name="gidx").df
     first = idx.groupBy("code").agg(F.min("gidx").alias("first"))
     return idx.join(F.broadcast(first), "code").select(
         (F.col("gidx") - F.col("first")).alias("row_id"), "code", "text"

@@ -1,8 +1,9 @@
 """Stateless few-shot prompt composition over a streaming test table.
 
 The demonstration draw depends only on (seed, row key, pool size), and fetching the
-demonstrations is k broadcast equi-joins against the static, indexed pool — no
-aggregation and no state, so every micro-batch is independent and replays give the
+demonstrations is k equi-joins against the static, indexed pool (broadcast while the
+measured pool is below the broadcast threshold, else by shuffle) — no aggregation and no
+state, so every micro-batch is independent and replays give the
 same prompts. Runs with `trigger(availableNow=True)` into a file sink whose
 checkpoint lives in the cluster's checkpoint folder.
 """
@@ -20,7 +21,7 @@ from icx.sources.io import scratch_dir
 def stream_few_shot(test_stream: DataFrame, pool: D.Pool, k: int, seed: int, src_lang: str, tgt_lang: str,
                     kind: str = "standard") -> DataFrame:
     drawn = D.draw(test_stream, "row_id", pool.size, k, seed)
-    with_demos = D.attach(drawn, pool, k, force="broadcast")
+    with_demos = D.attach(drawn, pool, k, force="broadcast" if pool.broadcastable() else "joins")
     return P.few_shot(with_demos, src_lang, tgt_lang, kind=kind, seed=seed).select(
         "row_id", "prompt", F.col("tgt").alias("reference")
     )

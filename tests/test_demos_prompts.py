@@ -10,7 +10,7 @@ from icx.sources.index import dense_index
 
 def test_dense_index_is_a_permutation_in_order(spark):
     df = spark.range(0, 5000).select((F.col("id") * 7919 % 10007).alias("k"))
-    idx, n = dense_index(df, ["k"], name="i", partitions=13)
+    idx, n, _ = dense_index(df, ["k"], name="i", partitions=13)
     rows = idx.orderBy("i").collect()
     assert n == 5000
     assert [r.i for r in rows] == list(range(5000))

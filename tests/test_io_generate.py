@@ -22,7 +22,7 @@ def test_text_file_job_keeps_order(spark):
     expected = IO.perturb_lines(IO.read_lines(spark, src), "eng_Latn", "word_order", PT.DEFAULT_RATES["word_order"], 3) \
         .orderBy("line_no").collect()
     assert len(got) == n
-    assert sorted(got) == sorted(r.text for r in expected)
+    assert got == [r.text for r in expected]
     assert all("\n" not in g and g == g.strip() for g in got)
 
 
@@ -35,16 +35,24 @@ def test_jsonl_check():
 
 def test_batch_model_hook_and_predictions(spark):
     prompts = spark.createDataFrame(
-        [(i, f"Q{i}: ", f"ref {i}") for i in range(50)], "row_id long, prompt string, reference string")
+        [(i, f"Q{i}: ", f"ref {i}") for i in range(50)] + [(50, None, "ref 50")], "row_id long, prompt string, reference string")
 
-    def batch_fn(batch):
-        assert len(batch) <= 8
-        return [p + f"answer {p[1:-2]}\nmore" for p in batch]
+    def init():
+        calls = []
 
-    raw = G.run(prompts, batch_fn, 8, ["row_id"])
-    pred = G.predictions(prompts, raw, ["row_id"]).orderBy("row_id").collect()
-    assert [r.hypothesis for r in pred] == [f"answer {i}" for i in range(50)]
-    assert G.lost_rows(prompts, raw, ["row_id"]).count() == 0
+        def model(batch):
+            calls.append(len(batch))
+            assert len(batch) <= 8 and None not in batch
+            return [p + f"answer {p[1:-2]}\nmore" for p in batch]
+
+        return model
+
+    raw = G.run(prompts, init, 8)
+    assert raw.columns == ["row_id", "prompt", "reference", "raw"]
+    some = raw.filter("row_id % 10 <> 3").select("row_id", "raw")
+    pred = {r.row_id: r.hypothesis for r in G.predictions(prompts, some, ["row_id"]).collect()}
+    assert pred == {i: None if i == 50 or i % 10 == 3 else f"answer {i}" for i in range(51)}
+    assert sorted(r.row_id for r in G.lost_rows(prompts, some, ["row_id"]).collect()) == [3, 13, 23, 33, 43, 50]
 
 
 def test_sinks_roundtrip(spark):
