@@ -37,8 +37,8 @@ def _key(k) -> Column:
     return F.lit(str(k))
 
 
-def h(seed: int, tag: str, *keys) -> Column:
-    return F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(tag), *[_key(k) for k in keys]))
+def h(seed: int | Column, tag: str, *keys) -> Column:
+    return F.md5(F.concat_ws("|", _key(seed), F.lit(tag), *[_key(k) for k in keys]))
 
 
 def u60(seed: int, tag: str, *keys) -> Column:
@@ -77,23 +77,29 @@ def key_pos(rk: Column) -> Column:
     return (rk % F.lit(POS_RADIX)).cast("int")
 
 
-def kmax(n: Column, rate: float, at_least_one: bool = True) -> Column:
+def kmax(n: Column, rate: float | Column, at_least_one: bool = True) -> Column:
     """Python's `max(1, int(n * rate))` (or `int(n * rate)`) with double arithmetic."""
-    k = F.floor(n.cast("double") * F.lit(float(rate)).cast("double")).cast("int")
+    share = rate if isinstance(rate, Column) else F.lit(float(rate))
+    k = F.floor(n.cast("double") * share.cast("double")).cast("int")
     return F.greatest(F.lit(1), k) if at_least_one else k
 
 
-def floyd_draw(seed: int, tag: str, row_key: Column, d: int, k: int) -> Column:
+def floyd_draw(seed: int | Column, tag: str, row_key: Column, d: int, k: int | Column) -> Column:
     """k distinct indexes from [0, d), uniform, as an array (Floyd's algorithm).
 
     Step j = d-k .. d-1 draws t = u60(row, j) mod (j+1) and adds t, or j when t is
     already present. k steps per row, no rejection loop, no cross join.
     """
-    if k <= 0:
+    if isinstance(k, Column):
+        too_few = F.raise_error(F.concat(F.lit("cannot draw from a pool of "), F.lit(str(d)), F.lit(" demonstrations: "), k.cast("string")))
+        steps = F.when(k > d, too_few.cast("array<bigint>")).when(k > 0, F.sequence(F.lit(d).cast("bigint") - k, F.lit(d - 1).cast("bigint")))
+        steps = F.coalesce(steps, F.array().cast("array<bigint>"))
+    elif k <= 0:
         return F.array().cast("array<bigint>")
-    if k > d:
+    elif k > d:
         raise ValueError(f"cannot draw {k} demonstrations from a pool of {d}")
-    steps = F.sequence(F.lit(d - k).cast("bigint"), F.lit(d - 1).cast("bigint"))
+    else:
+        steps = F.sequence(F.lit(d - k).cast("bigint"), F.lit(d - 1).cast("bigint"))
 
     def step(acc, j):
         return let(

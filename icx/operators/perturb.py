@@ -69,7 +69,9 @@ RATE_PARAM = {
 }
 
 
-def _check_rate(rate: float) -> float:
+def _check_rate(rate: float | Column) -> float | Column:
+    if isinstance(rate, Column):
+        return rate
     rate = float(rate)
     if not 0.0 <= rate <= 1.0:
         raise ValueError(f"rate must be within [0, 1], got {rate}")
@@ -423,10 +425,3 @@ def _dispatch(attack: str, text: Column, keys: list[Column], language, rate: flo
         return word_order(text, keys, rate, seed)
     raise NotImplementedError(f"invalid attack type {attack!r}; choose one of {', '.join(ATTACKS)}")
 
-
-def apply(df: DataFrame, text: str, keys: list[str], attack: str, language, rate: float, seed: int,
-          out: str | None = None) -> DataFrame:
-    """DataFrame form: replace (or add as `out`) the perturbed text column."""
-    lang = F.col(language) if isinstance(language, str) and language in df.columns else language
-    col = perturb(attack, F.col(text), [F.col(k) for k in keys], lang, rate, seed)
-    return df.withColumn(out or text, col)

@@ -159,6 +159,8 @@ def _pivot(variant, chat=False):
 for _v in PV.VARIANTS:
     register(f"pivot_variant_{_v}", sql.pivot_text_sql(_v, SEED, SRC, TGT, PIVOT))(_pivot(_v))
 register("pivot_chat", sql.pivot_chat_sql("II", SEED, SRC, TGT, PIVOT))(_pivot("II", chat=True))
+for _v in ("I", "III", "IV"):
+    register(f"pivot_chat_{_v}", sql.pivot_chat_sql(_v, SEED, SRC, TGT, PIVOT))(_pivot(_v, chat=True))
 
 
 # ---- generation data path, predictions and metrics ------------------------------------------
@@ -479,20 +481,45 @@ _CODES_SQL = f"SELECT DISTINCT {sql.LANG_CODE} AS code FROM documents"
 _PAIRS_SQL = f"SELECT a.code AS src_lang, b.code AS tgt_lang FROM ({_CODES_SQL}) a JOIN ({_CODES_SQL}) b ON a.code <> b.code"
 
 
-def _sql_val(v, t):
-    if v is None:
-        return f"NULL::{t}"
-    if isinstance(v, str):
-        return sql.lit(v)
-    return f"{v!r}::{t}"
+# The parameter lists of the six experiments, written out as relations.
+_SHOTS_SQL = "(VALUES (1), (4), (8)) s(shots)"
+_ATTACKS_SQL = ("(VALUES ('span_noise'), ('word_duplication'), ('punctuation_drop_attack'), ('punctuation_add_attack'), "
+                "('ocr'), ('word_order')) a(attack)")
+_RATES_SQL = "(VALUES (0.1::DOUBLE), (0.25::DOUBLE), (0.5::DOUBLE), (0.75::DOUBLE)) r(rate)"
+_DIRECTIONS_SQL = "(VALUES ('source'), ('target')) d(direction)"
+_NO = {"kind": "NULL::VARCHAR", "attack": "NULL::VARCHAR", "rate": "NULL::DOUBLE", "direction": "NULL::VARCHAR",
+       "htype": "NULL::VARCHAR", "variant": "NULL::VARCHAR"}
+
+
+def _grid_row(experiment, source, shots="shots", seed="42", **given):
+    cols = _NO | given
+    return (f"SELECT '{experiment}' AS experiment, {shots}::INTEGER AS shots, {cols['kind']} AS kind, {seed}::INTEGER AS seed, "
+            f"{cols['attack']} AS attack, {cols['rate']} AS rate, {cols['direction']} AS direction, {cols['htype']} AS htype, "
+            f"{cols['variant']} AS variant FROM {source}")
+
+
+_NOISY = {"attack": "attack", "rate": "rate", "direction": "direction"}
+_GRIDS_SQL = {
+    "instruction": _grid_row("instruction", _SHOTS_SQL + ", (VALUES ('standard'), ('generic'), ('random'), ('contrastive'), ('no_instruct')) k(kind)",
+                             kind="kind"),
+    "directionality": _grid_row("directionality", _SHOTS_SQL + ", (VALUES (0), (25), (42)) e(sd)", seed="sd"),
+    "homogeneous": _grid_row("homogeneous", _SHOTS_SQL) + " UNION ALL " + _grid_row(
+        "homogeneous", f"{_SHOTS_SQL}, {_ATTACKS_SQL}, {_RATES_SQL}, {_DIRECTIONS_SQL}", **_NOISY),
+    "heterogeneous": _grid_row(
+        "heterogeneous", f"{_SHOTS_SQL}, {_ATTACKS_SQL}, {_RATES_SQL}, {_DIRECTIONS_SQL}, (VALUES ('I'), ('II'), ('III'), ('IV')) h(htype) "
+        "WHERE shots > 1 AND attack NOT LIKE 'punctuation%'", **_NOISY, htype="htype"),
+    "allied": _grid_row("allied", _SHOTS_SQL),
+    "pivot": _grid_row("pivot", "(VALUES ('I'), ('II'), ('III'), ('IV')) v(variant)", shots="0", variant="variant"),
+}
 
 
 def _grid_sql(experiments):
-    names = [f.split()[0] for f in GR.GRID_SCHEMA.split(", ")]
-    types = [{"string": "VARCHAR", "int": "INTEGER", "double": "DOUBLE"}[f.split()[1]] for f in GR.GRID_SCHEMA.split(", ")]
-    rows = [row for e in experiments for row in GR._rows(e)]
-    vals = ",\n".join("(" + ", ".join(_sql_val(v, t) for v, t in zip(r, types)) + ")" for r in rows)
-    return f"SELECT * FROM (VALUES {vals}) g({', '.join(names)})"
+    return " UNION ALL ".join(_GRIDS_SQL[e] for e in experiments)
+
+
+_RUN_ID_SQL = ("md5(concat_ws('|', experiment, src_lang, tgt_lang, coalesce(aux_lang, ''), coalesce(pivot_lang, ''), shots::VARCHAR, "
+               "coalesce(kind, ''), seed::VARCHAR, coalesce(attack, ''), coalesce(rate::VARCHAR, ''), coalesce(direction, ''), "
+               "coalesce(htype, ''), coalesce(variant, '')))")
 
 
 def _runs_sql(pairs_sql, experiments, model=GR.DEFAULT_MODEL):
@@ -506,12 +533,12 @@ def _runs_sql(pairs_sql, experiments, model=GR.DEFAULT_MODEL):
             f"WHEN 'heterogeneous' THEN concat_ws('-', {base}, {ap}, 'heterogeneous', htype) "
             f"WHEN 'allied' THEN concat_ws('-', {m}, src_lang, aux_lang, tgt_lang, {shot}) "
             f"ELSE concat_ws('-', {m}, src_lang, pivot_lang, tgt_lang, 'variant', variant) END")
-    bs = lambda t: "CASE shots " + " ".join(f"WHEN {k} THEN {b}" for k, b in t.items()) + " ELSE error('Unsupported n_shot value') END"
+    bs = lambda t: "CASE shots " + " ".join(f"WHEN {k} THEN {b}" for k, b in t.items()) + " ELSE error('no batch size') END"
     batch = (f"CASE WHEN experiment = 'pivot' THEN {GR.PIVOT_BATCH_SIZE} WHEN experiment = 'heterogeneous' "
              f"THEN {bs(GR.HETERO_BATCH_SIZES)} ELSE {bs(GR.BATCH_SIZES)} END")
     chat = "TRUE" if model in GR.CHAT_MODELS else "FALSE"
     return f"""SELECT experiment, src_lang, tgt_lang, aux_lang, pivot_lang, shots, kind, seed, attack, rate, direction, htype,
-       variant, {pm} AS param, {name} AS run_name, ({batch})::INTEGER AS batch_size, {chat} AS chat_format
+       variant, {pm} AS param, {name} AS run_name, {_RUN_ID_SQL} AS run_id, ({batch})::INTEGER AS batch_size, {chat} AS chat_format
 FROM (SELECT p.*, g.* FROM ({pairs_sql}) p CROSS JOIN ({_grid_sql(experiments)}) g)"""
 
 
@@ -572,9 +599,18 @@ def q_grid_pivot(spark, sf_dir):
     return GR.runs(p.withColumn("pivot_lang", F.lit("eng_Latn")), ("pivot",))
 
 
-@register("grid_all", _runs_sql(_with_null(_PAIRS_SQL, "aux_lang", "pivot_lang"), GR.EXPERIMENTS[:4]))
+_ALL_GRID_SQL = " UNION ALL ".join([
+    _runs_sql(_with_null(_PAIRS_SQL, "aux_lang", "pivot_lang"), ("instruction", "directionality", "homogeneous", "heterogeneous")),
+    _runs_sql(f"SELECT DISTINCT src_lang, tgt_lang, aux_lang, NULL::VARCHAR AS pivot_lang FROM ({_allied_sql(_PAIRS_SQL)}) WHERE aux_lang IS NOT NULL",
+              ("allied",)),
+    _runs_sql(f"SELECT src_lang, tgt_lang, NULL::VARCHAR AS aux_lang, 'eng_Latn' AS pivot_lang FROM ({_PAIRS_SQL}) "
+              f"WHERE src_lang <> 'eng_Latn' AND tgt_lang <> 'eng_Latn'", ("pivot",)),
+])
+
+
+@register("grid_all", _ALL_GRID_SQL)
 def q_grid_all(spark, sf_dir):
-    return GR.runs(_pairs(spark, sf_dir), GR.EXPERIMENTS[:4])
+    return GR.all_runs(_pairs(spark, sf_dir), SEED)
 
 
 # ---- sources and sinks ----------------------------------------------------------------------------
@@ -600,8 +636,8 @@ def q_fan_out(spark, sf_dir):
 
 
 def _cat_sql():
-    rows = [(ds, FO.DATASET_SHORT[ds], sp, src) for ds, m in FO.SPLITS.items() for sp, src in m.items()]
-    vals = ", ".join("(" + ", ".join(sql.lit(x) for x in r) + ")" for r in rows)
+    vals = ("('facebook/flores', 'flores', 'dev', 'dev'), ('facebook/flores', 'flores', 'test', 'devtest'), "
+            "('ai4bharat/IN22-Gen', 'in22', 'test', 'gen')")
     return f"""SELECT c.dataset, c.short, c.split, c.source_split, p.src_lang, p.tgt_lang,
        'data/' || c.split || '/' || c.short || '_' || p.src_lang || '-' || p.tgt_lang || '.jsonl' AS path
 FROM ({_PAIRS_SQL}) p CROSS JOIN (VALUES {vals}) c(dataset, short, split, source_split)"""
@@ -612,6 +648,29 @@ def q_catalogue(spark, sf_dir):
     return FO.catalogue(_pairs(spark, sf_dir))
 
 
+#: Pairs that a download of sentences in these languages would ask for, besides those of the data.
+WANTED = ("eng_Latn", "hin_Deva", "ita_Latn")
+
+
+@register("missing_pairs", f"""SELECT w.src_lang, w.tgt_lang FROM (SELECT a.code AS src_lang, b.code AS tgt_lang
+  FROM (SELECT code FROM ({_CODES_SQL}) UNION SELECT unnest(['eng_Latn', 'hin_Deva', 'ita_Latn'])) a
+  JOIN (SELECT code FROM ({_CODES_SQL}) UNION SELECT unnest(['eng_Latn', 'hin_Deva', 'ita_Latn'])) b ON a.code <> b.code) w
+WHERE NOT EXISTS (SELECT 1 FROM ({_SENT_SQL}) s JOIN ({_SENT_SQL}) t ON s.row_id = t.row_id
+                  WHERE s.code = w.src_lang AND t.code = w.tgt_lang)""")
+def q_missing_pairs(spark, sf_dir):
+    """SRC-1's report: wanted language pairs without any sentence pair."""
+    codes = _doc_codes(spark, sf_dir).distinct().unionByName(spark.createDataFrame([(c,) for c in WANTED], "code string")).distinct()
+    sent = tables.sentences(spark, sf_dir)
+    return FO.missing_pairs(FO.fan_out(sent, GR.language_pairs(codes)), GR.language_pairs(codes))
+
+
+@register("unknown_languages", f"SELECT code, count(*) AS n FROM (SELECT {sql.LANG_CODE} AS code FROM documents) WHERE code LIKE '%\\_Zyyy' ESCAPE '\\' GROUP BY code")
+def q_unknown_languages(spark, sf_dir):
+    """Languages of the documents that the code table does not know, with their documents."""
+    codes = _doc_codes(spark, sf_dir)
+    return codes.filter(F.col("code").endswith("_Zyyy")).groupBy("code").agg(F.count("*").alias("n"))
+
+
 @register("jsonl_roundtrip", f"SELECT row_number() OVER (ORDER BY row_id) - 1 AS row_id, src, tgt FROM ({DEV_SQL})")
 def q_jsonl_roundtrip(spark, sf_dir):
     """SNK-2 then SRC-2/3: dev pairs written as sentence_* JSON Lines and read back in file order."""
@@ -749,15 +808,11 @@ for _metric in ("bleu", "chrf", "chrf_pp"):
         (lambda m: lambda spark, sf_dir: M.score(_source_copy(spark, sf_dir), ["run_id"], metrics=(m,)))(_metric)
     )
 
-_GRID4 = _runs_sql(_with_null(_PAIRS_SQL, "aux_lang", "pivot_lang"), GR.EXPERIMENTS[:4])
-
-
-@register("run_names", f"SELECT DISTINCT experiment, src_lang, tgt_lang, run_name FROM ({_GRID4})")
+@register("run_names", f"SELECT DISTINCT experiment, src_lang, tgt_lang, run_name FROM ({_ALL_GRID_SQL})")
 def q_run_names(spark, sf_dir):
-    return GR.runs(_pairs(spark, sf_dir), GR.EXPERIMENTS[:4]).select(
-        "experiment", "src_lang", "tgt_lang", "run_name").distinct()
+    return GR.all_runs(_pairs(spark, sf_dir), SEED).select("experiment", "src_lang", "tgt_lang", "run_name").distinct()
 
 
-@register("batch_sizes", f"SELECT DISTINCT experiment, shots, batch_size FROM ({_GRID4})")
+@register("batch_sizes", f"SELECT DISTINCT experiment, shots, batch_size FROM ({_ALL_GRID_SQL})")
 def q_batch_sizes(spark, sf_dir):
-    return GR.runs(_pairs(spark, sf_dir), GR.EXPERIMENTS[:4]).select("experiment", "shots", "batch_size").distinct()
+    return GR.all_runs(_pairs(spark, sf_dir), SEED).select("experiment", "shots", "batch_size").distinct()

@@ -2,13 +2,14 @@
 
 A grid is a small DataFrame of run parameters; crossing it with the language pairs
 present in the data gives one row per run, so a whole study is one DataFrame keyed by
-`run_name` instead of hundreds of separate processes. Grid tables are bounded by the
+`run_id` instead of hundreds of separate processes (`run_name` is for people: it leaves
+out the seed and the direction). Grid tables are bounded by the
 parameter lists (at most a few hundred rows), so joining them is broadcast-safe.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from icx.functions.arrays import let
@@ -61,10 +62,6 @@ def _rows(experiment: str) -> list[tuple]:
 EXPERIMENTS = ("instruction", "directionality", "homogeneous", "heterogeneous", "allied", "pivot")
 
 
-def grid(spark: SparkSession, experiment: str) -> DataFrame:
-    return spark.createDataFrame(_rows(experiment), GRID_SCHEMA)
-
-
 def param_name(attack: Column) -> Column:
     """PRJ-4: the keyword a rate is passed under for each attack."""
     out = None
@@ -79,7 +76,7 @@ def batch_size(experiment: Column, shots: Column) -> Column:
         out = None
         for k, b in table.items():
             out = F.when(shots == k, F.lit(b)) if out is None else out.when(shots == k, F.lit(b))
-        return out.otherwise(F.raise_error(F.concat(F.lit("Unsupported n_shot value: "), shots.cast("string"))).cast("int"))
+        return out.otherwise(F.raise_error(F.concat(F.lit("no batch size is set for this number of shots: "), shots.cast("string"))).cast("int"))
 
     return (
         F.when(experiment == "pivot", F.lit(PIVOT_BATCH_SIZE))
@@ -106,6 +103,23 @@ def run_name(model: Column, experiment: Column, src: Column, tgt: Column, aux: C
     )
 
 
+#: What tells two runs apart; `run_name` leaves out the seed and the direction.
+RUN_KEY = ("experiment", "src_lang", "tgt_lang", "aux_lang", "pivot_lang", "shots", "kind", "seed", "attack", "rate", "direction", "htype", "variant")
+
+
+def run_id() -> Column:
+    """Identifier of a run: a hash of all its parameters."""
+    return F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in RUN_KEY]))
+
+
+def all_runs(pairs: DataFrame, seed: int = 42) -> DataFrame:
+    """The six experiments over all language pairs; the allied one once per distinct helper language."""
+    aux = allied_choices(pairs, seed).select("src_lang", "tgt_lang", "aux_lang").filter(F.col("aux_lang").isNotNull()).distinct()
+    other = pairs.filter((F.col("src_lang") != "eng_Latn") & (F.col("tgt_lang") != "eng_Latn"))
+    plain = runs(pairs, ("instruction", "directionality", "homogeneous", "heterogeneous"))
+    return plain.unionByName(runs(aux, ("allied",))).unionByName(runs(other.withColumn("pivot_lang", F.lit("eng_Latn")), ("pivot",)))
+
+
 def grid_array(experiments: tuple[str, ...]) -> Column:
     """All grid points of the experiments as one constant array<struct> (bounded by the lists).
 
@@ -138,6 +152,7 @@ def runs(pairs: DataFrame, experiments: tuple[str, ...] = EXPERIMENTS, model: st
         "direction", "htype", "variant",
         param_name(F.col("attack")).alias("param"),
         name.alias("run_name"),
+        run_id().alias("run_id"),
         batch_size(F.col("experiment"), F.col("shots")).alias("batch_size"),
         F.lit(model in CHAT_MODELS).alias("chat_format"),
     )
@@ -156,13 +171,6 @@ def language_pairs(codes: DataFrame, col: str = "code") -> DataFrame:
     return pairs.select("p.*")
 
 
-def params_map(attack: Column, rate: Column) -> Column:
-    """Attack parameters as map<string,double> (empty for clean runs)."""
-    return F.when(attack.isNull(), F.create_map().cast("map<string,double>")).otherwise(
-        F.create_map(param_name(attack), rate)
-    )
-
-
 def _pick_excluding(codes: list[str], r_hash: Column, src: Column, tgt: Column) -> Column:
     """Uniform pick from `codes` minus {src, tgt}: r = hash mod (L - excluded), then
     step over the excluded positions in ascending order (exact, no rejection)."""

@@ -27,7 +27,7 @@ def check_jsonl(*paths: str) -> None:
     """VAL-1: pair files must be JSON Lines."""
     for p in paths:
         if not p.endswith(".jsonl"):
-            raise ValueError(f"test and dev files should be jsonl: {p}")
+            raise ValueError(f"not a JSON Lines file: {p}")
 
 
 def pair_schema(src_lang: str, tgt_lang: str) -> T.StructType:
