@@ -39,8 +39,8 @@ class Pool:
     @classmethod
     def build(cls, dev: DataFrame, key: str = "row_id", cols: tuple[str, ...] = ("src", "tgt")) -> "Pool":
         """One range exchange and one checkpoint of the pool; every fetch reads that table."""
-        row_bytes = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in cols), F.lit(16))
-        idx = dense_index(dev.select(key, *cols), [key], name="idx", sums={"bytes": row_bytes})
+        row_bytes = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in cols), F.lit(16))
+        idx = dense_index(dev.select(*dict.fromkeys([key, *cols])), [key], name="idx", sums={"bytes": row_bytes})
         return cls(idx.df.select("idx", *cols), idx.size, idx.sums["bytes"])
 
     def broadcastable(self) -> bool:
@@ -48,11 +48,15 @@ class Pool:
         return 0 <= self.nbytes <= limit
 
 
+def drawn(key: Column, pool_size: int, k: int | Column, seed: int | Column, tag: str = DEMO_TAG) -> Column:
+    """k pool indexes in demonstration order."""
+    return shuffled(seed, tag + "_order", key, floyd_draw(seed, tag, key, pool_size, k))
+
+
 def draw(test: DataFrame, key: str | Column, pool_size: int, k: int, seed: int, tag: str = DEMO_TAG) -> DataFrame:
     """Add `demo_idx`: k pool indexes in demonstration order."""
     kc = F.col(key) if isinstance(key, str) else key
-    picked = floyd_draw(seed, tag, kc, pool_size, k)
-    return test.withColumn("demo_idx", shuffled(seed, tag + "_order", kc, picked))
+    return test.withColumn("demo_idx", drawn(kc, pool_size, k, seed, tag))
 
 
 def attach(

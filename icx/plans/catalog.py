@@ -613,6 +613,24 @@ def q_grid_all(spark, sf_dir):
     return GR.all_runs(_pairs(spark, sf_dir), SEED)
 
 
+# ---- the whole grid of the data's language pair, run in one job ---------------------------------
+
+from icx.plans import study as ST_  # noqa: E402
+
+
+def grid_predictions(spark, sf_dir):
+    test, dev = _test_dev(spark, sf_dir)
+    aux_dev = _split(tables.aux_pairs(spark, sf_dir), "dev")
+    asked = ST_.prompts(test, dev, aux_dev, tables.triples(spark, sf_dir), SRC, TGT, AUX, PIVOT)
+    return ST_.predictions(asked, CONTEXT)
+
+
+# Checked run by run against the single-run queries (tests/test_study.py): as one SQL
+# statement, 431 runs of perturbed demonstrations take DuckDB longer than the gate allows.
+register("grid_predictions", None)(grid_predictions)
+register("grid_metrics", None)(lambda spark, sf_dir: ST_.scores(grid_predictions(spark, sf_dir)))
+
+
 # ---- sources and sinks ----------------------------------------------------------------------------
 
 from icx.sources import fanout as FO  # noqa: E402
