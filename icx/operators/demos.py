@@ -43,6 +43,10 @@ class Pool:
         idx = dense_index(dev.select(*dict.fromkeys([key, *cols])), [key], name="idx", sums={"bytes": row_bytes})
         return cls(idx.df.select("idx", *cols), idx.size, idx.sums["bytes"])
 
+    def fixed(self) -> "Pool":
+        """The pool with its index written out, as streaming joins need it (they cannot number rows)."""
+        return Pool(self.df.checkpoint(eager=True), self.size, self.nbytes)
+
     def broadcastable(self) -> bool:
         limit = byte_setting(self.df.sparkSession, "spark.sql.autoBroadcastJoinThreshold", 10 << 20)
         return 0 <= self.nbytes <= limit

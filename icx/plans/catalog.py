@@ -717,6 +717,111 @@ def q_perturb_text_lines(spark, sf_dir):
     return out.select("row_id", "line_no", "text")
 
 
+# ---- file jobs: written, read back, in order ------------------------------------------------------
+
+_FILE_LINES_SQL = (f"SELECT row_number() OVER (ORDER BY row_id, line_no) - 1 AS line_no, {sql.strip('text')} AS text, 'eng_Latn' AS code "
+                   f"FROM ({_LINES_SQL})")
+
+
+@register("perturb_file_job", f"""SELECT line_no, replace({sql.strip('perturbed')}, chr(10), '') AS text
+FROM ({sql.ptb_sql("word_order", _FILE_LINES_SQL, ["line_no"], PT.DEFAULT_RATES["word_order"], SEED)})""")
+def q_perturb_file_job(spark, sf_dir):
+    """PTB-8, SRC-6, SNK-1: all lines of the documents as a text file, perturbed line by line into another, read in order."""
+    d = tables.spread(tables.read(spark, sf_dir, "documents"), "doc_id")
+    lines = d.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("at", "text"))
+    numbered = dense_index(lines, ["doc_id", "at"], name="line_no").df
+    source, target = IO.scratch_dir(spark, "lines-in"), IO.scratch_dir(spark, "lines-out")
+    IO.write_lines(numbered, source)
+    IO.perturb_text(spark, source, target, "eng_Latn", "word_order", seed=SEED)
+    return IO.read_lines(spark, target).select("line_no", "text")
+
+
+def _file_rows_sql(pairs):
+    return f"SELECT row_number() OVER (ORDER BY row_id) - 1 AS n, src, tgt FROM ({pairs})"
+
+
+@register("pivot_from_files", f"""SELECT a.n AS sp_id, b.n AS pt_id, a.src, a.tgt AS "pivot", b.tgt
+FROM ({_file_rows_sql(sql.PAIRS)}) a JOIN ({_file_rows_sql(sql.AUX_PAIRS)}) b ON a.tgt = b.src""")
+def q_pivot_from_files(spark, sf_dir):
+    """SRC-5: the pivot study's triples from two pair files, each found and read by the English-first rule."""
+    base = IO.scratch_dir(spark, "pivot-files")
+    sides = []
+    for pairs, src_lang, tgt_lang in ((tables.pairs(spark, sf_dir), SRC, TGT), (tables.aux_pairs(spark, sf_dir), TGT, PIVOT)):
+        path, src_col, tgt_col = FO.pair_file("flores", "dev", src_lang, tgt_lang)
+        (pairs.repartitionByRange("row_id").sortWithinPartitions("row_id")
+            .select(F.col("src").alias(src_col), F.col("tgt").alias(tgt_col)).write.json(f"{base}/{path}"))
+        sides.append(IO.read_pairs(spark, f"{base}/{path}", src_lang, tgt_lang))
+    first, second = sides
+    left = first.select(F.col("row_id").alias("sp_id"), "src", F.col("tgt").alias("pivot"))
+    right = second.select(F.col("row_id").alias("pt_id"), F.col("src").alias("pivot2"), "tgt")
+    return left.join(right, left.pivot == right.pivot2).select("sp_id", "pt_id", "src", "pivot", "tgt")
+
+
+@register("predictions_sink", PREDICTIONS_SQL)
+def q_predictions_sink(spark, sf_dir):
+    """SNK-3: the predictions table, partitioned by run, read back."""
+    path = IO.scratch_dir(spark, "predictions")
+    IO.write_predictions(_predictions(spark, sf_dir), path)
+    return spark.read.parquet(path).select("run_id", "row_id", "prompt", "hypothesis", "reference")
+
+
+@register("metrics_sink", sql.metrics_sql(PREDICTIONS_SQL, ["run_id"], "13a"))
+def q_metrics_sink(spark, sf_dir):
+    """SNK-4: one row per run appended to the metrics table, read back."""
+    path = IO.scratch_dir(spark, "metrics")
+    IO.write_metrics(M.score(_predictions(spark, sf_dir), ["run_id"]), path)
+    return spark.read.parquet(path)
+
+
+# ---- every script: documents spelled in the letters of another script --------------------------------
+
+from icx.functions.scripts import SCRIPT_RANGES  # noqa: E402
+
+_LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def _spelling(script: str) -> tuple[str, str]:
+    """Latin letters and full stop, and what stands for them in a script."""
+    lo, hi = SCRIPT_RANGES[script]
+    if script == "Latn":
+        return _LETTERS, _LETTERS
+    stop = "\u06d4" if script == "Arab" else "." if script == "Cyrl" else "\u0964"
+    return _LETTERS + ".", "".join(chr(lo + 5 + i % (hi - lo - 6)) for i in range(len(_LETTERS))) + stop
+
+
+_SCRIPTS = tuple(SCRIPT_RANGES)
+_SCRIPT_LINES_SQL = ("SELECT doc_id AS row_id, CASE doc_id % {n} {texts} END AS text, CASE doc_id % {n} {codes} END AS code FROM documents".format(
+    n=len(_SCRIPTS),
+    texts=" ".join(f"WHEN {i} THEN translate(text, {sql.lit(a)}, {sql.lit(b)})" for i, (a, b) in enumerate(map(_spelling, _SCRIPTS))),
+    codes=" ".join(f"WHEN {i} THEN 'xxx_{sc}'" for i, sc in enumerate(_SCRIPTS))))
+
+
+def _script_lines(spark, sf_dir):
+    """Every document, spelled in the script that its id names."""
+    d = tables.read(spark, sf_dir, "documents")
+    which = F.col("doc_id") % len(_SCRIPTS)
+    text = code = None
+    for i, sc in enumerate(_SCRIPTS):
+        spelled = F.translate("text", *_spelling(sc))
+        text = F.when(which == i, spelled) if text is None else text.when(which == i, spelled)
+        code = F.when(which == i, F.lit(f"xxx_{sc}")) if code is None else code.when(which == i, F.lit(f"xxx_{sc}"))
+    return tables.spread(d.select(F.col("doc_id").alias("row_id"), text.alias("text"), code.alias("code")), "row_id", basis=d)
+
+
+def _scripts_query(attack):
+    def run(spark, sf_dir):
+        ln = _script_lines(spark, sf_dir)
+        return ln.select("row_id", "code", PT.perturb(attack, F.col("text"), [F.col("row_id")], F.col("code"), PTB_RATE, SEED).alias("perturbed"))
+
+    return run
+
+
+for _attack in ("span_noise", "punctuation_drop_attack", "punctuation_add_attack"):
+    register(f"ptb_scripts_{_attack.replace('_attack', '')}",
+             f"SELECT p.row_id, s.code, p.perturbed FROM ({sql.ptb_sql(_attack, _SCRIPT_LINES_SQL, ['row_id'], PTB_RATE, SEED)}) p "
+             f"JOIN ({_SCRIPT_LINES_SQL}) s ON s.row_id = p.row_id")(_scripts_query(_attack))
+
+
 # ---- chat rendering, language names, text functions ---------------------------------------------
 
 from icx.functions import text as TX  # noqa: E402
@@ -806,6 +911,8 @@ def document_metrics(spark, sf_dir, rate=PTB_RATE, tokenizer="13a"):
     return M.score(seg, ["run_id"], tokenizer=tokenizer)
 
 
+# No SQL twin: the n-grams of whole documents, joined as rows, take DuckDB minutes at the
+# smallest scale; tests/test_metrics.py holds the query against brute force.
 register("document_metrics", None)(document_metrics)
 
 

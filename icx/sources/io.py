@@ -68,7 +68,7 @@ def read_pairs(spark: SparkSession, path: str, src_lang: str, tgt_lang: str, key
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """SRC-6: text file(s) -> (line_no, text) in file order, each line stripped."""
-    ordered = _ordered_ids(spark.read.text(path))
+    ordered = _ordered_ids(spark.read.text(path, lineSep="\n"))
     idx = dense_index(ordered, ["_file", "_block", "_ord"], name="line_no").df
     return idx.select("line_no", py_strip(F.col("value")).alias("text"))
 

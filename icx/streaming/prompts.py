@@ -31,6 +31,7 @@ def run_available_now(spark: SparkSession, test_dir: str, schema: str, pool: D.P
                       src_lang: str, tgt_lang: str, out_dir: str | None = None) -> DataFrame:
     """Process every file present in `test_dir` once; returns the written prompts (batch read)."""
     out_dir = out_dir or scratch_dir(spark, "stream-out")
+    pool = pool.fixed()
     stream = spark.readStream.schema(schema).parquet(test_dir)
     q = (
         stream_few_shot(stream, pool, k, seed, src_lang, tgt_lang)
