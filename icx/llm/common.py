@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from icx.session import ensure_checkpoint_dir
@@ -45,6 +45,15 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def document_key(*columns: str) -> dict[str, Column]:
+    """Join columns that stand for these columns, null-safe, under names no table has."""
+    out = {}
+    for i, c in enumerate(columns):
+        out[f"__icx_value{i}"] = F.coalesce(F.col(c).cast("long"), F.lit(0)).alias(f"__icx_value{i}")
+        out[f"__icx_null{i}"] = F.col(c).isNull().alias(f"__icx_null{i}")
+    return out
+
+
 def ranked(df: DataFrame, order: list, name: str) -> DataFrame:
     """Append `name`: the dense 0-based position in `order`, without a single-task window.
 

@@ -21,11 +21,11 @@ import sys
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from icx.llm.common import WORD, mixed, ranked, written
+from icx.llm.common import WORD, document_key, mixed, ranked, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -163,17 +163,13 @@ def mixed_copies(docs: DataFrame) -> DataFrame:
 
 
 def mixture(docs: DataFrame) -> DataFrame:
-    """The documents as the mix takes them: each row as often as it has copies."""
+    """The documents as the mix takes them: each row as often as it has copies.
+
+    Repeated rows (equal doc_id and text) are dealt together: their copies are summed.
+    """
     got = mixed_copies(docs)
-    # repeated rows share doc_id and key: their copies are summed and dealt to one of them
-    wanted = got.groupBy("doc_id", "key").agg(F.sum("copies").alias("_n"))
-    return _dealt(docs, wanted)
-
-
-def _dealt(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    keyed = docs.withColumn("_k", F.xxhash64("doc_id", "text"))
-    wanted = wanted.select(F.col("doc_id").alias("_d"), F.col("key").alias("_k2"), "_n").filter("_n > 0")
-    one = Window.partitionBy("doc_id", "_k").orderBy(F.lit(0))
-    first = keyed.withColumn("_row", F.row_number().over(one)).filter("_row = 1").drop("_row")
-    joined = first.join(wanted, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_k") == F.col("_k2")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).select(*docs.columns)
+    key = document_key("doc_id")
+    wanted = got.select(F.col("key").alias("__icx_text"), *key.values(), "copies").groupBy("__icx_text", *key).agg(F.sum("copies").alias("__icx_n"))
+    own = docs.select("*", F.xxhash64("doc_id", "text").alias("__icx_text"), *key.values())
+    dealt = own.join(wanted.filter("__icx_n > 0"), ["__icx_text", *key]).dropDuplicates(["__icx_text", *key])
+    return dealt.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("__icx_n"))).alias("__icx_copy")).select(*docs.columns)

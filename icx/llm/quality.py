@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from icx.llm.common import SPACE, SpanHash, blocks, owners, per_text, runs, windows, written
+from icx.llm.common import SPACE, SpanHash, blocks, document_key, owners, per_text, runs, windows, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -83,15 +83,15 @@ def _measured(batches):
         owner = owners(line, off)
         key = hashed(line, line_end) ^ (owner.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         found["n_dup_lines"] = np.bincount(owner[pd.Series(key).duplicated().to_numpy()], minlength=n)
-        kept = [batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "lang", "source")]
+        kept = [batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "lang", "source", "key")]
         yield pa.RecordBatch.from_arrays(
-            kept + [pa.array(found[c].astype(np.int64)) for c in COUNTS], names=["doc_id", "lang", "source", *COUNTS]
+            kept + [pa.array(found[c].astype(np.int64)) for c in COUNTS], names=["doc_id", "lang", "source", "key", *COUNTS]
         )
 
 
 def measured(docs: DataFrame) -> DataFrame:
     """One row per document with its counts, base verdict and per-mille measures."""
-    src = docs.select("doc_id", "text", "lang", "source")
+    src = docs.select("doc_id", "text", "lang", "source", F.xxhash64("doc_id", "text").alias("key"))
     schema = T.StructType([*src.drop("text").schema.fields, *[T.StructField(c, T.LongType()) for c in COUNTS]])
     words = F.greatest(F.col("n_words"), F.lit(1))
     chars = F.greatest(F.col("word_chars"), F.lit(1))
@@ -174,7 +174,7 @@ def thresholds(rows: DataFrame) -> DataFrame:
 
 
 def judged(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, counts, base_failed, kept and the measures.
+    """One row per document: doc_id, counts, base_failed, kept, the measures, and a content key.
 
     The measures are written once; the sketches and the filtering join both read them.
     """
@@ -193,14 +193,17 @@ def judged(docs: DataFrame) -> DataFrame:
     return joined.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & F.coalesce(inside, F.lit(False))).alias("kept"),
-        *MEASURES,
+        *MEASURES, "key",
     )
 
 
 def filtered(docs: DataFrame) -> DataFrame:
     """The documents that the rules keep, all columns."""
-    verdict = judged(docs).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(verdict, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    verdict = judged(docs).filter("kept").select("doc_id", F.col("key").alias("__icx_text"))
+    key = document_key("doc_id")
+    verdict = verdict.select("__icx_text", *key.values()).distinct()
+    own = docs.select("*", F.xxhash64("doc_id", "text").alias("__icx_text"), *key.values())
+    return own.join(verdict, ["__icx_text", *key], "left_semi").select(*docs.columns)
 
 
 def _sql() -> str:
