@@ -23,7 +23,3 @@ def at(arr: Column, idx: Column | int) -> Column:
     """0-based element access that yields null outside the array (ANSI-safe)."""
     return F.get(arr, idx if isinstance(idx, Column) else F.lit(idx))
 
-
-def total(arr: Column) -> Column:
-    """Sum of a numeric array as bigint (0 for an empty array)."""
-    return F.aggregate(arr, F.lit(0).cast("bigint"), lambda acc, x: acc + x.cast("bigint"))

@@ -58,7 +58,7 @@ DEFAULT_RATES = {
     "ocr": 0.2,
     "word_order": 0.2,
 }
-# Parameter name each attack takes its single rate under.
+# The parameter name that each attack takes its single rate under.
 RATE_PARAM = {
     "span_noise": "noise_percentage",
     "word_duplication": "repetition_percentage",

@@ -166,6 +166,7 @@ for _v in ("I", "III", "IV"):
 # ---- generation data path, predictions and metrics ------------------------------------------
 
 from icx.operators import generate as G  # noqa: E402
+from icx.sources import io as IO  # noqa: E402
 from icx.operators import metrics as M  # noqa: E402
 
 RUNS = ("clean",) + PT.ATTACKS
@@ -284,7 +285,13 @@ def q_progress(spark, sf_dir):
 
 @register("preview", f"SELECT row_id, prompt FROM ({PROMPTS_SQL}) ORDER BY row_id LIMIT 5")
 def q_preview(spark, sf_dir):
-    return _prompts(spark, sf_dir).orderBy("row_id").limit(5).select("row_id", "prompt")
+    return IO.preview(_prompts(spark, sf_dir)).select("row_id", "prompt")
+
+
+@register("preview_count", f"SELECT count(*) AS n_prompts FROM ({PROMPTS_SQL})")
+def q_preview_count(spark, sf_dir):
+    """SNK-5: how many prompts stand behind the preview."""
+    return _prompts(spark, sf_dir).agg(F.count("*").alias("n_prompts"))
 
 
 @register("metrics_by_run", sql.metrics_sql(PREDICTIONS_SQL, ["run_id"], "13a"))
@@ -634,7 +641,6 @@ register("grid_metrics", None)(lambda spark, sf_dir: ST_.scores(grid_predictions
 # ---- sources and sinks ----------------------------------------------------------------------------
 
 from icx.sources import fanout as FO  # noqa: E402
-from icx.sources import io as IO  # noqa: E402
 
 _SENT_SQL = f"SELECT row_number() OVER (PARTITION BY {sql.LANG_CODE} ORDER BY doc_id) - 1 AS row_id, {sql.LANG_CODE} AS code, text FROM documents"
 
