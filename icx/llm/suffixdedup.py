@@ -52,8 +52,11 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 LENGTH = 100
 GRAM = 32
 HEAVY = 20_000
-#: Bytes of text behind one sorted run.
-RUN_BYTES = 16 << 20
+#: Bytes of text that are looked at together, and bytes of suffixes in one sorted run.
+STEP_BYTES = 1 << 20
+RUN_BYTES = 3 << 20
+#: Bytes of text whose anchors' hashes travel in one packed row per part.
+HASHED_BYTES = 16 << 20
 #: Ranges of the order per shuffle partition.
 RANGES = 4
 NULL_ID = -(1 << 63)
@@ -92,7 +95,8 @@ def anchored(data: np.ndarray, off: np.ndarray):
     follow[:-1] = same[1:]
     last = np.flatnonzero(valid & ~follow)
     at = anchor[first]
-    return doc[first], at, first, last, h[at], span
+    # least hashes are small ones: hashed again, they spread over the whole range
+    return doc[first], at, first, last, mixed(h[at] ^ np.uint64(0x452821E638D01377)), span
 
 
 # ---- packed columns ----------------------------------------------------------------------
@@ -142,13 +146,13 @@ def _hashes(parts: int):
 
     def run(batches):
         held, size, texts = [], 0, 0
-        for batch, data, off in blocks(batches):
+        for batch, data, off in blocks(batches, limit=STEP_BYTES):
             doc, at, _, _, h, _ = anchored(data, off)
             dk = batch.column(batch.schema.get_field_index("dk")).to_numpy()
             held.append((dk, doc + texts, at - off[doc], h))
             texts += batch.num_rows
             size += len(data)
-            if size >= RUN_BYTES:
+            if size >= HASHED_BYTES:
                 yield from flush(held)
                 held, size, texts = [], 0, 0
         if held:
@@ -310,7 +314,7 @@ def _runs(parts: int):
 
     def run(batches):
         held, size = [], 0
-        for batch, data, off in blocks(batches):
+        for batch, data, off in blocks(batches, limit=STEP_BYTES):
             doc, at, first, last, h, _ = anchored(data, off)
             column = lambda name: batch.column(batch.schema.get_field_index(name))
             ids = column("doc_id").fill_null(NULL_ID).to_numpy()
@@ -331,7 +335,7 @@ def _runs(parts: int):
             n = last + LENGTH - first
             a = np.arange(int(n.sum())) + np.repeat(first - (np.cumsum(n) - n), n)
             held.append((ids[doc], dk[doc], at - off[doc], at - last, at - first, h, heavy, n, data[a]))
-            size += len(data)
+            size += len(a)
             if size >= RUN_BYTES:
                 yield from flush(held)
                 held, size = [], 0
@@ -556,3 +560,21 @@ def deduplicated(docs: DataFrame, heavy: int = HEAVY, with_text: bool = False) -
     out = src.join(gathered.hint("merge"), "dk", "left").select("doc_id", "text", F.transform(own, lambda x: x["spans"]).alias("spans"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary, edges array<long>" if with_text else "")
     return out.mapInArrow(_kept(with_text), schema)
+
+
+SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 200)) AS s
+  FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 99)) AS i FROM d WHERE length(h) >= 200)),
+f AS (SELECT s, min((doc_id, i)) AS one, count(*) AS c FROM w GROUP BY s HAVING count(*) > 1),
+again AS (SELECT w.doc_id, w.i FROM w JOIN f ON w.s = f.s WHERE (w.doc_id, w.i) <> f.one),
+marks AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 100 THEN 0 ELSE 1 END AS opens FROM again),
+numbered AS (SELECT doc_id, i, sum(opens) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM marks),
+spans AS (SELECT doc_id, k, min(i) AS a, max(i) + 100 AS b FROM numbered GROUP BY doc_id, k),
+pieces AS (SELECT doc_id, a, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS since FROM spans),
+heads AS (SELECT doc_id, string_agg(substr(h, 2 * since + 1, 2 * (a - since)), '' ORDER BY a) AS head FROM pieces JOIN d USING (doc_id) GROUP BY doc_id),
+sums AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS stop FROM spans GROUP BY doc_id)
+SELECT d.doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(stop, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN sums USING (doc_id) LEFT JOIN heads USING (doc_id)
+"""
