@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from icx.llm.common import SpanHash, blocks, owners, runs, windows, written
+from icx.llm.common import SpanHash, blocks, document_key, owners, runs, windows, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -85,7 +85,7 @@ def _item_seeds(batches):
         )
 
 
-def tiles(item: list[int], doc: list[int], least: int) -> list[tuple[int, int, int]]:
+def tiles(item, doc, least: int) -> list[tuple[int, int, int]]:
     """Greedy string tiling: (place in item, place in doc, length) of the marked matches.
 
     Each round looks for runs of the current search length among unmarked words with
@@ -178,11 +178,13 @@ def _candidates(seeds_by_size: dict[int, np.ndarray]):
 def _tiled(batches):
     for batch in batches:
         out = []
-        for r in batch.to_pylist():
-            item, doc = ([x & 0xFFFFFFFFFFFFFFFF for x in r[c]] for c in ("words", "doc_words"))
+        column = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
+        ids = zip(*[column[c].to_pylist() for c in ("row", "doc_id", "item_id")])
+        for at, (row, doc_id, item_id) in enumerate(ids):
+            item, doc = (column[c][at].values.to_numpy().view(np.uint64) for c in ("words", "doc_words"))
             found = tiles(item, doc, min(MIN_MATCH, len(item)))
             marks = [{"item_at": i, "doc_at": j, "n": k} for i, j, k in found]
-            out.append((r["row"], r["doc_id"], r["item_id"], len(item), sum(k for _, _, k in found), marks))
+            out.append((row, doc_id, item_id, len(item), sum(k for _, _, k in found), marks))
         kinds = (*[pa.int64()] * 5, pa.list_(TILE))
         yield pa.RecordBatch.from_arrays(
             [pa.array([o[c] for o in out], t) for c, t in enumerate(kinds)],
@@ -250,5 +252,7 @@ def judged(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def cleaned(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that no benchmark item contaminates, all columns."""
-    hit = contaminated(tiled_pairs(docs, benchmark)).select(F.col("row").alias("_r"), F.col("doc_id").alias("_d")).distinct()
-    return docs.join(hit, (row_key() == F.col("_r")) & docs["doc_id"].eqNullSafe(F.col("_d")), "left_anti")
+    key = document_key("doc_id")
+    hit = contaminated(tiled_pairs(docs, benchmark)).select(F.col("row").alias("__icx_text"), *key.values()).distinct()
+    own = docs.select("*", row_key().alias("__icx_text"), *key.values())
+    return own.join(hit, ["__icx_text", *key], "left_anti").select(*docs.columns)
