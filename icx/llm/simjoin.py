@@ -6,13 +6,15 @@ join runs over classes:
 1. One pass over the texts gives each set's size and signature, and a frequency sketch of
    all shingles: counts per hash bucket, of fixed size whatever the input.
 2. A second pass emits each set's rarest shingles (the prefix: two sets that reach the
-   threshold share at least one token of their prefixes under any common order; the
-   sketch provides one that puts frequent tokens last). Prefix tokens of a single class
-   are dropped as they stream by.
+   threshold share at least one token of their prefixes under any common order, and at
+   least k of prefixes that are k - 1 tokens longer; the sketch provides an order that
+   puts frequent tokens last). Prefix tokens of a single class are dropped as they stream
+   by, then classes with too few shared tokens.
 3. Similar classes are partitioned into groups: a class joins the group of its most
    shared prefix token. The matrix holds, per token, the groups whose members have it in
    their prefixes, with the members' least and greatest sizes.
-4. Every class meets, through the matrix, the groups that may hold a partner. A task
+4. Every class meets, through the matrix, the groups that may hold a partner: those with
+   enough of its prefix tokens and members of fitting size. A task
    holds one block of a group: it bounds the overlap of a query by the group's token
    union, opens the group only if the bound reaches the threshold, and compares exactly.
    Inside a group, links are followed breadth first and what is linked is not compared
@@ -35,14 +37,13 @@ from __future__ import annotations
 import sys
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from icx.llm.common import SPACE, SpanHash, blocks, mixed, owners, runs, windows, written
+from icx.llm.common import SPACE, SpanHash, blocks, document_key, mixed, owners, runs, windows, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -53,6 +54,8 @@ PERCENT = 90
 SKETCH_BITS = 20
 FILTER_BITS = 23
 SLICE = 1 << 14
+#: Prefixes hold one more token for so many tokens of the set, and partners share as many more.
+EXTRA = 10
 #: Members of a group that one task holds, and queries that meet them there.
 BLOCK = 2048
 
@@ -137,7 +140,7 @@ def _prefixes(sketch: np.ndarray):
             freq = sketch[(tokens & np.uint64(len(sketch) - 1)).astype(np.int64)]
             order = np.lexsort((tokens, freq, doc))
             rank = np.arange(len(doc)) - np.searchsorted(doc, doc)
-            take = n - (PERCENT * n + 99) // 100 + 1
+            take = n - (PERCENT * n + 99) // 100 + 1 + n // EXTRA  # at least 1 + n // EXTRA are shared in these
             _, first = np.unique(s1, return_index=True)  # copies in one block emit once
             once = np.zeros(batch.num_rows, bool)
             once[first] = True
@@ -151,7 +154,10 @@ def _prefixes(sketch: np.ndarray):
 
 
 def _shared(batches):
-    """Of rows sorted by (token, s1): one row per class, only tokens that two classes have."""
+    """Of rows sorted by (token, s1): one row per class, only tokens that two classes have.
+
+    `near` counts the classes of the token in the same batch; it only guides the grouping.
+    """
     last: tuple | None = None  # (token, s1, n, whether emitted)
     for batch in batches:
         token, s1, n = (c.to_numpy() for c in batch.columns)
@@ -173,11 +179,12 @@ def _shared(batches):
                 carried = last[:3]
         keep = same.copy()
         keep[:-1] |= same[1:]
-        out = [token[keep], s1[keep], n[keep]]
+        _, back, near = np.unique(token, return_inverse=True, return_counts=True)
+        out = [token[keep], s1[keep], n[keep], near[back][keep]]
         if carried:
-            out = [np.concatenate([[c], x]) for c, x in zip(carried, out)]
+            out = [np.concatenate([[c], x]) for c, x in zip((*carried, 1), out)]
         last = (token[-1], s1[-1], n[-1], bool(keep[-1]))
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["token", "s1", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["token", "s1", "n", "near"])
 
 
 def _wanted_sets(bits: np.ndarray):
@@ -320,30 +327,53 @@ def components(edges: DataFrame) -> DataFrame:
         edges = written(small.unionAll(low.select("u", F.col("m").alias("v"))).distinct(), "small")
 
 
+def _least_shared(n):
+    """Prefix tokens that a set of size n shares with any partner, which has 0.9 n tokens at least."""
+    return 1 + F.floor(F.floor((PERCENT * n + 99) / 100) / EXTRA)
+
+
 def links(docs: DataFrame, first: DataFrame, sketch: np.ndarray) -> DataFrame:
     """(a, b): linked classes, by signature. Enough links to connect all that are linked."""
     src = docs.select("doc_id", "text")
     prefixes = src.mapInArrow(_prefixes(sketch), "token long, s1 long, n long")
-    shared = prefixes.repartition("token").sortWithinPartitions("token", "s1").mapInArrow(_shared, "token long, s1 long, n long")
-    shared = written(shared, "shared")
-    # groups: the most shared prefix token of a class
-    counts = shared.groupBy("token").agg(F.count("*").alias("c"))
-    group = shared.join(counts, "token").groupBy("s1").agg(F.max(F.struct("c", "token"))["token"].alias("g"), F.max("n").alias("n"))
-    group = written(group, "groups")
+    shared = prefixes.repartition("token").sortWithinPartitions("token", "s1").mapInArrow(_shared, "token long, s1 long, n long, near long")
+    # per class, one exchange: how many of its tokens are shared, and its group, the one most shared
+    of_class = Window.partitionBy("s1")
+    placed = (
+        shared.select(
+            "token", "s1", "n", F.count("*").over(of_class).alias("c"), F.max(F.struct("near", "token")).over(of_class)["token"].alias("g"),
+        )
+        .filter(F.col("c") >= _least_shared(F.col("n")))
+        .select("token", "s1", "n", "g")
+    )
+    placed = written(placed, "placed")
+    group = placed.select("s1", "g").distinct()
     sizes = group.groupBy("g").agg(F.count("*").alias("size"), F.min("s1").alias("leader"))
     sized = written(
         group.join(sizes, "g").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
         .withColumn("block", F.pmod(F.xxhash64("s1"), F.col("blocks")).cast("int")),
         "members",
     )
-    bits = _filter_bits(sized)
-    sets = src.mapInArrow(_wanted_sets(bits), "s1 long, tokens binary").join(group.select("s1"), "s1", "left_semi").dropDuplicates(["s1"])
-    sets = written(sets, "sets")
-    # the token-group matrix, and the groups that each class has to visit
-    matrix = shared.join(group.select("s1", "g"), "s1").groupBy("token", "g").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    own = shared.join(group.select("s1", F.col("g").alias("own")), "s1")
+    # the token-group matrix meets the classes, both dealt by token: the tokens a class shares with each group
+    by_token = placed.repartition("token")
+    matrix = by_token.groupBy("token", "g").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.count("*").alias("held"))
     reach = (100 * F.col("high") >= PERCENT * F.col("n")) & (PERCENT * F.col("low") <= 100 * F.col("n"))
-    visits = own.join(matrix, "token").filter((F.col("g") != F.col("own")) & reach).select("s1", "g").distinct()
+    other = (F.col("g") != F.col("own")) | (F.col("held") > 1)
+    evidence = (
+        by_token.withColumnRenamed("g", "own").join(matrix.hint("merge"), "token").filter(reach & other)
+        .groupBy("s1", "g", "own").agg(F.count("*").alias("c"), F.max("n").alias("n"))
+        .filter(F.col("c") >= _least_shared(F.col("n"))).select("s1", "g", "own")
+    )
+    evidence = written(evidence, "evidence")
+    visits = evidence.filter("g <> own").select("s1", "g")
+    # of the own group, only members that share enough with the others of it; of a visited group, all
+    inner = evidence.filter("g = own").select("s1")
+    called = sized.join(visits.select("g").distinct(), "g", "left_semi").select("s1")
+    sized = written(sized.join(inner.unionAll(called).distinct(), "s1", "left_semi"), "open")
+    wanted = sized.select("s1").unionAll(visits.select("s1")).distinct()
+    bits = _filter_bits(wanted)
+    sets = src.mapInArrow(_wanted_sets(bits), "s1 long, tokens binary").join(wanted, "s1", "left_semi").dropDuplicates(["s1"])
+    sets = written(sets, "sets")
     # large groups: what the leader links is one core
     large = sized.filter("blocks > 1")
     one = lambda lead: F.lit(lead).alias("lead")
@@ -407,7 +437,24 @@ def joined(docs: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """One document of each component, the one with the smallest doc_id, all columns."""
-    kept = joined(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    chosen = docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_kept")), "left_semi")
-    # rows that share the doc_id are one document
-    return chosen.dropDuplicates(["doc_id"])
+    kept = joined(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    key = document_key("doc_id")
+    kept = kept.select(*key.values()).distinct()
+    # rows that share the doc_id are one document; the join has dealt them together already
+    chosen = docs.select("*", *key.values()).join(kept, list(key), "left_semi").dropDuplicates(list(key))
+    return chosen.select(*docs.columns)
+
+
+SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x20\x09-\x0D]+') AS ws FROM documents),
+sh AS (SELECT doc_id, unnest(CASE WHEN len(ws) >= 3 THEN list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i + 2], ' '))
+  WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS k FROM d),
+u AS (SELECT DISTINCT doc_id, k FROM sh),
+n AS (SELECT doc_id, count(*) AS c FROM u GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM u a JOIN u b ON a.k = b.k AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 90 * (x.c + y.c - shared)),
+reach AS (SELECT doc_id, doc_id AS r FROM d UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON links.a = reach.r)
+SELECT d.doc_id, coalesce(n.c, 0)::BIGINT AS n_shingles, m.component_id
+FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id) m USING (doc_id)
+"""
