@@ -70,5 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op2_quality_rules": quality.SQL,
+    "op7_jaccard_components": simjoin.SQL,
     "op9_url_rules": urlfilter.SQL,
+    "op10_suffix_dedup": suffixdedup.SQL,
 }
