@@ -1,7 +1,8 @@
 """N-gram Jaccard join through a token-group matrix.
 
-A document's set holds its distinct 3-word shingles. Equal sets are one class, and the
-join runs over classes:
+A document's set holds its distinct shingles, of 3 words unless the caller says otherwise;
+sets with a Jaccard similarity of 90 per cent, or what the caller says, are linked. Equal
+sets are one class, and the join runs over classes:
 
 1. One pass over the texts gives each set's size and signature, and a frequency sketch of
    all shingles: counts per hash bucket, of fixed size whatever the input.
@@ -26,7 +27,7 @@ join runs over classes:
 No pairs within a class or core are emitted, yet no link between different sets is lost.
 
 Defined cases: null and empty texts have an empty set, are linked with nothing and form
-components of their own; texts of one or two words have one shingle; repeated rows are
+components of their own; texts of fewer words than a shingle have one; repeated rows are
 one class; a null doc_id never becomes a component id unless all of the component are
 null; an empty table gives an empty result; columns other than doc_id and text are
 ignored.
@@ -47,8 +48,8 @@ from icx.llm.common import SPACE, SpanHash, blocks, document_key, mixed, owners,
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+#: Words of a shingle and threshold in per cent, unless the caller says otherwise.
 SHINGLE = 3
-#: Threshold in per cent.
 PERCENT = 90
 #: Buckets of the frequency sketch (four bytes each) and of the filter of wanted classes.
 SKETCH_BITS = 20
@@ -63,16 +64,16 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-def shingle_sets(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(data: np.ndarray, off: np.ndarray, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """(text, token) of all distinct shingles, ordered by text and token."""
     low = LOWER[data]
     start, end = runs(~SPACE[low], off)
     doc = owners(start, off)
     h = SpanHash(low)(start, end)
-    tokens, at = windows(h, doc, SHINGLE)
+    tokens, at = windows(h, doc, shingle)
     parts = [(doc[at], tokens)]
     n_words = np.bincount(doc, minlength=len(off) - 1)
-    for k in range(1, SHINGLE):  # shorter texts: the whole sequence
+    for k in range(1, shingle):  # shorter texts: the whole sequence
         tokens, at = windows(h, doc, k)
         short = n_words[doc[at]] == k
         parts.append((doc[at[short]], mixed(tokens[short] ^ np.uint64(k))))
@@ -99,23 +100,26 @@ def signatures(doc: np.ndarray, tokens: np.ndarray, n: int) -> tuple[np.ndarray,
 FIRST = "doc_id long, n long, s1 long, s2 long, slice int, counts binary"
 
 
-def _first_pass(batches):
-    sketch = np.zeros(1 << SKETCH_BITS, np.int64)
-    for batch, data, off in blocks(batches):
-        doc, tokens = shingle_sets(data, off)
-        n, s1, s2 = signatures(doc, tokens, batch.num_rows)
-        sketch += np.bincount((tokens & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64), minlength=len(sketch))
-        none = batch.num_rows
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(n), pa.array(s1), pa.array(s2), pa.nulls(none, pa.int32()), pa.nulls(none, pa.binary())],
-            names=["doc_id", "n", "s1", "s2", "slice", "counts"],
-        )
-    parts = [np.minimum(sketch[i : i + SLICE], 2**32 - 1).astype("<u4").tobytes() for i in range(0, len(sketch), SLICE)]
-    none = [pa.nulls(len(parts), pa.int64())] * 4
-    if sketch.any():
-        yield pa.RecordBatch.from_arrays(
-            [*none, pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], names=["doc_id", "n", "s1", "s2", "slice", "counts"]
-        )
+def _first_pass(shingle: int):
+    def run(batches):
+        sketch = np.zeros(1 << SKETCH_BITS, np.int64)
+        for batch, data, off in blocks(batches):
+            doc, tokens = shingle_sets(data, off, shingle)
+            n, s1, s2 = signatures(doc, tokens, batch.num_rows)
+            sketch += np.bincount((tokens & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64), minlength=len(sketch))
+            none = batch.num_rows
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(n), pa.array(s1), pa.array(s2), pa.nulls(none, pa.int32()), pa.nulls(none, pa.binary())],
+                names=["doc_id", "n", "s1", "s2", "slice", "counts"],
+            )
+        parts = [np.minimum(sketch[i : i + SLICE], 2**32 - 1).astype("<u4").tobytes() for i in range(0, len(sketch), SLICE)]
+        none = [pa.nulls(len(parts), pa.int64())] * 4
+        if sketch.any():
+            yield pa.RecordBatch.from_arrays(
+                [*none, pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], names=["doc_id", "n", "s1", "s2", "slice", "counts"]
+            )
+
+    return run
 
 
 def _added(batches):
@@ -130,17 +134,17 @@ def _added(batches):
         )
 
 
-def _prefixes(sketch: np.ndarray):
+def _prefixes(sketch: np.ndarray, shingle: int, percent: int):
     """(token, s1, n) of the rarest tokens of every set, enough for the threshold."""
 
     def run(batches):
         for batch, data, off in blocks(batches):
-            doc, tokens = shingle_sets(data, off)
+            doc, tokens = shingle_sets(data, off, shingle)
             n, s1, _ = signatures(doc, tokens, batch.num_rows)
             freq = sketch[(tokens & np.uint64(len(sketch) - 1)).astype(np.int64)]
             order = np.lexsort((tokens, freq, doc))
             rank = np.arange(len(doc)) - np.searchsorted(doc, doc)
-            take = n - (PERCENT * n + 99) // 100 + 1 + n // EXTRA  # at least 1 + n // EXTRA are shared in these
+            take = n - (percent * n + 99) // 100 + 1 + n // EXTRA  # at least 1 + n // EXTRA are shared in these
             _, first = np.unique(s1, return_index=True)  # copies in one block emit once
             once = np.zeros(batch.num_rows, bool)
             once[first] = True
@@ -187,12 +191,12 @@ def _shared(batches):
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["token", "s1", "n", "near"])
 
 
-def _wanted_sets(bits: np.ndarray):
+def _wanted_sets(bits: np.ndarray, shingle: int):
     """(s1, n, tokens) of texts whose class may be wanted."""
 
     def run(batches):
         for batch, data, off in blocks(batches):
-            doc, tokens = shingle_sets(data, off)
+            doc, tokens = shingle_sets(data, off, shingle)
             n, s1, _ = signatures(doc, tokens, batch.num_rows)
             begin = np.searchsorted(doc, np.arange(batch.num_rows + 1))
             slot = (s1.view(np.uint64) & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
@@ -211,7 +215,8 @@ def _wanted_sets(bits: np.ndarray):
 class _Members:
     """Inverted lists of the members of a block."""
 
-    def __init__(self, sets: list[np.ndarray]):
+    def __init__(self, sets: list[np.ndarray], percent: int):
+        self.percent = percent
         self.n = np.array([len(s) for s in sets], np.int64)
         token = np.concatenate(sets)
         owner = np.repeat(np.arange(len(sets)), self.n)
@@ -233,13 +238,13 @@ class _Members:
         total = np.cumsum(n)
         at = np.arange(total[-1] if len(total) else 0) + np.repeat(low - total + n, n)
         shared = np.bincount(self.owner[at], minlength=len(self.n))
-        return np.flatnonzero((shared > 0) & (100 * shared >= PERCENT * (self.n + len(q) - shared)))
+        return np.flatnonzero((shared > 0) & (100 * shared >= self.percent * (self.n + len(q) - shared)))
 
 
 LINK = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
 
-def _compared(table: pa.Table) -> pa.Table:
+def _compared(table: pa.Table, percent: int) -> pa.Table:
     """Links of one block: among its members, and of its queries to members."""
     role, s1 = table.column("role").to_numpy(), table.column("s1").to_numpy()
     sets = [np.frombuffer(x, np.uint64) for x in table.column("tokens").to_pylist()]
@@ -250,7 +255,7 @@ def _compared(table: pa.Table) -> pa.Table:
         ids = s1[mine]
         label = np.arange(len(mine))
         if (role[mine] != SEEN).any():  # in further rows of the grid, members only meet queries
-            members = _Members(own)
+            members = _Members(own, percent)
             alive = np.ones(len(mine), bool)
             core = np.flatnonzero(role[mine] == CORE)
             seeds = [core.tolist()] if len(core) else []
@@ -278,10 +283,10 @@ def _compared(table: pa.Table) -> pa.Table:
                     queue += found.tolist()
         queries = np.flatnonzero(role == QUERY)
         if len(queries):
-            members = _Members(own)
+            members = _Members(own, percent)
             for i in queries:
                 q = sets[i]
-                if 100 * members.union_bound(q) < PERCENT * len(q):
+                if 100 * members.union_bound(q) < percent * len(q):
                     continue  # the group stays closed
                 found = members.linked(q)
                 if len(found):
@@ -293,14 +298,14 @@ def _compared(table: pa.Table) -> pa.Table:
 MEMBER, CORE, SEEN, QUERY = 0, 1, 2, 3
 
 
-def _led(table: pa.Table) -> pa.Table:
+def _led(table: pa.Table, percent: int) -> pa.Table:
     """Members of one block that the leader links."""
     s1, lead = table.column("s1").to_numpy(), table.column("lead").to_pylist()
     sets = [np.frombuffer(x, np.uint64) for x in table.column("tokens").to_pylist()]
     leader = next((s for s, flag in zip(sets, lead) if flag), None)
     first = next((i for i, flag in zip(s1, lead) if flag), None)
     own = [i for i, flag in enumerate(lead) if not flag]
-    core = _Members([sets[i] for i in own]).linked(leader) if leader is not None and own else []
+    core = _Members([sets[i] for i in own], percent).linked(leader) if leader is not None and own else []
     found = s1[[own[i] for i in core]] if len(core) else np.zeros(0, np.int64)
     return pa.table({"a": pa.array(np.full(len(found), first if first is not None else 0), pa.int64()), "b": pa.array(found, pa.int64())})
 
@@ -327,15 +332,15 @@ def components(edges: DataFrame) -> DataFrame:
         edges = written(small.unionAll(low.select("u", F.col("m").alias("v"))).distinct(), "small")
 
 
-def _least_shared(n):
-    """Prefix tokens that a set of size n shares with any partner, which has 0.9 n tokens at least."""
-    return 1 + F.floor(F.floor((PERCENT * n + 99) / 100) / EXTRA)
+def _least_shared(n, percent: int):
+    """Prefix tokens that a set of size n shares with any partner, which has `percent` of n tokens at least."""
+    return 1 + F.floor(F.floor((percent * n + 99) / 100) / EXTRA)
 
 
-def links(docs: DataFrame, first: DataFrame, sketch: np.ndarray) -> DataFrame:
+def links(docs: DataFrame, sketch: np.ndarray, shingle: int, percent: int) -> DataFrame:
     """(a, b): linked classes, by signature. Enough links to connect all that are linked."""
     src = docs.select("doc_id", "text")
-    prefixes = src.mapInArrow(_prefixes(sketch), "token long, s1 long, n long")
+    prefixes = src.mapInArrow(_prefixes(sketch, shingle, percent), "token long, s1 long, n long")
     shared = prefixes.repartition("token").sortWithinPartitions("token", "s1").mapInArrow(_shared, "token long, s1 long, n long, near long")
     # per class, one exchange: how many of its tokens are shared, and its group, the one most shared
     of_class = Window.partitionBy("s1")
@@ -343,7 +348,7 @@ def links(docs: DataFrame, first: DataFrame, sketch: np.ndarray) -> DataFrame:
         shared.select(
             "token", "s1", "n", F.count("*").over(of_class).alias("c"), F.max(F.struct("near", "token")).over(of_class)["token"].alias("g"),
         )
-        .filter(F.col("c") >= _least_shared(F.col("n")))
+        .filter(F.col("c") >= _least_shared(F.col("n"), percent))
         .select("token", "s1", "n", "g")
     )
     placed = written(placed, "placed")
@@ -357,12 +362,12 @@ def links(docs: DataFrame, first: DataFrame, sketch: np.ndarray) -> DataFrame:
     # the token-group matrix meets the classes, both dealt by token: the tokens a class shares with each group
     by_token = placed.repartition("token")
     matrix = by_token.groupBy("token", "g").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.count("*").alias("held"))
-    reach = (100 * F.col("high") >= PERCENT * F.col("n")) & (PERCENT * F.col("low") <= 100 * F.col("n"))
+    reach = (100 * F.col("high") >= percent * F.col("n")) & (percent * F.col("low") <= 100 * F.col("n"))
     other = (F.col("g") != F.col("own")) | (F.col("held") > 1)
     evidence = (
         by_token.withColumnRenamed("g", "own").join(matrix.hint("merge"), "token").filter(reach & other)
         .groupBy("s1", "g", "own").agg(F.count("*").alias("c"), F.max("n").alias("n"))
-        .filter(F.col("c") >= _least_shared(F.col("n"))).select("s1", "g", "own")
+        .filter(F.col("c") >= _least_shared(F.col("n"), percent)).select("s1", "g", "own")
     )
     evidence = written(evidence, "evidence")
     visits = evidence.filter("g <> own").select("s1", "g")
@@ -372,14 +377,14 @@ def links(docs: DataFrame, first: DataFrame, sketch: np.ndarray) -> DataFrame:
     sized = written(sized.join(inner.unionAll(called).distinct(), "s1", "left_semi"), "open")
     wanted = sized.select("s1").unionAll(visits.select("s1")).distinct()
     bits = _filter_bits(wanted)
-    sets = src.mapInArrow(_wanted_sets(bits), "s1 long, tokens binary").join(wanted, "s1", "left_semi").dropDuplicates(["s1"])
+    sets = src.mapInArrow(_wanted_sets(bits, shingle), "s1 long, tokens binary").join(wanted, "s1", "left_semi").dropDuplicates(["s1"])
     sets = written(sets, "sets")
     # large groups: what the leader links is one core
     large = sized.filter("blocks > 1")
     one = lambda lead: F.lit(lead).alias("lead")
     lead_rows = large.select("g", "leader", "blocks").distinct().select("g", F.col("leader").alias("s1"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), one(True))
     others = large.filter("s1 <> leader").select("g", "s1", "block", one(False))
-    led = lead_rows.unionByName(others).join(sets, "s1").groupBy("g", "block").applyInArrow(_led, LINK)
+    led = lead_rows.unionByName(others).join(sets, "s1").groupBy("g", "block").applyInArrow(lambda table: _led(table, percent), LINK)
     core = written(led, "core")
     in_core = core.select(F.col("b").alias("s1")).unionAll(core.select(F.col("a").alias("s1"))).distinct().withColumn("core", F.lit(True))
     placed = sized.join(in_core, "s1", "left").withColumn("core", F.coalesce("core", F.lit(False)))
@@ -402,7 +407,7 @@ def links(docs: DataFrame, first: DataFrame, sketch: np.ndarray) -> DataFrame:
         "s1", "g", "block", F.pmod(F.xxhash64("s1"), F.col("rows")).cast("int").alias("row"), F.lit(QUERY).alias("role")
     )
     rows = members.unionByName(queries).join(sets, "s1")
-    return core.unionAll(rows.groupBy("g", "block", "row").applyInArrow(_compared, LINK))
+    return core.unionAll(rows.groupBy("g", "block", "row").applyInArrow(lambda table: _compared(table, percent), LINK))
 
 
 def _filter_bits(classes: DataFrame) -> np.ndarray:
@@ -415,16 +420,16 @@ def _filter_bits(classes: DataFrame) -> np.ndarray:
     return bits.view(np.uint64)
 
 
-def joined(docs: DataFrame) -> DataFrame:
+def joined(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id: one row per document."""
-    first = written(docs.select("doc_id", "text").mapInArrow(_first_pass, FIRST), "signatures")
+    first = written(docs.select("doc_id", "text").mapInArrow(_first_pass(shingle), FIRST), "signatures")
     slices = first.filter("slice is not null").select("slice", "counts").repartition("slice").mapInArrow(_added, "slice int, counts binary")
     sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
     for r in slices.collect():  # fixed size: the whole sketch
         sketch[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = np.frombuffer(r["counts"], "<u4")
     rows = first.filter("slice is null").drop("slice", "counts")
     classes = written(rows.filter("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("least")), "classes")
-    roots = components(links(docs, first, sketch))
+    roots = components(links(docs, sketch, shingle, percent))
     linked = roots.select("node", "root").unionAll(roots.select(F.col("root").alias("node"), "root")).distinct()
     named = classes.join(linked, classes["s1"] == linked["node"], "left").withColumn("root", F.coalesce("root", "s1"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -435,9 +440,9 @@ def joined(docs: DataFrame) -> DataFrame:
     )
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One document of each component, the one with the smallest doc_id, all columns."""
-    kept = joined(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = joined(docs, shingle, percent).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     key = document_key("doc_id")
     kept = kept.select(*key.values()).distinct()
     # rows that share the doc_id are one document; the join has dealt them together already

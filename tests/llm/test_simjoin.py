@@ -80,3 +80,29 @@ def test_whole_table(spark):
     assert len({c for _, _, c in got}) < len(got)
     kept = simjoin.one_of_each(docs)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.select("doc_id").collect()) == sorted({c for _, _, c in got})
+
+
+def plain_components(rows, shingle, percent):
+    """component of each row, all pairs compared, at any shingle length and threshold."""
+    sets = []
+    for _, text in rows:
+        w = [re.sub("[A-Z]", lambda m: m[0].lower(), x) for x in re.findall(r"[^\x20\x09-\x0D]+", text or "")]
+        sets.append({tuple(w[i : i + shingle]) for i in range(max(len(w) - shingle + 1, 1))} if w else set())
+    root = list(range(len(rows)))
+    for x, a in enumerate(sets):
+        for y, b in enumerate(sets[:x]):
+            if a and b and 100 * len(a & b) >= percent * len(a | b):
+                p, q = root[x], root[y]
+                root = [q if r == p else r for r in root]
+    return sorted((d, len(sets[i]), min(e for j, (e, _) in enumerate(rows) if root[j] == root[i])) for i, (d, _) in enumerate(rows))
+
+
+def test_other_shingles_and_thresholds(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    cases = [families(3, 8, 12, 60) + [(0, None), (1, ""), (2, "four words are short"), (3, "Four WORDS are short"), (4, "w1 w2")], [(r.doc_id, r.text) for r in docs.collect()]]
+    for rows in cases:
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        want = plain_components(rows, 5, 80)
+        assert sorted(map(tuple, simjoin.joined(df, 5, 80).collect())) == want
+        assert {c for _, _, c in want} != {c for _, _, c in plain_components(rows, 3, 90)}
+        assert sorted(r.doc_id for r in simjoin.one_of_each(df, 5, 80).collect()) == sorted({c for _, _, c in want})
