@@ -11,6 +11,9 @@ Everything is DataFrame operations. Only documents that hold entities are shuffl
 distinct mentions are gathered first, so a mention in a third of all documents is one row
 of the surrogate table.
 
+Secrets, addresses, keys and IBANs start at a word's border; phones, cards, SSNs and IPs also
+directly behind a letter, and names behind a digit.
+
 Defined cases: a null text stays null with no entities; texts without entities are
 returned as they are; repeated rows are treated alike; an empty table gives an empty
 result; other columns of the documents, whatever their names, are not looked at.
@@ -40,8 +43,14 @@ PATTERNS = {
     "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9])(?!\.[0-9])",
     "person": r"(?<!\p{L})(?:" + "|".join(t.replace(".", r"\.") for t in TITLES_M + TITLES_F) + r")\.? \p{Lu}\p{Ll}{1,30}(?:[ -]\p{Lu}\p{Ll}{1,30})?(?!\p{L})",
 }
-#: All start where no letter or digit of ASCII stands before; that one look spares the rest inside words.
-ANY = "(?<![A-Za-z0-9])(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + ")"
+#: Kinds that start where no letter or digit of ASCII stands before; the others look back for themselves.
+BORDERED = ("secret", "email", "key", "iban")
+#: A first look at one character spares the patterns at most places.
+LOOKS = ("(?<![A-Za-z0-9])", "(?=[0-9(+])", "(?=[" + "".join(sorted({t[0] for t in TITLES_M + TITLES_F})) + "])")
+ANY = "|".join(
+    f"{look}(?:" + "|".join(f"(?:{PATTERNS[k]})" for k in kinds) + ")"
+    for look, kinds in zip(LOOKS, (BORDERED, ("phone", "ssn", "card", "ip"), ("person",)))
+)
 #: Digits that are compared without what stands between them.
 DIGIT_KINDS = ("phone", "ssn", "card")
 
