@@ -30,7 +30,8 @@ Defined cases: null and empty texts have an empty set, are linked with nothing a
 components of their own; texts of fewer words than a shingle have one; repeated rows are
 one class; a null doc_id never becomes a component id unless all of the component are
 null; an empty table gives an empty result; columns other than doc_id and text are
-ignored.
+ignored. `one_of_each` keeps one row of each component; there, rows of equal doc_id and text
+are one document, and different texts under one doc_id, or under none, are different ones.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ import sys
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -97,7 +98,7 @@ def signatures(doc: np.ndarray, tokens: np.ndarray, n: int) -> tuple[np.ndarray,
     return np.diff(begin), out[0], out[1]
 
 
-FIRST = "doc_id long, n long, s1 long, s2 long, slice int, counts binary"
+FIRST = "doc_id long, key long, n long, s1 long, s2 long, slice int, counts binary"
 
 
 def _first_pass(shingle: int):
@@ -109,14 +110,14 @@ def _first_pass(shingle: int):
             sketch += np.bincount((tokens & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64), minlength=len(sketch))
             none = batch.num_rows
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n), pa.array(s1), pa.array(s2), pa.nulls(none, pa.int32()), pa.nulls(none, pa.binary())],
-                names=["doc_id", "n", "s1", "s2", "slice", "counts"],
+                [batch.column(0), batch.column(2), pa.array(n), pa.array(s1), pa.array(s2), pa.nulls(none, pa.int32()), pa.nulls(none, pa.binary())],
+                names=["doc_id", "key", "n", "s1", "s2", "slice", "counts"],
             )
         parts = [np.minimum(sketch[i : i + SLICE], 2**32 - 1).astype("<u4").tobytes() for i in range(0, len(sketch), SLICE)]
-        none = [pa.nulls(len(parts), pa.int64())] * 4
+        none = [pa.nulls(len(parts), pa.int64())] * 5
         if sketch.any():
             yield pa.RecordBatch.from_arrays(
-                [*none, pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], names=["doc_id", "n", "s1", "s2", "slice", "counts"]
+                [*none, pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], names=["doc_id", "key", "n", "s1", "s2", "slice", "counts"]
             )
 
     return run
@@ -420,18 +421,24 @@ def _filter_bits(classes: DataFrame) -> np.ndarray:
     return bits.view(np.uint64)
 
 
-def joined(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id: one row per document."""
-    first = written(docs.select("doc_id", "text").mapInArrow(_first_pass(shingle), FIRST), "signatures")
+def _rooted(docs: DataFrame, least: Column, shingle: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Rows as doc_id, key (content key), n, s1, s2; and their classes as s1, s2, least, root, those of equal root linked."""
+    src = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
+    first = written(src.mapInArrow(_first_pass(shingle), FIRST), "signatures")
     slices = first.filter("slice is not null").select("slice", "counts").repartition("slice").mapInArrow(_added, "slice int, counts binary")
     sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
     for r in slices.collect():  # fixed size: the whole sketch
         sketch[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = np.frombuffer(r["counts"], "<u4")
     rows = first.filter("slice is null").drop("slice", "counts")
-    classes = written(rows.filter("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("least")), "classes")
+    classes = written(rows.filter("n > 0").groupBy("s1", "s2").agg(F.min(least).alias("least")), "classes")
     roots = components(links(docs, sketch, shingle, percent))
     linked = roots.select("node", "root").unionAll(roots.select(F.col("root").alias("node"), "root")).distinct()
-    named = classes.join(linked, classes["s1"] == linked["node"], "left").withColumn("root", F.coalesce("root", "s1"))
+    return rows, classes.join(linked, classes["s1"] == linked["node"], "left").withColumn("root", F.coalesce("root", "s1"))
+
+
+def joined(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id: one row per document."""
+    rows, named = _rooted(docs, F.col("doc_id"), shingle, percent)
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     of_class = named.join(least, "root").select(F.col("s1").alias("_s1"), F.col("s2").alias("_s2"), "component_id")
     on = (F.col("s1") == F.col("_s1")) & (F.col("s2") == F.col("_s2")) & (F.col("n") > 0)
@@ -441,13 +448,16 @@ def joined(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> D
 
 
 def one_of_each(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """One document of each component, the one with the smallest doc_id, all columns."""
-    kept = joined(docs, shingle, percent).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    """One document of each component, the one with the smallest doc_id (nulls last) and content key, all columns."""
+    rows, named = _rooted(docs, F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"), shingle, percent)
+    kept = named.groupBy("root").agg(F.min("least").alias("least")).select("least.doc_id", "least.key")
+    kept = kept.unionAll(rows.filter("n = 0").select("doc_id", "key"))  # empty sets are components of their own
     key = document_key("doc_id")
-    kept = kept.select(*key.values()).distinct()
-    # rows that share the doc_id are one document; the join has dealt them together already
-    chosen = docs.select("*", *key.values()).join(kept, list(key), "left_semi").dropDuplicates(list(key))
-    return chosen.select(*docs.columns)
+    kept = kept.select(F.col("key").alias("__icx_text"), *key.values()).distinct()
+    own = docs.select("*", F.xxhash64("doc_id", "text").alias("__icx_text"), *key.values())
+    # rows that share doc_id and text are one document; the join has dealt them together already
+    on = ["__icx_text", *key]
+    return own.join(kept, on, "left_semi").dropDuplicates(on).select(*docs.columns)
 
 
 SQL = r"""
