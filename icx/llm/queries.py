@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from icx.llm import decontaminate, mix, pii, quality, shard, simjoin, suffixdedup, tokcount, tokenbin, urlfilter
+from icx.llm import ann, audit, decontaminate, fim, mix, pii, quality, shard, simjoin, suffixdedup, tokcount, tokenbin, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,18 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixdedup.deduplicated(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audited(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.searched(table(spark, sf_dir, "embeddings"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_string_tiling": op1_string_tiling,
     "op2_quality_rules": op2_quality_rules,
@@ -66,6 +78,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_url_rules": op9_url_rules,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_nearest_neighbours": op12_nearest_neighbours,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
 ORACLES: dict[str, str] = {
@@ -73,4 +88,7 @@ ORACLES: dict[str, str] = {
     "op7_jaccard_components": simjoin.SQL,
     "op9_url_rules": urlfilter.SQL,
     "op10_suffix_dedup": suffixdedup.SQL,
+    "op11_filter_audit": audit.SQL,
+    "op12_nearest_neighbours": ann.SQL,
+    "op13_fill_in_middle": fim.SQL,
 }
