@@ -118,11 +118,14 @@ def mask_counts(rows: DataFrame) -> DataFrame:
 
 def coalitions(counts: DataFrame) -> DataFrame:
     """(part, total, removals): per part an array over all 32 coalitions of (removed, good, toxic)."""
-    sums = [
-        F.struct(*[F.sum(F.when(F.col("mask").bitwiseAND(c) != 0, F.col(m)).otherwise(0)).alias(m) for m in MARKS])
-        for c in range(ALL + 1)
-    ]
-    return counts.groupBy("part").agg(F.sum("removed").alias("total"), F.array(*sums).alias("removals"))
+    hit = F.col("mask").bitwiseAND(F.col("coalition")) != 0
+    table = (
+        counts.withColumn("coalition", F.explode(F.sequence(F.lit(0), F.lit(ALL))))
+        .groupBy("part", "coalition")
+        .agg(F.sum("removed").alias("total"), *[F.sum(F.when(hit, F.col(m)).otherwise(0)).alias(f"lost_{m}") for m in MARKS])
+    )
+    entry = F.struct("coalition", *[F.col(f"lost_{m}").alias(m) for m in MARKS])
+    return table.groupBy("part").agg(F.max("total").alias("total"), F.array_sort(F.collect_list(entry)).alias("removals"))
 
 
 # ---- exact constrained least squares --------------------------------------------------
