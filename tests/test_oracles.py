@@ -3,6 +3,7 @@
 import math
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as E
@@ -26,7 +27,7 @@ def _norm(df):
     for rec in df[cols].itertuples(index=False):
         out = []
         for v in rec:
-            if v is None or (isinstance(v, float) and math.isnan(v)):
+            if v is None or v is pd.NA or (isinstance(v, float) and math.isnan(v)):
                 v = None
             elif isinstance(v, float):
                 v = round(v, 6)
