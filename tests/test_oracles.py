@@ -27,12 +27,9 @@ def _norm(df):
     for rec in df[cols].itertuples(index=False):
         out = []
         for v in rec:
-            if v is None or v is pd.NA or (isinstance(v, float) and math.isnan(v)):
-                v = None
-            elif isinstance(v, float):
-                v = round(v, 6)
-            elif hasattr(v, "item"):
-                v = v.item()
+            v = None if v is pd.NA else v.item() if hasattr(v, "item") and not hasattr(v, "__len__") else v
+            if isinstance(v, float):  # integers with nulls come as floats from one side only
+                v = None if math.isnan(v) else int(v) if v.is_integer() else round(v, 6)
             out.append(v)
         rows.append(tuple(out))
     return cols, sorted(rows, key=repr)
