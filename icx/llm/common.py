@@ -24,7 +24,7 @@ from icx.session import ensure_checkpoint_dir
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Bytes of text one vectorised step looks at; a longer text is a step of its own.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 256 << 10
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -124,6 +124,8 @@ def blocks(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int =
             b = max(a + 1, int(np.searchsorted(off, off[a] + limit, side="right")) - 1)
             yield batch.slice(a, b - a), data[off[a] : off[b]], off[a : b + 1] - off[a]
             a = b
+        del batch, data, off
+        pa.default_memory_pool().release_unused()  # a reused worker keeps no batch's memory
 
 
 def runs(inside: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -152,9 +154,12 @@ class SpanHash:
 
     def __init__(self, data: np.ndarray):
         n = len(data)
-        weight = powers(BASE, n)
-        self.total = np.zeros(n + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * weight[:-1], out=self.total[1:])
+        self.total = powers(BASE, n)
+        self.total[1:] = self.total[:-1]  # in place: weight of each byte, then its term, then the sums
+        self.total[1:] *= data
+        self.total[1:] += powers(BASE, n)[:-1]
+        self.total[0] = 0
+        np.cumsum(self.total, out=self.total)
         self.back = powers(BASE_INVERSE, n)
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
