@@ -4,8 +4,14 @@ Every document gets integer measures; mergeable quantile sketches of the measure
 kept per (lang, source), and a document is rejected when a measure lies far outside the
 quartiles of its own group. The sketch is a histogram over integer buckets with seven
 significant bits: merging is adding counts, so partial sketches combine in any order
-and reruns agree. A group with fewer than `MIN_GROUP` documents uses the merged sketch
-of its language, and that failing the one of the whole corpus.
+and reruns agree. There is no least size of a group: every group's sketch is merged with its
+language's, scaled to the weight of `PRIOR` documents, and that one with the whole corpus's
+alike, so one rule holds at every size and a small group leans on its language.
+
+A fence stands `FENCE` spreads outside the quartiles. The spread is the distance of the
+quartiles, at least a `RELATIVE`-th of the upper one; the least spreads in `MEASURES` only
+keep a group of nearly equal values from rejecting its next value, and all of them are small
+enough that a fence alone rejects what the base rule lets pass.
 
 Defined cases: a null text has no words and fails the base rule; null `lang` or
 `source` is a group of its own; repeated rows are judged one by one; an empty table
@@ -29,17 +35,20 @@ from icx.llm.common import SPACE, SpanHash, blocks, document_key, owners, per_te
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Measures per mille and the least spread (in the same unit) that counts as normal.
-MEASURES = {"symbols": 50, "marks": 25, "capitals": 50, "repeats": 100, "word_length": 1000}
+MEASURES = {"symbols": 20, "marks": 10, "capitals": 12, "repeats": 50, "dup_lines": 80, "word_length": 300}
 #: Measures that are judged on the low side too.
 TWO_SIDED = ("word_length",)
-#: Fences stand this many spreads outside the quartiles.
-FENCE = 3
-MIN_GROUP = 50
+#: Fences stand this many spreads outside the quartiles; a spread is this part of the upper quartile at least.
+FENCE = 4
+RELATIVE = 20
+#: Documents that the wider level's sketch counts for in a narrower one, and the unit of weight of one document.
+PRIOR = 50
+UNIT = 1000
 WINDOW = 8
 #: Rows with the thresholds are copied this often, so that a hot group joins in as many tasks.
 SALTS = 32
 
-COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_marks", "n_capitals"]
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_marks", "n_capitals", "n_lines"]
 
 
 def _flags(chars: bytes) -> np.ndarray:
@@ -82,6 +91,7 @@ def _measured(batches):
         line, line_end = line[solid], line_end[solid]
         owner = owners(line, off)
         key = hashed(line, line_end) ^ (owner.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        found["n_lines"] = np.bincount(owner, minlength=n)
         found["n_dup_lines"] = np.bincount(owner[pd.Series(key).duplicated().to_numpy()], minlength=n)
         kept = [batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "lang", "source", "key")]
         yield pa.RecordBatch.from_arrays(
@@ -103,6 +113,7 @@ def measured(docs: DataFrame) -> DataFrame:
         per_mille("n_marks", chars).alias("marks"),
         per_mille("n_capitals", chars).alias("capitals"),
         per_mille("n_repeat_words", words).alias("repeats"),
+        per_mille("n_dup_lines", F.greatest(F.col("n_lines"), F.lit(1))).alias("dup_lines"),
         per_mille("word_chars", words).alias("word_length"),
     )
 
@@ -123,16 +134,46 @@ def sketches(rows: DataFrame) -> DataFrame:
     )
 
 
-def _fences(sketch: DataFrame, by: list[str]) -> DataFrame:
-    """Per group of `by`: its size, and per measure the lowest and highest accepted value."""
-    merged = sketch.groupBy(*by, "measure", "at").agg(F.sum("n").alias("n"))
-    # at most some thousand buckets a group, whatever the number of documents
-    hist = merged.groupBy(*by, "measure").agg(
-        F.sum("n").alias("total"), F.array_sort(F.collect_list(F.struct("at", "n"))).alias("hist")
+def _div(a: Column, b: Column) -> Column:
+    return F.call_function("div", a, b)
+
+
+def _total(hist: Column) -> Column:
+    return F.aggregate(hist, F.lit(0).cast("long"), lambda acc, x: acc + x["n"])
+
+
+def _blended(own: str, wider: str) -> Column:
+    """A sketch in units of weight, and the wider level's scaled to the weight of `PRIOR` documents."""
+    weight = _total(F.col(wider))
+    return F.concat(
+        F.transform(own, lambda x: F.struct(x["at"].alias("at"), (x["n"] * UNIT).alias("n"))),
+        F.transform(wider, lambda x: F.struct(x["at"].alias("at"), _div(x["n"] * PRIOR * UNIT, weight).alias("n"))),
     )
 
+
+def _levels(sketch: DataFrame) -> DataFrame:
+    """(lang, source, measure, hist): every group's sketch with what it takes from its language and the corpus.
+
+    A sketch has at most some thousand buckets, whatever the number of documents.
+    """
+
+    def level(*by: str) -> DataFrame:
+        merged = sketch.groupBy(*by, "measure", "at").agg(F.sum("n").alias("n"))
+        return merged.groupBy(*by, "measure").agg(F.collect_list(F.struct("at", "n")).alias("hist"))
+
+    whole = level().withColumnsRenamed({"hist": "wide", "measure": "_m"})
+    lang = level("lang").join(F.broadcast(whole), F.col("measure") == F.col("_m"))  # one row a measure
+    lang = lang.select(F.col("lang").alias("_l"), F.col("measure").alias("_m"), _blended("hist", "wide").alias("wide"))
+    on = F.col("lang").eqNullSafe(F.col("_l")) & (F.col("measure") == F.col("_m"))
+    return level("lang", "source").join(lang, on).select("lang", "source", "measure", F.array_sort(_blended("hist", "wide")).alias("hist"))
+
+
+def thresholds(rows: DataFrame) -> DataFrame:
+    """(lang, source, f): lowest and highest accepted value of every measure in each group."""
+    hists = _levels(written(sketches(rows), "sketch")).withColumn("total", _total(F.col("hist")))
+
     def quantile(num: int) -> Column:
-        want = F.floor((F.col("total") * num + 3) / 4)
+        want = _div(F.col("total") * num + 3, F.lit(4))
         walk = F.aggregate(
             "hist",
             F.struct(F.lit(0).cast("long").alias("seen"), F.lit(-1).cast("long").alias("at")),
@@ -143,34 +184,16 @@ def _fences(sketch: DataFrame, by: list[str]) -> DataFrame:
         )
         return walk["at"]
 
-    spread = F.lit(0)
-    for m, least in MEASURES.items():
-        spread = F.when(F.col("measure") == m, F.greatest(F.col("q3") - F.col("q1"), F.lit(least))).otherwise(spread)
+    least = F.element_at(F.create_map(*[F.lit(v) for kv in MEASURES.items() for v in kv]), F.col("measure"))
     fenced = (
-        hist.select(*by, "measure", "total", quantile(1).alias("q1"), quantile(3).alias("q3"))
-        .withColumn("spread", spread)
+        hists.select("lang", "source", "measure", quantile(1).alias("q1"), quantile(3).alias("q3"))
+        .withColumn("spread", F.greatest(F.col("q3") - F.col("q1"), _div(F.col("q3"), F.lit(RELATIVE)), least))
         .withColumn("low", F.col("q1") - FENCE * F.col("spread"))
         .withColumn("high", F.col("q3") + FENCE * F.col("spread"))
     )
     pick = lambda m, c: F.max(F.when(F.col("measure") == m, F.col(c)))
     fences = F.struct(*[pick(m, c).alias(f"{m}_{c}") for m in MEASURES for c in ("low", "high")])
-    return fenced.groupBy(*by).agg(F.max("total").alias("n"), fences.alias("f"))
-
-
-def thresholds(rows: DataFrame) -> DataFrame:
-    """(lang, source, f): the fences each group uses, from the narrowest level that is large enough."""
-    sketch = written(sketches(rows), "sketch")
-    own = _fences(sketch, ["lang", "source"])
-    lang = _fences(sketch, ["lang"]).select(F.col("lang").alias("l"), F.col("n").alias("ln"), F.col("f").alias("lf"))
-    whole = _fences(sketch, []).select(F.col("f").alias("wf"))
-    return (
-        own.join(lang, F.col("lang").eqNullSafe(F.col("l")), "left")
-        .crossJoin(whole)  # one row
-        .select(
-            "lang", "source",
-            F.when(F.col("n") >= MIN_GROUP, F.col("f")).when(F.col("ln") >= MIN_GROUP, F.col("lf")).otherwise(F.col("wf")).alias("f"),
-        )
-    )
+    return fenced.groupBy("lang", "source").agg(fences.alias("f"))
 
 
 def judged(docs: DataFrame) -> DataFrame:
@@ -207,28 +230,11 @@ def filtered(docs: DataFrame) -> DataFrame:
 
 
 def _sql() -> str:
-    q = lambda num, m: (
-        f"min(CASE WHEN measure = '{m}' AND seen >= (total * {num} + 3) // 4 THEN edge END)"
-    )
-    fence = ", ".join(
-        f"{q(1, m)} - {FENCE} * greatest({q(3, m)} - {q(1, m)}, {s}) AS {m}_low, "
-        f"{q(3, m)} + {FENCE} * greatest({q(3, m)} - {q(1, m)}, {s}) AS {m}_high"
-        for m, s in MEASURES.items()
-    )
-
-    def level(name: str, by: list[str]) -> str:
-        cols = ", ".join(by) + ", " if by else ""
-        part = ", ".join([*by, "measure"])
-        return f"""
-{name}_h AS (SELECT {cols}measure, edge, sum(n) AS n FROM sketch GROUP BY ALL),
-{name}_c AS (SELECT *, sum(n) OVER (PARTITION BY {part} ORDER BY edge) AS seen, sum(n) OVER (PARTITION BY {part}) AS total FROM {name}_h),
-{name} AS (SELECT {cols}max(total) AS n, {fence} FROM {name}_c {"GROUP BY " + ", ".join(by) if by else ""})"""
-
-    inside = " AND ".join(
-        f"r.{m} <= CASE WHEN o.n >= {MIN_GROUP} THEN o.{m}_high WHEN l.n >= {MIN_GROUP} THEN l.{m}_high ELSE w.{m}_high END"
-        + (f" AND r.{m} >= CASE WHEN o.n >= {MIN_GROUP} THEN o.{m}_low WHEN l.n >= {MIN_GROUP} THEN l.{m}_low ELSE w.{m}_low END" if m in TWO_SIDED else "")
-        for m in MEASURES
+    fields = lambda c: ", ".join(
+        f"max(CASE WHEN measure = '{m}' THEN {c} END) AS {m}_{c}" for m in MEASURES
     )
+    least = " ".join(f"WHEN '{m}' THEN {v}" for m, v in MEASURES.items())
+    inside = " AND ".join(f"r.{m} <= f.{m}_high" + (f" AND r.{m} >= f.{m}_low" if m in TWO_SIDED else "") for m in MEASURES)
     union = " UNION ALL ".join(f"SELECT lang, source, '{m}' AS measure, {m} AS v FROM rows WHERE NOT base_failed" for m in MEASURES)
     marks = r"[!-/:-@\[-`{-~]"
     return rf"""
@@ -239,28 +245,44 @@ wk AS (SELECT r, i, array_to_string(ws[i:i + {WINDOW - 1}], ' ') AS k FROM wi),
 rep AS (SELECT r, i, count(*) OVER (PARTITION BY r, k) AS c FROM wk),
 cov AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + {WINDOW})) AS p FROM rep WHERE c > 1) GROUP BY r),
 ln AS (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d),
-dl AS (SELECT r, sum(c - 1) AS n FROM (SELECT r, line, count(*) AS c FROM ln WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r, line) GROUP BY r),
+dl AS (SELECT r, sum(c - 1) AS n, sum(c) AS n_lines FROM (SELECT r, line, count(*) AS c FROM ln WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r, line) GROUP BY r),
 m AS (
   SELECT d.r, doc_id, lang, source, CAST(len(ws) AS BIGINT) AS n_words,
     CAST(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
     CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
     CAST(length(t) - length(regexp_replace(t, '{marks}', '', 'g')) AS BIGINT) AS n_marks,
     CAST(length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) AS BIGINT) AS n_capitals,
-    CAST(coalesce(dl.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(cov.n, 0) AS BIGINT) AS n_repeat_words
+    CAST(coalesce(dl.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(dl.n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(cov.n, 0) AS BIGINT) AS n_repeat_words
   FROM d JOIN w USING (r) LEFT JOIN cov USING (r) LEFT JOIN dl USING (r)),
 rows AS (
   SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
     n_symbols * 1000 // greatest(n_words, 1) AS symbols, n_marks * 1000 // greatest(word_chars, 1) AS marks,
     n_capitals * 1000 // greatest(word_chars, 1) AS capitals, n_repeat_words * 1000 // greatest(n_words, 1) AS repeats,
-    word_chars * 1000 // greatest(n_words, 1) AS word_length
+    n_dup_lines * 1000 // greatest(n_lines, 1) AS dup_lines, word_chars * 1000 // greatest(n_words, 1) AS word_length
   FROM m),
 sketch AS (
   SELECT lang, source, measure, (v >> greatest(length(bin(v)) - 7, 0)) << greatest(length(bin(v)) - 7, 0) AS edge, count(*) AS n
-  FROM ({union}) GROUP BY ALL),{level("own", ["lang", "source"])},{level("bylang", ["lang"])},{level("whole", [])}
+  FROM ({union}) GROUP BY ALL),
+groups AS (SELECT DISTINCT lang, source FROM sketch),
+whole AS (SELECT measure, edge, sum(n) AS n, sum(sum(n)) OVER (PARTITION BY measure) AS total FROM sketch GROUP BY measure, edge),
+bylang AS (
+  SELECT lang, measure, edge, sum(n) * {UNIT} AS n FROM sketch GROUP BY lang, measure, edge
+  UNION ALL SELECT lang, measure, edge, n * {PRIOR} * {UNIT} // total FROM (SELECT DISTINCT lang FROM groups), whole),
+lang_total AS (SELECT *, sum(n) OVER (PARTITION BY lang, measure) AS total FROM bylang),
+blend AS (
+  SELECT lang, source, measure, edge, n * {UNIT} AS n FROM sketch
+  UNION ALL SELECT g.lang, g.source, measure, edge, n * {PRIOR} * {UNIT} // total FROM groups g JOIN lang_total l ON g.lang IS NOT DISTINCT FROM l.lang),
+seen AS (
+  SELECT *, sum(n) OVER (PARTITION BY lang, source, measure ORDER BY edge) AS seen, sum(n) OVER (PARTITION BY lang, source, measure) AS total FROM blend),
+q AS (
+  SELECT lang, source, measure, min(edge) FILTER (seen >= (total + 3) // 4) AS q1, min(edge) FILTER (seen >= (total * 3 + 3) // 4) AS q3
+  FROM seen GROUP BY lang, source, measure),
+s AS (SELECT *, greatest(q3 - q1, q3 // {RELATIVE}, CASE measure {least} END) AS spread FROM q),
+e AS (SELECT lang, source, measure, q1 - {FENCE} * spread AS low, q3 + {FENCE} * spread AS high FROM s),
+f AS (SELECT lang, source, {fields("low")}, {fields("high")} FROM e GROUP BY lang, source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND coalesce({inside}, FALSE) AS kept, {", ".join(f"CAST(r.{m} AS BIGINT) AS {m}" for m in MEASURES)}
-FROM rows r LEFT JOIN own o ON r.lang IS NOT DISTINCT FROM o.lang AND r.source IS NOT DISTINCT FROM o.source
-  LEFT JOIN bylang l ON r.lang IS NOT DISTINCT FROM l.lang, whole w
+FROM rows r LEFT JOIN f ON r.lang IS NOT DISTINCT FROM f.lang AND r.source IS NOT DISTINCT FROM f.source
 """
 
 
