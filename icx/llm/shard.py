@@ -33,8 +33,11 @@ TOLERANCE = 0.01
 SPAN_BITS = 62
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """The narrow key table: one pass over the texts, then only this is counted."""
+def keyed(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """The key table: one pass over the texts, then only its narrow columns are counted.
+
+    Columns to carry lie beside them under names of their own.
+    """
     text = F.coalesce("text", F.lit(""))
     return written(
         docs.select(
@@ -45,6 +48,7 @@ def keyed(docs: DataFrame) -> DataFrame:
             # doc_id in unsigned order of its upper 62 bits, then its lower two bits and the row
             F.shiftrightunsigned(F.coalesce("doc_id", F.lit(-(1 << 63))).bitwiseXOR(F.lit(-(1 << 63))), 64 - SPAN_BITS).alias("k1"),
             F.monotonically_increasing_id().alias("k2"),
+            *[F.col(c).alias(f"_carried{i}") for i, c in enumerate(carry)],
         ),
         "keys",
     )
@@ -168,16 +172,18 @@ def place(keys: DataFrame, cuts: list[tuple[int, ...]]) -> Column:
     return first + F.size(F.filter(near, not_above))
 
 
-def sharded(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard: one row per document.
+def sharded(docs: DataFrame, shards: int = SHARDS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard and the columns to carry: one row per document.
 
-    Each shard is cut into several equal parts, so that the exchange has enough tasks.
+    Each shard is cut into several equal parts, so that the exchange has enough tasks. Columns
+    to carry, such as the text, go through that one exchange with their row.
     """
-    keys = keyed(docs)
+    keys = keyed(docs, carry)
     spark = docs.sparkSession
     parts = max(1, -(-2 * shuffle_partitions(spark) // shards))
-    fine = place(keys, splitters(keys, shards * parts))
-    placed = written(keys.withColumn("part", fine), "placed")
+    placed = keys.withColumn("part", place(keys, splitters(keys, shards * parts)))
+    if not carry:
+        placed = written(placed, "placed")
     counts = {r["part"]: r["n"] for r in placed.groupBy("part").agg(F.count("*").alias("n")).collect()}  # shards * parts rows
     offsets: list[int] = []
     for i in range(shards * parts):
@@ -188,17 +194,11 @@ def sharded(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
         F.floor(F.col("part") / parts).cast("int").alias("shard"),
         (F.get(_longs(offsets), F.col("part")) + F.row_number().over(order) - 1).alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
+        *[F.col(f"_carried{i}").alias(c) for i, c in enumerate(carry)],
     )
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS) -> None:
-    """The documents themselves, one folder per shard, rows in slot order."""
-    keys = sharded(docs, shards).select(F.col("doc_id").alias("_d"), F.col("text_crc32").alias("_c"), "shard", "slot")
-    own = docs.withColumn("_crc", F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")))
-    same = Window.partitionBy("doc_id", "_crc").orderBy(F.lit(0))
-    there = Window.partitionBy("_d", "_c").orderBy("shard", "slot")
-    left = own.withColumn("_row", F.row_number().over(same))
-    right = keys.withColumn("_row2", F.row_number().over(there))
-    on = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_crc") == F.col("_c")) & (F.col("_row") == F.col("_row2"))
-    rows = left.join(right, on).drop("_d", "_c", "_crc", "_row", "_row2")
-    rows.repartition("shard", F.floor(F.col("slot") / 100_000)).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    """The documents as Parquet: a folder per shard, in it rows (slot, doc_id, text), sorted by slot in every file."""
+    rows = sharded(docs, shards, ("text",)).select("shard", "slot", "doc_id", "text")
+    rows.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)

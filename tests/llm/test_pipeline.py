@@ -3,8 +3,9 @@
 import re
 
 import corpus_pipeline
-from icx.llm import decontaminate, mix, quality, simjoin
-from test_simjoin import brute
+from icx.llm import decontaminate, mix, quality, shard
+from icx.llm.common import scratch_path
+from test_simjoin import plain_components
 
 SF = "/root/testdata/sf0.001"
 
@@ -24,7 +25,7 @@ def test_stages(spark):
     assert rows_of(kept) == rows_of(docs.filter(docs.doc_id.isin(list(wanted))))
     one = stages["near duplicates"](spark, kept, SF).cache()
     assert one.columns == columns
-    groups = brute([(r.doc_id, r.text) for r in kept.collect()])
+    groups = plain_components([(r.doc_id, r.text) for r in kept.collect()], 5, 80)
     assert {r.doc_id for r in one.collect()} == {c for _, _, c in groups} and one.count() == len({c for _, _, c in groups})
     clean = stages["decontamination"](spark, one, SF).cache()
     assert clean.columns == columns
@@ -43,6 +44,7 @@ def test_stages(spark):
     assert copies == {r.doc_id: r.copies for r in mix.mixed_copies(clean).collect() if r.copies}
     shards = stages["sharding"](spark, mixed, SF).collect()
     assert len(shards) == sum(copies.values())
+    assert rows_of(stages["sharding"](spark, mixed, SF).select("doc_id", "text", "lang", "source")) == rows_of(mixed.select("doc_id", "text", "lang", "source"))
     for s in {r.shard for r in shards}:
         assert sorted(r.slot for r in shards if r.shard == s) == list(range(sum(r.shard == s for r in shards)))
 
@@ -56,3 +58,13 @@ def test_empty_tables(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, SF).count() == 0, name
+
+
+def test_shards_are_written_with_their_texts(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    path = scratch_path(spark, "t-shards")
+    shard.write_shards(docs, path)
+    back = spark.read.parquet(path)
+    assert rows_of(back.select("doc_id", "text")) == rows_of(docs.select("doc_id", "text"))
+    placed = {(r.shard, r.slot, r.doc_id) for r in shard.sharded(docs).collect()}
+    assert {(r.shard, r.slot, r.doc_id) for r in back.collect()} == placed and len(placed) == docs.count()
