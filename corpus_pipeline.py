@@ -1,4 +1,9 @@
-"""From raw documents to sharded training data: quality, near duplicates, leaks, mix, shards."""
+"""From raw documents to sharded training data: quality, near duplicates, leaks, mix, shards.
+
+Defined cases, in every stage: null texts and ids, repeated rows, empty and very long texts and
+empty tables as its operator states them; extra columns are passed on, whatever their names,
+by all stages but the last, which returns the sharded rows with text, lang and source.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from icx.llm import decontaminate, mix, quality, shard, simjoin
 from icx.llm.common import written
 
+#: Words of a shingle and per cent of shared shingles from which two documents are near duplicates.
+SHINGLE, PERCENT = 5, 80
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
@@ -15,7 +23,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays, the one with the smallest doc_id."""
-    return simjoin.one_of_each(docs)
+    return simjoin.one_of_each(docs, SHINGLE, PERCENT)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,8 +37,8 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Shard and slot of every document."""
-    return shard.sharded(docs)
+    """Shard and slot of every document, with its text, lang and source."""
+    return shard.sharded(docs, carry=("text", "lang", "source"))
 
 
 STAGES = [
