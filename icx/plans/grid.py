@@ -171,30 +171,41 @@ def language_pairs(codes: DataFrame, col: str = "code") -> DataFrame:
     return pairs.select("p.*")
 
 
-def _pick_excluding(codes: list[str], r_hash: Column, src: Column, tgt: Column) -> Column:
-    """Uniform pick from `codes` minus {src, tgt}: r = hash mod (L - excluded), then
-    step over the excluded positions in ascending order (exact, no rejection)."""
-    arr = F.array(*[F.lit(c) for c in codes])
-    L = len(codes)
-    ps = F.array_position(arr, src) - 1  # -1 when absent
-    pt = F.array_position(arr, tgt) - 1
+def _pick_excluding(codes: Column, r_hash: Column, src: Column, tgt: Column) -> Column:
+    """Uniform pick from the sorted array `codes` minus {src, tgt}: r = hash mod (L - excluded),
+    then step over the excluded positions in ascending order (exact, no rejection).
+    Null when the array is null or nothing is left."""
 
     def with_pos(P):
-        s_, t_ = P["s"], P["t"]
+        s_, t_ = P["s"] - 1, P["t"] - 1  # -1 when absent
         lo = F.when((s_ >= 0) & (t_ >= 0), F.least(s_, t_)).when(s_ >= 0, s_).when(t_ >= 0, t_)
         hi = F.when((s_ >= 0) & (t_ >= 0) & (s_ != t_), F.greatest(s_, t_))
+        return let(F.struct(P["c"].alias("c"), lo.alias("lo"), hi.alias("hi")), with_bounds)
 
-        def with_bounds(B):
-            n_ex = F.when(B["lo"].isNotNull(), 1).otherwise(0) + F.when(B["hi"].isNotNull(), 1).otherwise(0)
-            avail = F.lit(L) - n_ex
-            r = F.when(avail > 0, r_hash % avail)
-            i1 = F.when(B["lo"].isNotNull() & (r >= B["lo"]), r + 1).otherwise(r)
-            i2 = F.when(B["hi"].isNotNull() & (i1 >= B["hi"]), i1 + 1).otherwise(i1)
-            return F.when(avail > 0, F.element_at(arr, (i2 + 1).cast("int")))
+    def with_bounds(B):
+        n_ex = F.when(B["lo"].isNotNull(), 1).otherwise(0) + F.when(B["hi"].isNotNull(), 1).otherwise(0)
+        avail = F.size(B["c"]) - n_ex
+        r = F.when(avail > 0, r_hash % avail)
+        i1 = F.when(B["lo"].isNotNull() & (r >= B["lo"]), r + 1).otherwise(r)
+        i2 = F.when(B["hi"].isNotNull() & (i1 >= B["hi"]), i1 + 1).otherwise(i1)
+        return F.when(avail > 0, F.get(B["c"], i2.cast("int")))
 
-        return let(F.struct(lo.alias("lo"), hi.alias("hi")), with_bounds)
+    return let(F.struct(codes.alias("c"), F.array_position(codes, src).alias("s"), F.array_position(codes, tgt).alias("t")), with_pos)
 
-    return let(F.struct(ps.alias("s"), pt.alias("t")), with_pos)
+
+def _dimension(codes: list[str]) -> Column:
+    """The language dimension as one constant: script -> its codes in order, and '' -> all codes.
+
+    A single literal that Catalyst folds once; a row looks its candidate list up in it.
+    """
+    import json
+
+    from icx.functions.scripts import script_of
+
+    lists: dict[str, list[str]] = {"": sorted(codes)}
+    for c in sorted(codes):
+        lists.setdefault(script_of(c), []).append(c)
+    return F.from_json(F.lit(json.dumps(lists)), "map<string,array<string>>")
 
 
 def allied_choices(pairs: DataFrame, seed: int = 42, mapping: dict[str, str] | None = None) -> DataFrame:
@@ -205,19 +216,13 @@ def allied_choices(pairs: DataFrame, seed: int = 42, mapping: dict[str, str] | N
     Candidate lists come from the language dimension at plan time; the draw is keyed
     by (seed, src, tgt) like every other random choice.
     """
-    from icx.functions.scripts import LANGUAGES, script_of
+    from icx.functions.scripts import LANGUAGES
 
-    codes = sorted(mapping or LANGUAGES)
-    by_script: dict[str, list[str]] = {}
-    for c in codes:
-        by_script.setdefault(script_of(c), []).append(c)
+    dimension = _dimension(list(mapping or LANGUAGES))
     src, tgt = F.col("src_lang"), F.col("tgt_lang")
-    sscript = F.element_at(F.split(src, "_"), -1)
-    same_script = None
-    for sc, lst in by_script.items():
-        pick = _pick_excluding(lst, u60(seed, "allied_script", src, tgt), src, tgt)
-        same_script = F.when(sscript == sc, pick) if same_script is None else same_script.when(sscript == sc, pick)
-    rnd = _pick_excluding(codes, u60(seed, "allied_random", src, tgt), src, tgt)
+    own_script = F.try_element_at(dimension, F.element_at(F.split(src, "_"), -1))
+    same_script = _pick_excluding(own_script, u60(seed, "allied_script", src, tgt), src, tgt)
+    rnd = _pick_excluding(F.try_element_at(dimension, F.lit("")), u60(seed, "allied_random", src, tgt), src, tgt)
     choices = F.array(
         F.struct(F.lit("same").alias("choice"), src.alias("aux_lang")),
         F.struct(F.lit("english").alias("choice"), F.lit("eng_Latn").alias("aux_lang")),
