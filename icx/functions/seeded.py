@@ -84,15 +84,17 @@ def kmax(n: Column, rate: float | Column, at_least_one: bool = True) -> Column:
     return F.greatest(F.lit(1), k) if at_least_one else k
 
 
-def floyd_draw(seed: int | Column, tag: str, row_key: Column, d: int, k: int | Column) -> Column:
+def floyd_draw(seed: int | Column, tag: str, row_key: Column, d: int | Column, k: int | Column) -> Column:
     """k distinct indexes from [0, d), uniform, as an array (Floyd's algorithm).
 
     Step j = d-k .. d-1 draws t = u60(row, j) mod (j+1) and adds t, or j when t is
     already present. k steps per row, no rejection loop, no cross join.
     """
-    if isinstance(k, Column):
-        too_few = F.raise_error(F.concat(F.lit("cannot draw from a pool of "), F.lit(str(d)), F.lit(" demonstrations: "), k.cast("string")))
-        steps = F.when(k > d, too_few.cast("array<bigint>")).when(k > 0, F.sequence(F.lit(d).cast("bigint") - k, F.lit(d - 1).cast("bigint")))
+    if isinstance(k, Column) or isinstance(d, Column):
+        k, d = (x if isinstance(x, Column) else F.lit(x) for x in (k, d))
+        d = d.cast("bigint")
+        too_few = F.raise_error(F.concat(F.lit("cannot draw from a pool of "), d.cast("string"), F.lit(" demonstrations: "), k.cast("string")))
+        steps = F.when(k > d, too_few.cast("array<bigint>")).when(k > 0, F.sequence(d - k, d - 1))
         steps = F.coalesce(steps, F.array().cast("array<bigint>"))
     elif k <= 0:
         return F.array().cast("array<bigint>")

@@ -52,7 +52,7 @@ class Pool:
         return 0 <= self.nbytes <= limit
 
 
-def drawn(key: Column, pool_size: int, k: int | Column, seed: int | Column, tag: str = DEMO_TAG) -> Column:
+def drawn(key: Column, pool_size: int | Column, k: int | Column, seed: int | Column, tag: str = DEMO_TAG) -> Column:
     """k pool indexes in demonstration order."""
     return shuffled(seed, tag + "_order", key, floyd_draw(seed, tag, key, pool_size, k))
 

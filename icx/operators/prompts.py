@@ -35,18 +35,25 @@ PIVOT_FINAL_SUFFIX = ". You should only generate the translation and do not give
 MESSAGE = "struct<role:string,content:string>"
 
 
-def instruction(kind: str, src_name: str, tgt_name: str, chat: bool, seed: int, row_key: Column) -> Column | None:
-    """Instruction text for a kind; None means 'no system message' (chat, no_instruct)."""
+def _joined(*parts: str | Column) -> Column:
+    """Texts and columns in a row; a constant when all are texts."""
+    if all(isinstance(p, str) for p in parts):
+        return F.lit("".join(parts))
+    return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+
+
+def instruction(kind: str, src_name: str | Column, tgt_name: str | Column, chat: bool, seed: int, row_key: Column) -> Column | None:
+    """Instruction text for a kind; None means 'no system message' (chat, no_instruct). Names may differ by row."""
     end = ".\n\n" if chat else ":\n\n"
     if kind == "standard":
-        return F.lit(f"Translate this from {src_name} into {tgt_name}{end}")
+        return _joined("Translate this from ", src_name, " into ", tgt_name, end)
     if kind == "generic":
         return F.lit(GENERIC_INSTRUCTION)
     if kind == "random":
         pool = F.array(*[F.lit(s) for s in RANDOM_INSTRUCTIONS])
         return F.element_at(pool, (u60(seed, "instruction", row_key) % len(RANDOM_INSTRUCTIONS) + 1).cast("int"))
     if kind == "contrastive":
-        return F.lit(f"Translate this from {tgt_name} into {src_name}" + (".\n\n" if chat else " :\n\n"))
+        return _joined("Translate this from ", tgt_name, " into ", src_name, ".\n\n" if chat else " :\n\n")
     if kind == "no_instruct":
         return None if chat else F.lit("")
     raise ValueError(f"unknown instruction kind {kind!r}")
@@ -56,18 +63,18 @@ def _msg(role: str, content: Column) -> Column:
     return F.struct(F.lit(role).alias("role"), content.alias("content"))
 
 
-def text_prompt(instr: Column, demos: Column, query_src: Column, demo_label: str, query_label: str,
-                tgt_label: str, demo_src: str = "src", demo_tgt: str = "tgt") -> Column:
+def text_prompt(instr: Column, demos: Column, query_src: Column, demo_label: str | Column, query_label: str | Column,
+                tgt_label: str | Column, demo_src: str = "src", demo_tgt: str = "tgt") -> Column:
     block = F.array_join(
         F.transform(
             demos,
             lambda d: F.concat(
-                F.lit(f"{demo_label}: "), d[demo_src], F.lit(f"\n{tgt_label}: "), d[demo_tgt], F.lit("\n\n")
+                _joined(demo_label, ": "), d[demo_src], _joined("\n", tgt_label, ": "), d[demo_tgt], F.lit("\n\n")
             ),
         ),
         "",
     )
-    whole = F.concat(instr, block, F.lit(f"{query_label}: "), query_src, F.lit(f"\n{tgt_label}: "))
+    whole = F.concat(instr, block, _joined(query_label, ": "), query_src, _joined("\n", tgt_label, ": "))
     return F.when(_complete(demos, demo_src, demo_tgt), whole)
 
 
@@ -76,19 +83,19 @@ def _complete(demos: Column, *fields: str) -> Column:
     return ~F.exists(demos, lambda d: F.coalesce(*[F.when(d[f].isNull(), F.lit(True)) for f in fields], F.lit(False)))
 
 
-def chat_prompt(system: Column | None, demos: Column, query_src: Column, demo_label: str, query_label: str,
-                tgt_label: str, demo_src: str = "src", demo_tgt: str = "tgt") -> Column:
+def chat_prompt(system: Column | None, demos: Column, query_src: Column, demo_label: str | Column, query_label: str | Column,
+                tgt_label: str | Column, demo_src: str = "src", demo_tgt: str = "tgt") -> Column:
     head = F.array(_msg("system", system)) if system is not None else F.array().cast(f"array<{MESSAGE}>")
     turns = F.flatten(
         F.transform(
             demos,
             lambda d: F.array(
-                _msg("user", F.concat(F.lit(f"{demo_label}: "), d[demo_src], F.lit(f"\n{tgt_label}: "))),
+                _msg("user", F.concat(_joined(demo_label, ": "), d[demo_src], _joined("\n", tgt_label, ": "))),
                 _msg("assistant", F.concat(d[demo_tgt], F.lit("\n\n"))),
             ),
         )
     )
-    query = F.array(_msg("user", F.concat(F.lit(f"{query_label}: "), query_src, F.lit(f"\n{tgt_label}: "))))
+    query = F.array(_msg("user", F.concat(_joined(query_label, ": "), query_src, _joined("\n", tgt_label, ": "))))
     return F.when(_complete(demos, demo_src, demo_tgt) & query_src.isNotNull(), F.concat(head, turns, query))
 
 

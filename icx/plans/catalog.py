@@ -650,11 +650,11 @@ def q_sentences(spark, sf_dir):
     return tables.sentences(spark, sf_dir)
 
 
-@register(
-    "pair_fan_out",
-    f"""SELECT p.src_lang, p.tgt_lang, s.row_id, s.text AS src, t.text AS tgt
-FROM ({_PAIRS_SQL}) p JOIN ({_SENT_SQL}) s ON s.code = p.src_lang JOIN ({_SENT_SQL}) t ON t.code = p.tgt_lang AND t.row_id = s.row_id""",
-)
+_FAN_SQL = f"""SELECT p.src_lang, p.tgt_lang, s.row_id, s.text AS src, t.text AS tgt
+FROM ({_PAIRS_SQL}) p JOIN ({_SENT_SQL}) s ON s.code = p.src_lang JOIN ({_SENT_SQL}) t ON t.code = p.tgt_lang AND t.row_id = s.row_id"""
+
+
+@register("pair_fan_out", _FAN_SQL)
 def q_fan_out(spark, sf_dir):
     return FO.fan_out(tables.sentences(spark, sf_dir), _pairs(spark, sf_dir))
 
@@ -688,6 +688,81 @@ def q_missing_pairs(spark, sf_dir):
     return FO.missing_pairs(FO.fan_out(sent, GR.language_pairs(codes)), GR.language_pairs(codes))
 
 
+def _lang_values():
+    rows = ", ".join(f"({sql.lit(c)}, {sql.lit(n)})" for c, n in sorted(LANGUAGES.items()))
+    return f"(VALUES {rows}) l(code, name)"
+
+
+# ---- the study over every language pair of the data, one job -------------------------------------
+
+def _pair_rows(spark, sf_dir):
+    """Sentence pairs of all language pairs; every fourth sentence is a test row."""
+    rows = FO.fan_out(tables.sentences(spark, sf_dir), _pairs(spark, sf_dir))
+    return rows.filter(F.col("row_id") % 4 == 0), rows.filter(F.col("row_id") % 4 != 0)
+
+
+def _pair_study_sql(experiments):
+    steps = []
+    for m in range(max(GR.SHOTS)):
+        steps.append(f"""s{m + 1} AS (SELECT src_lang, tgt_lang, row_id, shots, seed, d, CASE WHEN shots <= {m} THEN s WHEN list_contains(s, t) THEN list_append(s, j) ELSE list_append(s, t) END AS s
+  FROM (SELECT *, ('0x' || substr(md5(concat_ws('|', seed, 'demo', row_id, j)), 1, 15))::BIGINT % greatest(j + 1, 1) AS t FROM (SELECT *, (d - shots + {m})::BIGINT AS j FROM s{m})))""")
+    head = "CASE kind " + " ".join(f"WHEN '{k}' THEN {x}" for k, x in (
+        ("generic", sql.instruction_sql("generic", "", "", False, SEED)), ("random", sql.instruction_sql("random", "", "", False, SEED, "p.row_id")),
+        ("contrastive", "'Translate this from ' || t.name || ' into ' || s.name || ' :' || chr(10) || chr(10)"), ("no_instruct", "''"),
+    )) + " ELSE 'Translate this from ' || s.name || ' into ' || t.name || ':' || chr(10) || chr(10) END"
+    names = lambda side: f"(SELECT c.code, coalesce(l.name, c.code) AS name FROM ({_CODES_SQL}) c LEFT JOIN {_lang_values()} ON l.code = c.code) {side}"
+    return f"""WITH f AS ({_FAN_SQL}),
+test AS (SELECT * FROM f WHERE row_id % 4 = 0),
+dev AS (SELECT *, row_number() OVER (PARTITION BY src_lang, tgt_lang ORDER BY row_id) - 1 AS idx FROM f WHERE row_id % 4 <> 0),
+n AS (SELECT src_lang, tgt_lang, count(*) AS d FROM dev GROUP BY ALL),
+g AS (SELECT * FROM ({_runs_sql(_with_null(_PAIRS_SQL, "aux_lang", "pivot_lang"), experiments)}) WHERE attack IS NULL),
+s0 AS (SELECT src_lang, tgt_lang, row_id, shots, seed, d, []::BIGINT[] AS s FROM test JOIN n USING (src_lang, tgt_lang)
+  JOIN (SELECT DISTINCT src_lang, tgt_lang, shots, seed FROM g) USING (src_lang, tgt_lang) WHERE d >= shots),
+{", ".join(steps)},
+picked AS (SELECT * EXCLUDE (s), unnest(s) AS v FROM s{max(GR.SHOTS)}),
+placed AS (SELECT *, row_number() OVER (PARTITION BY src_lang, tgt_lang, row_id, shots, seed
+  ORDER BY ('0x' || substr(md5(concat_ws('|', seed, 'demo_order', row_id, v)), 1, 15))::BIGINT, v) AS pos FROM picked),
+blocks AS (SELECT o.src_lang, o.tgt_lang, o.row_id, o.shots, o.seed,
+  CASE WHEN bool_and(dev.src IS NOT NULL AND dev.tgt IS NOT NULL) THEN
+    string_agg(s.name || ': ' || dev.src || chr(10) || t.name || ': ' || dev.tgt || chr(10) || chr(10), '' ORDER BY pos) END AS block
+  FROM placed o JOIN dev ON dev.src_lang = o.src_lang AND dev.tgt_lang = o.tgt_lang AND dev.idx = o.v
+    JOIN {names("s")} ON s.code = o.src_lang JOIN {names("t")} ON t.code = o.tgt_lang GROUP BY ALL)
+SELECT g.run_id, p.src_lang, p.tgt_lang, g.experiment, p.row_id, p.shots,
+  {head} || p.block || s.name || ': ' || test.src || chr(10) || t.name || ': ' AS prompt, test.tgt AS reference
+FROM blocks p JOIN g USING (src_lang, tgt_lang, shots, seed) JOIN test USING (src_lang, tgt_lang, row_id)
+  JOIN {names("s")} ON s.code = p.src_lang JOIN {names("t")} ON t.code = p.tgt_lang"""
+
+
+_PAIR_STUDY = ("instruction", "directionality", "homogeneous")
+
+
+def _pair_study(spark, sf_dir):
+    test, dev = _pair_rows(spark, sf_dir)
+    return ST_.prompts_of_pairs(test, dev, _PAIR_STUDY, noise=False, model="a/base-model")
+
+
+def _pair_digest_sql(study):
+    return f"""SELECT run_id, src_lang, tgt_lang, experiment, row_id, shots, length(prompt)::BIGINT AS n_chars, md5(prompt) AS prompt_md5,
+  length(reference)::BIGINT AS reference_chars FROM ({study})"""
+
+
+@register("study_all_pairs", _pair_digest_sql(_pair_study_sql(_PAIR_STUDY)))
+def q_study_all_pairs(spark, sf_dir):
+    """Every unperturbed run of `grid_all` with its own pool, over all language pairs: its prompts by digest."""
+    return _pair_study(spark, sf_dir).select(
+        "run_id", *ST_.PAIR, "experiment", "row_id", "shots", F.char_length("prompt").cast("long").alias("n_chars"),
+        F.md5("prompt").alias("prompt_md5"), F.char_length("reference").cast("long").alias("reference_chars"))
+
+
+@register("study_run_sizes", f"""SELECT run_id, src_lang, tgt_lang, experiment, shots, count(*) AS n_rows, count(prompt) AS n_prompts,
+  sum(length(prompt))::BIGINT AS n_chars, count(*) FILTER (length(prompt) <= {{context}}) AS n_fitting FROM ({_pair_study_sql(_PAIR_STUDY)}) GROUP BY ALL""".replace("{context}", str(CONTEXT)))
+def q_study_run_sizes(spark, sf_dir):
+    """One row per run over all language pairs: its prompts, their size, and how many fit the model's context."""
+    return _pair_study(spark, sf_dir).groupBy("run_id", *ST_.PAIR, "experiment", "shots").agg(
+        F.count("*").alias("n_rows"), F.count("prompt").alias("n_prompts"), F.sum(F.char_length("prompt")).cast("long").alias("n_chars"),
+        F.count_if(F.char_length("prompt") <= CONTEXT).alias("n_fitting"))
+
+
 @register("unknown_languages", f"SELECT code, count(*) AS n FROM (SELECT {sql.LANG_CODE} AS code FROM documents) WHERE code LIKE '%\\_Zyyy' ESCAPE '\\' GROUP BY code")
 def q_unknown_languages(spark, sf_dir):
     """Languages of the documents that the code table does not know, with their documents."""
@@ -851,11 +926,6 @@ def q_render_chat(spark, sf_dir):
     return out.select("row_id", P.render_chat(F.col("prompt"), CHAT_TEMPLATE, GENERATION_PREFIX).alias("prompt"))
 
 
-def _lang_values():
-    rows = ", ".join(f"({sql.lit(c)}, {sql.lit(n)})" for c, n in sorted(LANGUAGES.items()))
-    return f"(VALUES {rows}) l(code, name)"
-
-
 @register("language_names", f"""SELECT c.code, split_part(c.code, '_', 1) AS lang, split_part(c.code, '_', 2) AS script, l.name
 FROM ({_CODES_SQL}) c LEFT JOIN {_lang_values()} ON l.code = c.code""")
 def q_language_names(spark, sf_dir):

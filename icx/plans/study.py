@@ -16,13 +16,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from icx.functions.scripts import language_name
+from icx.functions.scripts import LANGUAGES, language_name
 from icx.operators import demos as D
 from icx.operators import generate as G
 from icx.operators import metrics as M
 from icx.operators import perturb as PT
 from icx.operators import pivot as PV
 from icx.operators import prompts as P
+from icx.operators.segments import SegmentedPool, looked_up
 from icx.plans import grid as GR
 
 DEMO_EXPERIMENTS = ("instruction", "directionality", "homogeneous", "heterogeneous")
@@ -134,6 +135,56 @@ def prompts(test: DataFrame, dev: DataFrame, aux_dev: DataFrame, triples: DataFr
     return out
 
 
+PAIR = ("src_lang", "tgt_lang")
+
+
+def prompts_of_pairs(test: DataFrame, dev: DataFrame, experiments: tuple[str, ...] = DEMO_EXPERIMENTS, noise: bool = True,
+                     model: str = GR.DEFAULT_MODEL) -> DataFrame:
+    """(run_id, src_lang, tgt_lang, experiment, row_id, shots, prompt, reference) of the runs of every language pair.
+
+    `test` and `dev` hold all pairs: (src_lang, tgt_lang, row_id, src, tgt). One segmented
+    index serves the draws of all pairs, shot counts and seeds; the runs that share a draw
+    are exploded inside its rows, after the draw and without a join with the grid. Pairs
+    without enough demonstrations have no such runs. `noise` False leaves out perturbed runs.
+    """
+    as_chat = model in GR.CHAT_MODELS
+    points = [r for e in experiments for r in GR._rows(e) if noise or r[4] is None]
+    draws = sorted({(r[1], r[3]) for r in points})
+    pool = SegmentedPool(dev, PAIR)
+    rows = pool.fetched(pool.drawn(test, draws))
+    fields = [f.split()[0] for f in GR.GRID_SCHEMA.split(", ")]
+    src, tgt, row = F.col("src_lang"), F.col("tgt_lang"), F.col("row_id")
+
+    def ident(g: Column) -> Column:
+        own = {"src_lang": src, "tgt_lang": tgt, "aux_lang": F.lit(""), "pivot_lang": F.lit("")}
+        return F.md5(F.concat_ws("|", *[own[c] if c in own else F.coalesce(g[c].cast("string"), F.lit("")) for c in GR.RUN_KEY]))
+
+    here = F.filter(GR.grid_array(experiments), lambda g: (g["shots"] == F.col("shots")) & (g["seed"] == F.col("seed")) & (F.lit(noise) | g["attack"].isNull()))
+    runs = F.transform(here, lambda g: F.struct(ident(g).alias("run_id"), *[g[f].alias(f) for f in fields]).cast(RUN))
+    rows = rows.withColumn("run", F.explode(runs))
+    run, demos = F.col("run"), F.col("demos")
+    if noise:
+        plain = F.transform(demos, lambda d: F.struct(d["pos"].alias("pos"), d["src"].alias("src"), d["tgt"].alias("tgt")))
+        rows = rows.withColumn("demos", F.when(run["attack"].isNull(), plain).otherwise(_noisy(demos, run, row, src, tgt)))
+    rows = rows.withColumns({"_s": F.coalesce(looked_up(LANGUAGES, src), src), "_t": F.coalesce(looked_up(LANGUAGES, tgt), tgt)})
+    s, t = F.col("_s"), F.col("_t")
+
+    def instr(kind: str) -> Column:
+        return P.instruction(kind, s, t, as_chat, 42, row)
+
+    if as_chat:
+        chat = lambda kind: P.chat_prompt(instr(kind), demos, F.col("src"), s, s, t)
+        prompt = _rendered(chat("standard"))
+        for kind in P.INSTRUCTION_KINDS[1:]:
+            prompt = F.when(run["kind"] == kind, _rendered(chat(kind))).otherwise(prompt)
+    else:
+        head = instr("standard")
+        for kind in P.INSTRUCTION_KINDS[1:]:
+            head = F.when(run["kind"] == kind, instr(kind)).otherwise(head)
+        prompt = P.text_prompt(head, demos, F.col("src"), s, s, t)
+    return rows.select("run.run_id", *PAIR, "run.experiment", "row_id", "shots", prompt.alias("prompt"), F.col("tgt").alias("reference"))
+
+
 def predictions(asked: DataFrame, context: int) -> DataFrame:
     """Prompts with the stand-in model's cleaned answer: the reference, unless the prompt is too long."""
     raw = F.when(F.char_length("prompt") <= context, G.echo_stand_in(F.col("prompt"), F.col("reference")))
