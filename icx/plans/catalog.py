@@ -840,18 +840,52 @@ def q_pivot_from_files(spark, sf_dir):
 
 @register("predictions_sink", PREDICTIONS_SQL)
 def q_predictions_sink(spark, sf_dir):
-    """SNK-3: the predictions table, partitioned by run, read back."""
+    """SNK-3: the predictions table, partitioned by run, its runs written twice, read back."""
     path = IO.scratch_dir(spark, "predictions")
-    IO.write_predictions(_predictions(spark, sf_dir), path)
-    return spark.read.parquet(path).select("run_id", "row_id", "prompt", "hypothesis", "reference")
+    rows = _predictions(spark, sf_dir).select("run_id", "row_id", "prompt", "hypothesis", "reference")
+    for _ in range(2):  # a job that is started again
+        IO.write_predictions(rows, path)
+    return IO.read_runs(spark, path, rows.schema)
 
 
 @register("metrics_sink", sql.metrics_sql(PREDICTIONS_SQL, ["run_id"], "13a"))
 def q_metrics_sink(spark, sf_dir):
-    """SNK-4: one row per run appended to the metrics table, read back."""
+    """SNK-4: one row per run in the metrics table, read back."""
     path = IO.scratch_dir(spark, "metrics")
-    IO.write_metrics(M.score(_predictions(spark, sf_dir), ["run_id"]), path)
-    return spark.read.parquet(path)
+    rows = M.score(_predictions(spark, sf_dir), ["run_id"])
+    IO.write_metrics(rows, path)
+    return IO.read_runs(spark, path, rows.schema)
+
+
+def _damaged(pairs):
+    """Pairs as JSON lines; every seventh line is cut short, every eleventh is no object."""
+    line = F.to_json(F.struct(F.coalesce("src", F.lit("")).alias(f"sentence_{SRC}"), F.coalesce("tgt", F.lit("")).alias(f"sentence_{TGT}")))
+    cut = F.concat(F.lit('{"sentence_'), F.col("row_id").cast("string"))
+    return pairs.select("row_id", F.when(F.col("row_id") % 7 == 3, cut).when(F.col("row_id") % 11 == 5, F.concat(F.lit("no object "), F.col("row_id").cast("string")))
+                        .otherwise(line).alias("value"))
+
+
+def _damaged_file(spark, sf_dir):
+    path = IO.scratch_dir(spark, "damaged") + "/dev.jsonl"
+    rows = _damaged(tables.pairs(spark, sf_dir))
+    rows.repartitionByRange("row_id").sortWithinPartitions("row_id").select("value").write.text(path)
+    return path
+
+
+_NUMBERED_SQL = f"SELECT row_number() OVER (ORDER BY row_id) - 1 AS n, row_id, src, tgt FROM ({sql.PAIRS})"
+
+
+@register("bad_lines", f"""SELECT n AS row_id, CASE WHEN row_id % 7 = 3 THEN '{{"sentence_' || row_id ELSE 'no object ' || row_id END AS line
+FROM ({_NUMBERED_SQL}) WHERE row_id % 7 = 3 OR row_id % 11 = 5""")
+def q_bad_lines(spark, sf_dir):
+    """SRC-2/VAL-1: the malformed lines of a pair file made of all pairs, by position."""
+    return IO.bad_lines(spark, _damaged_file(spark, sf_dir), SRC, TGT)
+
+
+@register("good_lines", f"SELECT n AS row_id, coalesce(src, '') AS src, coalesce(tgt, '') AS tgt FROM ({_NUMBERED_SQL}) WHERE NOT (row_id % 7 = 3 OR row_id % 11 = 5)")
+def q_good_lines(spark, sf_dir):
+    """SRC-2: what is read of the same file; lines keep their positions."""
+    return IO.read_pairs(spark, _damaged_file(spark, sf_dir), SRC, TGT)
 
 
 # ---- every script: documents spelled in the letters of another script --------------------------------
@@ -958,6 +992,7 @@ def q_python_split(spark, sf_dir):
 
 # ---- streaming -----------------------------------------------------------------------------------
 
+from icx.functions import subword as SW  # noqa: E402
 from icx.streaming import prompts as ST  # noqa: E402
 
 
@@ -1009,6 +1044,20 @@ for _metric in ("bleu", "chrf", "chrf_pp"):
         (lambda m: lambda spark, sf_dir: M.score(_source_copy(spark, sf_dir), ["run_id"], metrics=(m,)))(_metric)
     )
 
+def bleu_subword(spark, sf_dir, vocabulary=None):
+    """MET-5: BLEU of the copy baseline on subword tokens, over all pairs of the table."""
+    import public_tokenizers
+
+    ranks = SW.read_ranks(spark, vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    rows = tables.pairs(spark, sf_dir).select(F.lit("source_copy").alias("run_id"), F.col("src").alias("hypothesis"), F.col("tgt").alias("reference"))
+    made = SW.with_tokens(rows, ranks, ("hypothesis", "reference"))
+    return M.score(made, ["run_id"], metrics=("bleu",), tokens=("hypothesis_tokens", "reference_tokens"))
+
+
+# Merges by rank cannot be said in SQL; tests/test_subword.py holds tokens and score against the public library.
+register("bleu_subword", None)(bleu_subword)
+
+
 @register("run_names", f"SELECT DISTINCT experiment, src_lang, tgt_lang, run_name FROM ({_ALL_GRID_SQL})")
 def q_run_names(spark, sf_dir):
     return GR.all_runs(_pairs(spark, sf_dir), SEED).select("experiment", "src_lang", "tgt_lang", "run_name").distinct()

@@ -38,32 +38,56 @@ def pair_schema(src_lang: str, tgt_lang: str) -> T.StructType:
 
 
 def _ordered_ids(df: DataFrame) -> DataFrame:
-    """Exact file order: (file, split start offset, read ordinal) taken at the scan."""
+    """Exact file order: (file, split start offset, read ordinal) taken at the scan.
+
+    Files go by name, but numbers in a name by value: part-100000 comes after part-99999.
+    """
+    padded = F.regexp_replace(F.input_file_name(), r"(\d+)", "0" * 40 + "$1")
+    name = F.concat(F.regexp_replace(padded, r"\d*(\d{40})(?!\d)", "$1"), F.lit(" "), F.input_file_name())  # every number in 40 digits
     return df.select(
         "*",
-        F.input_file_name().alias("_file"),
+        name.alias("_file"),
         F.input_file_block_start().alias("_block"),
         F.monotonically_increasing_id().alias("_ord"),
     )
 
 
+#: Column that a line which is no JSON object, or whose fields have other types, lands in.
+BAD_LINE = "_bad_line"
+
+
+def _raw_pairs(spark: SparkSession, path: str, src_lang: str, tgt_lang: str, key: str | None) -> DataFrame:
+    check_jsonl(path)
+    fields = pair_schema(src_lang, tgt_lang).fields
+    if key:
+        fields = [*fields, T.StructField(key, T.LongType())]
+    schema = T.StructType([*fields, T.StructField(BAD_LINE, T.StringType())])
+    return spark.read.schema(schema).option("columnNameOfCorruptRecord", BAD_LINE).json(path)
+
+
 def read_pairs(spark: SparkSession, path: str, src_lang: str, tgt_lang: str, key: str | None = None) -> DataFrame:
     """SRC-2/3/6: JSONL pair file -> (row_id, src, tgt) with an explicit schema.
 
     Only the two sentence columns are in the read schema (no inference pass). Without a
-    key column, row_id is the 0-based line position in file order.
+    key column, row_id is the 0-based line position in file order. Malformed lines are left
+    out and keep their position; `bad_lines` reports them.
     """
-    check_jsonl(path)
-    schema = pair_schema(src_lang, tgt_lang)
-    if key:
-        schema = schema.add(T.StructField(key, T.LongType(), True))
-    raw = spark.read.schema(schema).json(path)
+    raw = _raw_pairs(spark, path, src_lang, tgt_lang, key)
     cols = [F.col(f"sentence_{src_lang}").alias("src"), F.col(f"sentence_{tgt_lang}").alias("tgt")]
+    good = F.col(BAD_LINE).isNull()
     if key:
-        return raw.select(F.col(key).alias("row_id"), *cols)
-    ordered = _ordered_ids(raw.select(*cols))
+        return raw.filter(good).select(F.col(key).alias("row_id"), *cols)
+    ordered = _ordered_ids(raw.select(*cols, BAD_LINE))
     idx = dense_index(ordered, ["_file", "_block", "_ord"], name="row_id").df
-    return idx.select("row_id", "src", "tgt")
+    return idx.filter(good).select("row_id", "src", "tgt")
+
+
+def bad_lines(spark: SparkSession, path: str, src_lang: str, tgt_lang: str) -> DataFrame:
+    """(row_id, line): the malformed lines of a JSONL pair file, by their position in it."""
+    raw = _raw_pairs(spark, path, src_lang, tgt_lang, None)
+    ordered = _ordered_ids(raw.select(f"sentence_{src_lang}", BAD_LINE))
+    idx = dense_index(ordered, ["_file", "_block", "_ord"], name="row_id").df  # with a parsed column, as the reader asks for
+    return idx.filter(F.col(BAD_LINE).isNotNull()).select("row_id", F.col(BAD_LINE).alias("line"))
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -109,14 +133,34 @@ def perturb_text(spark: SparkSession, in_path: str, out_path: str, language: str
     write_lines(perturb_lines(read_lines(spark, in_path), language, attack, rate, seed), out_path)
 
 
-def write_predictions(pred: DataFrame, path: str, mode: str = "append") -> None:
-    """SNK-3: predictions table partitioned by run."""
-    pred.write.mode(mode).partitionBy("run_id").parquet(path)
+def _write_runs(df: DataFrame, path: str) -> None:
+    """Partitioned by run; a run that is written again replaces its own rows and no others."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
+
+
+def write_predictions(pred: DataFrame, path: str) -> None:
+    """SNK-3: predictions table partitioned by run; writing a run twice equals writing it once."""
+    _write_runs(pred, path)
+
+
+def write_metrics(metrics: DataFrame, path: str) -> None:
+    """SNK-4: one row per run in the metrics table; writing a run twice equals writing it once."""
+    _write_runs(metrics, path)
+
+
+def read_runs(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A table of runs under its own schema (run ids such as 1e5 or 007 stay strings)."""
+    return spark.read.schema(schema).parquet(path).select(*schema.fieldNames())
+
+
+def stream_runs(stream: DataFrame, path: str, checkpoint: str):
+    """SNK-3 for a stream of predictions: each micro-batch lies in a folder of its own number, so a batch that is replayed replaces itself."""
 
+    def sink(batch: DataFrame, number: int) -> None:
+        rows = batch.withColumn("batch", F.lit(number).cast("long"))
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "run_id").parquet(path)
 
-def write_metrics(metrics: DataFrame, path: str, mode: str = "append") -> None:
-    """SNK-4: one row per run appended to the metrics table."""
-    metrics.write.mode(mode).parquet(path)
+    return stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def preview(prompts: DataFrame, n: int = 5, order: str = "row_id") -> DataFrame:
