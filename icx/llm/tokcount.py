@@ -32,8 +32,10 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 #: Fixed value: how byte-level encoders split text before their merges.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LIMIT = 1024
-#: Units remembered per task; beyond that the memory starts anew.
-REMEMBERED = 300_000
+#: Entries of a young generation of memory; the one before it is kept too.
+REMEMBERED = 150_000
+#: Valid and invalid token pairs a task remembers per generation.
+PAIRS = 1_000_000
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -43,6 +45,24 @@ def byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+class Memory:
+    """A bounded dictionary of two generations: what is used stays, what is not goes."""
+
+    def __init__(self, size: int):
+        self.size, self.young, self.old = size, {}, {}
+
+    def get(self, key):
+        value = self.young.get(key)
+        if value is None and (value := self.old.get(key)) is not None:
+            self.put(key, value)
+        return value
+
+    def put(self, key, value) -> None:
+        if len(self.young) >= self.size:
+            self.old, self.young = self.young, {}
+        self.young[key] = value
+
+
 class PrefixCounts:
     """Prefix tables under one byte-level vocabulary file."""
 
@@ -54,21 +74,22 @@ class PrefixCounts:
         self.model = tok.model
         self.ids = tok.get_vocab(with_added_tokens=False)
         self.text = {i: s for s, i in self.ids.items()}
-        self.longest = max(map(len, self.ids))
+        #: Every ending of a vocabulary entry, with its id if it is an entry itself, else -1.
+        self.tails = dict.fromkeys((s[k:] for s in self.ids for k in range(len(s))), -1) | self.ids
         self.special = [t.content for t in tok.get_added_tokens_decoder().values()]
         self.split = regex.compile(SPLIT).findall
         self.spaces = regex.compile(r"\s+").finditer
         self.table = byte_alphabet()
-        self.pair: dict[int, bool] = {}
+        self.pair = Memory(PAIRS)
         self.seen, self.last, self.count = "", [-1], [0]
-        self.whole: dict[str, int] = {}
+        self.whole = Memory(REMEMBERED)
 
     def _valid(self, a: int, b: int) -> bool:
         key = (a + 1) << 32 | b
         if (known := self.pair.get(key)) is None:
             joined = (self.text[a] if a >= 0 else "") + self.text[b]
             known = [t.id for t in self.model.tokenize(joined)] == ([a, b] if a >= 0 else [b])
-            self.pair[key] = known
+            self.pair.put(key, known)
         return known
 
     def piece(self, s: str) -> list[int]:
@@ -78,16 +99,24 @@ class PrefixCounts:
         while k < most and s[k] == old[k]:
             k += 1
         del last[k + 1 :], count[k + 1 :]
-        ids, longest, valid = self.ids.get, self.longest, self._valid
+        tails, valid = self.tails.get, self._valid
         for j in range(k + 1, len(s) + 1):
-            for i in range(max(0, j - longest), j):
-                t = ids(s[i:j])
-                if t is not None and valid(last[i], t):
-                    last.append(t)
-                    count.append(count[i] + 1)
-                    break
-            else:
-                raise ValueError(f"no token of the vocabulary ends {s[:j]!r}")
+            i, at, token = j - 1, j, -1  # the longest entry that ends at j
+            while i >= 0 and (t := tails(s[i:j])) is not None:
+                if t >= 0:
+                    at, token = i, t
+                i -= 1
+            fits = self.pair.young.get((last[at] + 1) << 32 | token) if token >= 0 else False
+            if fits is None:
+                fits = valid(last[at], token)
+            while not fits:  # the next shorter one
+                at += 1
+                if at >= j:
+                    raise ValueError(f"no token of the vocabulary ends {s[:j]!r}")
+                token = tails(s[at:j])
+                fits = token >= 0 and valid(last[at], token)
+            last.append(token)
+            count.append(count[at] + 1)
         self.seen = s
         return count
 
@@ -97,7 +126,8 @@ class PrefixCounts:
         for piece in self.split(unit):
             n = whole.get(piece)
             if n is None:
-                n = whole[piece] = self.piece(self._mapped(piece))[-1]
+                n = self.piece(self._mapped(piece))[-1]
+                whole.put(piece, n)
             total += n
         return total
 
@@ -156,21 +186,18 @@ def unit_starts(data: np.ndarray, off: np.ndarray) -> np.ndarray:
 def _counted(path: str, limit: int):
     def run(batches):
         counts = PrefixCounts(path)
-        known: dict[int, int] = {}
+        known = Memory(REMEMBERED)
         special = [s.encode() for s in counts.special]
         for batch, data, off in blocks(batches):
-            if len(known) > REMEMBERED:
-                known.clear()
-                counts.whole.clear()
-                counts.pair.clear()
             start = unit_starts(data, off)
             end = np.append(start[1:], len(data))
             h, first, back = np.unique(SpanHash(data)(start, end), return_index=True, return_inverse=True)
-            sizes = [known.get(x, -1) for x in h.tolist()]
+            sizes = [known.get(x) for x in h.tolist()]
             raw = data.tobytes()
-            new = sorted((raw[start[first[i]] : end[first[i]]], i) for i, s in enumerate(sizes) if s < 0)
+            new = sorted((raw[start[first[i]] : end[first[i]]], i) for i, s in enumerate(sizes) if s is None)
             for unit, i in new:
-                sizes[i] = known[int(h[i])] = counts.size(unit.decode())
+                sizes[i] = counts.size(unit.decode())
+                known.put(int(h[i]), sizes[i])
             each = np.array(sizes, np.int64)[back] if len(start) else np.zeros(0, np.int64)
             total = np.zeros(len(start) + 1, np.int64)
             np.cumsum(each, out=total[1:])
