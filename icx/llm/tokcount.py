@@ -32,6 +32,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 #: Fixed value: how byte-level encoders split text before their merges.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LIMIT = 1024
+#: Bytes of text a step looks at: the more, the more of its units repeat or begin alike.
+STEP_BYTES = 4 << 20
 #: Entries of a young generation of memory; the one before it is kept too.
 REMEMBERED = 150_000
 #: Valid and invalid token pairs a task remembers per generation.
@@ -188,7 +190,7 @@ def _counted(path: str, limit: int):
         counts = PrefixCounts(path)
         known = Memory(REMEMBERED)
         special = [s.encode() for s in counts.special]
-        for batch, data, off in blocks(batches):
+        for batch, data, off in blocks(batches, limit=STEP_BYTES):
             start = unit_starts(data, off)
             end = np.append(start[1:], len(data))
             h, first, back = np.unique(SpanHash(data)(start, end), return_index=True, return_inverse=True)
