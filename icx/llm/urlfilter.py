@@ -1,17 +1,22 @@
 """URL filter rules by hashed host-suffix and path-prefix expressions.
 
-Every URL expands into its host suffixes combined with its path prefixes; a rule is one
-such expression. Expressions meet rules by an equi-join on a short prefix of their
+Every URL expands into its host suffixes combined with its path prefixes, as deep and as
+long as the rule table goes, since longer ones fit no rule; a rule is one such expression.
+Expressions meet rules by an equi-join on a short prefix of their
 SHA-256 digest, the full digest confirms the match, and the longest rule decides. URLs
 without a rule get the default verdict.
 
 Defined cases: a null URL, or one without `://`, has an empty host and path and no rule;
-empty host labels stay as they are; repeated rows are judged one by one; an empty table
-gives an empty result; other columns are ignored.
+empty host labels stay as they are; a very long URL has no more expressions than the rules
+ask for; repeated rows are judged one by one; of two rules with one expression the greater
+verdict ("block") wins; an empty table gives an empty result, an empty rule table the
+default verdict; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,15 +38,34 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.coalesce(host, F.lit("")), F.coalesce(path, F.lit(""))
 
 
-def expressions(host: Column, path: Column) -> Column:
-    """All host suffixes at label borders, each with all path prefixes that end in `/` and the whole path."""
-    labels = F.split(host, r"\.")
+class Reach(NamedTuple):
+    """How far a rule table goes: labels and characters of its hosts, characters of its paths."""
+
+    labels: int
+    host: int
+    path: int
+
+
+def reach(rules: DataFrame) -> Reach:
+    """One row of greatest sizes, the only thing of the rules that the driver sees."""
+    host = F.regexp_extract("rule", "^[^/]*", 0)
+    sizes = rules.select(F.size(F.split(host, r"\.")).alias("labels"), F.length(host).alias("host"), (F.length("rule") - F.length(host)).alias("path"))
+    row = sizes.agg(*[F.coalesce(F.max(c), F.lit(0)).alias(c) for c in Reach._fields]).first()
+    return Reach(*row)
+
+
+def expressions(host: Column, path: Column, far: Reach) -> Column:
+    """The host suffixes at label borders, each with the path prefixes that end in `/` and the whole path,
+    up to the rules' sizes."""
+    labels = F.split(F.substring_index(host, ".", -max(far.labels, 1)), r"\.")
     hosts = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    steps = F.split(path, "/")
+    hosts = F.filter(hosts, lambda h: F.length(h) <= far.host)
+    steps = F.split(F.substring(path, 1, far.path), "/")
     prefixes = F.when(
         F.size(steps) > 1, F.transform(F.sequence(F.lit(1), F.size(steps) - 1), lambda i: F.concat(F.array_join(F.slice(steps, 1, i), "/"), F.lit("/")))
     ).otherwise(F.array().cast("array<string>"))
-    prefixes = F.array_distinct(F.array_append(prefixes, path))
+    whole = F.when(F.length(path) <= far.path, F.array(path)).otherwise(F.array().cast("array<string>"))
+    prefixes = F.array_union(prefixes, whole)
     return F.flatten(F.transform(hosts, lambda h: F.transform(prefixes, lambda p: F.concat(h, p))))
 
 
@@ -62,7 +86,8 @@ def verdicts(pages: DataFrame, rules: DataFrame, default: str = DEFAULT) -> Data
     )
     host, path = host_and_path(F.col("url"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path"), F.monotonically_increasing_id().alias("_row"))
-    asked = rows.select("*", F.explode(expressions(F.col("host"), F.col("path"))).alias("expr")).select(
+    found = expressions(F.col("host"), F.col("path"), reach(rules))
+    asked = rows.select("*", F.explode_outer(found).alias("expr")).select(
         "page_id", "host", "path", "_row", digest(F.col("expr")).alias("full"), F.pmod("_row", F.lit(SALTS)).cast("int").alias("salt")
     )
     on = (F.substring("full", 1, SHORT) == F.col("_short")) & (F.col("salt") == F.col("_salt"))

@@ -131,3 +131,17 @@ def test_urls(spark):
         best = max(fits, key=lambda x: len(x[1] + x[2]), default=None)
         assert (r.host, r.path, r.rule, r.verdict) == (host, path, best and best[1] + best[2], best[0] if best else "allow"), u
     assert urlfilter.verdicts(pages.limit(0), urlfilter.rule_table(spark)).count() == 0
+
+
+def test_long_urls_and_rules_of_one_expression(spark):
+    """A URL of 200,000 labels or steps has as few expressions as the rules ask for."""
+    labels, steps = "http://" + "a." * 200_000 + "net/x", "http://a.org/fr/" + "b/" * 200_000
+    long = ["http://" + "c" * 300_000 + ".net/", labels, steps, "http://a.org/" + "f" * 300_000]
+    pages = spark.createDataFrame(list(enumerate(long)), "page_id long, url string")
+    rules = urlfilter.rule_table(spark)
+    got = {r.page_id: (r.rule, r.verdict) for r in urlfilter.verdicts(pages, rules).collect()}
+    assert got == {0: ("net/", "block"), 1: ("net/", "block"), 2: ("org/fr/", "allow"), 3: (None, "allow")}
+    both = urlfilter.rule_table(spark, (("allow", "net/"), ("block", "net/"), ("block", "org/fr/b/b/")))
+    got = {r.page_id: (r.rule, r.verdict) for r in urlfilter.verdicts(pages, both).collect()}
+    assert got == {0: ("net/", "block"), 1: ("net/", "block"), 2: ("org/fr/b/b/", "block"), 3: (None, "allow")}
+    assert {r.verdict for r in urlfilter.verdicts(pages, rules.limit(0)).collect()} == {"allow"}
