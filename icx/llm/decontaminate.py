@@ -1,6 +1,7 @@
 """Benchmark decontamination by greedy string tiling.
 
-Texts are compared as lower-cased words without punctuation. Documents and benchmark
+Texts are compared as lower-cased words: runs of letters, marks and digits of any script, so
+that quotes, dashes and no-break spaces set in another way do not matter. Documents and benchmark
 items that share a seed of `MIN_MATCH` consecutive words are joined; each such pair is
 tiled: the longest common word runs that do not overlap earlier tiles are found with
 Karp-Rabin rolling hashes and marked, again and again, until no run of `MIN_MATCH` words
@@ -38,21 +39,19 @@ COVERAGE = 0.5
 #: Seeds (eight bytes each) that one pass over the documents holds.
 BLOCK_SEEDS = 4_000_000
 
-#: Bytes that separate words: ASCII other than letters and digits; all beyond ASCII are letters.
-BREAK = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
-LOWER = np.arange(256, dtype=np.uint8)
-LOWER[65:91] += 32
+#: Words are separated by one space, see `normal`.
+SPACE = ord(" ")
+
+
+def normal(text):
+    """Lower case, and one space for everything between words."""
+    return F.regexp_replace(F.lower(text), r"[^\p{L}\p{M}\p{N}]+", " ")
 
 
 def word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and text of every word."""
-    low = LOWER[data]
-    # Latin-1 capitals with accents: second byte of 0xC3 pairs
-    at = np.flatnonzero(low[:-1] == 0xC3) + 1 if len(low) else np.zeros(0, np.int64)
-    at = at[(low[at] >= 0x80) & (low[at] <= 0x9E) & (low[at] != 0x97)]
-    low[at] += 0x20
-    start, end = runs(~BREAK[low], off)
-    return SpanHash(low)(start, end), owners(start, off)
+    """Hash and text of every word of normal texts."""
+    start, end = runs(data != SPACE, off)
+    return SpanHash(data)(start, end), owners(start, off)
 
 
 def words_of(text: str) -> list[int]:
@@ -206,13 +205,13 @@ def row_key():
 def tiled_pairs(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(row, doc_id, item_id, item_words, covered, tiles) of every pair that shares a seed."""
     spark = docs.sparkSession
-    source = benchmark.select(F.col("item_id").cast("long"), "text", F.xxhash64("item_id", "text").alias("item")).distinct()
+    source = benchmark.select(F.col("item_id").cast("long"), normal("text").alias("text"), F.xxhash64("item_id", "text").alias("item")).distinct()
     items = written(source.mapInArrow(_item_seeds, SEED), "seeds")
     n_blocks = -(-items.count() // BLOCK_SEEDS)
     if n_blocks == 0:
         return spark.createDataFrame([], PAIRS)
     n_blocks = 1 if n_blocks == 1 else 2 * n_blocks
-    src = docs.select("doc_id", "text", row_key().alias("row"))
+    src = docs.select("doc_id", normal("text").alias("text"), row_key().alias("row"))
     found = None
     for b in range(n_blocks):
         block = items.filter(F.pmod(F.xxhash64("seed"), F.lit(n_blocks)) == b).select("n", "seed").distinct()

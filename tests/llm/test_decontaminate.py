@@ -72,3 +72,13 @@ def test_query_against_a_plain_search(spark):
                 want.add(r.doc_id)
     assert {r.doc_id for r in D.judged(docs, items).collect() if r.contaminated} == want
     assert want
+
+
+def test_quotes_dashes_and_case_of_any_script(spark):
+    item = 'She said "never trust a lone fox" - and the owls, all seven, agreed with her at once.'
+    reset = "She said \u201cnever\u00a0trust a lone fox\u201d \u2014 and the owls,\u202fall seven,\u2026 agreed with her at once."
+    cyrillic, greek = "Семь мудрых сов смотрят на лису из старого дуба у реки", "Επτά σοφές κουκουβάγιες κοιτούν την αλεπού από τη βελανιδιά"
+    docs = spark.createDataFrame([(1, reset), (2, cyrillic.upper()), (3, greek.upper()), (4, "Семь сов и лиса у реки")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, item), (2, cyrillic), (3, greek)], "item_id long, text string")
+    got = {r.doc_id: r.best_item for r in D.judged(docs, items).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: None}
