@@ -167,6 +167,7 @@ for _v in ("I", "III", "IV"):
 
 from icx.operators import generate as G  # noqa: E402
 from icx.sources import io as IO  # noqa: E402
+from icx.sources import positions as POS  # noqa: E402
 from icx.operators import metrics as M  # noqa: E402
 
 RUNS = ("clean",) + PT.ATTACKS
@@ -688,6 +689,30 @@ def q_missing_pairs(spark, sf_dir):
     return FO.missing_pairs(FO.fan_out(sent, GR.language_pairs(codes)), GR.language_pairs(codes))
 
 
+@register("fan_out_resumed", f"""WITH codes AS (SELECT code FROM ({_CODES_SQL}) UNION SELECT unnest(['eng_Latn', 'hin_Deva', 'ita_Latn'])),
+n AS (SELECT src_lang, tgt_lang, count(*) AS n_rows, sum(length(src) + length(tgt))::BIGINT AS chars FROM ({_FAN_SQL}) GROUP BY ALL)
+SELECT a.code AS src_lang, b.code AS tgt_lang, coalesce(n.n_rows, 0) AS n_rows, coalesce(n.chars, 0) AS chars,
+  CASE WHEN n.n_rows IS NULL THEN 'missing' WHEN a.code = '{SRC}' AND b.code = '{TGT}' THEN 'failed' ELSE 'done' END AS first_status,
+  CASE WHEN n.n_rows IS NULL THEN 'missing' ELSE 'done' END AS last_status,
+  n.n_rows IS NOT NULL AND a.code = '{SRC}' AND b.code = '{TGT}' AS written_last
+FROM codes a JOIN codes b ON a.code <> b.code LEFT JOIN n ON n.src_lang = a.code AND n.tgt_lang = b.code""")
+def q_fan_out_resumed(spark, sf_dir):
+    """SRC-1, SNK-2: the fan-out written while one pair fails, started again without the fault, and read back."""
+    codes = _doc_codes(spark, sf_dir).distinct().unionByName(spark.createDataFrame([(c,) for c in WANTED], "code string")).distinct()
+    wanted = GR.language_pairs(codes)
+    rows = FO.fan_out(tables.sentences(spark, sf_dir), wanted)
+    fails = (F.col("src_lang") == SRC) & (F.col("tgt_lang") == TGT)
+    faulty = rows.withColumn("src", F.when(fails, F.raise_error(F.lit("this pair cannot be read")).cast("string")).otherwise(F.col("src")))
+    path = IO.scratch_dir(spark, "fan-out")
+    first = FO.write_fan_out(faulty, wanted, path)
+    first = spark.createDataFrame(first.collect(), first.schema)  # one row per language pair, as it was before the second run
+    last = FO.write_fan_out(rows, wanted, path)
+    sizes = FO.read_fan_out(spark, path).groupBy(*FO.PAIR).agg(F.sum(F.length("src") + F.length("tgt")).alias("chars"))
+    out = first.select(*FO.PAIR, F.col("status").alias("first_status")).join(last, FO.PAIR).join(sizes, FO.PAIR, "left")
+    return out.select(*FO.PAIR, "n_rows", F.coalesce("chars", F.lit(0)).alias("chars"), "first_status", F.col("status").alias("last_status"),
+                      F.expr("written AND status = 'done'").alias("written_last"))
+
+
 def _lang_values():
     rows = ", ".join(f"({sql.lit(c)}, {sql.lit(n)})" for c, n in sorted(LANGUAGES.items()))
     return f"(VALUES {rows}) l(code, name)"
@@ -810,11 +835,10 @@ def q_perturb_file_job(spark, sf_dir):
     """PTB-8, SRC-6, SNK-1: all lines of the documents as a text file, perturbed line by line into another, read in order."""
     d = tables.spread(tables.read(spark, sf_dir, "documents"), "doc_id")
     lines = d.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("at", "text"))
-    numbered = dense_index(lines, ["doc_id", "at"], name="line_no").df
     source, target = IO.scratch_dir(spark, "lines-in"), IO.scratch_dir(spark, "lines-out")
-    IO.write_lines(numbered, source)
-    IO.perturb_text(spark, source, target, "eng_Latn", "word_order", seed=SEED)
-    return IO.read_lines(spark, target).select("line_no", "text")
+    POS.write_ordered(lines, source, "doc_id", "at")
+    IO.perturb_text(spark, f"{source}/{POS.LINES}", target, "eng_Latn", "word_order", seed=SEED)
+    return IO.read_perturbed(spark, target)
 
 
 def _file_rows_sql(pairs):

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from icx.functions.text import py_strip
 from icx.operators.perturb import perturb
 from icx.session import ensure_checkpoint_dir
-from icx.sources.index import dense_index
+from icx.sources import positions as POS
 
 
 def scratch_dir(spark: SparkSession, name: str = "scratch") -> str:
@@ -37,32 +37,17 @@ def pair_schema(src_lang: str, tgt_lang: str) -> T.StructType:
     ])
 
 
-def _ordered_ids(df: DataFrame) -> DataFrame:
-    """Exact file order: (file, split start offset, read ordinal) taken at the scan.
-
-    Files go by name, but numbers in a name by value: part-100000 comes after part-99999.
-    """
-    padded = F.regexp_replace(F.input_file_name(), r"(\d+)", "0" * 40 + "$1")
-    name = F.concat(F.regexp_replace(padded, r"\d*(\d{40})(?!\d)", "$1"), F.lit(" "), F.input_file_name())  # every number in 40 digits
-    return df.select(
-        "*",
-        name.alias("_file"),
-        F.input_file_block_start().alias("_block"),
-        F.monotonically_increasing_id().alias("_ord"),
-    )
-
-
 #: Column that a line which is no JSON object, or whose fields have other types, lands in.
 BAD_LINE = "_bad_line"
 
 
-def _raw_pairs(spark: SparkSession, path: str, src_lang: str, tgt_lang: str, key: str | None) -> DataFrame:
+def _positioned_pairs(spark: SparkSession, path: str, src_lang: str, tgt_lang: str) -> DataFrame:
+    """(row_id, line, _pair): the lines of a JSONL pair file that are not blank, by position, and what they parse to."""
     check_jsonl(path)
-    fields = pair_schema(src_lang, tgt_lang).fields
-    if key:
-        fields = [*fields, T.StructField(key, T.LongType())]
-    schema = T.StructType([*fields, T.StructField(BAD_LINE, T.StringType())])
-    return spark.read.schema(schema).option("columnNameOfCorruptRecord", BAD_LINE).json(path)
+    schema = T.StructType([*pair_schema(src_lang, tgt_lang).fields, T.StructField(BAD_LINE, T.StringType())])
+    lines = POS.with_positions(POS.scan_lines(spark, path), "row_id", keep=py_strip(F.col("value")) != "")
+    parsed = F.from_json("value", schema, {"columnNameOfCorruptRecord": BAD_LINE, "mode": "PERMISSIVE"})
+    return lines.select("row_id", F.col("value").alias("line"), parsed.alias("_pair"))
 
 
 def read_pairs(spark: SparkSession, path: str, src_lang: str, tgt_lang: str, key: str | None = None) -> DataFrame:
@@ -72,29 +57,25 @@ def read_pairs(spark: SparkSession, path: str, src_lang: str, tgt_lang: str, key
     key column, row_id is the 0-based line position in file order. Malformed lines are left
     out and keep their position; `bad_lines` reports them.
     """
-    raw = _raw_pairs(spark, path, src_lang, tgt_lang, key)
-    cols = [F.col(f"sentence_{src_lang}").alias("src"), F.col(f"sentence_{tgt_lang}").alias("tgt")]
-    good = F.col(BAD_LINE).isNull()
-    if key:
-        return raw.filter(good).select(F.col(key).alias("row_id"), *cols)
-    ordered = _ordered_ids(raw.select(*cols, BAD_LINE))
-    idx = dense_index(ordered, ["_file", "_block", "_ord"], name="row_id").df
-    return idx.filter(good).select("row_id", "src", "tgt")
+    cols = [F.col(f"_pair.sentence_{src_lang}").alias("src"), F.col(f"_pair.sentence_{tgt_lang}").alias("tgt")]
+    if not key:
+        return _positioned_pairs(spark, path, src_lang, tgt_lang).filter(F.col("_pair").getField(BAD_LINE).isNull()).select("row_id", *cols)
+    check_jsonl(path)
+    extra = [T.StructField(key, T.LongType()), T.StructField(BAD_LINE, T.StringType())]
+    schema = T.StructType([*pair_schema(src_lang, tgt_lang).fields, *extra])
+    raw = spark.read.schema(schema).option("columnNameOfCorruptRecord", BAD_LINE).json(path)
+    return raw.filter(F.col(BAD_LINE).isNull()).select(F.col(key).alias("row_id"), F.struct("*").alias("_pair")).select("row_id", *cols)
 
 
 def bad_lines(spark: SparkSession, path: str, src_lang: str, tgt_lang: str) -> DataFrame:
     """(row_id, line): the malformed lines of a JSONL pair file, by their position in it."""
-    raw = _raw_pairs(spark, path, src_lang, tgt_lang, None)
-    ordered = _ordered_ids(raw.select(f"sentence_{src_lang}", BAD_LINE))
-    idx = dense_index(ordered, ["_file", "_block", "_ord"], name="row_id").df  # with a parsed column, as the reader asks for
-    return idx.filter(F.col(BAD_LINE).isNotNull()).select("row_id", F.col(BAD_LINE).alias("line"))
+    bad = F.col("_pair").getField(BAD_LINE).isNotNull()
+    return _positioned_pairs(spark, path, src_lang, tgt_lang).filter(bad).select("row_id", "line")
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """SRC-6: text file(s) -> (line_no, text) in file order, each line stripped."""
-    ordered = _ordered_ids(spark.read.text(path, lineSep="\n"))
-    idx = dense_index(ordered, ["_file", "_block", "_ord"], name="line_no").df
-    return idx.select("line_no", py_strip(F.col("value")).alias("text"))
+    return POS.with_positions(POS.scan_lines(spark, path)).select("line_no", py_strip(F.col("value")).alias("text"))
 
 
 def write_pairs(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -102,16 +83,6 @@ def write_pairs(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).partitionBy("src_lang", "tgt_lang").json(path)
 
 
-def write_lines(df: DataFrame, path: str, order: str = "line_no", text: str = "text", mode: str = "overwrite") -> None:
-    """SNK-1: ordered text output; part files in name order hold the lines in order.
-
-    Range partitioning on the line number plus a sort inside each partition keeps the
-    global order without funnelling the file through one task.
-    """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    df.repartitionByRange(n, order).sortWithinPartitions(order).select(text).write.mode(mode).text(path)
-
-
 def postprocess_line(text):
     """`perturbed.strip().replace("\\n", "")`."""
     return F.replace(py_strip(text), F.lit("\n"), F.lit(""))
@@ -126,11 +97,17 @@ def perturb_lines(lines: DataFrame, language, attack: str, rate: float, seed: in
 
 def perturb_text(spark: SparkSession, in_path: str, out_path: str, language: str, attack: str,
                  rate: float | None = None, seed: int = 42) -> None:
-    """PTB-8: perturb every line of a text file and write them in order."""
+    """PTB-8: perturb every line of a text file and write them in order; nothing is exchanged or sorted across tasks."""
     from icx.operators.perturb import DEFAULT_RATES
 
     rate = DEFAULT_RATES[attack] if rate is None else rate
-    write_lines(perturb_lines(read_lines(spark, in_path), language, attack, rate, seed), out_path)
+    lines = POS.with_positions(POS.scan_lines(spark, in_path)).select("piece", "line_no", py_strip(F.col("value")).alias("text"))
+    POS.write_pieces(perturb_lines(lines, language, attack, rate, seed), out_path)
+
+
+def read_perturbed(spark: SparkSession, path: str) -> DataFrame:
+    """(line_no, text) of what `perturb_text` wrote, checked against its manifest."""
+    return POS.read_ordered(spark, path).select("line_no", "text")
 
 
 def _write_runs(df: DataFrame, path: str) -> None:

@@ -18,7 +18,7 @@ def test_text_file_job_keeps_order(spark):
     assert [r.text for r in back] == [t.strip() for t in lines]
     out = IO.scratch_dir(spark, "t-out")
     IO.perturb_text(spark, src, out, "eng_Latn", "word_order", seed=3)
-    got = [r.text for r in IO.read_lines(spark, out).orderBy("line_no").collect()]  # a plain scan packs part files by size
+    got = [r.text for r in IO.read_perturbed(spark, out).orderBy("line_no").collect()]
     expected = IO.perturb_lines(IO.read_lines(spark, src), "eng_Latn", "word_order", PT.DEFAULT_RATES["word_order"], 3) \
         .orderBy("line_no").collect()
     assert len(got) == n
