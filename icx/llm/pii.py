@@ -2,20 +2,24 @@
 
 Entities are detected by pattern, brought into a canonical form, and every distinct one
 gets a keyed surrogate of its own kind: letters stay letters and digits digits, an
-address keeps its shape, a card its first digit and checksum, a name its gender and
-script. One entity has one surrogate in all documents, however it is written
+address keeps its shape, a card its first digit and checksum, an IBAN its country and
+checksum, a phone its country code, a name its gender and script. One entity has one surrogate in all documents, however it is written
 (coreference); two entities never share one, and no surrogate is an entity that occurs
 in the corpus: claims that collide are drawn again until every entity has its own.
 
+A name is detected by its title; the words of a name so detected are replaced at every other
+place of the same document too, with or without the title.
+
 Everything is DataFrame operations. Only documents that hold entities are shuffled;
 distinct mentions are gathered first, so a mention in a third of all documents is one row
 of the surrogate table.
 
 Secrets, addresses, keys and IBANs start at a word's border; phones, cards, SSNs and IPs also
-directly behind a letter, and names behind a digit.
+directly behind a letter, and names behind a digit. Given names of one document that differ in gender
+only get one surrogate where the title is missing.
 
 Defined cases: a null text stays null with no entities; texts without entities are
-returned as they are; repeated rows are treated alike; an empty table gives an empty
+returned as they are, whatever their length; repeated rows are treated alike; an empty table gives an empty
 result; other columns of the documents, whatever their names, are not looked at.
 """
 
@@ -37,7 +41,7 @@ PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])",
     "key": r"(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64})\b",
     "iban": r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
-    "phone": r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])|(?<![0-9])(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9])",
+    "phone": r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])|(?<![0-9])(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9])|(?<![0-9.,/+-])0[1-9][0-9]{1,3}[ /-][0-9]{6,8}(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "card": r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3})(?![0-9])",
     "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9])(?!\.[0-9])",
@@ -53,6 +57,11 @@ ANY = "|".join(
 )
 #: Digits that are compared without what stands between them.
 DIGIT_KINDS = ("phone", "ssn", "card")
+#: A word that may be a name without its title; an address that begins in it goes first.
+WORD = r"\p{Lu}\p{Ll}{1,30}"
+BARE = rf"(?<![\p{{L}}\p{{N}}_]){WORD}(?![\p{{L}}\p{{N}}_])(?![A-Za-z0-9._%+-]{{0,64}}@)"
+#: Country calling codes: one, two or three digits (fixed values of the numbering plan).
+CALLING = "^\\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 
 #: Names to draw from, by script and gender. Parameters, not a lexicon of what is detected.
 GIVEN = {
@@ -103,17 +112,55 @@ def may_hold(text: Column) -> Column:
     return F.coalesce(out, F.lit(False))
 
 
+def _titled(text: Column) -> Column:
+    """Whether a text holds a name with a title."""
+    out = F.lit(False)
+    for t in TITLES_M + TITLES_F:
+        out = out | text.contains(t.rstrip("."))
+    return out & text.rlike(PATTERNS["person"])
+
+
+def _cut(text: Column, pattern: str, mark, names) -> Column:
+    """A text in pieces, plain ones and mentions in turns.
+
+    `names` makes the names of the document from all matches; `mark` tells which matches are
+    mentions. They are set between marks that hold the text's own hash, so no text holds them.
+    """
+    edge = F.concat(F.lit("<"), F.sha2(text, 256), F.lit(">"))
+    found, plain = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+
+    def joined(c: Column) -> Column:
+        known = c["names"]
+        return F.concat(F.element_at(c["plain"], 1), F.array_join(F.transform(
+            c["found"], lambda m, i: F.concat(F.when(mark(m, known), F.concat(c["edge"], m, c["edge"])).otherwise(m), F.element_at(c["plain"], i + 2))), ""))
+
+    bound = F.struct(found.alias("found"), plain.alias("plain"), edge.alias("edge"))
+    bound = F.transform(F.array(bound), lambda c: F.struct(c["found"].alias("found"), c["plain"].alias("plain"), c["edge"].alias("edge"), names(c["found"]).alias("names")))
+    return F.element_at(F.transform(bound, lambda c: F.split(joined(c), c["edge"])), 1)
+
+
+def _names(found: Column) -> Column:
+    """The words of all names with a title, in lower case."""
+    persons = F.filter(found, lambda m: m.rlike(f"^(?:{PATTERNS['person']})$"))
+    words = F.transform(persons, lambda m: F.split(F.lower(F.regexp_extract(m, r"^\S+ (.*)$", 1)), "[ -]"))
+    return F.array_distinct(F.flatten(words))
+
+
 def mentions(docs: DataFrame) -> DataFrame:
-    """Documents that hold entities: doc_id, text, row (content key) and the list of mentions in order."""
-    return (
-        docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
-        .withColumn("found", F.when(may_hold(F.col("text")), F.regexp_extract_all("text", F.lit(ANY), F.lit(0))))
-        .filter(F.size("found") > 0)
-    )
+    """Documents that hold entities: doc_id, row (content key), the text in pieces, plain and mention in
+    turns, and the list of mentions in order. A mention is an entity or a word of a name of the document."""
+    bare = lambda m: m.rlike(f"^{WORD}$")  # noqa: E731  (no entity is one such word)
+    text = F.col("text")
+    with_names = _cut(text, f"{ANY}|{BARE}", lambda m, known: ~bare(m) | F.array_contains(known, F.lower(m)), _names)
+    others = _cut(text, ANY, lambda m, known: F.lit(True), lambda found: F.array().cast("array<string>"))
+    rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
+    cut = rows.filter(may_hold(text)).select("doc_id", "row", F.when(_titled(text), with_names).otherwise(others).alias("pieces"))
+    return cut.filter(F.size("pieces") > 1).withColumn("found", F.filter("pieces", lambda x, i: i % 2 == 1))
 
 
 def parsed(distinct: DataFrame) -> DataFrame:
-    """Mention -> kind, and its entities as (part, etype, norm, script); a name has up to two parts."""
+    """Mention -> kind, and its entities as (part, etype, norm, script); a name has up to two parts.
+    Words without a title are left out."""
     m, kind = F.col("mention"), F.col("kind")
     value = _per_kind(kind, {
         "secret": F.regexp_extract(m, r"""^[A-Za-z_-]+\s{0,2}[=:]\s{0,2}["']?(.*)$""", 1),
@@ -122,10 +169,10 @@ def parsed(distinct: DataFrame) -> DataFrame:
     title = F.regexp_replace(F.regexp_extract(m, r"^(\S+) ", 1), r"\.$", "")
     gender = F.when(_one_of(title, tuple(t.rstrip(".") for t in TITLES_M)), "m").otherwise("f")
     script = F.when(value.rlike(r"\p{IsCyrillic}"), "cyrillic").when(value.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
-    norm = _per_kind(kind, {k: F.regexp_replace(value, "[^0-9]", "") for k in DIGIT_KINDS} | {
+    norm = _per_kind(kind, {k: F.regexp_replace(value, "[^0-9+]", "") for k in DIGIT_KINDS} | {
         "email": F.lower(value), "iban": F.regexp_replace(value, " ", ""), "person": F.lower(value),
     }, value)
-    typed = distinct.withColumn("kind", kind_of(F.col("mention"))).select(
+    typed = distinct.withColumn("kind", kind_of(F.col("mention"))).filter("kind IS NOT NULL").select(
         "mention", "kind", value.alias("value"), norm.alias("norm"), gender.alias("gender"), script.alias("script")
     )
     names = F.split("norm", "[ -]")
@@ -157,13 +204,21 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(each, F.lit(0), lambda t, d: t + F.when(d > 9, d - 9).otherwise(d)) % 10
 
 
+def _mod97(chars: Column) -> Column:
+    """Remainder by 97 of digits and capitals, A as 10 to Z as 35."""
+    return F.aggregate(
+        F.split(chars, ""), F.lit(0),
+        lambda t, c: F.when(c.rlike("^[0-9]$"), (t * 10 + F.ascii(c) - 48) % 97).when(c.rlike("^[A-Z]$"), (t * 100 + F.ascii(c) - 55) % 97).otherwise(t),
+    )
+
+
 def candidates(entities: DataFrame, key: str) -> DataFrame:
     """Entities with the surrogate that their current `attempt` draws."""
     rows = entities.withColumn("draws", _draws(key, F.col("attempt")))
     norm, kind, draws = F.col("norm"), F.col("etype"), F.col("draws")
     n = F.length(norm)
     tail = n - F.instr(F.reverse(norm), ".")  # where the last label of an address begins
-    kept = _per_kind(kind, {"phone": F.lit(1), "card": F.lit(1), "key": F.lit(4), "iban": F.lit(2)}, F.lit(0))
+    kept = _per_kind(kind, {"phone": F.greatest(F.length(F.regexp_extract(norm, CALLING, 0)), F.lit(1)), "card": F.lit(1), "key": F.lit(4), "iban": F.lit(2)}, F.lit(0))
     letters = F.when(norm.rlike("^[0-9a-f]+$"), "abcdef").otherwise("abcdefghijklmnopqrstuvwxyz")
 
     def swapped(c: Column, i: Column) -> Column:
@@ -183,6 +238,9 @@ def candidates(entities: DataFrame, key: str) -> DataFrame:
     more = F.when(F.col("attempt") >= 8, F.substring(F.translate(F.reverse(draws), "0123456789", "ghijklmnop"), F.lit(1), F.col("attempt") - 7)).otherwise("")
     body = F.substring(mapped, F.lit(1), n - 1)
     card = F.concat(body, F.pmod(F.lit(10) - _luhn(F.concat(body, F.lit("0"))), F.lit(10)).cast("string"))
+    country, rest = F.substring(mapped, F.lit(1), F.lit(2)), F.substring(mapped, F.lit(5), n)
+    checked = F.concat(country, F.lpad((98 - _mod97(F.concat(rest, country, F.lit("00")))).cast("string"), 2, "0"), rest)
+    iban = F.when(_mod97(F.concat(F.substring(norm, F.lit(5), n), F.substring(norm, F.lit(1), F.lit(4)))) == 1, checked).otherwise(mapped)
     ip = F.concat_ws(".", *[(_byte(draws, F.lit(i)) % 254 + 1).cast("string") for i in range(4)])
 
     def named(pool: dict) -> Column:
@@ -200,7 +258,7 @@ def candidates(entities: DataFrame, key: str) -> DataFrame:
     surrogate = _per_kind(kind, {
         "card": F.when(_luhn(norm) == 0, card).otherwise(mapped), "ip": ip, "surname": named(SURNAMES),
         "given_m": named(by_gender["m"]), "given_f": named(by_gender["f"]),
-        "email": F.concat(more, mapped), "secret": F.concat(mapped, more), "phone": mapped, "ssn": mapped, "iban": mapped, "key": mapped,
+        "email": F.concat(more, mapped), "secret": F.concat(mapped, more), "phone": mapped, "ssn": mapped, "iban": iban, "key": mapped,
     }, mapped)
     return rows.withColumn("surrogate", surrogate).drop("draws")
 
@@ -239,7 +297,7 @@ def rendered(found: DataFrame, table: DataFrame) -> DataFrame:
     value = F.col("value")
     chars = F.split(value, "")
     digit_no = lambda i: F.length(F.regexp_replace(F.substring(value, F.lit(1), i + 1), "[^0-9]", ""))
-    digits = F.array_join(F.transform(chars, lambda c, i: F.when(c.rlike("^[0-9]$"), F.substring(F.col("all"), digit_no(i), F.lit(1))).otherwise(c)), "")
+    digits = F.array_join(F.transform(chars, lambda c, i: F.when(c.rlike("^[0-9]$"), F.substring(F.regexp_replace("all", r"\+", ""), digit_no(i), F.lit(1))).otherwise(c)), "")
     grown = F.length("all") - F.length(value)
     email = F.concat(
         F.substring(F.col("all"), F.lit(1), grown),
@@ -258,19 +316,30 @@ def replaced(docs: DataFrame, key: str = KEY) -> DataFrame:
     dirty = written(mentions(docs), "mentions")
     distinct = dirty.select(F.explode("found").alias("mention")).distinct()
     found = written(parsed(distinct), "parsed")
-    table = rendered(found, surrogates(found, key))
-    spots = dirty.select("row", "doc_id", F.posexplode("found").alias("at", "mention")).distinct().join(table, "mention")
-    lists = spots.groupBy(F.col("row").alias("_r"), F.col("doc_id").alias("_d")).agg(
+    drawn = written(surrogates(found, key), "drawn")
+    table = rendered(found, drawn)
+    spots = dirty.select("row", "doc_id", F.posexplode("found").alias("at", "mention")).distinct()
+    whole = spots.join(table, "mention").select("row", "doc_id", "at", "kind", "replacement")
+    lists = whole.unionByName(_untitled(spots, found, drawn)).groupBy(F.col("row").alias("_r"), F.col("doc_id").alias("_d")).agg(
         F.array_sort(F.collect_list(F.struct("at", "replacement"))).alias("new"), F.array_sort(F.collect_set("kind")).alias("kinds")
     )
-    parts = F.split("text", ANY, -1)
-    text = F.concat(
-        F.element_at(parts, 1),
-        F.array_join(F.transform("new", lambda x, i: F.concat(x["replacement"], F.element_at(parts, i + 2))), ""),
-    )
+    text = F.array_join(F.transform("pieces", lambda x, i: F.when(i % 2 == 1, F.get("new", F.floor(i / 2).cast("int"))["replacement"]).otherwise(x)), "")
     on = (F.col("row") == F.col("_r")) & F.col("doc_id").eqNullSafe(F.col("_d"))
     changed = dirty.join(lists, on).select("doc_id", text.alias("text"), F.size("new").cast("long").alias("n_entities"), "kinds")
     holds = F.when(may_hold(F.col("text")), F.col("text").rlike(ANY)).otherwise(F.lit(False))
     clean = docs.select("doc_id", "text").filter(~holds)
     none = F.array().cast("array<string>")
     return changed.unionAll(clean.select("doc_id", "text", F.lit(0).cast("long"), none))
+
+
+def _untitled(spots: DataFrame, found: DataFrame, drawn: DataFrame) -> DataFrame:
+    """Words of a document's names where they stand without a title, as (row, doc_id, at, kind, replacement).
+
+    A word that is a given name and a surname in one document counts as the surname.
+    """
+    parts = found.filter("kind = 'person'").join(drawn, ["etype", "norm", "script"]).select("mention", "norm", F.struct("part", "surrogate").alias("p"))
+    named = spots.join(parts, "mention").groupBy(F.col("row").alias("_r"), F.col("doc_id").alias("_d"), F.col("norm").alias("_word"))
+    names = named.agg(F.max("p").alias("p"))
+    words = spots.filter(F.col("mention").rlike(f"^{WORD}$")).withColumn("word", F.lower("mention"))
+    on = (F.col("row") == F.col("_r")) & F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("word") == F.col("_word"))
+    return words.join(names, on).select("row", "doc_id", "at", F.lit("person").alias("kind"), F.col("p.surrogate").alias("replacement"))

@@ -72,3 +72,35 @@ def test_whole_table(spark):
     again = {r.doc_id: r.text for r in pii.replaced(docs.repartition(7)).collect()}
     assert all(got[i].text == t for i, t in again.items())
     assert pii.replaced(docs.limit(0)).count() == 0
+
+
+def test_names_go_at_every_mention(spark):
+    texts = [
+        "Mr. John Smith came. Later John Smith and Smith left; Smithson and smith stayed, as did Smith.",
+        "John Smith is not named with a title here.",
+        "Frau Müller wrote to Élise@mail.example.com and Müller.Anna@mail.example.com; Müller: hello, Müllers!",
+        "г-жа Мария Иванова пришла. Потом Мария и Иванова ушли.",
+        "Mr. Lee met Lee " + "and Lee " * 5_000 + "again.",
+    ]
+    got = {r.doc_id: r for r in pii.replaced(table(spark, list(enumerate(texts)) + [(0, texts[0])])).collect()}
+    m = re.fullmatch(r"Mr\. (\w+) (\w+) came\. Later (\w+) (\w+) and (\w+) left; Smithson and smith stayed, as did (\w+)\.", got[0].text)
+    assert m and m[1] == m[3] != "John" and m[2] == m[4] == m[5] == m[6] != "Smith" and got[0].n_entities == 5 and got[0].kinds == ["person"]
+    assert got[1].text == texts[1] and got[1].n_entities == 0
+    m = re.fullmatch(r"Frau (\w+) wrote to É\w{4}@\w+\.\w+\.com and M\S+@\S+\.com; (\w+): hello, Müllers!", got[2].text)
+    assert m and m[1] == m[2] != "Müller" and "lise@mail" not in got[2].text
+    m = re.fullmatch(r"г-жа (\w+) (\w+) пришла\. Потом (\w+) и (\w+) ушли\.", got[3].text)
+    assert m and m[1] == m[3] and m[2] == m[4] != "Иванова"
+    words = got[4].text.split()
+    assert len(words) == len(texts[4].split()) and len(set(words)) == 5 and "Lee" not in words and got[4].n_entities == 5002
+
+
+def test_country_codes_and_checksums_stay(spark):
+    rows = [(0, "+49 30 123456"), (1, "+380 44 123 4567"), (2, "030 12345678"), (3, "0171-1234567"), (4, "DE89 3704 0044 0532 0130 00"),
+            (5, "GB82WEST12345698765432"), (6, "DE00 3704 0044 0532 0130 00"), (7, "+1 988 555 2485"), (8, "in 2020-1234567 and 1.030 1234567")]
+    old, got = dict(rows), {r.doc_id: r.text for r in pii.replaced(table(spark, rows)).collect()}
+    shape = lambda t: re.sub(r"[A-Z]", "A", re.sub(r"\d", "0", t))
+    assert all(shape(got[i]) == shape(old[i]) and got[i] != old[i] for i in range(8)) and got[8] == old[8]
+    assert got[0].startswith("+49 ") and got[1].startswith("+380 ") and got[7].startswith("+1 ") and got[2][0] == got[3][0] == "0"
+    value = lambda t: int("".join(str(int(c, 36)) for c in t[4:] + t[:4]))
+    valid = {i: value(got[i].replace(" ", "")) % 97 == 1 for i in (4, 5)}
+    assert valid == {4: True, 5: True} and got[4][:2] == "DE" and got[5][:2] == "GB"
