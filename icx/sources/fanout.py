@@ -1,9 +1,9 @@
 """Corpus fan-out (SRC-1) and the pair-split catalogue (SRC-7).
 
 A multilingual table (row_id, code, text) becomes one pair table per ordered language
-pair: the wanted pairs (bounded by the language list) are joined to the sentences on
-the source language, then to the target-language sentence of the same row id — two
-equi-joins; a pair whose target is missing simply has no rows, and `missing_pairs`
+pair: sentences of the wanted languages meet on the row id, which every language has once at
+most, and the wanted pairs (bounded by the language list, broadcast) are kept. Each text is
+exchanged once per side, not once per pair; a pair whose target is missing simply has no rows, and `missing_pairs`
 reports wanted pairs without any row. `write_fan_out` writes the pairs in a way that can be
 started again: finished pairs are not written twice, and one that fails leaves the others.
 """
@@ -19,13 +19,15 @@ from pyspark.sql import functions as F
 DATASET_SHORT = {"facebook/flores": "flores", "ai4bharat/IN22-Gen": "in22"}
 SPLITS = {"facebook/flores": {"dev": "dev", "test": "devtest"}, "ai4bharat/IN22-Gen": {"test": "gen"}}
 
+PAIR = ["src_lang", "tgt_lang"]
+
 
 def fan_out(sentences: DataFrame, wanted: DataFrame) -> DataFrame:
     """(src_lang, tgt_lang, row_id, src, tgt) for every wanted pair with both sides present."""
     s = sentences.select(F.col("row_id"), F.col("code").alias("src_lang"), F.col("text").alias("src"))
-    t = sentences.select(F.col("row_id").alias("t_row"), F.col("code").alias("t_code"), F.col("text").alias("tgt"))
-    a = s.join(F.broadcast(wanted), "src_lang")
-    j = a.join(t, (F.col("t_code") == F.col("tgt_lang")) & (F.col("t_row") == F.col("row_id")))
+    t = sentences.select(F.col("row_id").alias("t_row"), F.col("code").alias("tgt_lang"), F.col("text").alias("tgt"))
+    sides = [side.join(F.broadcast(wanted.select(c).distinct()), c, "left_semi") for side, c in ((s, "src_lang"), (t, "tgt_lang"))]
+    j = sides[0].join(sides[1], F.col("t_row") == F.col("row_id")).join(F.broadcast(wanted), PAIR)
     return j.select("src_lang", "tgt_lang", "row_id", "src", "tgt")
 
 
@@ -38,7 +40,6 @@ def missing_pairs(fanned: DataFrame, wanted: DataFrame) -> DataFrame:
 #: The sentence pairs of a fan-out, and its manifest: what became of each pair.
 ROWS = "src_lang string, tgt_lang string, row_id long, src string, tgt string"
 REPORT = "src_lang string, tgt_lang string, status string, n_rows long, error string"
-PAIR = ["src_lang", "tgt_lang"]
 
 
 def write_fan_out(rows: DataFrame, wanted: DataFrame, path: str, wave: int = 64) -> DataFrame:
@@ -77,7 +78,8 @@ def write_fan_out(rows: DataFrame, wanted: DataFrame, path: str, wave: int = 64)
 def _write_wave(rows: DataFrame, part: list[tuple[str, str]], path: str) -> None:
     spark = rows.sparkSession
     asked = spark.createDataFrame(part, "src_lang string, tgt_lang string")
-    own = rows.select("src_lang", "tgt_lang", "row_id", "src", "tgt").join(F.broadcast(asked), PAIR, "left_semi")
+    langs = F.col("src_lang").isin(*{a for a, _ in part}) & F.col("tgt_lang").isin(*{b for _, b in part})  # reaches the sentences before they are exchanged
+    own = rows.select("src_lang", "tgt_lang", "row_id", "src", "tgt").filter(langs).join(F.broadcast(asked), PAIR, "left_semi")
     (own.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("ignoreNullFields", "false")
         .partitionBy(*PAIR).json(f"{path}/pairs"))
     n = _rows_below(spark, path).join(F.broadcast(asked), PAIR, "left_semi").groupBy(*PAIR).agg(F.count(F.lit(1)).alias("n"))
