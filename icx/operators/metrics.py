@@ -194,12 +194,14 @@ def _count_batches(keys: list[str], orders: dict[str, int]):
 
 
 def corpus_stats(df: DataFrame, keys: list[str], hyp: str = "hypothesis", ref: str = "reference", tokenizer: str = "13a",
-                 metrics: tuple[str, ...] = METRICS, tokens: tuple[str, str] | None = None) -> DataFrame:
+                 metrics: tuple[str, ...] = METRICS, tokens: tuple[str, str] | None = None,
+                 basis: DataFrame | None = None) -> DataFrame:
     """Corpus counters per group of `keys` (one row per run).
 
     `tokens` names two array<string> columns that hold the caller's own BLEU tokens of
     hypothesis and reference; otherwise `tokenizer` makes them. Null texts (and null token
-    arrays) count as empty.
+    arrays) count as empty. `basis` is the plain scan that `df` comes from: when it has splits
+    enough for every task, segments are counted where they lie and no text is exchanged.
     """
     orders = _orders(metrics)
     spark = df.sparkSession
@@ -217,7 +219,9 @@ def corpus_stats(df: DataFrame, keys: list[str], hyp: str = "hypothesis", ref: s
     # counting costs CPU per character: deal the segments to as many tasks as the session
     # plans for a shuffle, and to all cores at least
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
-    dealt = df.select(*needed).repartition(tasks)
+    dealt = df.select(*needed)
+    if basis is None or basis.rdd.getNumPartitions() < tasks:
+        dealt = dealt.repartition(tasks)
     size = (F.length(text["h"]) + F.length(text["r"])).cast("long")
     rows = dealt.select(*keys, size.alias("_size"), *[c.alias(name) for name, c in columns.items()])
     schema = T.StructType([*[df.schema[k] for k in keys], *[T.StructField(n, T.LongType()) for n in _counter_names(orders)]])
@@ -260,17 +264,17 @@ def chrf_from_stats(word_order: int = 0, beta: float = BETA) -> Column:
 
 
 def score(df: DataFrame, keys: list[str], hyp: str = "hypothesis", ref: str = "reference", tokenizer: str = "13a",
-          metrics: tuple[str, ...] = METRICS, tokens: tuple[str, str] | None = None) -> DataFrame:
+          metrics: tuple[str, ...] = METRICS, tokens: tuple[str, str] | None = None, basis: DataFrame | None = None) -> DataFrame:
     """(keys..., one column per metric) — the whole grid in one aggregation."""
-    st = corpus_stats(df, keys, hyp, ref, tokenizer, metrics, tokens)
+    st = corpus_stats(df, keys, hyp, ref, tokenizer, metrics, tokens, basis)
     made = {"bleu": bleu_from_stats, "chrf": lambda: chrf_from_stats(0), "chrf_pp": lambda: chrf_from_stats(WORD_ORDER)}
     return st.select(*keys, *[made[m]().alias(m) for m in metrics])
 
 
 def ngram_stats(df: DataFrame, keys: list[str], hyp: str = "hypothesis", ref: str = "reference",
-                tokenizer: str = "13a") -> DataFrame:
+                tokenizer: str = "13a", basis: DataFrame | None = None) -> DataFrame:
     """Long form of the corpus counters: (keys..., metric, ord, n_hyp, n_ref, n_match)."""
-    st = corpus_stats(df, keys, hyp, ref, tokenizer)
+    st = corpus_stats(df, keys, hyp, ref, tokenizer, basis=basis)
     rows = [
         F.struct(F.lit(family).alias("metric"), F.lit(n).alias("ord"), *[F.col(f"{family}_{x}_{n}").alias(f"n_{x}") for x in ("hyp", "ref", "match")])
         for family, most in _orders(METRICS).items() for n in range(1, most + 1)

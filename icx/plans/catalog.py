@@ -284,6 +284,48 @@ def q_progress(spark, sf_dir):
     return first.join(preds, "row_id").select("row_id", "pos", "hypothesis")
 
 
+_BATCHED_SQL = f"""SELECT row_id, pos, prompt, concat_ws(' ', count(prompt) OVER (PARTITION BY pos // {BATCH} ORDER BY pos) - 1,
+    count(prompt) OVER (PARTITION BY pos // {BATCH}), sum(length(prompt)) OVER (PARTITION BY pos // {BATCH})) AS hypothesis
+  FROM ({_POS_SQL}) JOIN ({PROMPTS_SQL}) USING (row_id)"""
+
+
+@register("model_batches", f"SELECT row_id, pos, pos // {BATCH} AS batch_id, CASE WHEN prompt IS NOT NULL THEN hypothesis END AS seen FROM ({_BATCHED_SQL})")
+def q_model_batches(spark, sf_dir):
+    """GEN-1 with GEN-4: what the model sees in each call: the prompt's place in it, its prompts and their characters."""
+    out = G.run_batches(_placed_prompts(spark, sf_dir), _batch_report_model, BATCH, "pos")
+    return out.select("row_id", "pos", "batch_id", G.clean(F.col("raw"), F.col("prompt")).alias("seen"))
+
+
+def _placed_prompts(spark, sf_dir):
+    """Prompts with their positions; only row ids are sorted."""
+    test, _ = _test_dev(spark, sf_dir)
+    idx = dense_index(test.select("row_id"), ["row_id"], name="pos").df
+    return _prompts(spark, sf_dir).join(idx, "row_id").select("row_id", "pos", "prompt", "reference")
+
+
+def _batch_report_model():
+    """A deterministic batch model: answers with what it was called with."""
+    return lambda batch: [f"{p} {i} {len(batch)} {sum(map(len, batch))}\nextra" for i, p in enumerate(batch)]
+
+
+@register("run_report", f"""WITH p AS ({_BATCHED_SQL})
+SELECT 'prompts' AS kind, NULL::BIGINT AS pos, count(*)::VARCHAR AS value FROM p
+UNION ALL SELECT 'answered', NULL, count(prompt)::VARCHAR FROM p
+UNION ALL SELECT 'preview', pos, prompt FROM p WHERE pos < 5
+UNION ALL SELECT 'progress', pos, CASE WHEN prompt IS NOT NULL THEN hypothesis END FROM p WHERE pos % {BATCH} = 0 AND pos % 10 = 0""")
+def q_run_report(spark, sf_dir):
+    """SNK-5, SNK-6: a run written by one job that also counts its prompts, previews the first and marks the progress samples."""
+    out = G.run_batches(_placed_prompts(spark, sf_dir), _batch_report_model, BATCH, "pos")
+    hyp = G.clean(F.col("raw"), F.col("prompt"))
+    pred = out.select(F.lit("clean").alias("run_id"), "row_id", "pos", "prompt", hyp.alias("hypothesis"), "reference")
+    sampled = (F.col("pos") % BATCH == 0) & (F.col("pos") % 10 == 0)
+    report = IO.write_reported(pred, IO.scratch_dir(spark, "report"), sampled)
+    rows = [("prompts", None, str(report.n_prompts)), ("answered", None, str(report.n_answered)),
+            *[("preview", i, p) for i, p in enumerate(report.preview)]]
+    seen = spark.createDataFrame(rows, "kind string, pos long, value string")
+    return seen.unionAll(report.progress.select(F.lit("progress"), "pos", "hypothesis"))
+
+
 @register("preview", f"SELECT row_id, prompt FROM ({PROMPTS_SQL}) ORDER BY row_id LIMIT 5")
 def q_preview(spark, sf_dir):
     return IO.preview(_prompts(spark, sf_dir)).select("row_id", "prompt")
@@ -297,17 +339,17 @@ def q_preview_count(spark, sf_dir):
 
 @register("metrics_by_run", sql.metrics_sql(PREDICTIONS_SQL, ["run_id"], "13a"))
 def q_metrics(spark, sf_dir):
-    return M.score(_predictions(spark, sf_dir), ["run_id"], tokenizer="13a")
+    return M.score(_predictions(spark, sf_dir), ["run_id"], tokenizer="13a", basis=tables.read(spark, sf_dir, "conversations"))
 
 
 @register("metrics_whitespace", sql.metrics_sql(PREDICTIONS_SQL, ["run_id"], "whitespace"))
 def q_metrics_ws(spark, sf_dir):
-    return M.score(_predictions(spark, sf_dir), ["run_id"], tokenizer="whitespace")
+    return M.score(_predictions(spark, sf_dir), ["run_id"], tokenizer="whitespace", basis=tables.read(spark, sf_dir, "conversations"))
 
 
 @register("ngram_stats", sql.metrics_sql(PREDICTIONS_SQL, ["run_id"], "13a", long=True))
 def q_ngram_stats(spark, sf_dir):
-    return M.ngram_stats(_predictions(spark, sf_dir), ["run_id"], tokenizer="13a")
+    return M.ngram_stats(_predictions(spark, sf_dir), ["run_id"], tokenizer="13a", basis=tables.read(spark, sf_dir, "conversations"))
 
 
 # ---- demonstration perturbation experiments --------------------------------------------------

@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from typing import NamedTuple
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -143,3 +145,31 @@ def stream_runs(stream: DataFrame, path: str, checkpoint: str):
 def preview(prompts: DataFrame, n: int = 5, order: str = "row_id") -> DataFrame:
     """SNK-5: the first n prompts (TakeOrderedAndProject, no global sort)."""
     return prompts.orderBy(order).limit(n)
+
+
+class Report(NamedTuple):
+    """What a run's one writing job saw: (prompts, answered, [first prompts]), and its progress rows as a table."""
+
+    n_prompts: int
+    n_answered: int
+    preview: list[str | None]
+    progress: DataFrame
+
+
+def write_reported(pred: DataFrame, path: str, sampled, n: int = 5, position: str = "pos") -> Report:
+    """SNK-3, SNK-5 and SNK-6 in one job: writes a run's predictions, counts them and previews the first n prompts on the way.
+
+    The counts and the preview are observed as rows pass to the writer, which is the last stage:
+    a task that is run again counts once. `position` numbers the rows from 0. The written rows
+    carry `progress`, whether `sampled` holds for them; the progress table reads those of the
+    runs at `path`, however many they are. An empty table has an empty report. A null prompt is
+    previewed as null.
+    """
+    seen = Observation()
+    first = [F.max(F.when(F.col(position) == i, F.col("prompt"))).alias(f"p{i}") for i in range(n)]
+    watched = pred.observe(seen, F.count(F.lit(1)).alias("n"), F.count("hypothesis").alias("answered"), *first)
+    _write_runs(watched.withColumn("progress", F.coalesce(sampled, F.lit(False))), path)
+    got = seen.get
+    schema = T.StructType([*pred.schema.fields, T.StructField("progress", T.BooleanType())])
+    held = read_runs(pred.sparkSession, path, schema) if got["n"] else pred.sparkSession.createDataFrame([], schema)
+    return Report(got["n"], got["answered"], [got[f"p{i}"] for i in range(min(n, got["n"]))], held.filter("progress").select(*pred.columns))
