@@ -166,13 +166,14 @@ PLACES = T.StructType([T.StructField("dk", T.LongType()), T.StructField("places"
 
 def _shared(heavy: int):
     def run(table: pa.Table) -> pa.Table:
-        dk, at, h = [], [], []
-        for raw in table.column("payload").to_pylist():
-            own, n, a, x = unpacked(raw, "<i8", "<u4", "<u4", "<u8")
-            dk.append(np.repeat(own, n))
-            at.append(a)
-            h.append(x)
-        dk, at, h = np.concatenate(dk), np.concatenate(at), np.concatenate(h)
+        dk, n, at, h = (np.concatenate(x) for x in zip(*[unpacked(raw, "<i8", "<u4", "<u4", "<u8") for raw in table.column("payload").to_pylist()]))
+        # rows with equal doc_id and text are one document: its places count and travel once
+        total = np.add.reduceat(h, np.cumsum(n, dtype=np.int64) - n)
+        order = _order(dk, total)
+        once = np.ones(len(dk), bool)
+        once[order] = ~_same_as_before(dk[order], total[order])
+        own = np.repeat(once, n)
+        dk, at, h = np.repeat(dk, n)[own], at[own], h[own]
         order = np.argsort(h, kind="stable")
         s = h[order]
         first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.zeros(0, np.int64)

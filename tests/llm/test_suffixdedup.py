@@ -99,3 +99,15 @@ def test_equal_strings_have_equal_anchors():
     oa, ob = owner(a), owner(b)
     assert len(oa) == len(a) - 99
     assert all(oa[50 + i] == ob[77 + i] for i in range(201))
+
+
+def test_places_of_repeated_rows_travel_once():
+    import pyarrow as pa
+
+    def entry(dk, at, h):
+        return S.packed(np.array([dk], "<i8"), np.array([len(at)], "<u4"), np.array(at, "<u4"), np.array(h, "<u8"))
+
+    twice = [entry(1, [5, 9], [70, 80])] * 50 + [entry(2, [3], [70])] * 2
+    out = S._shared(20)(pa.table({"part": pa.array([0] * 52, pa.int32()), "payload": pa.array(twice, pa.binary())}))
+    got = {k: np.frombuffer(v, "<u4").tolist() for k, v in zip(out.column("dk").to_pylist(), out.column("places").to_pylist())}
+    assert got == {1: [5], 2: [3]}  # 80 lies in one document alone, and neither gram is frequent
