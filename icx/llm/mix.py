@@ -11,7 +11,9 @@ expected number of copies. All randomness is hashed from content, so reruns agre
 
 Defined cases: null text has size 0; documents of size 0 take only the whole copies and
 no words; the null source is a source of its own and comes last; repeated rows are
-documents of their own; an empty table gives an empty result.
+documents of their own that share their fractions' sum, so it is settled which of them take how
+many copies, not which row is which; very long texts are only counted; an empty table gives an
+empty result; other columns, whatever their names, are ignored by `mixed_copies` and kept by `mixture`.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import sys
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,11 +36,12 @@ MOST_COPIES = 3
 #: Documents that one bucket settles on average, and residuals that one tree node combines.
 BUCKET_ROWS = 8192
 FAN_IN = 64
+#: `monotonically_increasing_id` counts a partition's rows in its lower bits.
+PARTITION_BITS = 33
 
 STATE = T.StructType([
     T.StructField("s", T.LongType()),
     T.StructField("bucket", T.LongType()),
-    T.StructField("rid", T.LongType()),
     T.StructField("key", T.LongType()),
     T.StructField("size", T.LongType()),
     T.StructField("p", T.DoubleType()),
@@ -104,7 +107,7 @@ def pivotal(p: list[float], size: list[int], key: list[int], level: int) -> list
 
 def _settle(level: int):
     def settle(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["key", "size", "rid"], kind="stable")
+        group = group.sort_values(["key", "size"], kind="stable")
         return group.assign(p=pivotal(group["p"].tolist(), group["size"].tolist(), group["key"].tolist(), level))
 
     return settle
@@ -136,12 +139,24 @@ def mixed_copies(docs: DataFrame) -> DataFrame:
         sized.join(salted, on)
         .withColumn("rate", rate)
         .select(
-            "doc_id", "s", "source_size", "target", "rid", "key", "size", F.floor("rate").cast("long").alias("whole"),
+            "doc_id", "s", "source_size", "target", "rid", F.shiftright("rid", PARTITION_BITS).alias("piece"), "key", "size",
+            F.floor("rate").cast("long").alias("whole"),
             F.when(F.col("size") > 0, F.col("rate") - F.floor("rate")).otherwise(F.lit(0.0)).alias("p"), spread.alias("bucket"),
         ),
         "fractions",
     )
-    open_rows = start.select("s", "bucket", "rid", "key", "size", "p")
+    # equal rows settle among themselves: the whole part of their summed fractions is certain, one
+    # entry meets the others with the rest; so a document repeated in any number is one entry
+    same = ["s", "key", "size"]
+    held = start.groupBy(*same, "piece").agg(F.count(F.lit(1)).alias("m"), F.min("p").alias("p"), F.min("bucket").alias("bucket"))
+    among = Window.partitionBy(*same)
+    mass = F.col("all") * F.col("p")
+    equal = written(
+        held.withColumn("before", F.sum("m").over(among.orderBy("piece")) - F.col("m"))
+        .withColumn("all", F.sum("m").over(among)).withColumn("sure", F.floor(mass).cast("long")),
+        "equal",
+    )
+    open_rows = equal.filter("before = 0").select("s", "bucket", "key", "size", (mass - F.col("sure")).alias("p"))
     settled, level = None, 0
     while True:
         done = written(open_rows.groupBy("s", "bucket").applyInPandas(_settle(level), STATE), f"level{level}")
@@ -150,14 +165,17 @@ def mixed_copies(docs: DataFrame) -> DataFrame:
         if last:  # one document per source is left: it is drawn with its own probability
             u = (F.shiftrightunsigned(F.xxhash64("key", F.lit("last")), 11)) / F.lit(float(1 << 53))
             done = done.withColumn("p", F.when(fractional, (u < F.col("p")).cast("double")).otherwise(F.col("p")))
-        part = done.filter(~((F.col("p") > 0) & (F.col("p") < 1))).select("rid", F.col("p").cast("long").alias("extra"))
+        part = done.filter(~((F.col("p") > 0) & (F.col("p") < 1))).select(*same, F.col("p").cast("long").alias("extra"))
         settled = part if settled is None else settled.unionAll(part)
         if last:
             break
         buckets, level = buckets // FAN_IN, level + 1
         open_rows = done.filter(fractional).withColumn("bucket", F.pmod("bucket", F.lit(buckets)))
-    copies = F.col("whole") + F.col("extra")
-    return start.join(settled, "rid").select(
+    due = F.greatest(F.lit(0), F.least("m", F.col("sure") + F.col("extra") - F.col("before")))
+    pieces = equal.join(settled, same).select(*same, "piece", due.alias("due"))
+    nth = F.row_number().over(Window.partitionBy(*same, "piece").orderBy("rid"))  # within one task's rows
+    copies = F.col("whole") + (F.col("nth") <= F.col("due")).cast("long")
+    return start.withColumn("nth", nth).join(pieces, [*same, "piece"]).select(
         "doc_id", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), "key"
     )
 

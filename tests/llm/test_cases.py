@@ -76,6 +76,21 @@ def test_mix_keeps_whole_copies_and_totals(spark):
     assert abs(sum({r.doc_id % 4: r.target for r in got}.values()) - sum(r["size"] for r in got)) < 1e-6
 
 
+def test_mix_of_a_document_repeated_often(spark):
+    rows = [(None, "w " * 9, "en", "a")] * 20000 + [(i, "w " * (1 + i % 5), "en", "b") for i in range(300)] + [(7, "w w", "en", "b")] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = mix.mixed_copies(df).collect()
+    assert len(got) == len(rows)
+    hot = [r for r in got if r.doc_id is None]
+    share = hot[0].target / hot[0].source_size
+    assert {r.copies for r in hot} <= {int(share), int(share) + 1}
+    assert abs(sum(r.taken for r in hot) - hot[0].target) < 9
+    other = [r for r in got if r.doc_id is not None]
+    assert abs(sum(r.taken for r in other) - other[0].target) < 5
+    again = mix.mixed_copies(df.repartition(11)).collect()
+    assert Counter((r.doc_id, r["size"], r.copies) for r in got) == Counter((r.doc_id, r["size"], r.copies) for r in again)
+
+
 def test_mix_targets_stop_at_three_times_the_source(spark):
     rows = [(0, "w " * 1000, "en", "a"), (1, "w " * 10, "en", "b"), (2, "w " * 10, "en", "c"), (3, "w " * 500, "en", None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
