@@ -60,3 +60,14 @@ def test_a_run_is_written_counted_and_previewed_at_once(spark):
     assert IO.write_reported(pred.filter("pos < 2"), IO.scratch_dir(spark, "t-two"), F.lit(None), n=3).preview == ["p0", None]
     nothing = IO.write_reported(spark.createDataFrame([], schema), IO.scratch_dir(spark, "t-none"), F.lit(True))
     assert nothing[:3] == (0, 0, []) and nothing.progress.collect() == []
+
+
+def test_segments_are_counted_in_place_when_the_scan_has_splits_enough(spark):
+    from icx.operators import metrics as M
+
+    texts = (F.format_string("one two three w%d", "id"), F.format_string("one two four w%d", F.col("id") % 7))
+    df = spark.range(0, 60, 1, 64).select(F.lit("r").alias("run_id"), texts[0].alias("hypothesis"), texts[1].alias("reference"))
+    dealt, in_place = M.score(df, ["run_id"]), M.score(df, ["run_id"], basis=df)
+    assert dealt.collect() == in_place.collect()
+    plans = [x._jdf.queryExecution().optimizedPlan().toString().count("Repartition") for x in (dealt, in_place)]
+    assert plans == [1, 0]
