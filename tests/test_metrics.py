@@ -130,3 +130,57 @@ def test_document_metrics_against_brute_force(spark):
         assert got[run].chrf == pytest.approx(round(chrf(pairs), 6), abs=1e-5), run
         assert got[run].chrf_pp == pytest.approx(round(chrf(pairs, 2), 6), abs=1e-5), run
     assert got["clean"].bleu == pytest.approx(100.0)
+
+
+def _odd_texts():
+    import random
+
+    rng = random.Random(11)
+    signs = ["a", "b", "C", "9", "1", ".", ",", "-", "'", "$", " ", "  ", "\n", "-\n", "\t", "\xa0", "　", "é", "ж", "😀", "&amp;", "&quot;", "&lt;", "<skipped>", "...", ",,", ".5", "(", "]", "\\", "`"]
+    return ["", " ", "a", ".", "...,"] + ["".join(rng.choices(signs, k=rng.choice((1, 3, 12, 90)))) for _ in range(400)]
+
+
+def test_tokens_of_the_tasks_equal_the_column_forms(spark):
+    texts = _odd_texts()
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    forms = {**{name: M.bleu_tokens(F.col("t"), name) for name in M.TOKENIZERS}, "chrf": M.chrf_words(F.col("t"))}
+    for name, form in forms.items():
+        numbers = M._Numbers(name)
+        got = [numbers.of(t).tolist() for t in texts]
+        names = {n: t for t, n in numbers.known.items()}
+        for r in df.select("i", form.alias("w")).collect():
+            assert [names[n] for n in got[r.i]] == r.w, (name, texts[r.i])
+
+
+def test_counters_of_short_steps_and_large_alphabets(monkeypatch):
+    """N-grams that do not fit one number are numbered anew; equal texts match themselves."""
+    import random
+    from collections import Counter
+
+    import numpy as np
+
+    rng = random.Random(4)
+    for alphabet in (2, 90, 1_000_000):
+        hyp = [[rng.randrange(alphabet) for _ in range(rng.choice((0, 1, 5, 60)))] for _ in range(40)]
+        ref = [h if i % 5 == 0 else [rng.choice(h or [7]) for _ in range(rng.choice((0, 2, 50)))] for i, h in enumerate(hyp)]
+        stream = lambda side: (np.array([x for t in side for x in t], np.int64), np.repeat(np.arange(40), [len(t) for t in side]))
+        same = np.array([i % 5 == 0 for i in range(40)])
+        for n, (h, r, m) in enumerate(M._counted(stream(hyp), stream(ref), 40, 6, same), 1):
+            for i in range(40):
+                a, b = (Counter(tuple(t[j:j + n]) for j in range(len(t) - n + 1)) for t in (hyp[i], ref[i]))
+                assert (h[i], r[i], m[i]) == (sum(a.values()), sum(b.values()), sum((a & b).values()))
+
+
+def test_runs_are_counted_in_the_job_that_scores_them(spark):
+    """Before, the study's prompts were made a second time to count rows, and documents were exchanged once per run."""
+    from conftest import SF_SMALL
+    from icx.plans import catalog as C
+    from icx.plans import study
+
+    rows = spark.createDataFrame([("r", "e", "p", "a b", "a b"), ("r", "e", "p", None, "c"), ("s", "e", "p", "x", "y")],
+                                 "run_id string, experiment string, prompt string, hypothesis string, reference string")
+    got = study.scores(rows)
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.run_id, r.n_rows, r.n_answered) for r in got.collect()} == {("r", 2, 1), ("s", 1, 1)}
+    plan = C.document_metrics(spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == plan.count("Repartition") == 1 and plan.index("Generate explode") < plan.index("Repartition")
