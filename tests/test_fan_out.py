@@ -65,3 +65,16 @@ def test_empty_fan_outs(spark, study):
     assert FO.read_fan_out(spark, path).count() == 0
     with pytest.raises((Py4JJavaError, PySparkException)):
         broken(rows, "ab").collect()
+
+
+def test_texts_are_exchanged_once_for_all_waves(spark):
+    """Before, every wave and every try exchanged the texts of both sides again."""
+    sent = spark.createDataFrame([(i, c, f"{c}{i}") for c in "abc" for i in range(4)] + [(9, "a", "alone"), (None, "a", "x"), (None, "b", "y")]
+                                 + [(1, "b", "twice"), (2, "a", None)], "row_id long, code string, text string")
+    wanted = spark.createDataFrame([("a", "b"), ("b", "a"), ("a", "c"), ("a", "z")], "src_lang string, tgt_lang string")
+    rows = FO.fan_out(sent, wanted)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan
+    s, t = sent.toDF("row_id", "src_lang", "src"), sent.toDF("row_id", "tgt_lang", "tgt")
+    want = s.join(t, "row_id").join(wanted, FO.PAIR).select(*rows.columns)
+    assert sorted(rows.collect(), key=str) == sorted(want.collect(), key=str)
