@@ -53,7 +53,7 @@ def test_pairs_with_the_same_pool_fetch_a_row_once(spark):
     assert sorted((len(r.pairs), r["size"]) for r in pools.pools.collect()) == [(6, 13), (6, 30)]
     asked = pools.asked().collect()
     assert len(asked) == 10 + 5 and all(len(r.idxs) == len(set(r.idxs)) < sum(k for k, _ in draws) for r in asked)
-    assert pools.fetched().count() == (10 + 5) * 6 * len(draws)
+    assert pools.fetched(pools.requests()).count() == (10 + 5) * 6 * len(draws)
 
 
 def left(spark):
