@@ -62,3 +62,15 @@ def test_long_texts_leave_the_interpreted_lambdas(spark):
     for name in ("ptb_span_noise", "ptb_punctuation_add", "ptb_scripts_span_noise", "ptb_scripts_punctuation_add", "perturb_hetero_chat"):
         plan = catalog.QUERIES[name](spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
         assert "ArrowEvalPython" in plan, name
+
+
+@pytest.mark.parametrize("attack", PT.ATTACKS)
+def test_several_rates_at_once(texts, attack):
+    """Before, the words and ranks of a text were made anew for every rate."""
+    rates, keys = (0.5, 0.0, 1.0, 0.1), F.array(F.lit("7"), F.lit(None).cast("string"), F.col("row_id").cast("string"))
+    args = F.array("text", "text", F.lit("one, two. three")), keys, F.col("code")
+    alone = [PT.perturb_each(attack, *args, r, 9) for r in rates]
+    for r in texts.filter("row_id is not null").select(PT.perturb_each(attack, *args, rates, 9).alias("got"), F.array(*alone).alias("want")).collect():
+        assert r.got == r.want
+    none = PT.perturb_each(F.lit(None).cast("string"), *args, rates, 9)
+    assert texts.select(none.alias("x")).filter("x is not null").count() == 0

@@ -51,3 +51,35 @@ def test_grid_runs_equal_single_runs(spark):
     seg = predicted.filter(F.col("run_id") == key)
     assert got[key].n_rows == seg.count() and got[key].n_answered == seg.filter("hypothesis is not null").count()
     assert abs(got[key].chrf - M.score(seg, ["run_id"]).first().chrf) < 1e-9
+
+
+def test_a_set_of_runs_is_perturbed_at_once(spark, monkeypatch):
+    """Before, each run perturbed its demonstrations: 400 rows of a test row went to the noise, now one per draw, attack and direction."""
+    seen, whole = [], study.PT.perturb_each
+    monkeypatch.setattr(study.PT, "perturb_each", lambda attack, texts, keys, lang, rate, seed: (seen.append(rate), whole(attack, texts, keys, lang, rate, seed))[1])
+    pairs = "row_id long, src string, tgt string"
+    test = spark.createDataFrame([(1, "a b, c d.", "e f g h"), (2, "i j.", None)], pairs)
+    dev = spark.createDataFrame([(i, f"one, two {i} three.", f"four {i}, five") for i in range(10, 20)], pairs)
+    triples = spark.createDataFrame([], "sp_id long, pt_id long, src string, pivot string, tgt string")
+    asked = study.prompts(test, dev, dev, triples, "eng_Latn", "deu_Latn", "fra_Latn", "fra_Latn", model="plain/text-model")
+    assert seen == [GR.RATES]
+    sets = spark.range(1).select(study._sets("eng_Latn", "deu_Latn", study.DEMO_EXPERIMENTS).alias("x")).first().x
+    assert sum(s.attack is not None for x in sets.values() for s in x) == 3 * 6 * 2 + 2 * 4 * 2
+    runs = 15 + 9 + 3 + 144 + 256 + 3
+    assert asked.count() == 2 * runs == 2 * asked.select("run_id").distinct().count()
+    key = "heterogeneous|eng_Latn|deu_Latn|||4||42|ocr|0.25|source|IV|"
+    mine = asked.filter(F.col("run_id") == F.md5(F.lit(key))).orderBy("row_id").collect()
+    assert len(mine) == 2 and all(r.prompt.count("English: ") == 5 for r in mine)
+
+
+def test_a_prompt_is_taken_off_by_bytes_or_characters(spark):
+    from icx.operators import generate as G
+
+    cases = [("pé 😀", "pé 😀 ünd\nextra"), ("pé😀", "other😀 text"), ("", " x "), ("p", "p"), (None, "p x"), ("p", None), ("longer", "l")]
+    rows = spark.createDataFrame(cases, "prompt string, raw string").select("prompt", "raw", G.clean(F.col("raw"), F.col("prompt")).alias("got")).collect()
+    for r in rows:
+        assert r.got == (None if r.prompt is None or r.raw is None else r.raw[len(r.prompt):].strip().split("\n")[0])
+    odd = spark.createDataFrame([(f"{c}a{c} b{c}{c}",) for c in map(chr, range(1, 0x3100)) if not 0xD800 <= ord(c) < 0xE000], "t string")
+    from icx.functions.text import py_strip
+
+    assert all(r.t.strip() == r.s for r in odd.select("t", py_strip(F.col("t")).alias("s")).collect())
