@@ -184,3 +184,24 @@ def test_runs_are_counted_in_the_job_that_scores_them(spark):
     assert {(r.run_id, r.n_rows, r.n_answered) for r in got.collect()} == {("r", 2, 1), ("s", 1, 1)}
     plan = C.document_metrics(spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation [") == plan.count("Repartition") == 1 and plan.index("Generate explode") < plan.index("Repartition")
+
+
+def test_equal_pairs_are_counted_once_and_references_once(spark, monkeypatch):
+    """Before, every run of a grid counted the n-grams of its texts anew, and a reference those of each hypothesis."""
+    import pyarrow as pa
+
+    rows = [(f"r{i % 50}", "the cat sat on a mat", "the cat sat on the mat") for i in range(200)]
+    rows += [(f"r{i}", f"the cat {i} sat", "the cat sat on it") for i in range(20)] + [("r1", "", "the cat sat on it"), ("r1", "x", ""), ("r2", "", "")]
+    looked, whole = [], M._matched
+    monkeypatch.setattr(M, "_matched", lambda ids, *a: (looked.append(len(ids)), whole(ids, *a))[1])
+    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], names=["run", "_h", "_r"])
+    orders = M._orders(M.METRICS)
+    got = [r.to_pylist() for r in M._count_batches(["run"], orders, "whitespace")(iter([batch]))]
+    assert looked[0] < 200 and [r["run"] for r in got[0]] == [r[0] for r in rows]
+    for r, (_, h, ref) in zip(got[0], rows):
+        for n in range(1, 5):
+            a, b = _ngrams(h.split(), n), _ngrams(ref.split(), n)
+            assert (r[f"bleu_hyp_{n}"], r[f"bleu_ref_{n}"], r[f"bleu_match_{n}"]) == (sum(a.values()), sum(b.values()), sum((a & b).values()))
+        for n in range(1, 7):
+            a, b = _ngrams("".join(h.split()), n), _ngrams("".join(ref.split()), n)
+            assert (r[f"chr_hyp_{n}"], r[f"chr_ref_{n}"], r[f"chr_match_{n}"]) == (sum(a.values()) if b else 0, sum(b.values()), sum((a & b).values()))
