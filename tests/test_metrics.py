@@ -197,6 +197,8 @@ def test_equal_pairs_are_counted_once_and_references_once(spark, monkeypatch):
     batch = pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], names=["run", "_h", "_r"])
     orders = M._orders(M.METRICS)
     got = [r.to_pylist() for r in M._count_batches(["run"], orders, "whitespace")(iter([batch]))]
+    few = pa.RecordBatch.from_arrays([pa.array(x) for x in zip(("a", "x y", "x z y"), ("b", "x", "x z y"), ("c", "", "x z y"))], names=["run", "_h", "_r"])
+    assert [r["bleu_match_1"] for r in next(M._count_batches(["run"], orders, "whitespace")(iter([few]))).to_pylist()] == [2, 1, 0]
     assert looked[0] < 200 and [r["run"] for r in got[0]] == [r[0] for r in rows]
     for r, (_, h, ref) in zip(got[0], rows):
         for n in range(1, 5):
